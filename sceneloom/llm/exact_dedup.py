@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import ascii_lower, cut
 
@@ -55,15 +54,16 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     flagged = probed.withColumn("maybe", F.expr(" and ".join(f"hit{i}" for i in range(PROBES)))).select("doc_id", "text_sha256", "maybe")
     alone = flagged.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = flagged.filter("maybe").drop("maybe")
-    groups = maybe.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.withColumnRenamed("text_sha256", "g_sha")
-    met = maybe.join(groups, maybe["text_sha256"] == F.col("g_sha")).drop("g_sha")
-    top = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    lost = met.filter(~top).withColumn("kept", F.lit(False))
-    first = Window.partitionBy("text_sha256").orderBy("doc_id")
-    stay = met.filter(top).withColumn("kept", F.row_number().over(first) == 1)
+    # rows equal in both are counted first, so that the join on a hot text is all that its group's rows meet in
+    each = maybe.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times"))
+    groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")).withColumnRenamed("text_sha256", "g_sha")
+    met = each.join(groups, each["text_sha256"] == F.col("g_sha")).drop("g_sha")
+    run = F.lit(4096)
+    met = met.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(4096).cast("long"))))
+    met = met.withColumn("nth", F.explode(F.sequence(F.col("first"), F.least(F.col("times"), F.col("first") + run) - 1)))
+    met = met.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 0))
     names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    return alone.select(names).unionByName(lost.select(names)).unionByName(stay.select(names))
+    return alone.select(names).unionByName(met.select(names))
 
 
 def _slot_sql(i: int, slots: int) -> str:
