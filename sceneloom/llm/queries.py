@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, quality, sharding, token_counts, warc
+from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, sharding, token_counts, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -132,6 +136,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality": op6_quality,
     "op7_sharding": op7_sharding,
+    "op8_near_join": op8_near_join,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
 }
