@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom import ship
+
 from .common import Rolling, cut, runs, sliding_least, slices, stored, text_bytes, words
 
 WINDOW, GRAM = 10, 5
@@ -57,6 +59,7 @@ def windows(benchmark: DataFrame) -> DataFrame:
                     part = sorted(found)[at : at + 10_000]
                     yield pa.RecordBatch.from_arrays([pa.array([m] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], ["size", "window", "item_id"])
 
+    ship(benchmark.sparkSession)
     return benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(cut_up, "size int, window binary, item_id string").distinct()
 
 

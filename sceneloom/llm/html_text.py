@@ -24,6 +24,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sceneloom import ship
+
 # HTML's element names by their part in a page, and words of class, id and role that authors use.
 BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu meta nav noframes noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul video audio canvas object svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,6 +243,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars; one row for each row of pages."""
+    ship(pages.sparkSession)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

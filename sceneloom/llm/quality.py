@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom import ship
+
 from .common import Rolling, mix, slices, text_bytes
 
 BITS = 18
@@ -128,6 +130,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    ship(docs.sparkSession)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = known.select(F.col("doc_id").alias("_q_id"), F.col("quality").cast("int").alias("_q_y"), F.xxhash64("doc_id").alias("_q_order")).orderBy("_q_order", "_q_id").limit(train_rows)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, sharding, token_counts, warc
+from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, sharding, suffix_dedup, token_counts, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -21,6 +21,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -63,6 +67,22 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+SQL_OP2 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, i, md5(b[i : i + 399]) AS m FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)),
+k AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i > lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM k),
+s AS (SELECT r, n, min(i) AS a, max(i) + 400 AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS n FROM g) GROUP BY r, n),
+p AS (SELECT r, z AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a) - 1, -1) AS z, a AS o FROM s
+    UNION ALL SELECT r, 1, min(a) - 1, 0 FROM s GROUP BY r),
+t AS (SELECT p.r, string_agg(CASE WHEN p.z = -1 THEN hex(b[p.a : octet_length(b)]) WHEN p.z < p.a THEN '' ELSE hex(b[p.a : p.z]) END, '' ORDER BY p.o) AS kept
+    FROM p JOIN d USING (r) GROUP BY p.r),
+c AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+    CASE WHEN kept IS NULL THEN sha256(b) ELSE sha256(unhex(kept)) END AS kept_sha256
+FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 SQL_OP3 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -131,6 +151,7 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
@@ -140,4 +161,4 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
 }
-ORACLES = {"op1_warc": SQL_OP1, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7}
+ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7}

@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sceneloom import ship
+
 from .common import Rolling, slices, text_bytes, tokens
 
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -287,6 +289,7 @@ def counts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; one row for each row of docs."""
+    ship(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,6 +304,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
     """docs with ``token_ends``: for each text the ends in bytes of its tokens, from which every prefix's count follows."""
+    ship(docs.sparkSession)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
