@@ -173,6 +173,6 @@ def digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     return s.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_q_score").alias("score"), (F.col("_q_score") >= threshold).cast("int").alias("predicted"))
 
 
-def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that the classifier does not reject."""
-    return scored(docs, fitted(docs, labels)).filter(F.col("_q_score") >= threshold).drop("_q_score")
+def kept(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that the classifier does not reject; it is fitted on ``labelled`` (docs itself without it)."""
+    return scored(docs, fitted(docs if labelled is None else labelled, labels)).filter(F.col("_q_score") >= threshold).drop("_q_score")
