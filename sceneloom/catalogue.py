@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import queries_filters  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
