@@ -37,8 +37,8 @@ from .common import Rolling, cut, runs, slices, sliding_least, stored, text_byte
 
 LENGTH = 400
 GRAM = 160
-SHARD_SEGMENTS = 4096
-SHARD_BYTES = 6 << 20
+SHARD_SEGMENTS = 2048
+SHARD_BYTES = 1 << 20
 MERGE_PARTS = 256
 BROADCAST_BYTES = 24 << 20
 
@@ -199,7 +199,7 @@ def segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 1 << 20):
+            for piece in slices(batch, "text", 1 << 19):
                 data, offsets = text_bytes(piece.column("text"))
                 raw = data.tobytes()
                 wanted = piece.column("wanted")
@@ -238,7 +238,7 @@ def sharded(rows: DataFrame, n: int, length: int) -> DataFrame:
     """rows (h, s, alone, shards, bytes): h, s, spans (windows that repeat), and of anchors in several shards the lists of
     their windows: part, hashes in order, and for windows found once where they are."""
     shard = F.pmod(F.xxhash64("s"), F.col("shards")).cast("int")
-    parts = max(1, min(50_000, n * 650 // (4 * SHARD_BYTES) + 1))
+    parts = max(1, min(50_000, n * 650 // (16 * SHARD_BYTES) + 1))
     dealt = rows.withColumn("shard", shard).repartition(parts, "h", "shard").sortWithinPartitions("h", "shard")
     span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
