@@ -26,3 +26,26 @@ def hits(queries: DataFrame, vocabulary: DataFrame, k: int, threshold: float, mo
         part = s.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
         out = part if out is None else out.unionByName(part)
     return out if blocks == 1 else out.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
+
+
+def overlaps(truth: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of boxes (center and half extent) of equal ``on`` whose intersection has a volume; adds iou."""
+    from ..functions import geometry as G
+
+    t = truth.select(*on, "gt", *[F.col(c).alias(f"g_{c}") for c in ("cx", "cy", "cz", "half")])
+    p = predicted.select(*on, "pr", *[F.col(c).alias(f"p_{c}") for c in ("cx", "cy", "cz", "half")])
+    box = lambda k: [F.col(f"{k}_{c}") - F.col(f"{k}_half") for c in ("cx", "cy", "cz")] + [F.col(f"{k}_{c}") + F.col(f"{k}_half") for c in ("cx", "cy", "cz")]
+    return t.join(p, on).withColumn("iou", G.iou3d(box("g"), box("p"))).where("iou > 0").select(*on, "gt", "pr", "iou")
+
+
+def triplets(truth: DataFrame, predicted: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
+    """Edge pairs whose endpoints overlap and whose relation is a hit, with the mean overlap.
+
+    truth (edge, child, parent, relation), predicted (edge, child, parent, relation), nodes (gt, pr, iou),
+    relations (query_id, vec_id): hits of predicted relations in the vocabulary of true ones.
+    """
+    n = lambda a: nodes.select(F.col("gt").alias(f"{a}_gt"), F.col("pr").alias(f"{a}_pr"), F.col("iou").alias(f"{a}_iou"))
+    t = truth.select(F.col("edge").alias("gt"), F.col("child").alias("c_gt"), F.col("parent").alias("p_gt"), F.col("relation").alias("vec_id"))
+    p = predicted.select(F.col("edge").alias("pr"), F.col("child").alias("c_pr"), F.col("parent").alias("p_pr"), F.col("relation").alias("query_id"))
+    j = t.join(n("c"), "c_gt").join(n("p"), "p_gt").join(p, ["c_pr", "p_pr"]).join(relations.select("query_id", "vec_id").distinct(), ["query_id", "vec_id"])
+    return j.select("gt", "pr", ((F.col("c_iou") + F.col("p_iou")) / 2).alias("quality"))
