@@ -12,8 +12,7 @@ prefixes of neighbours, and those of LENGTH bytes or more are repeats. An anchor
 is spread over several shards; each then lists its distinct windows' hashes in order, and ranges of these lists are
 merged by binary search across the shards, so that no window is missed and no task holds a hot anchor.
 
-Rows move as hashes and places; texts move twice, by a shuffle, or not at all where what is joined to them is measured to
-be under BROADCAST_BYTES. Two segments are taken as equal if their anchors' and their own 64-bit hashes are.
+Rows move as hashes and places; texts move twice, by shuffles on their id and hash. Two segments are taken as equal if their anchors' and their own 64-bit hashes are.
 
 Defined results: null and empty texts, and texts of fewer bytes than LENGTH, keep all; a null doc_id is an id like any
 other; equal rows repeat each other; an empty table gives an empty result; columns of any other name are kept by
@@ -33,14 +32,13 @@ from pyspark.sql import functions as F
 
 from sceneloom import ship
 
-from .common import Rolling, cut, runs, slices, sliding_least, stored, text_bytes
+from .common import Rolling, cut, discard, runs, slices, sliding_least, stored, text_bytes
 
 LENGTH = 400
 GRAM = 160
 SHARD_SEGMENTS = 2048
 SHARD_BYTES = 1 << 20
 MERGE_PARTS = 256
-BROADCAST_BYTES = 24 << 20
 
 # ---- one shard
 
@@ -186,16 +184,11 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return keyed(docs.select("doc_id", "text")).mapInArrow(find, f"doc_id {kind}, t long, h long, s long, lo int, hi int")
 
 
-def _small(df: DataFrame, size: int) -> DataFrame:
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """wanted (doc_id, t, h, s, lo, hi, alone, shards): adds each segment's bytes, cut from its text."""
-    lists = cut(wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "s", "lo", "hi", "alone", "shards")).alias("wanted")).withColumnsRenamed({"doc_id": "d", "t": "w"}))
-    rows, n = lists.agg(F.count("*"), F.sum(F.size("wanted"))).first()
+    lists = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "s", "lo", "hi", "alone", "shards")).alias("wanted")).withColumnsRenamed({"doc_id": "d", "t": "w"})
     own = keyed(docs.select("doc_id", "text"))
-    met = own.join(_small(lists, 64 * rows + 48 * (n or 0)), (F.col("_sa_t") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
+    met = own.join(lists, (F.col("_sa_t") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,10 +314,13 @@ def merged(lists: DataFrame, parts: int) -> DataFrame:
 def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """doc_id, t, windows: for each text with repeated windows, ranges of them as first << 32 | last."""
     found = stored(anchored(docs, length, gram), "anchors")
-    again = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # counts are cut from what follows, so that a join on a hot anchor stands on plain shuffles, which Spark can split
+    again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     places = stored(found.join(again, "h"), "places")
+    discard(found)
     kinds = cut(places.groupBy("h", "s").agg(F.count("*").alias("n"), F.min("t").alias("src")))
     several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    several = cut(several)
     shards = F.ceil(F.col("kinds") / shard_segments).cast("int")
     open_ = kinds.join(several, "h").select("h", "s", "src", (F.col("n") == 1).alias("alone"), shards.alias("shards"))
     source = places.join(open_.withColumnsRenamed({"h": "oh", "s": "os"}), (F.col("h") == F.col("oh")) & (F.col("s") == F.col("os")) & (F.col("t") == F.col("src")))
@@ -351,9 +347,8 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segme
 def spanned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
     """docs with _sa_windows (null where nothing repeats)."""
     c = cut(covered(docs, length, gram, shard_segments).withColumnsRenamed({"doc_id": "_sa_d", "t": "_sa_w", "windows": "_sa_windows"}))
-    rows, n = c.agg(F.count("*"), F.sum(F.size("_sa_windows"))).first()
     own = keyed(docs)
-    j = own.join(_small(c, 64 * rows + 8 * (n or 0)), (F.col("_sa_t") == F.col("_sa_w")) & F.col("doc_id").eqNullSafe(F.col("_sa_d")), "left")
+    j = own.join(c, (F.col("_sa_t") == F.col("_sa_w")) & F.col("doc_id").eqNullSafe(F.col("_sa_d")), "left")
     return j.select(*[own[x] for x in docs.columns], "_sa_windows")
 
 
