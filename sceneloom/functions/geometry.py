@@ -15,7 +15,7 @@ def box(prefix: str = "", names: str = "x1 y1 x2 y2") -> list[Column]:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x))
+    return F.when(x.isNotNull(), F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), x)))
 
 
 def norm(*parts: Column) -> Column:

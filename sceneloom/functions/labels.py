@@ -77,7 +77,7 @@ def generic(c: Column) -> Column:
     """Whether a label only names a category: a generic noun after at most two generic modifiers."""
     w = F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda x: x != "")
     n = F.size(w)
-    last = singular(F.element_at(w, -1))
+    last = F.coalesce(singular(F.get(w, n - 1)), F.lit(""))
     only = F.forall(F.slice(w, 1, F.greatest(n - 1, F.lit(0))), lambda x: singular(x).isin(*GENERIC_MODIFIERS))
     return (n == 0) | ((n <= 3) & last.isin(*GENERIC_NOUNS) & only) | ((n == 2) & last.isin("object", "thing", "item"))
 

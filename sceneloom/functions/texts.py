@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .geometry import clip
 
@@ -41,7 +42,7 @@ def first_object(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def json_object(texts: pd.Series) -> pd.Series:
     """The first JSON object in each text, a batch at a time."""
     return texts.map(first_object)

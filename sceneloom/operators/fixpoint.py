@@ -28,8 +28,9 @@ def canonical(steps: DataFrame) -> DataFrame:
         now, rounds = new.drop("moved"), rounds + 1
         if done:
             return now
-    loop = now.join(now.select(F.col("source").alias("s"), F.col("canonical").alias("c")), F.col("canonical") == F.col("s"), "left").where("c is not null").groupBy("source").agg(F.least(F.min("canonical"), F.min("c"), F.first("source")).alias("least"))
-    return now.join(loop, "source", "left").select("source", F.coalesce("least", "canonical").alias("canonical"))
+    around = saved(now.join(steps.select(F.col("source").alias("canonical")).distinct(), "canonical", "left_semi"))
+    ring = components(steps.join(around.select("source"), "source", "left_semi").select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return now.join(ring.withColumnRenamed("node", "source"), "source", "left").select("source", F.coalesce("label", "canonical").alias("canonical"))
 
 
 def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
