@@ -119,9 +119,11 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         ids, first = features(texts, self.bits)
         each = self.weights[ids].sum(axis=0)
-        sums = np.concatenate([[0.0], np.cumsum(each)])
         n = np.diff(first)
-        logit = self.bias + SCALE * np.where(n > 0, (sums[first[1:]] - sums[first[:-1]]) / np.maximum(n, 1), 0.0)
+        mean = np.zeros(len(n))
+        if n.any():  # each row's sum by itself, so that a score does not depend on the rows beside it
+            mean[n > 0] = np.add.reduceat(each, first[:-1][n > 0]) / n[n > 0]
+        logit = self.bias + SCALE * mean
         return 1.0 / (1.0 + np.exp(-np.clip(logit, -35, 35)))
 
 
