@@ -224,3 +224,68 @@ def test_late_rows_are_dropped(spark, tmp_path):
     w = R.drained(R.window_counts(e, "ts", ["k"], "1 hour", "5 hours"), str(tmp_path / "out"), "append")
     assert {r["start"].hour for r in w.collect()} >= {0, 1}
     assert all(r["n"] == 1 for r in w.collect())
+
+
+def test_masks(spark):
+    from sceneloom.operators import masks as K
+
+    m = np.zeros((9, 12), bool)
+    m[1:6, 1:6] = True
+    m[3, 3] = False
+    m[7:9, 9:12] = True
+    runs = spark.createDataFrame(K.to_runs(m, 10, 20).assign(frame_idx=0, det_id=0)[["frame_idx", "det_id", "row", "start", "length"]].astype({"row": "int32", "start": "int32", "length": "int32"}))
+    area = lambda how: sum(r["area"] for r in K.areas(K.shaped(runs, how)).collect())
+    assert (area("main"), area("fill"), area("erode"), area("close")) == (24, 31, 0, 31)
+    assert area("dilate") == 49 + 4 * 5
+    p = K.parts(m)
+    assert p.max() == 2 and (p > 0).sum() == m.sum()
+    assert (K.to_runs(*K.grid(K.to_runs(m, 10, 20))).to_numpy() == K.to_runs(m, 10, 20).to_numpy()).all()
+
+
+def test_artifacts(spark, tmp_path):
+    from sceneloom import schema as C
+    from sceneloom.operators import artifacts as A
+
+    f = spark.createDataFrame([("a", 1), ("b", 2)], "frame_key string, v int")
+    assert A.unique_frames(f).count() == 2
+    with pytest.raises(Exception, match="repeated frame key a"):
+        A.unique_frames(f.union(f.limit(1))).collect()
+    assert sorted(map(tuple, A.associations(spark.createDataFrame([("f", {"0": "O1", "2": "U1"})], "frame_key string, det_to_node map<string,string>")).collect())) == [("f", 0, "O1"), ("f", 2, "U1")]
+    rel = spark.createDataFrame([(1, 2)], "first long, second long")
+    notes = spark.createDataFrame([(i,) for i in range(1, 6)], "annot_id long")
+    assert A.snapshot(notes, rel, "annot_id", 3).count() == 3
+    with pytest.raises(ValueError, match="after the snapshot"):
+        A.snapshot(notes, rel, "annot_id", 1)
+    size = lambda rows: spark.createDataFrame(rows, "frame_key string, width int, height int")
+    assert [r[0] for r in A.aligned(size([("a", 4, 3), ("b", 4, 3), ("c", 4, 3)]), size([("a", 4, 3), ("b", 2, 3)]), size([("a", 4, 3)])).orderBy("frame_key").collect()] == ["b", "c"]
+    state = str(tmp_path / "state")
+    prints = {"frames": A.fingerprint(f)}
+    assert prints == {"frames": A.fingerprint(f.orderBy("v", ascending=False))} and A.checkpointed(spark, state, prints) is None
+    A.save_checkpoint(f, state, prints)
+    assert A.checkpointed(spark, state, prints).count() == 2
+    with pytest.raises(ValueError, match="other inputs"):
+        A.checkpointed(spark, state, {"frames": "0"})
+    old = spark.createDataFrame([(1, [1.0]), (3, [2.0])], "schema_version int, box_xyxy array<double>")
+    assert {tuple(r["box"]) for r in C.migrated(old).collect()} == {(1.0,), (2.0,)}
+    with pytest.raises(ValueError, match="schema_version"):
+        C.migrated(spark.createDataFrame([(9, [1.0])], "schema_version int, box_xyxy array<double>"))
+    A.write_rows(f, str(tmp_path / "rows"), "v")
+    A.write_rows(f, str(tmp_path / "log"), mode="append", fmt="json")
+    A.write_rows(f, str(tmp_path / "log"), mode="append", fmt="json")
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 2 and spark.read.json(str(tmp_path / "log")).count() == 4
+    for ddl in C.TABLES.values():
+        assert spark.createDataFrame([], ddl).columns
+
+
+def test_nulls_stay_missing(spark):
+    """Unscored rows add nothing, null labels match nothing, null boxes give null scores."""
+    from sceneloom.operators.aggregates import log_odds
+    from sceneloom.operators.artifacts import scored
+
+    e = spark.createDataFrame([("c", "p", "f1", 0.5), ("c", "p", "f2", None), ("c", "q", "f2", None)], "child_node_id string, parent_node_id string, frame_key string, s2d_score double")
+    assert [tuple(r) for r in log_odds(e).collect()] == [("c", "p", 0.0, 1, 1)]
+    c = spark.createDataFrame([(1, ""), (2, "self_loop"), (3, "")], "cache_key long, fail_reason string")
+    k = spark.createDataFrame([(1, 0.4), (3, None)], "cache_key long, s2d_score double")
+    assert sorted((r["cache_key"], r["s2d_score"], r["error"]) for r in scored(c, k).collect()) == [(1, 0.4, ""), (2, None, "self_loop"), (3, None, "cache_miss")]
+    b = spark.createDataFrame([(None, 0.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
+    assert b.select(G.ownership(G.box(), G.box())["score"].alias("s")).first()["s"] is None
