@@ -13,17 +13,18 @@ from ..functions import scores as S
 PAIR = ["parent_node_id", "child_node_id", "edge_type"]
 
 
-def unanimous_text(text: Column, *labels: Column) -> Column:
-    """The shortest, then first, original text if all texts of a group mean the same; else empty."""
+def unanimous_text(text: Column, *labels: Column, canon: Column | None = None) -> Column:
+    """The shortest, then first, original text if all texts of a group mean the same; else empty. ``canon`` is the canonical
+    text where it is a column already."""
     told = F.trim(text) != ""
-    canon = L.canonical_text(F.trim(text), labels)
-    one = (F.count_distinct(F.when(told, canon)) == 1) & (F.min(F.when(told, canon)) != "")
+    canon = F.when(told, L.canonical_text(F.trim(text), labels) if canon is None else canon)
+    one = (F.min(canon) == F.max(canon)) & (F.min(canon) != "")
     return F.when(one, F.min(F.when(told, F.struct(F.length(F.trim(text)).alias("n"), F.trim(text).alias("t"))))["t"]).otherwise("")
 
 
 def candidate_aggregate(candidates: DataFrame, keep: Column | None = None) -> DataFrame:
     """One row a (parent, child, type) over the candidates that ``keep`` (a predicate) lets in."""
-    c = candidates if keep is None else candidates.where(keep)
+    c = (candidates if keep is None else candidates.where(keep)).withColumn("_canon", L.canonical_text(F.trim("relation_text")))
     strong = F.col("selected") | F.col("pass_threshold")
     return c.groupBy(*PAIR).agg(
         F.count("*").alias("n"),
@@ -39,7 +40,7 @@ def candidate_aggregate(candidates: DataFrame, keep: Column | None = None) -> Da
         F.min("frame_idx").alias("first_frame"),
         F.max("frame_idx").alias("last_frame"),
         F.array_join(F.array_sort(F.collect_set("semantic_source")), ",").alias("sources"),
-        unanimous_text(F.col("relation_text")).alias("relation_text"),
+        unanimous_text(F.col("relation_text"), canon=F.col("_canon")).alias("relation_text"),
     )
 
 

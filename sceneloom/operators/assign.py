@@ -6,9 +6,12 @@ potentials on a dense cost matrix, in numpy.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def solve(cost: np.ndarray) -> np.ndarray:
@@ -89,16 +92,42 @@ def _area(b: np.ndarray) -> np.ndarray:
     return np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
 
 
+def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """The rows that ``mask`` keeps of each group, whose rows stand together in ``order``: groups of a batch one after
+    another, with a group that the batch cuts carried on. For many small groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+            keep = [mask(g.iloc[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            return g[np.concatenate(keep)] if keep else g
+
+        for batch in batches:
+            g = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(g):
+                continue
+            new = np.zeros(len(g), bool)
+            for c in by:
+                v = g[c].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            held = g.iloc[starts[-1] :]
+            if starts[-1]:
+                yield work(g.iloc[: starts[-1]], starts)
+        if held is not None:
+            yield work(held, np.array([0, len(held)]))
+
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, df.schema)
+
+
 def suppressed(dets: DataFrame, by: list[str], iou: float, roles: bool = False) -> DataFrame:
     """Greedy non-maximum suppression in order of score (with ``roles``: units, carriers, objects first). Tied objects of
     equal score that overlap both go when roles count."""
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        rank = g["role"].map({"U": 0, "C": 1, "O": 2}) if roles else 0
-        g = g.assign(_r=rank).sort_values(["_r", "score", "det_id"], ascending=[True, False, True])
-        b, area = _boxes(g), _area(_boxes(g))
-        alive = np.ones(len(g), bool)
-        role, score = g["role"].to_numpy(), g["score"].to_numpy()
+    def mask(g: pd.DataFrame) -> np.ndarray:
+        b, role, score = _boxes(g), g["role"].to_numpy(), g["score"].to_numpy()
+        area, alive = _area(b), np.ones(len(g), bool)
         for i in range(len(g)):
             if not alive[i]:
                 continue
@@ -110,24 +139,24 @@ def suppressed(dets: DataFrame, by: list[str], iou: float, roles: bool = False)
                 if role[i] == "O" and (hit & (score == score[i])).any():
                     alive[i] = False
             alive[hit] = False
-        return g[alive].drop(columns="_r")
+        return alive
 
-    return dets.groupBy(*by).applyInPandas(keep, dets.schema)
+    rank = [F.when(F.col("role") == "U", 0).when(F.col("role") == "C", 1).otherwise(2)] if roles else []
+    return kept_by(dets, by, [*rank, F.desc("score"), "det_id"], mask)
 
 
 def covered_away(dets: DataFrame, by: list[str], share: float = 0.95) -> DataFrame:
     """Drops the lower-scored of two detections of a role if one covers ``share`` of the other; units only of one label."""
 
-    def keep(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["score", "det_id"], ascending=[False, True])
-        b, area = _boxes(g), _area(_boxes(g))
-        alive, role, label = np.ones(len(g), bool), g["role"].to_numpy(), g["label"].to_numpy()
+    def mask(g: pd.DataFrame) -> np.ndarray:
+        b, role, label = _boxes(g), g["role"].to_numpy(), g["label"].to_numpy()
+        area, alive = _area(b), np.ones(len(g), bool)
         for i in range(len(g)):
             if alive[i]:
                 both = _overlap(b[i], b)
                 hit = (both >= share * np.maximum(np.minimum(area, area[i]), 1e-9)) & (role == role[i]) & ((role != "U") | (label == label[i]))
                 hit[: i + 1] = False
                 alive[hit] = False
-        return g[alive]
+        return alive
 
-    return dets.groupBy(*by).applyInPandas(keep, dets.schema)
+    return kept_by(dets, by, [F.desc("score"), "det_id"], mask)

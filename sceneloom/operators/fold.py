@@ -1,10 +1,13 @@
-"""Ordered folds over a key's rows: sorted arrays and ``aggregate``, which stay in the JVM.
+"""Ordered folds over a key's rows: sorted arrays and ``aggregate``, which stay in the JVM; the posterior, whose state is a
+table of parents, in numpy, a child a group.
 
 An array is one key's history (a node's observations, a child's frames), which the map bounds. Order is always a column.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,47 +41,50 @@ def weighted_direction(steps: Column, value: str, weight: str) -> Column:
 
 
 def posteriors(evidence: DataFrame, entropy: float = 0.1, temporal: float = 0.05) -> DataFrame:
-    """child_node_id, history: for each frame with any object evidence, from a child's first on, the posterior of its
-    parents so far and of no parent.
+    """child_node_id, frame_idx, parents, odds, p: for each frame with any object evidence, from a child's first on, the
+    posterior of its parents so far and of no parent.
 
     evidence: frame_idx, child_node_id, parent_node_id, s2d_score (null: unscored, counts as a frame only). Every frame
     optimizes every known child again, so a child's steps are all frames after its first, with increments where it has any.
+    Increments are summed in Spark; a child's frames, in order, are one group.
     """
     frames = evidence.select("frame_idx").distinct()
-    scored = evidence.where("s2d_score is not null")
-    adds = scored.groupBy("child_node_id", "frame_idx", "parent_node_id").agg(F.sum(S.logit(F.col("s2d_score"))).alias("add"))
-    adds = adds.groupBy("child_node_id", "frame_idx").agg(F.array_sort(F.collect_list(F.struct("parent_node_id", "add"))).alias("adds"))
+    adds = evidence.where("s2d_score is not null").groupBy("child_node_id", "frame_idx", "parent_node_id").agg(F.sum(S.logit(F.col("s2d_score"))).alias("gain"))
     start = adds.groupBy("child_node_id").agg(F.min("frame_idx").alias("since"))
     calendar = start.join(frames, F.col("frame_idx") >= F.col("since")).drop("since")
-    parents = scored.groupBy("child_node_id").agg(F.array_sort(F.array_union(F.collect_set("parent_node_id"), F.array(F.lit(NULL_PARENT)))).alias("parents"))
-    steps = calendar.join(adds, ["child_node_id", "frame_idx"], "left").groupBy("child_node_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", F.coalesce("adds", F.array().cast(adds.schema["adds"].dataType)).alias("adds")))).alias("steps"))
-    both = steps.join(parents, "child_node_id")
-    scale = entropy + temporal
-    p = F.col("parents")
-
-    def step(state: Column, now: Column) -> Column:
-        gain = F.map_from_entries(now["adds"])
-        odds = F.zip_with(state["odds"], p, lambda o, k: o + F.coalesce(gain[k], F.lit(0.0)))
-        seen = F.zip_with(state["seen"], p, lambda s, k: s | gain[k].isNotNull())
-        n = F.aggregate(seen, F.lit(0.0), lambda a, s: a + F.when(s, 1.0).otherwise(0.0))
-        before = F.zip_with(state["p"], seen, lambda q, s: F.when(~s, 0.0).otherwise(F.coalesce(q, 1.0 / n)))
-        total = F.aggregate(before, F.lit(0.0), lambda a, q: a + q)
-        logit = F.zip_with(odds, F.zip_with(before, seen, lambda q, s: F.when(s, F.greatest(q / F.greatest(total, F.lit(1e-12)), F.lit(1e-9)))), lambda o, q: (o + temporal * F.log(q)) / scale)
-        top = F.array_max(logit)
-        e = F.transform(logit, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-        z = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-        new = F.zip_with(e, seen, lambda x, s: F.when(s, x / z))
-        row = F.struct(now["frame_idx"].alias("frame_idx"), new.alias("p"))
-        return F.struct(odds.alias("odds"), seen.alias("seen"), new.alias("p"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    zero = F.struct(F.transform(p, lambda k: F.lit(0.0)).alias("odds"), F.transform(p, lambda k: k == NULL_PARENT).alias("seen"), F.transform(p, lambda k: F.lit(None).cast("double")).alias("p"), F.array().cast("array<struct<frame_idx:bigint,p:array<double>>>").alias("rows"))
-    return both.select("child_node_id", "parents", F.aggregate("steps", zero, step).alias("state")).select("child_node_id", "parents", F.col("state.odds").alias("odds"), F.col("state.rows").alias("history"))
+    steps = calendar.join(adds, ["child_node_id", "frame_idx"], "left")
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*g["parent_node_id"].dropna(), NULL_PARENT})
+        at = {k: i for i, k in enumerate(names)}
+        odds, p = np.zeros(len(names)), np.full(len(names), np.nan)
+        seen = np.array([k == NULL_PARENT for k in names])
+        order = np.argsort(g["frame_idx"].to_numpy(), kind="stable")
+        frame, gain = g["frame_idx"].to_numpy()[order], g["gain"].to_numpy(float)[order]
+        parent = [at.get(k, -1) for k in g["parent_node_id"].to_numpy()[order]]
+        rows, i = [], 0
+        while i < len(frame):
+            now = frame[i]
+            while i < len(frame) and frame[i] == now:
+                if parent[i] >= 0:
+                    odds[parent[i]] += gain[i]
+                    seen[parent[i]] = True
+                i += 1
+            before = np.where(np.isnan(p), 1.0 / seen.sum(), p)[seen]
+            before = before / max(before.sum(), 1e-12)
+            logit = (odds[seen] + temporal * np.log(np.maximum(before, 1e-9))) / (entropy + temporal)
+            e = np.exp(logit - logit.max())
+            p[seen] = e / e.sum()
+            rows.append((g["child_node_id"].iloc[0], now, [k for k, s in zip(names, seen, strict=True) if s], odds[seen].tolist(), p[seen].tolist()))
+        return pd.DataFrame(rows, columns=["child_node_id", "frame_idx", "parents", "odds", "p"])
+
+    return steps.groupBy("child_node_id").applyInPandas(fold, "child_node_id string, frame_idx long, parents array<string>, odds array<double>, p array<double>")
 
 
 def decisions(post: DataFrame, margin: float = 0.05) -> DataFrame:
     """The best real parent of each child after the last frame, and whether it is confirmed or provisional."""
-    last = F.element_at("history", -1)["p"]
-    flat = post.select("child_node_id", F.explode(F.arrays_zip("parents", "odds", last.alias("p"))).alias("x")).select("child_node_id", F.col("x.parents").alias("parent"), F.col("x.odds").alias("odds"), F.col("x.p").alias("p")).where("p is not null")
+    last = post.groupBy("child_node_id").agg(F.max_by(F.struct("parents", "odds", "p"), "frame_idx").alias("s")).select("child_node_id", "s.*")
+    flat = last.select("child_node_id", F.explode(F.arrays_zip("parents", "odds", "p")).alias("x")).select("child_node_id", F.col("x.parents").alias("parent"), F.col("x.odds").alias("odds"), F.col("x.p").alias("p"))
     none = flat.where(F.col("parent") == NULL_PARENT).select("child_node_id", F.col("p").alias("none"))
     from .windows import top_with_margin
 

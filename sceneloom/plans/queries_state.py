@@ -61,8 +61,8 @@ def posterior_fold(spark, sf_dir):
     """The posterior of every child's parents, frame by frame."""
     e = scene(spark, sf_dir, "edge_candidates").where("edge_type in ('O-C', 'O-U')").select("frame_idx", "child_node_id", "parent_node_id", "s2d_score")
     at = e.select("frame_idx").distinct().withColumn("t", F.row_number().over(Window.orderBy("frame_idx"))).where("t % 5 = 0").select(F.col("frame_idx").alias("f"))
-    h = T.posteriors(e).select("child_node_id", F.explode("history").alias("h"))
-    return h.join(F.broadcast(at), F.col("h.frame_idx") == F.col("f")).select("child_node_id", F.col("h.frame_idx").alias("frame_idx"), F.size(F.array_compact("h.p")).cast("long").alias("parents"), F.round(F.array_max("h.p"), 6).alias("top"))
+    h = T.posteriors(e)
+    return h.join(F.broadcast(at), F.col("frame_idx") == F.col("f")).select("child_node_id", "frame_idx", F.size("p").cast("long").alias("parents"), F.round(F.array_max("p"), 6).alias("top"))
 
 
 @query(
@@ -154,18 +154,33 @@ def eval_matching(spark, sf_dir):
     return recall(hits.select("role", "gt"), g.select("role", "gt"), ["role"])
 
 
-@query("nms")
+def _greedy(order: str, conflict: str, tied: str = "false", columns: str = "d.frame_idx, d.det_id, d.role") -> str:
+    """SQL of greedy suppression: detections in order, each alive one drops its later conflicts (and itself if one is tied)."""
+    return (
+        with_sql("detections", recursive=True)
+        + f"""d AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY {order}) AS rn, ((x2 - x1) * (y2 - y1))::DOUBLE AS area FROM detections),
+    j AS (SELECT a.frame_idx, a.rn, b.rn AS other, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, a.area AS aa, b.area AS ba, a.role AS ar, b.role AS br, a.label AS al, b.label AS bl, a.score AS sa, b.score AS sb FROM d a JOIN d b ON a.frame_idx = b.frame_idx AND b.rn > a.rn),
+    c AS (SELECT frame_idx, rn, list(other) FILTER ({conflict}) AS later, list(other) FILTER ({conflict} AND {tied}) AS ties FROM j GROUP BY ALL),
+    f(frame_idx, rn, gone) AS (SELECT DISTINCT frame_idx, 0::BIGINT, []::BIGINT[] FROM d UNION ALL SELECT f.frame_idx, f.rn + 1, CASE WHEN list_contains(f.gone, f.rn + 1) THEN f.gone
+        ELSE list_concat(list_concat(f.gone, coalesce(c.later, [])), CASE WHEN len(list_filter(coalesce(c.ties, []), lambda x: NOT list_contains(f.gone, x))) > 0 THEN [f.rn + 1] ELSE [] END) END
+        FROM f JOIN d ON d.frame_idx = f.frame_idx AND d.rn = f.rn + 1 LEFT JOIN c ON c.frame_idx = f.frame_idx AND c.rn = f.rn + 1),
+    l AS (SELECT frame_idx, arg_max(gone, rn) AS gone FROM f GROUP BY frame_idx)
+    SELECT {columns} FROM d JOIN l USING (frame_idx) WHERE NOT list_contains(gone, d.rn)"""
+    )
+
+
+@query("nms", _greedy("score DESC, det_id", "i / greatest(aa + ba - i, 1e-9) > 0.5", columns="d.frame_idx, d.det_id"))
 def nms(spark, sf_dir):
     """Greedy suppression in each frame, by score."""
     return O.suppressed(scene(spark, sf_dir, "detections"), ["frame_idx"], 0.5).select("frame_idx", "det_id")
 
 
-@query("role_nms")
+@query("role_nms", _greedy("CASE role WHEN 'U' THEN 0 WHEN 'C' THEN 1 ELSE 2 END, score DESC, det_id", "ar = br AND i / greatest(aa + ba - i, 1e-9) > 0.3", "ar = 'O' AND sa = sb"))
 def role_nms(spark, sf_dir):
     return O.suppressed(scene(spark, sf_dir, "detections"), ["frame_idx"], 0.3, roles=True).select("frame_idx", "det_id", "role")
 
 
-@query("coverage_suppression")
+@query("coverage_suppression", _greedy("score DESC, det_id", "ar = br AND (ar <> 'U' OR al = bl) AND i >= 0.95 * greatest(least(aa, ba), 1e-9)"))
 def coverage_suppression(spark, sf_dir):
     return O.covered_away(scene(spark, sf_dir, "detections"), ["frame_idx"]).select("frame_idx", "det_id", "role")
 

@@ -60,14 +60,14 @@ def test_suppression_leaves_no_overlap(spark, sf_dir):
 def test_posterior_closed_form(spark):
     """With one scored frame and unscored ones after it, logits are a geometric sum of ratio temporal / (entropy + temporal)."""
     rows = [(0, "c", "p1", 0.6), (0, "c", "p2", 0.45)] + [(t, "x", "y", None) for t in range(1, 4)]
-    post = T.posteriors(spark.createDataFrame(rows, "frame_idx long, child_node_id string, parent_node_id string, s2d_score double")).collect()[0]
+    post = T.posteriors(spark.createDataFrame(rows, "frame_idx long, child_node_id string, parent_node_id string, s2d_score double")).orderBy("frame_idx").collect()
     odds = np.array([np.log(p / (1 - p)) for p in (0.6, 0.45)] + [0.0])[np.argsort(["p1", "p2", T.NULL_PARENT])]
     logit = np.zeros(3)
-    for row in post["history"]:
+    for row in post:
         logit = odds / 0.15 + logit / 3
         want = np.exp(logit - logit.max())
         assert row["p"] == pytest.approx(list(want / want.sum()))
-    assert len(post["history"]) == 4
+    assert len(post) == 4
 
 
 def test_unscored_children_have_no_posterior(spark):
