@@ -220,12 +220,12 @@ def scene_lock(spark, sf_dir):
     return s.groupBy("sequence").agg(F.min(F.struct("frame_idx", "scene")).alias("m")).select("sequence", F.col("m.frame_idx").alias("lock_frame"), F.col("m.scene").alias("scene"))
 
 
-@query("evenly_spaced_sample", with_sql("points") + "r AS (SELECT node, pid, row_number() OVER (PARTITION BY node ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM points), j AS (SELECT unnest(range(64)) AS j) SELECT DISTINCT node, pid FROM r, j WHERE n <= 64 OR i = floor(j * ((n - 1) / 63.0::DOUBLE) + 1e-9)")
+@query("evenly_spaced_sample", with_sql("points") + "r AS (SELECT node, pid, row_number() OVER (PARTITION BY node ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM points) SELECT node, pid FROM r WHERE n <= 64 OR list_contains(list_transform(range(64), lambda j: floor(j * ((n - 1) / 63.0::DOUBLE) + 1e-9)::BIGINT), i)")
 def evenly_spaced_sample(spark, sf_dir):
     return W.evenly(scene(spark, sf_dir, "points"), ["node"], ["pid"], 64).select("node", "pid")
 
 
-@query("cell_ordered_sample", with_sql("points") + "r AS (SELECT node, pid, row_number() OVER (PARTITION BY node ORDER BY floor(x * 128), floor(y * 128), floor(z * 128), pid) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM points), j AS (SELECT unnest(range(50)) AS j) SELECT DISTINCT node, pid FROM r, j WHERE n <= 50 OR i = round_even(j * ((n - 1) / 49.0::DOUBLE), 0)")
+@query("cell_ordered_sample", with_sql("points") + "r AS (SELECT node, pid, row_number() OVER (PARTITION BY node ORDER BY floor(x * 128), floor(y * 128), floor(z * 128), pid) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM points) SELECT node, pid FROM r WHERE n <= 50 OR list_contains(list_transform(range(50), lambda j: round_even(j * ((n - 1) / 49.0::DOUBLE), 0)::BIGINT), i)")
 def cell_ordered_sample(spark, sf_dir):
     order = [F.floor(F.col(c) * 128) for c in "xyz"]
     return W.evenly(scene(spark, sf_dir, "points"), ["node"], [*order, "pid"], 50, rounded=True).select("node", "pid")

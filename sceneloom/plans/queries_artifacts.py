@@ -179,7 +179,7 @@ def overlay_points(spark, sf_dir):
     return p.select("node_id", "i", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
-@query("inference_boxes", DET + "z AS (SELECT 1) SELECT frame_idx, det_id, x1 * 0.8 - 5 AS ix1, y2 * 0.8 - 3 AS iy2, round(((x1 * 0.8 - 5) + 5) / 0.8, 6)::DOUBLE AS bx1 FROM detections")
+@query("inference_boxes", DET + "z AS (SELECT 1) SELECT frame_idx, det_id, (x1 * 0.8 - 5)::DOUBLE AS ix1, (y2 * 0.8 - 3)::DOUBLE AS iy2, round(((x1 * 0.8 - 5) + 5) / 0.8, 6)::DOUBLE AS bx1 FROM detections")
 def inference_boxes(spark, sf_dir):
     """Boxes in the detector's image and back."""
     d = scene(spark, sf_dir, "detections")
