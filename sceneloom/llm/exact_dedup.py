@@ -57,6 +57,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     # rows equal in both are counted first, so that the join on a hot text is all that its group's rows meet in
     each = maybe.groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times"))
     groups = each.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")).withColumnRenamed("text_sha256", "g_sha")
+    groups = cut(groups)  # so that the join stands on plain shuffles, which Spark can split
     met = each.join(groups, each["text_sha256"] == F.col("g_sha")).drop("g_sha")
     run = F.lit(4096)
     met = met.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(4096).cast("long"))))
