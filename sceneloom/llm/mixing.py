@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from .common import cut
 
 BIN_ROWS = 4096  # rows of a source in a bin, about; only the bins' sums are put in order as a whole
+BROADCAST_SOURCES = 50_000  # rows of some 100 bytes
 HEX = 13  # leading hex digits of a draw that choose its bin: 52 bits, exact in a double
 
 
@@ -82,6 +83,8 @@ def mixture(docs: DataFrame, weights: Column | None = None, cap_times: int = 3,
     l = last.withColumnRenamed("s_source", "l_source")
     plan = s.join(e, s["s_source"].eqNullSafe(e["e_source"]), "left").join(l, s["s_source"].eqNullSafe(l["l_source"]), "left")
     plan = cut(plan.select(*[F.col(c).alias(f"_mix_p_{c}") for c in ("s_source", "bins", "whole", "source_size", "target", "edge_bin", "last_draw")]))
+    if plan.count() <= BROADCAST_SOURCES:  # else the join shuffles, and Spark splits a hot source's rows
+        plan = F.broadcast(plan)
     base = docs.withColumns({"_mix_draw": key, "_mix_u": unit(key)}) if rows else thin.withColumnsRenamed({"draw": "_mix_draw", "u": "_mix_u"})
     out = base.join(plan, base["source"].eqNullSafe(plan["_mix_p_s_source"]))
     b = F.least(F.floor(F.col("_mix_u") * F.col("_mix_p_bins")).cast("long"), F.col("_mix_p_bins") - 1)

@@ -107,3 +107,11 @@ def test_shards_edge_cases(edge, nothing):
         per[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in per.values())
     assert sharding.sharded(nothing).count() == 0
+
+
+def test_mix_of_many_sources(spark, monkeypatch):
+    """Beyond the broadcast's bound the join shuffles, and the mix is the same."""
+    df = spark.createDataFrame([(i, "word " * (i % 50), f"s{i % 37}") for i in range(2000)], "doc_id long, text string, source string")
+    one = sorted(map(tuple, mixing.mixed_digest(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, mixing.mixed_digest(df).collect())) == one
