@@ -45,3 +45,14 @@ def decided(relations: DataFrame, carrier: float = 0.7, unit: float = 0.2, lead:
     good = (F.col("mask") >= F.when(F.col("child_role") == "U", unit).otherwise(carrier)) & (F.round(F.col("mask") - F.col("second"), 9) >= lead)
     how = F.when(F.col("n") == 1, "single").when(good, "mask").otherwise("ambiguous")
     return r.select("frame_idx", "edge_type", "child_det_id", F.when(how != "ambiguous", F.col("parent_det_id")).alias("parent_det_id"), how.alias("decision"))
+
+
+def within_capacity(relations: DataFrame, pairs: DataFrame, lead: float = 0.1) -> DataFrame:
+    """Passing relations of label pairs that hold one child a parent: the best mask if clear of the second, else none; all
+    others as they are. pairs: parent_label, child_label."""
+    r = relations.where("pass_threshold").join(F.broadcast(pairs.withColumn("one", F.lit(True))), ["parent_label", "child_label"], "left")
+    w = Window.partitionBy("frame_idx", "parent_det_id", "parent_label", "child_label")
+    o = w.orderBy(F.desc("mask"), "child_det_id")
+    r = r.withColumns({"n": F.count("*").over(w), "rn": F.row_number().over(o), "second": F.lead("mask").over(o)})
+    keep = F.col("one").isNull() | (F.col("n") == 1) | ((F.col("rn") == 1) & (F.round(F.col("mask") - F.col("second"), 9) >= lead))
+    return r.where(keep).select(*relations.columns)

@@ -216,3 +216,39 @@ def completed(boxes: DataFrame, gap: float, growth: float = 4.0) -> DataFrame:
         return pd.DataFrame([(own["label"].iloc[0], n, find(n)) for n in lead], columns=["label", "node_id", "object"]) if len(own) else pd.DataFrame(columns=["label", "node_id", "object"])
 
     return j.groupBy("label").applyInPandas(unite, "label string, node_id string, object string")
+
+
+def carrier_gates(cu: DataFrame, objects: DataFrame, ou: DataFrame, labels: DataFrame, atlas: DataFrame, boxes: DataFrame, reach: float = 0.08) -> DataFrame:
+    """carrier, unit, reason: the first gate that keeps a carrier from a unit, empty where none does.
+
+    cu, ou: parent_node_id, child_node_id, strong (2D sightings) of C-U and O-U pairs; objects: child_node_id, parent_node_id,
+    status of object edges; labels: node_id, label; atlas: edge_type, parent_label, child_label, object_context, owner_kind.
+    Priors meet pairs by word suffixes of both labels.
+    """
+    from ..operators.joins import by_suffix
+
+    def with_priors(pairs: DataFrame, kind: str) -> DataFrame:
+        named = pairs.join(labels.select(F.col("node_id").alias("parent_node_id"), F.col("label").alias("plabel")), "parent_node_id").join(labels.select(F.col("node_id").alias("child_node_id"), F.col("label").alias("clabel")), "child_node_id")
+        a = atlas.where(F.col("edge_type") == kind).drop("edge_type")
+        hit = by_suffix(named.select("parent_node_id", "child_node_id", "plabel", "clabel"), "clabel", a, "child_label").where(L.compatible(F.col("plabel"), F.col("parent_label")))
+        sets = hit.groupBy("parent_node_id", "child_node_id").agg(F.collect_set("object_context").alias("contexts"), F.collect_set("owner_kind").alias("kinds"))
+        return named.join(sets, ["parent_node_id", "child_node_id"], "left")
+
+    of = lambda p, k: objects.select(F.col("child_node_id").alias(k), F.col("parent_node_id").alias(f"{p}_object"), F.col("status").alias(f"{p}_status"))
+    direct = with_priors(ou, "O-U").where("strong > 0 and array_contains(kinds, 'direct')").where(F.exists("contexts", lambda c: L.compatible(F.col("plabel"), c))).select(F.col("parent_node_id").alias("u_object"), F.col("child_node_id").alias("unit"), F.lit(True).alias("direct"))
+    j = with_priors(cu, "C-U").select(F.col("parent_node_id").alias("carrier"), F.col("child_node_id").alias("unit"), "strong", "contexts").join(of("c", "carrier"), "carrier", "left").join(of("u", "unit"), "unit", "left")
+    j = j.join(direct, ["u_object", "unit"], "left").join(labels.select(F.col("node_id").alias("c_object"), F.col("label").alias("owner")), "c_object", "left")
+    side = lambda p, k: boxes.select(F.col("node_id").alias(k), *[F.col(f"b{c}").alias(f"{p}{c}") for c in BOX])
+    j = j.join(side("p_", "carrier"), "carrier").join(side("q_", "unit"), "unit")
+    firm = F.coalesce(F.col("u_status") != "provisional", F.lit(False))
+    other = F.col("u_object").isNotNull() & ~F.col("u_object").eqNullSafe(F.col("c_object")) & (F.col("strong") <= 0)
+    match = F.exists("contexts", lambda c: L.compatible(F.col("owner"), c) | L.compatible(c, F.col("owner")))
+    reason = S.first_of(
+        (firm & F.col("direct"), "direct_object_context_preferred"),
+        (other & F.col("c_object").isNull(), "unobserved_carrier_cannot_replace_measured_object"),
+        (other & firm, "cross_object_candidate"),
+        (F.col("owner").isNotNull() & (F.size("contexts") > 0) & ~match & (F.col("strong") <= 0), "semantic_object_context_mismatch"),
+        (F.col("contexts").isNull(), "no_semantic_cu_support"),
+        (box_gap("p_", "q_") > reach, "aabb_gate_above_threshold"),
+    )
+    return j.select("carrier", "unit", reason.alias("reason"))

@@ -227,3 +227,42 @@ def stage_counts(spark, sf_dir):
 def carrier_margins(spark, sf_dir):
     a = scene(spark, sf_dir, "edge_candidates").where("edge_type = 'C-U'").groupBy(F.col("child_node_id").alias("unit"), F.col("parent_node_id").alias("carrier")).agg(F.round(F.avg("coverage"), 6).alias("score"))
     return W.top_with_margin(a, ["unit"], "score", ["carrier"]).withColumn("margin", F.round("margin", 6))
+
+
+@query(
+    "relation_capacity",
+    with_sql("relations_2d") + """m AS (SELECT *, least(1, contain + child_det_id * 0.05) AS mask FROM relations_2d WHERE pass_threshold), w AS (SELECT *, parent_label = 'kitchen cabinet' AS one, count(*) OVER p AS n, row_number() OVER (PARTITION BY frame_idx, parent_det_id, parent_label, child_label ORDER BY mask DESC, child_det_id) AS rn, lead(mask) OVER (PARTITION BY frame_idx, parent_det_id, parent_label, child_label ORDER BY mask DESC, child_det_id) AS second FROM m WINDOW p AS (PARTITION BY frame_idx, parent_det_id, parent_label, child_label))
+    SELECT frame_idx, parent_det_id, child_det_id FROM w WHERE NOT one OR n = 1 OR (rn = 1 AND round(mask - second, 9) >= 0.1)""",
+)
+def relation_capacity(spark, sf_dir):
+    """Label pairs of one child a parent keep the best child where it is clear."""
+    r = scene(spark, sf_dir, "relations_2d").withColumn("mask", F.least(F.lit(1.0), F.col("contain") + F.col("child_det_id") * 0.05))
+    pairs = r.where("parent_label = 'kitchen cabinet'").select("parent_label", "child_label").distinct()
+    return I.within_capacity(r, pairs).select("frame_idx", "parent_det_id", "child_det_id")
+
+
+_C = "SELECT parent_node_id, child_node_id, count(*) FILTER (selected AND sdet > 0.8) AS strong FROM edge_candidates WHERE edge_type = '{}' GROUP BY ALL"
+
+
+@query(
+    "carrier_gate_reasons",
+    with_sql("edge_candidates", "boxes3d", "atlas") + f"""cu AS ({_C.format('C-U')}), ou AS ({_C.format('O-U')}),
+    s AS (SELECT child_node_id, parent_node_id, count(*) FILTER (selected) AS n FROM edge_candidates WHERE edge_type IN ('O-C', 'O-U') AND cn % 4 <> 0 GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY child_node_id ORDER BY n DESC, parent_node_id) AS rn FROM s), ob AS (SELECT child_node_id, parent_node_id, CASE WHEN n % 2 = 0 THEN 'confirmed' ELSE 'provisional' END AS status FROM b WHERE rn = 1),
+    pr AS (SELECT p.node_id AS pid, c.node_id AS cid, a.edge_type, list(a.object_context) AS ctx, bool_or(owner_kind = 'direct') AS dir FROM boxes3d p, boxes3d c, atlas a WHERE a.edge_type = p.role || '-' || c.role AND (p.label = a.parent_label OR p.label LIKE '% ' || a.parent_label) AND (c.label = a.child_label OR c.label LIKE '% ' || a.child_label) AND p.n <= 12 AND c.n <= 40 GROUP BY ALL),
+    di AS (SELECT ou.parent_node_id, ou.child_node_id FROM ou JOIN pr ON pr.pid = ou.parent_node_id AND pr.cid = ou.child_node_id JOIN boxes3d n ON n.node_id = ou.parent_node_id WHERE strong > 0 AND dir AND len(list_filter(ctx, lambda x: n.label = x OR n.label LIKE '% ' || x)) > 0),
+    j AS (SELECT cu.*, pr.ctx, co.parent_node_id AS cob, uo.parent_node_id AS uob, uo.status AS ust, di.child_node_id IS NOT NULL AS direct, ow.label AS owner, sqrt(pow(greatest(0, p.bx1 - q.bx2, q.bx1 - p.bx2), 2) + pow(greatest(0, p.by1 - q.by2, q.by1 - p.by2), 2) + pow(greatest(0, p.bz1 - q.bz2, q.bz1 - p.bz2), 2)) AS gap
+        FROM cu JOIN boxes3d p ON p.node_id = cu.parent_node_id JOIN boxes3d q ON q.node_id = cu.child_node_id LEFT JOIN pr ON pr.pid = cu.parent_node_id AND pr.cid = cu.child_node_id LEFT JOIN ob co ON co.child_node_id = cu.parent_node_id LEFT JOIN ob uo ON uo.child_node_id = cu.child_node_id
+        LEFT JOIN di ON di.parent_node_id = uo.parent_node_id AND di.child_node_id = cu.child_node_id LEFT JOIN boxes3d ow ON ow.node_id = co.parent_node_id)
+    SELECT parent_node_id AS carrier, child_node_id AS unit, CASE WHEN ust IS NOT NULL AND ust <> 'provisional' AND direct THEN 'direct_object_context_preferred' WHEN uob IS NOT NULL AND uob IS DISTINCT FROM cob AND strong <= 0 AND cob IS NULL THEN 'unobserved_carrier_cannot_replace_measured_object'
+        WHEN uob IS NOT NULL AND uob IS DISTINCT FROM cob AND strong <= 0 AND ust <> 'provisional' THEN 'cross_object_candidate' WHEN owner IS NOT NULL AND ctx IS NOT NULL AND strong <= 0 AND len(list_filter(ctx, lambda x: owner = x OR owner LIKE '% ' || x OR x LIKE '% ' || owner)) = 0 THEN 'semantic_object_context_mismatch'
+        WHEN ctx IS NULL THEN 'no_semantic_cu_support' WHEN gap > 0.5 THEN 'aabb_gate_above_threshold' ELSE '' END AS reason FROM j""",
+)
+def carrier_gate_reasons(spark, sf_dir):
+    """Why a carrier may not own a unit: protected objects, other objects, contexts, priors, reach."""
+    from .mapping import carrier_gates
+
+    e, b = scene(spark, sf_dir, "edge_candidates"), scene(spark, sf_dir, "boxes3d")
+    count = lambda kind: e.where(F.col("edge_type") == kind).groupBy("parent_node_id", "child_node_id").agg(F.count_if(F.col("selected") & (F.col("sdet") > 0.8)).alias("strong"))
+    s = e.where("edge_type in ('O-C', 'O-U') and cn % 4 <> 0").groupBy("child_node_id", "parent_node_id").agg(F.count_if("selected").alias("n"))
+    o = s.withColumn("rn", F.row_number().over(Window.partitionBy("child_node_id").orderBy(F.desc("n"), "parent_node_id"))).where("rn = 1").withColumn("status", F.when(F.col("n") % 2 == 0, "confirmed").otherwise("provisional"))
+    return carrier_gates(count("C-U"), o, count("O-U"), b.select("node_id", "label"), scene(spark, sf_dir, "atlas"), b, reach=0.5)
