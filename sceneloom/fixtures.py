@@ -36,7 +36,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("lineitem",),
         """SELECT *, concat(parent_role, '-', child_role) AS edge_type, concat(parent_role, lpad(cast(pn AS string), 6, '0')) AS parent_node_id,
             concat(child_role, lpad(cast(cn AS string), 6, '0')) AS child_node_id, concat('f', lpad(cast(frame_idx AS string), 6, '0')) AS frame_key
-        FROM (SELECT cast(floor(l_orderkey / cast(500 AS double)) AS bigint) AS frame_idx, (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS evidence_id,
+        FROM (SELECT cast(floor(l_orderkey / cast(500 AS double)) AS bigint) AS frame_idx, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS evidence_id,
             CASE l_suppkey % 2 WHEN 0 THEN 'O' ELSE 'C' END AS parent_role,
             CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 40 < 10 THEN 'C' ELSE 'U' END AS child_role,
             l_suppkey % 12 + 1 AS pn, l_partkey % 40 + 1 AS cn,
@@ -75,12 +75,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "points": (
         ("lineitem",),
-        """SELECT (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS pid, l_partkey % 100 AS node, l_quantity * cast(0.004 AS double) AS x, l_discount * 2 AS y,
+        """SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS pid, l_partkey % 100 AS node, l_quantity * cast(0.004 AS double) AS x, l_discount * 2 AS y,
             l_tax * 2 AS z, (l_orderkey * 7) % 180 AS hue, (l_partkey * 11) % 256 AS sat, (l_suppkey * 13) % 256 AS val FROM lineitem""",
     ),
     "depth_samples": (
         ("lineitem",),
-        """SELECT (l_orderkey * 100000 + l_partkey) * 10 + l_linenumber AS pid, l_partkey % 200 AS grp, cast(0.5 AS double) + l_extendedprice / 50000 AS depth FROM lineitem""",
+        """SELECT ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS pid, l_partkey % 200 AS grp, cast(0.5 AS double) + l_extendedprice / 50000 AS depth FROM lineitem""",
     ),
     "atlas": (
         (),
