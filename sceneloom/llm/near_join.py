@@ -6,11 +6,14 @@ of ROWS bring pairs together that are that similar, each with a chance of all bu
 MinHash values are compared incrementally: after each STEP of them the pair is dropped if, from a uniform prior, the
 posterior probability of reaching the threshold is below TOLERANCE. The rest are verified exactly on their shingle sets.
 
-Equal texts are one node. Dense groups are not expanded into all pairs: first each text is verified against one leader,
-the least node of the bands they share; what is then in one class needs no further pair. Second, in each band pairs of
-different classes are pruned and verified, in tiles where a band is large, until links join them. So every link between
-texts that share a band either is found or joins two texts that links already connect: classes are those of the whole
-join, and the links that are returned span them.
+Equal texts are one node. ``digest`` counts every link: each pair of different texts is pruned and verified once, in a tile
+of the first band that both share (bands with the same members are met once); a tile returns its nodes' counts of links,
+whose sum is a node's degree, and links that span what it has joined, so that pairs are not written out.
+
+``representatives`` needs classes only: first each text is verified against one leader, the least node of the bands they
+share; what is then in one class needs no further pair. Second, in each band pairs of different classes are pruned and
+verified, in tiles where a band is large, until links join them. So every link between texts that share a band either is
+found or joins two texts that links already connect: classes are those of the whole join.
 
 Texts meet in tasks of one leader and at most MEMBERS members, or in tiles of two TILEs; components, pairs and sets stay
 on the executors.
@@ -23,7 +26,7 @@ by ``representatives`` (the operator's own names begin with ``_nj_``). A node is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -214,19 +217,15 @@ def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     return met.mapInArrow(gather, "k long, set binary")
 
 
-def crossing(rows: DataFrame) -> DataFrame:
-    """rows (bh, k, comp, size, sig, bands, set): links (a, b), b < a, that join different comps of a band.
-
-    A pair is met in the first band that both have. What the links of a tile already join is not compared again, so a
-    tile of n rows gives n - 1 links at most.
-    """
+def tiled(rows: DataFrame, compared: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``compared`` gives for each tile (bh, x, y) of rows (bh, k, size, sig, bands, set, ...): two blocks of a band."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     tiles = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = tiles.select("bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "k", "comp", "sig", "bands", "set")
-    dealt = tiles.repartition("bh", "x", "y").sortWithinPartitions("bh", "x", "y")
+    tiles = tiles.select("bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[c for c in rows.columns if c not in ("bh", "size")])
+    dealt = tiles.repartition("bh", "x", "y").sortWithinPartitions("bh", "x", "y", "k")
 
-    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
@@ -235,16 +234,25 @@ def crossing(rows: DataFrame) -> DataFrame:
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[at]:
                     if now is not None and keys[at] != now:
-                        yield compared(held, now)
+                        yield compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0], now)
                         held = []
                     now = keys[at]
                     held.append(batch.slice(at, i - at))
                     at = i
         if held:
-            yield compared(held, now)
+            yield compared(pa.Table.from_batches(held).combine_chunks().to_batches()[0], now)
+
+    return dealt.mapInArrow(each, schema)
+
 
-    def compared(held: list[pa.RecordBatch], key: tuple) -> pa.RecordBatch:
-        group = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def crossing(rows: DataFrame) -> DataFrame:
+    """rows (bh, k, comp, size, sig, bands, set): links (a, b), b < a, that join different comps of a band.
+
+    A pair is met in the first band that both have. What the links of a tile already join is not compared again, so a
+    tile of n rows gives n - 1 links at most.
+    """
+
+    def compared(group: pa.RecordBatch, key: tuple) -> pa.RecordBatch:
         k, root, own = (group.column(c).to_numpy() for c in ("k", "comp", "own"))
         root = root.copy()
         sig, sets = _signatures(group.column("sig")), [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
@@ -268,18 +276,78 @@ def crossing(rows: DataFrame) -> DataFrame:
                     root[root == root[r]] = root[i]
         return pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], pa.int64()) for n in (0, 1)], ["a", "b"])
 
-    return dealt.mapInArrow(links, "a long, b long").distinct()
+    return tiled(rows, compared, "a long, b long").distinct()
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """rows (bh, k, size, sig, bands, set): (a, null, n), n links of a in a tile, and (a, b, 0), links that span the tile's.
 
+    Every pair is met in the first band that both have, and there in one tile. A tile of n rows gives n counts and n - 1
+    links at most.
+    """
+
+    def compared(group: pa.RecordBatch, key: tuple) -> pa.RecordBatch:
+        k, own = (group.column(c).to_numpy() for c in ("k", "own"))
+        sig, sets = _signatures(group.column("sig")), [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        bands = group.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        bh, x, y = key
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        fresh = np.ones((len(left), len(right)), bool)
+        if x == y:
+            fresh = np.triu(fresh, 1)
+        for c in range(int((bands[0] == bh).argmax())):
+            fresh &= bands[left, c][:, None] != bands[right, c]
+        length = np.array([len(v) for v in sets])
+        ids: list[np.ndarray] = []
+        held = np.empty(0, np.int64)
+        n, root = np.zeros(len(k), np.int64), np.arange(len(k))
+        found: list[tuple[int, int]] = []
+        for i, new in zip(left, fresh, strict=True):
+            j = right[new]
+            if len(j):
+                j = j[likely(np.broadcast_to(sig[i], (len(j), sig.shape[1])), sig[j])]
+            if not len(j):
+                continue
+            if len(k) < 16:
+                both = np.array([len(np.intersect1d(sets[i], sets[r], assume_unique=True)) for r in j])
+            else:
+                if not ids:
+                    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                    ids, held = np.split(flat, np.cumsum(length)[:-1]), np.zeros(len(known), np.int64)
+                held[ids[i]] = 1
+                both = np.add.reduceat(held[np.concatenate([ids[r] for r in j])], np.concatenate([[0], np.cumsum(length[j])[:-1]]))
+                held[ids[i]] = 0
+            j = j[both * THRESHOLD[1] >= THRESHOLD[0] * (length[i] + length[j] - both)]
+            n[i] += len(j)
+            n[j] += 1
+            for r in j[root[j] != root[i]]:
+                if root[r] != root[i]:
+                    found.append((max(k[i], k[r]), min(k[i], k[r])))
+                    root[root == root[r]] = root[i]
+        some = np.flatnonzero(n)
+        a, b = [*k[some].tolist(), *(int(f[0]) for f in found)], [None] * len(some) + [int(f[1]) for f in found]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*n[some].tolist(), *[0] * len(found)], pa.int64())], ["a", "b", "n"])
+
+    return tiled(rows, compared, "a long, b long, n long")
 
-def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (k, rep, copies), links (a, b) between them, and rows (doc_id, k)."""
+
+def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes (k, rep, copies, sig, bands), their bands (k, q, bh), those of several nodes (bh, leader, ...), and their sets (k, set)."""
     found = signed(docs).groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     full = stored(found, "signatures")
-    nodes, sigs = full.select("k", "rep", "copies"), full.select("k", "sig")
-    bands = full.filter("bands is not null").select("k", F.explode("bands").alias("bh"))
-    buckets = cut(bands.groupBy("bh").agg(F.min("k").alias("leader"), F.max("k").alias("last")).filter("leader < last").select("bh", "leader"))
+    bands = full.filter("bands is not null").select("k", F.posexplode("bands").alias("q", "bh"))
+    members = [F.bit_xor(F.xxhash64("k")).alias("x1"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("x2")]
+    buckets = cut(bands.groupBy("bh").agg(F.min("k").alias("leader"), F.max("k").alias("last"), F.min("q").alias("q"), F.count("*").alias("size"), *members).filter("leader < last"))
+    met = bands.join(buckets.select("bh"), "bh")
+    sets = stored(shingle_sets(cut(met.select("k").distinct().join(full.select("k", "rep"), "k")), docs), "sets")
+    return full, bands, buckets, sets
+
+
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (k, rep) and links (a, b) that span their classes."""
+    full, bands, buckets, sets = prepared(docs)
+    nodes, sigs, bands, buckets = full.select("k", "rep"), full.select("k", "sig"), bands.select("k", "bh"), buckets.select("bh", "leader")
     met = bands.join(buckets, "bh")
-    sets = stored(shingle_sets(cut(met.select("k").distinct().join(nodes, "k")), docs), "sets")
     meets = met.filter("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("shared"))
     best = meets.groupBy("k").agg(F.max(F.struct("shared", (-F.col("leader")).alias("neg"))).alias("m"))
     first = cut(pruned(best.select(F.col("k").alias("a"), (-F.col("m.neg")).alias("b")), sigs))
@@ -291,33 +359,42 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rest = cut(labelled.join(mixed, "bh"))
     content = sets.join(full.select("k", "sig", "bands"), "k")
     links = cut(links.unionByName(crossing(rest.join(content, "k"))))
-    return nodes, links, docs.select("doc_id", text_key().alias("k"))
+    return nodes, links
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (k, rep, copies), links (a, b) that span their classes, and each linked node's number of links (lk, n)."""
+    full, bands, buckets, sets = prepared(docs)
+    # of the bands that have the same members the first: no pair is new in the others
+    once = buckets.groupBy("size", "leader", "last", "x1", "x2").agg(F.min(F.struct("q", "bh")).alias("m")).select(F.col("m.bh").alias("bh"), "size")
+    rest = cut(bands.select("k", "bh").join(once, "bh"))
+    content = sets.join(full.select("k", "sig", "bands"), "k")
+    found = cut(counted(rest.join(content, "k")))
+    degree = found.filter("b is null").groupBy(F.col("a").alias("lk")).agg(F.sum("n").alias("n"))
+    return full.select("k", "rep", "copies"), found.filter("b is not null").select("a", "b"), degree
 
 
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """k, rep, copies, comp, n_links for each node."""
-    comps = components(links)
-    ends = links.select(F.col("a").alias("lk")).unionByName(links.select(F.col("b").alias("lk")))
-    degree = ends.groupBy("lk").agg(F.count("*").alias("n"))
-    c = comps.withColumnRenamed("k", "ck")
-    out = nodes.join(c, F.col("k") == F.col("ck"), "left").join(degree, F.col("k") == F.col("lk"), "left")
-    return out.select("k", "rep", "copies", F.coalesce("comp", "k").alias("comp"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    """nodes with comp, the least node of their class."""
+    c = components(links).withColumnRenamed("k", "ck")
+    return nodes.join(c, F.col("k") == F.col("ck"), "left").select(*nodes.columns, F.coalesce("comp", "k").alias("comp"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (the least doc_id of the class), text_id (that of the equal texts), copies, n_links (links that were
-    verified to span the class), class_texts; one row for each row of docs."""
-    nodes, links, rows = joined(docs)
-    n = cut(classes(nodes, links))
+    """doc_id, class_id (the least doc_id of the class), text_id (that of the equal texts), copies, n_links (the different
+    texts that are similar enough), class_texts; one row for each row of docs."""
+    nodes, links, degree = linked(docs)
+    n = classes(nodes, links).join(degree, F.col("k") == F.col("lk"), "left")
+    n = cut(n.select("k", "rep", "copies", "comp", F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
     named = n.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("class_texts"))
     n = n.join(named, "comp").select(F.col("k").alias("nk"), "class_id", F.col("rep").alias("text_id"), "copies", "n_links", "class_texts")
+    rows = docs.select("doc_id", text_key().alias("k"))
     return rows.join(n, F.col("k") == F.col("nk")).select("doc_id", "class_id", "text_id", "copies", "n_links", "class_texts")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: that of the least doc_id, and of the least text hash for equal ids."""
-    nodes, links, _ = joined(docs)
-    n = classes(nodes, links)
+    n = classes(*joined(docs))
     order = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("k").alias("key"))
     kept = cut(n.groupBy("comp").agg(F.min(order).alias("r")).select(F.col("r.id").alias("_nj_id"), F.col("r.key").alias("_nj_k")))
     keyed = docs.withColumn("_nj_key", text_key())

@@ -308,6 +308,26 @@ def test_near_join_classes_are_brute_force(spark, monkeypatch, edge, nothing):
     assert N.representatives(edge).columns == edge.columns
 
 
+def test_near_join_counts_every_link(spark, monkeypatch):
+    """n_links is the number of different texts that are similar enough, in dense groups too."""
+    monkeypatch.setattr(N, "TILE", 8)
+    rnd = random.Random(6)
+    texts = []
+    for g, copies in enumerate((5, 2, 60, 24)):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rnd.choice([1, 1, 2, 3])):
+                w[rnd.randrange(len(w))] = f"n{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    want = [sum(a != b and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) for b in range(len(texts))) for a in range(len(texts))]
+    rows = [*enumerate(texts), (len(texts), texts[0])]
+    got = {r["doc_id"]: (r["n_links"], r["copies"]) for r in N.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {n: (want[0 if n == len(texts) else n], 2 if n in (0, len(texts)) else 1) for n, _ in rows}
+    assert sum(want) > 4 * len(texts)
+
+
 def test_pruning_keeps_what_is_similar():
     """Signatures of similarity 0.8 outlast the comparison all but never; those of 0.3 are dropped at once."""
     rng = np.random.default_rng(4)
