@@ -10,7 +10,9 @@ Blocks whose own capacity is at least that of all their edges have their label i
 first and their edges folded into their neighbours' capacities, so that flow is pushed only where it decides.
 
 Defined results: a null or empty html has an empty text; broken markup is read as browsers do where that is simple (an
-open paragraph ends at the next block, stray end tags are skipped); equal rows each get their result; an empty table
+open paragraph ends at the next block, stray end tags are skipped); only the contents of scripts, styles, titles and text
+areas are not read; controls, graphics and fallbacks have the cost of boilerplate up to their end tag, and none if there is
+no end tag before the next of their kind; formulas and objects are text like any other; equal rows each get their result; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from sceneloom import ship
 
 # HTML's element names by their part in a page, and words of class, id and role that authors use.
-BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu meta nav noframes noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul video audio canvas object svg".split())
+BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu meta nav noframes noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul video audio canvas svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe noframes template svg math object select button".split())
+RAW = frozenset("script style title textarea".split())
+APART = frozenset("noscript iframe noframes template svg select button".split())
+FOREIGN = frozenset("svg math".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SCOPE = frozenset("html body table td th article section div main button form nav aside footer header blockquote".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu search fieldset head".split())
@@ -40,6 +44,7 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ENDS = re.compile(r"</(%s)(?=[\s/>])" % "|".join(sorted(RAW)), re.I)
+NEXT = {tag: re.compile(r"<(/?)%s(?=[\s/>])" % tag, re.I) for tag in APART}
 
 SURE, ARTICLE, NEAR, PARENT, FAR = 8.0, 4.0, 1.0, 0.5, 0.25
 
@@ -63,7 +68,7 @@ class Element:
         self.article = (parent is not None and parent.article) or tag in ("article", "main")
         self.link = (parent is not None and parent.link) or tag == "a"
         own = 0.0
-        if tag in BOILERPLATE or hidden or (tag == "header" and not self.article):
+        if tag in BOILERPLATE or tag in APART or hidden or (tag == "header" and not self.article):
             own = -SURE
         elif words and tag not in ("html", "body", "article", "main"):
             if words & BAD_WORDS and not (words & GOOD_WORDS and tag in ("p", "h1")):
@@ -142,6 +147,10 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
                     break
                 if stack[i].tag in SCOPE or stack[i].tag in ("ul", "ol", "dl"):
                     break
+        if raw and raw.rstrip().endswith("/") and (tag in FOREIGN or any(e.tag in FOREIGN for e in stack)):
+            continue
+        if tag in APART and ((e := NEXT[tag].search(page, at)) is None or not e[1]):
+            continue
         if tag in RAW:
             while (e := ENDS.search(page, at)) is not None and e[1].lower() != tag:
                 at = e.end()

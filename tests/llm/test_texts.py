@@ -403,6 +403,15 @@ def test_html_without_article_tags():
     assert H.main_text(page) == f"{prose} Short line. {prose}"
 
 
+def test_html_unclosed_and_foreign_elements():
+    """What is closed at once or never closed does not take the text after it; formulas and objects are text."""
+    for tag in ('<svg class="icon"/>', "<svg />", "<math/>", "<button>", "<select>", "<object data=x>", "<svg>", "<noscript>", "<iframe src=x>", "<template>", '<svg><path d="M0"/><title/></svg>'):
+        assert H.main_text(f"<article><p>One.</p>{tag}<p>Two.</p><p>Three.</p></article>") == "One. Two. Three.", tag
+        assert H.main_text(f"<article><p>One.</p>{tag}<p>Two.</p></article><nav><button>Go</button><svg><text>n</text></svg></nav>") == "One. Two.", tag
+    assert H.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds <object>as shown</object>.</p></article>") == "So x=2 holds as shown."
+    assert H.main_text("<article><p>One.</p><button>Share</button><svg><text>n</text></svg><script>a</script><textarea>b</textarea><p>Two.</p></article>") == "One. Two."
+
+
 def test_html_edge_cases(spark):
     for page in (None, "", "   ", "<", "<p", "plain", "<!-- never closed", "<script>never closed", "<a href='never closed>x", "</p></div>", "<div " * 2000, "a<b>c" * 5000, "<p>" * 3000):
         assert isinstance(H.main_text(page), str)
