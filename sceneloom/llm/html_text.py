@@ -2,7 +2,9 @@
 
 A page is read into blocks: runs of text between block-level tags, each with its open elements. A linear classifier on
 a block's elements, their class, id and role words, its link density and its prose gives a cost for either label, which
-become capacities to the source (content) and the sink (boilerplate). Edges between neighbouring blocks, and between
+become capacities to the source (content) and the sink (boilerplate). A word of boilerplate in a class, id or role is one
+cost among the others: prose and neighbours can outweigh it, and it counts neither where the element holds an article or
+main, nor beside a word of content, nor after a word of state (with-sidebar). Edges between neighbouring blocks, and between
 blocks of one parent, make it dear to cut close blocks apart. The maximum flow separates the two: what the source still
 reaches is the article.
 
@@ -46,14 +48,15 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ENDS = re.compile(r"</(%s)(?=[\s/>])" % "|".join(sorted(RAW)), re.I)
 NEXT = {tag: re.compile(r"<(/?)%s(?=[\s/>])" % tag, re.I) for tag in APART}
 
-SURE, ARTICLE, NEAR, PARENT, FAR = 8.0, 4.0, 1.0, 0.5, 0.25
+SURE, ARTICLE, WORDY, NEAR, PARENT, FAR = 8.0, 4.0, 4.0, 1.0, 0.5, 0.25
+STATE = frozenset("with without has have no is".split())
 
 
 class Element:
-    __slots__ = ("tag", "lean", "article", "link", "section")
+    __slots__ = ("tag", "parent", "own", "bad", "holds", "lean", "wordy", "article", "link", "section")
 
     def __init__(self, tag: str, raw: str, parent: Element | None):
-        self.tag = tag
+        self.tag, self.parent = tag, parent
         words: set[str] = set()
         hidden = False
         if raw and raw.strip(" /"):
@@ -61,31 +64,44 @@ class Element:
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role"):
                     for part in value.split():
-                        words.update(w.lower() for w in WORDS.findall(part))
+                        before = ""
+                        for w in WORDS.findall(part):
+                            w = w.lower()
+                            if before not in STATE:
+                                words.add(w)
+                            before = w
                         words.add(part.lower())
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
                     hidden = True
         self.article = (parent is not None and parent.article) or tag in ("article", "main")
         self.link = (parent is not None and parent.link) or tag == "a"
-        own = 0.0
+        self.own, self.bad, self.holds = 0.0, False, False
         if tag in BOILERPLATE or tag in APART or hidden or (tag == "header" and not self.article):
-            own = -SURE
-        elif words and tag not in ("html", "body", "article", "main"):
-            if words & BAD_WORDS and not (words & GOOD_WORDS and tag in ("p", "h1")):
-                own = -SURE
-            elif words & GOOD_WORDS:
-                own = ARTICLE / 2
-        if tag in ("article", "main"):
-            own = ARTICLE
-        above = parent.lean if parent is not None else 0.0
-        self.lean = -SURE if own == -SURE or above == -SURE else max(own, above)
+            self.own = -SURE
+        elif tag in ("article", "main"):
+            self.own = ARTICLE
+            above = parent
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
+        elif words and tag not in ("html", "body"):
+            good = bool(words & GOOD_WORDS)
+            self.bad = bool(words & BAD_WORDS) and not good
+            if good and (tag in ("p", "h1") or not words & BAD_WORDS):
+                self.own = ARTICLE / 2
         self.section = self if tag in ("article", "main", "section", "nav", "aside", "header", "footer", "div", "body", "form") else parent.section if parent is not None else self
 
+    def settle(self) -> None:
+        """The lean, once the page is read and the parent's is known: words count against what holds no article."""
+        above, wordy = (self.parent.lean, self.parent.wordy) if self.parent is not None else (0.0, False)
+        self.wordy = wordy or (self.bad and not self.holds)
+        self.lean = -SURE if self.own == -SURE or above == -SURE else -WORDY if self.wordy else max(self.own, above)
+
 
 def blocks(page: str) -> list[tuple[str, Element, float]]:
     """(text, innermost element, share of its characters in links) of each block with text, in page order."""
     out: list[tuple[str, Element, float]] = []
     stack = [Element("html", "", None)]
+    made = stack[:]
     text: list[str] = []
     linked = total = 0
 
@@ -158,7 +174,10 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
             continue
         if tag not in VOID:
             stack.append(Element(tag, raw, stack[-1]))
+            made.append(stack[-1])
     flush()
+    for e in made:
+        e.settle()
     return out
 
 
@@ -168,7 +187,7 @@ def leaning(text: str, element: Element, links: float) -> float:
         return -SURE
     score = element.lean
     score -= 3.0 * links * (links > 0.5)
-    if not element.article:
+    if not element.article or element.wordy:
         n = text.count(" ") + 1
         score += 1.5 if n >= 20 else 0.5 if n >= 8 else -1.0
         score += 0.5 if text[-1] in ".!?…\"”»" else -0.25

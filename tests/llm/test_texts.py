@@ -412,6 +412,23 @@ def test_html_unclosed_and_foreign_elements():
     assert H.main_text("<article><p>One.</p><button>Share</button><svg><text>n</text></svg><script>a</script><textarea>b</textarea><p>Two.</p></article>") == "One. Two."
 
 
+def test_html_wrappers_named_after_other_parts():
+    """A word of class, id or role on a wrapper does not take the article in it."""
+    prose = "This is a paragraph of plain prose that goes on for a good many words, so that it can only be content of the page."
+    aside = '<div class="sidebar"><p>Related words that are long enough to be read as prose by themselves.</p></div>'
+    for name in ("content-sidebar-wrap", "with-sidebar", "has-header", "article-bottom", "social", "overlay notice"):
+        for kind in ("class", "id", "role"):
+            assert H.main_text(f'<body><div {kind}="{name}"><article><h1>Head</h1><p>{prose}</p></article>{aside}</div></body>') == f"Head {prose}", (name, kind)
+            if name not in ("social", "overlay notice"):
+                assert H.main_text(f'<body><div {kind}="{name}"><p>{prose}</p><p>{prose}</p></div>{aside}</body>') == f"{prose} {prose}", (name, kind)
+                assert H.main_text(f'<article><p>One.</p><div {kind}="{name}"><p>Two.</p></div></article>') == "One. Two.", (name, kind)
+    assert H.main_text(f'<article><p>{prose}</p><section id="comments"><p>{prose}</p></section></article>') == prose
+    words = H.blocks('<div class="social"><p>Text.</p></div>')
+    assert -H.SURE < H.leaning(*words[0]) < 0
+    # prose and neighbours outweigh the word
+    assert H.main_text(f'<article><p>{prose}</p><p class="social">{prose}</p><p>{prose}</p></article>') == f"{prose} {prose} {prose}"
+
+
 def test_html_edge_cases(spark):
     for page in (None, "", "   ", "<", "<p", "plain", "<!-- never closed", "<script>never closed", "<a href='never closed>x", "</p></div>", "<div " * 2000, "a<b>c" * 5000, "<p>" * 3000):
         assert isinstance(H.main_text(page), str)
