@@ -291,8 +291,17 @@ def directed_dedupe(spark, sf_dir):
 
 @query("label_norm", "WITH d AS (SELECT doc_id, substr(text, 1, 60) AS t FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(t), '_-', '  '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS prior, sha256(t) AS hash, md5(t) AS md5 FROM d")
 def label_norm(spark, sf_dir):
-    t = F.substring("text", 1, 60)
-    return scene(spark, sf_dir, "documents").select("doc_id", L.prior_label(t).alias("prior"), F.sha2(t, 256).alias("hash"), F.md5(t.cast("binary")).alias("md5"))
+    return _label_norm(scene(spark, sf_dir, "documents"), F.substring("text", 1, 60))
+
+
+@query("label_norm_whole")
+def label_norm_whole(spark, sf_dir):
+    """As ``label_norm``, of whole texts; its SQL reads 60 characters."""
+    return _label_norm(scene(spark, sf_dir, "documents"), F.col("text"))
+
+
+def _label_norm(docs, t):
+    return docs.select("doc_id", L.prior_label(t).alias("prior"), F.sha2(t, 256).alias("hash"), F.md5(t.cast("binary")).alias("md5"))
 
 
 @query("label_variants", "WITH p AS (SELECT p_partkey, p_brand || ' / ' || upper(p_type) || '/' || p_brand AS t FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(t, '/'), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS variants FROM p")

@@ -28,14 +28,33 @@ _VEC = """v AS (SELECT label AS k, vec_id, embedding::DOUBLE[] AS e, row_number(
 
 @query("feature_ema", "WITH RECURSIVE " + _VEC.format("0.7::DOUBLE * f.e[i] + 0.3::DOUBLE * v.e[i]") + " SELECT k AS label, round(arg_max(e[1], rn), 6) AS first, round(arg_max(e[64], rn), 6) AS last FROM f GROUP BY k")
 def feature_ema(spark, sf_dir):
-    s = T.ordered(scene(spark, sf_dir, "embeddings").where("vec_id < 200"), ["label"], ["vec_id"], ["embedding"]).select("label", T.average_vector(F.col("steps"), "embedding", 0.3).alias("v"))
+    return _feature_ema(scene(spark, sf_dir, "embeddings").where("vec_id < 200"))
+
+
+@query("feature_ema_whole")
+def feature_ema_whole(spark, sf_dir):
+    """As ``feature_ema``, over every embedding; its SQL reads the first 200."""
+    return _feature_ema(scene(spark, sf_dir, "embeddings"))
+
+
+def _feature_ema(e):
+    s = T.ordered(e, ["label"], ["vec_id"], ["embedding"]).select("label", T.average_vector(F.col("steps"), "embedding", 0.3).alias("v"))
     return s.select("label", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
 
 
 @query("weighted_feature_mean", "WITH RECURSIVE " + _VEC.format("f.e[i] + (v.vec_id % 7 + 1) / 8.0::DOUBLE * v.e[i]") + " SELECT k AS label, round(arg_max(e[1], rn), 6) AS first, round(arg_max(e[64], rn), 6) AS last FROM f GROUP BY k")
 def weighted_feature_mean(spark, sf_dir):
-    e = scene(spark, sf_dir, "embeddings").where("vec_id < 200").withColumn("w", (F.col("vec_id") % 7 + 1) / 8.0)
-    s = T.ordered(e, ["label"], ["vec_id"], ["embedding", "w"]).select("label", T.weighted_direction(F.col("steps"), "embedding", "w").alias("v"))
+    return _weighted_feature_mean(scene(spark, sf_dir, "embeddings").where("vec_id < 200"))
+
+
+@query("weighted_feature_mean_whole")
+def weighted_feature_mean_whole(spark, sf_dir):
+    """As ``weighted_feature_mean``, over every embedding; its SQL reads the first 200."""
+    return _weighted_feature_mean(scene(spark, sf_dir, "embeddings"))
+
+
+def _weighted_feature_mean(e):
+    s = T.ordered(e.withColumn("w", (F.col("vec_id") % 7 + 1) / 8.0), ["label"], ["vec_id"], ["embedding", "w"]).select("label", T.weighted_direction(F.col("steps"), "embedding", "w").alias("v"))
     return s.select("label", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.round(F.get("v", F.lit(63)), 6).alias("last"))
 
 

@@ -289,3 +289,30 @@ def test_nulls_stay_missing(spark):
     assert sorted((r["cache_key"], r["s2d_score"], r["error"]) for r in scored(c, k).collect()) == [(1, 0.4, ""), (2, None, "self_loop"), (3, None, "cache_miss")]
     b = spark.createDataFrame([(None, 0.0, 1.0, 1.0)], "x1 double, y1 double, x2 double, y2 double")
     assert b.select(G.ownership(G.box(), G.box())["score"].alias("s")).first()["s"] is None
+
+
+def test_features_of_every_embedding(spark, sf_dir):
+    from sceneloom.catalogue import QUERIES
+
+    unit = lambda x: x / np.sqrt((x * x).sum())
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", "embedding").toPandas().sort_values("vec_id")
+    assert (e.vec_id >= 200).any()
+    for name, step in (("feature_ema_whole", lambda a, x, _: 0.7 * a + 0.3 * x), ("weighted_feature_mean_whole", lambda a, x, i: a + (i % 7 + 1) / 8 * x)):
+        want = {}
+        for label, i, x in zip(e.label, e.vec_id, e.embedding, strict=True):
+            x = np.asarray(x, float)
+            want[label] = unit(step(want[label], x, i) if label in want else x)
+        got = {r["label"]: (r["first"], r["last"]) for r in QUERIES[name](spark, sf_dir).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx((v[0], v[63]), abs=2e-6) for k, v in want.items())
+
+
+def test_label_norm_of_whole_texts(spark, sf_dir, tmp_path):
+    import hashlib
+
+    from sceneloom.catalogue import QUERIES
+
+    texts = ["a b_c-D " * 10 + end for end in ("One!", "Two?")]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["prior"], r["hash"], r["md5"]) for r in QUERIES["label_norm_whole"](spark, str(tmp_path)).collect()}
+    assert got == {n: (("a b c d " * 10 + ("one", "two")[n]), hashlib.sha256(t.encode()).hexdigest(), hashlib.md5(t.encode()).hexdigest()) for n, t in enumerate(texts)}
