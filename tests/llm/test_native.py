@@ -47,6 +47,35 @@ def test_mix_edge_cases(edge, nothing):
     assert rows.columns == edge.columns and rows.count() == sum(r["reps"] for r in mixing.mixture(edge).collect())
 
 
+def test_mix_of_equal_rows(spark, tmp_path):
+    """Of equal rows as many are taken as fit: a source of 40 equal rows has a target of 60, and 60 are taken."""
+    import duckdb
+
+    rows = [(1, "word", "a", i) for i in range(40)] + [(i, f"b{i}", "b", 0) for i in range(170)] + [(i, f"c{i}", "c", 0) for i in range(150)]
+    more = [(2, "x " * 30, "d", 1)] * 50 + [(None, None, "d", 2)] * 9 + [(3, "", "d", 2)] * 9 + [(None, "z z", None, 3)] * 30
+    for some in (rows, rows + more, more):
+        df = spark.createDataFrame(some, "doc_id long, text string, source string, n int").repartition(5)
+        at = str(tmp_path / f"d{len(some)}")
+        df.write.parquet(at)
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/*.parquet'")
+        same(mixing.mixed_digest(df), con, queries.ORACLES["op4_mixing"])
+        size = lambda t: len((t or "").split())
+        taken, target, largest = Counter(), {}, Counter()
+        for r in mixing.mixed_rows(df).collect():
+            taken[r["source"]] += size(r["text"])
+        sizes = Counter()
+        for _, text, source, _ in some:
+            sizes[source] += size(text)
+            largest[source] = max(largest[source], size(text))
+        for r in mixing.mixed_digest(df).collect():
+            target[r["source_size"]] = r["target"]
+        for source, n in sizes.items():
+            assert abs(taken[source] - target[n]) <= largest[source] / 2 + 1e-6
+        if len(some) == 360:
+            assert taken["a"] == 60 == target[40]
+
+
 def test_exact_dedup_edge_cases(edge, nothing):
     out = exact_dedup.exact_duplicates(edge).collect()
     rows = edge.select("doc_id", "text").collect()
@@ -63,12 +92,26 @@ def test_exact_dedup_edge_cases(edge, nothing):
     assert exact_dedup.exact_duplicates(nothing).count() == 0
 
 
-def test_exact_dedup_with_a_full_filter(spark, monkeypatch):
-    """With far too few slots every row goes the long way, and results stay."""
-    monkeypatch.setattr(exact_dedup, "MOST_SLOTS", 1 << 10)
+def test_exact_dedup_in_many_parts(spark, monkeypatch):
+    """A second filter in many parts, over several passes, gives the same rows."""
+    monkeypatch.setattr(exact_dedup, "PART_WORDS", 64)
+    monkeypatch.setattr(exact_dedup, "PARTS_AT_ONCE", 3)
     df = spark.createDataFrame([(i, f"text {i % 3000}") for i in range(5000)], "doc_id long, text string")
     out = exact_dedup.exact_duplicates(df).collect()
     assert len(out) == 5000 and sum(r["kept"] for r in out) == 3000 and all(r["keep_id"] >= r["doc_id"] for r in out)
+    assert sum(r["group_size"] == 2 for r in out) == 4000
+
+
+@pytest.mark.parametrize("n", [2_000, 60_000])
+def test_few_single_rows_shuffle(spark, n):
+    """At any number of rows fewer than one single row in twenty goes the long way; no repeated one passes."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.when(F.col("id") % 5 == 0, F.floor(F.col("id") / 10)).otherwise(-F.col("id"))).alias("text"))
+    rows = exact_dedup.possible(exact_dedup.cut(exact_dedup.hashed(docs)))
+    found = rows.select("maybe", (F.col("doc_id") % 5 == 0).alias("twice")).groupBy("twice").agg(F.avg(F.col("maybe").cast("double")).alias("share")).collect()
+    share = {r["twice"]: r["share"] for r in found}
+    assert share[True] == 1.0 and share[False] < 0.05
 
 
 @pytest.mark.parametrize("shards", [1, 2, 7, 8, 13])
