@@ -6,12 +6,14 @@ compatible if merging their joined bytes gives them back. So one pass stores, fo
 token and its exact token count, and whole texts add up the pieces. ``Prefixes`` keeps the ends of a text's tokens: the
 count at any prefix, and the longest prefix within a budget, are then a binary search and need no encoding.
 
-Texts are cut at ASCII white space into units (the white space and the word after it), which never share a piece; a
-worker keeps the counts of units that it has met under a 64-bit hash and their length. Texts with a special token's
-string or with white space beyond ASCII are cut as wholes. Each text is counted whole, in memory of a few times a slice.
+Texts are cut at ASCII white space into units (the white space and the word after it), which never share a piece. A
+slice's units are told apart by their bytes (Arrow's dictionary), and a worker keeps the counts of units that it has met
+by their bytes. Texts with a special token's string or with white space beyond ASCII are cut as wholes. Each text is
+counted whole, in memory of a few times a slice.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens; special strings count as one token, as is the library's
-default; equal rows each get their result; an empty table gives an empty result; other columns are not read.
+default; equal rows each get their result; an empty table gives an empty result; ``token_counts`` reads no other column,
+``prefix_table`` keeps all but one of the name token_ends, which its own takes the place of.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ from pyspark.sql import functions as F
 
 from sceneloom import ship
 
-from .common import Rolling, slices, text_bytes, tokens
+from .common import slices, text_bytes, tokens
 
 SPACE = r"\t-\r \x85\xa0  -     　"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-KEPT_PIECES = 1 << 19
+KEPT_PIECES, KEPT_UNITS = 1 << 18, 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -59,7 +61,18 @@ class PrefixCounter:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
-        self.longest = max(map(len, self.ids))
+        # a trie of the tokens' bytes from the last to the first: (node, byte) -> node, node -> token
+        self.before: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        for token, i in self.ids.items():
+            node = 0
+            for byte in reversed(token):
+                key = node << 8 | byte
+                if (to := self.before.get(key)) is None:
+                    to = self.before[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = to
+            self.token_at[node] = i
         self.parts_of: dict[int, tuple[int, int, int]] = {}
         for (a, b), (rank, t) in self.ranks.items():
             if t not in self.parts_of or rank < self.parts_of[t][2]:
@@ -123,13 +136,19 @@ class PrefixCounter:
 
     def table(self, piece: bytes) -> tuple[list[int], list[int]]:
         """For every prefix of a piece: its last token, and its exact token count."""
-        n, ids, known, whole = len(piece), self.ids, self.pairs, self.whole
+        n, known, whole, before, token_at = len(piece), self.pairs, self.whole, self.before, self.token_at
         last, count = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(piece[j:i])
-                if t is None:
-                    continue
+            node, j, ending = 0, i, []
+            while j:
+                node = before.get(node << 8 | piece[j - 1])
+                if node is None:
+                    break
+                j -= 1
+                if token_at[node] >= 0:
+                    ending.append((j, token_at[node]))
+            while ending:  # only one fits; the longest is tried first
+                j, t = ending.pop()
                 fits = whole.get(t)
                 if fits is None:
                     fits = self.reachable(t)
@@ -196,54 +215,15 @@ class Prefixes:
         return self.ends[min(budget, len(self.ends)) - 1] if budget > 0 and self.ends else 0
 
 
-class Units:
-    """Counts by 64-bit hash in open addressing, looked up and filled by whole arrays; emptied when half full."""
-
-    def __init__(self, bits: int = 21):
-        self.mask = np.uint64((1 << bits) - 1)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.values, self.n = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32), 0
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The counts, and which hashes are known."""
-        at = (h & self.mask).astype(np.int64)
-        key = self.keys[at]
-        hit = key == h
-        out = np.where(hit, self.values[at], 0).astype(np.int64)
-        left = np.flatnonzero(~hit & (key != 0))
-        while len(left):
-            at[left] = (at[left] + 1) & int(self.mask)
-            key = self.keys[at[left]]
-            now = key == h[left]
-            out[left[now]], hit[left[now]] = self.values[at[left[now]]], True
-            left = left[~now & (key != 0)]
-        return out, hit
-
-    def put(self, h: np.ndarray, value: np.ndarray) -> None:
-        at, left = (h & self.mask).astype(np.int64), np.arange(len(h))
-        while len(left):
-            free = left[self.keys[at[left]] == 0]
-            _, first = np.unique(at[free], return_index=True)
-            won = free[first]
-            self.keys[at[won]], self.values[at[won]] = h[won], value[won]
-            done = np.zeros(len(h), bool)
-            done[won] = True
-            left = left[~done[left]]
-            at[left] = (at[left] + 1) & int(self.mask)
-        self.n += len(h)
-
-
 _COUNTERS: dict[str, PrefixCounter] = {}
-_UNITS: dict[str, Units] = {}
+_UNITS: dict[str, dict[bytes, int]] = {}
 
 
 def counter(path: str) -> PrefixCounter:
     """A worker's own counter for a vocabulary file, read once."""
     if path not in _COUNTERS:
         _COUNTERS[path] = PrefixCounter(path)
-        _UNITS[path] = Units()
+        _UNITS[path] = {}
     return _COUNTERS[path]
 
 
@@ -262,25 +242,15 @@ def counts(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     stop = np.zeros(len(data) + 1, bool)
     stop[word_ends] = stop[offsets] = True
     bounds = np.flatnonzero(stop)
-    starts, ends = bounds[:-1], bounds[1:]
-    first = np.searchsorted(starts, offsets)
-    h = Rolling(data).spans(starts, ends)
-    h[h == 0] = 1
-    units = _UNITS[path]
-    each, hit = units.look(h)
-    miss = ~hit
-    for r in odd:
-        miss[first[r] : first[r + 1]] = False
-    miss = np.flatnonzero(miss)
-    if len(miss):
-        new, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        fresh = np.fromiter((own.count(raw[starts[i] : ends[i]].decode("utf-8", "replace")) for i in miss[at]), np.int64, len(new))
-        each[miss] = fresh[back]
-        if units.n + len(new) > len(units.keys) // 2:
-            units.clear()
-        if len(new) <= len(units.keys) // 2:
-            units.put(new, fresh)
-    sums = np.concatenate([[0], np.cumsum(each)])
+    first = np.searchsorted(bounds[:-1], offsets)
+    units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    known = _UNITS[path]
+    if len(known) >= KEPT_UNITS:
+        known.clear()
+    fresh, ends = text_bytes(units.dictionary)
+    fresh, ends = fresh.tobytes(), ends.tolist()
+    each = [known.get(unit := fresh[a:b]) or known.setdefault(unit, own.count(unit.decode("utf-8", "replace"))) for a, b in zip(ends, ends[1:])]
+    sums = np.concatenate([[0], np.cumsum(np.array(each, np.int64)[units.indices.to_numpy()])])
     total = sums[first[1:]] - sums[first[:-1]]
     for r in odd:
         total[r] = own.count(raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace"))
@@ -305,6 +275,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 def prefix_table(docs: DataFrame, path: str) -> DataFrame:
     """docs with ``token_ends``: for each text the ends in bytes of its tokens, from which every prefix's count follows."""
     ship(docs.sparkSession)
+    docs = docs.drop("token_ends")
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)

@@ -364,6 +364,15 @@ def test_counts_on_odd_texts(library):
     assert T.counts(pa.array(texts), queries.tokenizer_path())[1].tolist() == want
 
 
+def test_counts_of_words_that_polynomial_hashes_confuse(library):
+    """Thue-Morse words and their complements have one polynomial hash for every odd base, and counts of their own."""
+    for pair, n in (("th", 2048), ("iq", 1024), ("aZ", 4096)):
+        word = "".join(pair[bin(i).count("1") % 2] for i in range(n))
+        texts = [word, "".join(pair[1 - bin(i).count("1") % 2] for i in range(n)), f"a {word}", word]
+        want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert T.counts(pa.array(texts), queries.tokenizer_path())[1].tolist() == want
+
+
 def test_every_prefix_count_is_exact(library, spark):
     """A prefix of a piece has the count that the library gives for it by itself; budgets cut at token ends."""
     c = T.counter(queries.tokenizer_path())
@@ -377,7 +386,7 @@ def test_every_prefix_count_is_exact(library, spark):
     e = library.encode(text, add_special_tokens=False)
     ends = [len(text[: o[1]].encode()) for o in e.offsets]
     assert p.ends == ends and p.within(3) == ends[2] and p.complete(ends[4]) == 5 and p.within(0) == 0
-    df = T.prefix_table(spark.createDataFrame([(1, text, 5), (2, None, 6)], "doc_id long, text string, token_end int"), queries.tokenizer_path())
+    df = T.prefix_table(spark.createDataFrame([(1, text, 5), (2, None, 6)], "doc_id long, text string, token_ends int"), queries.tokenizer_path())
     from pyspark.sql import functions as F
 
     r = df.orderBy("doc_id").select(T.truncated(3).alias("b"), T.tokens_in(F.lit(ends[4])).alias("n")).collect()
