@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sceneloom import ship
 
@@ -208,6 +209,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low, *runs(_WORD[low], offsets)
 
 
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of what ``tokens`` finds; each different token is hashed once."""
+    dark = data[_DARK[data]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(dark)]).dictionary_encode()
+    each, at = text_bytes(found.dictionary)
+    each, at = each.tobytes(), at.tolist()
+    hashes = np.fromiter((xxh3_64_intdigest(each[a:b]) for a, b in zip(at, at[1:])), U64, len(at) - 1)
+    return hashes[found.indices.to_numpy()]
+
+
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of bytes that are no white space."""
     return runs(_DARK[data], offsets)

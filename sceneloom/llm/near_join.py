@@ -20,8 +20,8 @@ on the executors.
 
 Defined results: null and empty texts are equal and have no shingles; a null doc_id is last in order; equal rows each get
 their result, and ``representatives`` keeps one; an empty table gives an empty result; columns of any other name are kept
-by ``representatives`` (the operator's own names begin with ``_nj_``). A node is its text's 64-bit hash: two texts in
-10**9 share one with a chance of 3 in 100, and would then count as equal.
+by ``representatives`` (the operator's own names begin with ``_nj_``). Texts are equal if their MD5s are; a node's number
+is its place in the table of different texts. Shingles are compared by 64-bit hashes over those of their words.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from sceneloom import ship
 
-from .common import Rolling, cut, slices, stored, text_bytes, tokens
+from .common import Rolling, cut, slices, stored, text_bytes, token_hashes, tokens
 
 SHINGLE = 5
 THRESHOLD = (4, 5)
@@ -45,14 +45,15 @@ BANDS, ROWS = 32, 5
 STEP = 32
 TOLERANCE = 1e-6
 MEMBERS = 256
-TILE = 512
+TILE = 256
+TILE_SHINGLES = 1 << 20
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, with repeats, and the first of each row."""
     data, offsets = text_bytes(texts)
     starts, ends, first = tokens(data, offsets)
-    over = Rolling(Rolling(data).spans(starts, ends))
+    over = Rolling(token_hashes(data, starts, ends))
     n = np.diff(first)
     size = np.minimum(n, SHINGLE)
     each = np.where(n > 0, n - size + 1, 0)
@@ -83,7 +84,7 @@ def minhashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, k (the text's hash), n (shingles, with repeats), sig (16 bits of each MinHash), bands (null without shingles)."""
+    """doc_id, key (the text's hash), n (shingles, with repeats), sig (16 bits of each MinHash), bands (null without shingles)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,16 +97,16 @@ def signed(docs: DataFrame) -> DataFrame:
                 keys = wide.spans(at, at + ROWS).reshape(-1, BANDS) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
                 low = ((m * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
                 bands = pa.array([list(b) if c else None for b, c in zip(keys.view(np.int64).tolist(), n, strict=True)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("k"), pa.array(n), pa.array([r.tobytes() for r in low], pa.binary()), bands], ["doc_id", "k", "n", "sig", "bands"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), pa.array(n), pa.array([r.tobytes() for r in low], pa.binary()), bands], ["doc_id", "key", "n", "sig", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     ship(docs.sparkSession)
-    rows = docs.select("doc_id", "text", text_key().alias("k"))
-    return rows.mapInArrow(sign, f"doc_id {kind}, k long, n long, sig binary, bands array<long>")
+    rows = docs.select("doc_id", "text", text_key().alias("key"))
+    return rows.mapInArrow(sign, f"doc_id {kind}, key binary, n long, sig binary, bands array<long>")
 
 
 def text_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def least_agreeing(tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -187,12 +188,16 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """k, comp: the least node that links lead to, by least labels of neighbours and of labels; links (a, b) stay spread."""
+    """k, comp: the least node that links lead to, by least labels of neighbours and of labels.
+
+    Both joins of a round are on keys that many rows share, a node's neighbours and a class's least node. Each stands on
+    plain shuffles of checkpoints, so that Spark splits such a key's rows over tasks; least labels meet partly reduced.
+    """
     both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("comp")))
     while True:
         near = both.join(labels.withColumnsRenamed({"k": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = labels.join(near, labels["k"] == near["a"]).select("k", "comp", F.least("comp", "c").alias("next"))
+        step = cut(labels.join(near, labels["k"] == near["a"]).select("k", "comp", F.least("comp", "c").alias("next")))
         jump = step.select(F.col("k").alias("j"), F.col("next").alias("jump"))
         new = cut(step.join(jump, F.col("next") == F.col("j"), "left").select("k", F.least("next", F.coalesce("jump", "next")).alias("new"), "comp"))
         changed = new.filter("new <> comp").limit(1).count()
@@ -202,27 +207,34 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """nodes (k, rep): k, set (its shingles' hashes in order, as bytes)."""
-    need = nodes.select("k", "rep")
+    """nodes (k, key, rep): k, set (its shingles' hashes in order, as bytes)."""
+    need = nodes.select("k", "key", "rep")
     texts = docs.select(F.col("doc_id").alias("d"), text_key().alias("t"), "text")
-    met = texts.join(need, (F.col("t") == F.col("k")) & F.col("d").eqNullSafe(F.col("rep"))).select("k", "text")
+    met = texts.join(need, (F.col("t") == F.col("key")) & F.col("d").eqNullSafe(F.col("rep"))).select("k", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for piece in slices(batch, "text"):
+                k = piece.column("k").to_numpy()
+                new = k != np.concatenate([[-1 if last is None else last], k[:-1]])  # rows equal in text and doc_id stand together
+                last = int(k[-1])
+                piece = piece.filter(pa.array(new))
                 hashes, first = shingles(piece.column("text"))
                 sets = [np.unique(hashes[first[r] : first[r + 1]]).tobytes() for r in range(piece.num_rows)]
                 yield pa.RecordBatch.from_arrays([piece.column("k"), pa.array(sets, pa.binary())], ["k", "set"])
 
-    return met.mapInArrow(gather, "k long, set binary")
+    # equal rows that Spark has dealt to several tasks are one
+    return met.mapInArrow(gather, "k long, set binary").dropDuplicates(["k"])
 
 
 def tiled(rows: DataFrame, compared: Callable[[pa.RecordBatch, tuple], pa.RecordBatch], schema: str) -> DataFrame:
-    """What ``compared`` gives for each tile (bh, x, y) of rows (bh, k, size, sig, bands, set, ...): two blocks of a band."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE)).cast("int")
+    """What ``compared`` gives for each tile (bh, x, y) of rows (bh, k, size, weight, sig, bands, set, ...): two blocks of a
+    band, of about TILE rows and TILE_SHINGLES shingles at most."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / TILE), F.ceil(F.col("weight") / TILE_SHINGLES)).cast("int")
     own = F.pmod(F.xxhash64("k"), blocks).cast("int")
     tiles = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = tiles.select("bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[c for c in rows.columns if c not in ("bh", "size")])
+    tiles = tiles.select("bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", *[c for c in rows.columns if c not in ("bh", "size", "weight")])
     dealt = tiles.repartition("bh", "x", "y").sortWithinPartitions("bh", "x", "y", "k")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +258,7 @@ def tiled(rows: DataFrame, compared: Callable[[pa.RecordBatch, tuple], pa.Record
 
 
 def crossing(rows: DataFrame) -> DataFrame:
-    """rows (bh, k, comp, size, sig, bands, set): links (a, b), b < a, that join different comps of a band.
+    """rows (bh, k, comp, size, weight, sig, bands, set): links (a, b), b < a, that join different comps of a band.
 
     A pair is met in the first band that both have. What the links of a tile already join is not compared again, so a
     tile of n rows gives n - 1 links at most.
@@ -280,7 +292,7 @@ def crossing(rows: DataFrame) -> DataFrame:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """rows (bh, k, size, sig, bands, set): (a, null, n), n links of a in a tile, and (a, b, 0), links that span the tile's.
+    """rows (bh, k, size, weight, sig, bands, set): (a, null, n), n links of a in a tile, and (a, b, 0), links that span the tile's.
 
     Every pair is met in the first band that both have, and there in one tile. A tile of n rows gives n counts and n - 1
     links at most.
@@ -332,46 +344,47 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Nodes (k, rep, copies, sig, bands), their bands (k, q, bh), those of several nodes (bh, leader, ...), and their sets (k, set)."""
-    found = signed(docs).groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    full = stored(found, "signatures")
-    bands = full.filter("bands is not null").select("k", F.posexplode("bands").alias("q", "bh"))
+    """Nodes (k, key, rep, copies, n, sig, bands), their bands (k, n, q, bh), those of several nodes (bh, leader, ...), and
+    their sets (k, set)."""
+    found = signed(docs).groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    full = stored(found.withColumn("k", F.monotonically_increasing_id()), "signatures")
+    bands = full.filter("bands is not null").select("k", "n", F.posexplode("bands").alias("q", "bh"))
     members = [F.bit_xor(F.xxhash64("k")).alias("x1"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("x2")]
-    buckets = cut(bands.groupBy("bh").agg(F.min("k").alias("leader"), F.max("k").alias("last"), F.min("q").alias("q"), F.count("*").alias("size"), *members).filter("leader < last"))
-    met = bands.join(buckets.select("bh"), "bh")
-    sets = stored(shingle_sets(cut(met.select("k").distinct().join(full.select("k", "rep"), "k")), docs), "sets")
+    buckets = cut(bands.groupBy("bh").agg(F.min("k").alias("leader"), F.max("k").alias("last"), F.min("q").alias("q"), F.count("*").alias("size"), F.sum("n").alias("weight"), *members).filter("leader < last"))
+    met = bands.select("k", "bh").join(buckets.select("bh"), "bh")
+    sets = stored(shingle_sets(cut(met.select("k").distinct().join(full.select("k", "key", "rep"), "k")), docs), "sets")
     return full, bands, buckets, sets
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes (k, rep) and links (a, b) that span their classes."""
+    """Nodes (k, key, rep) and links (a, b) that span their classes."""
     full, bands, buckets, sets = prepared(docs)
-    nodes, sigs, bands, buckets = full.select("k", "rep"), full.select("k", "sig"), bands.select("k", "bh"), buckets.select("bh", "leader")
-    met = bands.join(buckets, "bh")
+    nodes, sigs, buckets = full.select("k", "key", "rep"), full.select("k", "sig"), buckets.select("bh", "leader")
+    met = bands.select("k", "bh").join(buckets, "bh")
     meets = met.filter("k <> leader").groupBy("k", "leader").agg(F.count("*").alias("shared"))
     best = meets.groupBy("k").agg(F.max(F.struct("shared", (-F.col("leader")).alias("neg"))).alias("m"))
     first = cut(pruned(best.select(F.col("k").alias("a"), (-F.col("m.neg")).alias("b")), sigs))
     links = cut(verified(first, sets))
     comps = components(links)
     c = comps.withColumnRenamed("k", "ck")
-    labelled = bands.join(buckets.select("bh"), "bh").join(c, F.col("k") == F.col("ck"), "left").select("bh", "k", F.coalesce("comp", "k").alias("comp"))
-    mixed = labelled.groupBy("bh").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size")).filter("c1 <> c2").select("bh", "size")
-    rest = cut(labelled.join(mixed, "bh"))
+    labelled = bands.join(buckets.select("bh"), "bh").join(c, F.col("k") == F.col("ck"), "left").select("bh", "k", "n", F.coalesce("comp", "k").alias("comp"))
+    mixed = labelled.groupBy("bh").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count("*").alias("size"), F.sum("n").alias("weight")).filter("c1 <> c2").select("bh", "size", "weight")
+    rest = cut(labelled.drop("n").join(mixed, "bh"))
     content = sets.join(full.select("k", "sig", "bands"), "k")
     links = cut(links.unionByName(crossing(rest.join(content, "k"))))
     return nodes, links
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes (k, rep, copies), links (a, b) that span their classes, and each linked node's number of links (lk, n)."""
+    """Nodes (k, key, rep, copies), links (a, b) that span their classes, and each linked node's number of links (lk, n)."""
     full, bands, buckets, sets = prepared(docs)
     # of the bands that have the same members the first: no pair is new in the others
-    once = buckets.groupBy("size", "leader", "last", "x1", "x2").agg(F.min(F.struct("q", "bh")).alias("m")).select(F.col("m.bh").alias("bh"), "size")
+    once = buckets.groupBy("size", "weight", "leader", "last", "x1", "x2").agg(F.min(F.struct("q", "bh")).alias("m")).select(F.col("m.bh").alias("bh"), "size", "weight")
     rest = cut(bands.select("k", "bh").join(once, "bh"))
     content = sets.join(full.select("k", "sig", "bands"), "k")
     found = cut(counted(rest.join(content, "k")))
     degree = found.filter("b is null").groupBy(F.col("a").alias("lk")).agg(F.sum("n").alias("n"))
-    return full.select("k", "rep", "copies"), found.filter("b is not null").select("a", "b"), degree
+    return full.select("k", "key", "rep", "copies"), found.filter("b is not null").select("a", "b"), degree
 
 
 def classes(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -385,17 +398,18 @@ def digest(docs: DataFrame) -> DataFrame:
     texts that are similar enough), class_texts; one row for each row of docs."""
     nodes, links, degree = linked(docs)
     n = classes(nodes, links).join(degree, F.col("k") == F.col("lk"), "left")
-    n = cut(n.select("k", "rep", "copies", "comp", F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
-    named = n.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("class_texts"))
-    n = n.join(named, "comp").select(F.col("k").alias("nk"), "class_id", F.col("rep").alias("text_id"), "copies", "n_links", "class_texts")
-    rows = docs.select("doc_id", text_key().alias("k"))
-    return rows.join(n, F.col("k") == F.col("nk")).select("doc_id", "class_id", "text_id", "copies", "n_links", "class_texts")
+    n = cut(n.select("key", "rep", "copies", "comp", F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
+    # checkpoints, so that the joins on a class and on a text stand on plain shuffles, which Spark can split
+    named = cut(n.groupBy("comp").agg(F.min("rep").alias("class_id"), F.count("*").alias("class_texts")))
+    n = cut(n.join(named, "comp").select(F.col("key").alias("nk"), "class_id", F.col("rep").alias("text_id"), "copies", "n_links", "class_texts"))
+    rows = docs.select("doc_id", text_key().alias("key"))
+    return rows.join(n, F.col("key") == F.col("nk")).select("doc_id", "class_id", "text_id", "copies", "n_links", "class_texts")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: that of the least doc_id, and of the least text hash for equal ids."""
     n = classes(*joined(docs))
-    order = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("k").alias("key"))
+    order = F.struct(F.col("rep").isNull().alias("none"), F.col("rep").alias("id"), F.col("key").alias("key"))
     kept = cut(n.groupBy("comp").agg(F.min(order).alias("r")).select(F.col("r.id").alias("_nj_id"), F.col("r.key").alias("_nj_k")))
     keyed = docs.withColumn("_nj_key", text_key())
     out = keyed.join(kept, (F.col("_nj_key") == F.col("_nj_k")) & F.col("doc_id").eqNullSafe(F.col("_nj_id")))

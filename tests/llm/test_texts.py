@@ -328,6 +328,27 @@ def test_near_join_counts_every_link(spark, monkeypatch):
     assert sum(want) > 4 * len(texts)
 
 
+def test_near_join_links_of_documents(spark, sf_dir):
+    """Links, classes and copies of whole documents are brute force's; rows equal in text and doc_id are no new links."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += rows[:60]
+    first = {}
+    for i, t in rows:
+        first.setdefault(t or "", []).append(i)
+    words = {t: t.split() for t in first}
+    sets = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for t, w in words.items()}
+    links = Counter()
+    texts = list(first)
+    for a, x in enumerate(texts):
+        for y in texts[:a]:
+            both = len(sets[x] & sets[y])
+            if both and both * 5 >= 4 * (len(sets[x]) + len(sets[y]) - both):
+                links[x] += 1
+                links[y] += 1
+    got = Counter((r["doc_id"], r["n_links"], r["copies"], r["text_id"]) for r in N.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == Counter((i, links[t or ""], len(first[t or ""]), min(first[t or ""])) for i, t in rows) and links
+
+
 def test_pruning_keeps_what_is_similar():
     """Signatures of similarity 0.8 outlast the comparison all but never; those of 0.3 are dropped at once."""
     rng = np.random.default_rng(4)
