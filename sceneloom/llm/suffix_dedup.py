@@ -4,15 +4,17 @@ Texts are UTF-8 bytes; matches never cross documents; overlaps count; strings ar
 
 Suffix arrays decide every match, but only where one can be. Each LENGTH-byte window is assigned to the least of its
 GRAM-byte hashes (its anchor; the last of equals), so that equal windows have equal anchors at equal places. Windows in a
-row with one anchor form a run, whose bytes are a segment. Anchors that occur once need no more. Equal segments of an
-anchor are one, with the number of places it stands in; a segment that stands in two is covered as a whole. Where an
-anchor has several segments, these go to a shard: there a suffix array over all of the shard's segments is sorted by
-Larsson-Sadakane refinement (ranks at doubled distances, only groups that are still tied), Kasai's pass gives the common
-prefixes of neighbours, and those of LENGTH bytes or more are repeats. An anchor with more than SHARD_SEGMENTS segments
-is spread over several shards; each then lists its distinct windows' hashes in order, and ranges of these lists are
-merged by binary search across the shards, so that no window is missed and no task holds a hot anchor.
+row with one anchor form a run, whose bytes are a segment. Anchors that occur once need no more. The segments of the
+others go to shards by their anchor: of equal segments, which one 64-bit hash of the bytes beside the anchor's tells, the
+bytes at two of their places go there, and what is found holds at all of them. In a shard a suffix array over all
+segments is sorted by Larsson-Sadakane refinement (ranks at multiplied distances, only groups that are still tied), Kasai's
+pass gives the common prefixes of neighbours, and those of LENGTH bytes are repeats.
 
-Rows move as hashes and places; texts move twice, by shuffles on their id and hash. Two segments are taken as equal if their anchors' and their own 64-bit hashes are.
+An anchor with more than SHARD_SEGMENTS different segments is spread over several shards. Each then lists its distinct
+windows' hashes in order, cut into ranges of the hash whose number grows with the anchor's shards, and the lists of a range
+are merged by binary search, two by two; so no window is missed and no task holds a hot anchor.
+
+Rows move as hashes and places; texts move twice, by shuffles on their id and hash.
 
 Defined results: null and empty texts, and texts of fewer bytes than LENGTH, keep all; a null doc_id is an id like any
 other; equal rows repeat each other; an empty table gives an empty result; columns of any other name are kept by
@@ -29,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from sceneloom import ship
 
@@ -36,9 +39,9 @@ from .common import Rolling, cut, discard, runs, slices, sliding_least, stored,
 
 LENGTH = 400
 GRAM = 160
-SHARD_SEGMENTS = 2048
+SHARD_SEGMENTS = 64
 SHARD_BYTES = 1 << 20
-MERGE_PARTS = 256
+PART_SHARDS = 16  # shards whose windows fill a range of the merge, about
 
 # ---- one shard
 
@@ -76,20 +79,24 @@ def suffix_array(text: np.ndarray, depth: int, packed: np.ndarray | None = None)
     if n:
         new[0], new[1:] = True, ordered[1:] != ordered[:-1]
     tied, h = settle(np.arange(n), new), 7
+    wide = (n + 1).bit_length()
+    times = min(63 // wide, 4) if n else 2  # ranks that fit into one number
     while len(tied) and h < depth:
         places = order[tied]
-        ahead = places + h
-        key = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        both = rank[places].astype(np.uint64) * np.uint64(n + 1) + key.astype(np.uint64)
+        both = rank[places].astype(np.uint64)
+        for j in range(1, times):
+            ahead = places + j * h
+            both = (both << np.uint64(wide)) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0).astype(np.uint64)
         by = np.argsort(both, kind="stable")
         order[tied] = places[by]
         both = both[by]
-        tied, h = settle(tied, np.concatenate([[True], both[1:] != both[:-1]])), 2 * h
+        tied, h = settle(tied, np.concatenate([[True], both[1:] != both[:-1]])), times * h
     return order
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int, packed: np.ndarray) -> np.ndarray:
-    """Kasai: the common prefix (up to ``most``) of each suffix in order with the one before it, 0 for the first.
+    """Kasai: the common prefix (up to ``most``) of each suffix in order with the one before it, 0 for the first and for
+    suffixes of fewer than ``most`` letters.
 
     All segments go in step: from one place to the next a prefix loses one letter at most. That holds where what stood
     before goes on to stand before, which among suffixes tied beyond the sorted depth it may not; those start anew.
@@ -102,7 +109,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     until = np.repeat(ends, np.diff(np.append(starts, n)))  # of each place, the end of its segment
     found = np.zeros(n, np.int64)
     have, was = np.zeros(len(starts), np.int64), np.full(len(starts), -1, np.int64)
-    length = ends - starts
+    length = np.maximum(ends - starts - most + 1, 0)
     by = np.argsort(-length, kind="stable")
     alive = len(by)
     for step in range(int(length.max()) if len(length) else 0):
@@ -175,9 +182,10 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 full = whole[lo]
                 lo, hi = lo[full], hi[full]
                 r = row[lo]
-                h, s = grams[least[lo]], over.spans(lo, hi + length)
+                raw = memoryview(data)
+                s = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(lo.tolist(), (hi + length).tolist(), strict=True)), np.uint64, len(lo))
                 take = pa.array(r)
-                cols = [piece.column("doc_id").take(take), piece.column("_sa_t").take(take), pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array((lo - offsets[r]).astype(np.int32)), pa.array((hi - offsets[r]).astype(np.int32))]
+                cols = [piece.column("doc_id").take(take), piece.column("_sa_t").take(take), pa.array(grams[least[lo]].view(np.int64)), pa.array(s.view(np.int64)), pa.array((lo - offsets[r]).astype(np.int32)), pa.array((hi - offsets[r]).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "t", "h", "s", "lo", "hi"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -185,25 +193,29 @@ def anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (doc_id, t, h, s, lo, hi, alone, shards): adds each segment's bytes, cut from its text."""
-    lists = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "s", "lo", "hi", "alone", "shards")).alias("wanted")).withColumnsRenamed({"doc_id": "d", "t": "w"})
+    """wanted (doc_id, t, h, s, lo, hi, first, shards): h, s, first, shards and each segment's bytes, cut from its text."""
+    lists = wanted.groupBy("doc_id", "t").agg(F.collect_list(F.struct("h", "s", "lo", "hi", "first", "shards")).alias("wanted")).withColumnsRenamed({"doc_id": "d", "t": "w"})
     own = keyed(docs.select("doc_id", "text"))
-    met = own.join(lists, (F.col("_sa_t") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("text", "wanted")
+    met = own.join(lists, (F.col("_sa_t") == F.col("w")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("_sa_t", "doc_id", "text", "wanted")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for piece in slices(batch, "text", 1 << 19):
                 data, offsets = text_bytes(piece.column("text"))
                 raw = data.tobytes()
+                keys = list(zip(piece.column("_sa_t").to_pylist(), piece.column("doc_id").to_pylist(), strict=True))
+                new = np.array([key != before for key, before in zip(keys, [last, *keys[:-1]], strict=True)])  # equal rows stand together
+                last = keys[-1]
                 wanted = piece.column("wanted")
-                each = wanted.flatten()
-                counts = np.diff(wanted.offsets.to_numpy()) if len(wanted) else np.empty(0, np.int64)
-                begin = np.repeat(offsets[:-1], counts)
+                counts = np.diff(wanted.offsets.to_numpy())
+                each = wanted.flatten().filter(pa.array(np.repeat(new, counts)))
+                begin = np.repeat(offsets[:-1][new], counts[new])
                 lo, hi = (each.field(c).to_numpy() for c in ("lo", "hi"))
                 bytes_ = [raw[a:b] for a, b in zip((begin + lo).tolist(), (begin + hi + length).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([each.field("h"), each.field("s"), each.field("alone"), each.field("shards"), pa.array(bytes_, pa.binary())], ["h", "s", "alone", "shards", "bytes"])
+                yield pa.RecordBatch.from_arrays([each.field("h"), each.field("s"), each.field("first"), each.field("shards"), pa.array(bytes_, pa.binary())], ["h", "s", "first", "shards", "bytes"])
 
-    return met.mapInArrow(cut_out, "h long, s long, alone boolean, shards int, bytes binary")
+    return met.mapInArrow(cut_out, "h long, s long, first boolean, shards int, bytes binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str], most: int, column: str) -> Iterator[pa.Table]:
@@ -227,86 +239,121 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str], most: int, colu
         yield pa.Table.from_batches(held)
 
 
+_SPAN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_SHARD = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("spans", _SPAN), ("part", pa.int64()), ("hashes", pa.list_(pa.int64())), ("own", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
+
+
 def sharded(rows: DataFrame, n: int, length: int) -> DataFrame:
-    """rows (h, s, alone, shards, bytes): h, s, spans (windows that repeat), and of anchors in several shards the lists of
-    their windows: part, hashes in order, and for windows found once where they are."""
+    """rows (h, s, first, shards, bytes): h, s, spans (windows that repeat in the shard), and of anchors in several shards
+    the lists of their windows by part: hashes in order, and for windows found once where they are."""
     shard = F.pmod(F.xxhash64("s"), F.col("shards")).cast("int")
-    parts = max(1, min(50_000, n * 650 // (16 * SHARD_BYTES) + 1))
+    parts = max(1, n * 650 // (16 * SHARD_BYTES) + 1)
     dealt = rows.withColumn("shard", shard).repartition(parts, "h", "shard").sortWithinPartitions("h", "shard")
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["h", "shard"], SHARD_BYTES, "bytes"):
-            h, s, alone, shards = (group.column(c).to_pylist() for c in ("h", "s", "alone", "shards"))
-            texts = group.column("bytes").to_pylist()
-            hits, text, starts = repeats(texts, length)
-            out_h, out_s, out_spans = [], [], []
+            h, s, first, shards = (group.column(c).to_pylist() for c in ("h", "s", "first", "shards"))
+            hits, text, starts = repeats(group.column("bytes").to_pylist(), length)
+            out = []
             for k, hit in enumerate(hits):
-                if alone[k] and hit.any():
+                if first[k] and hit.any():
                     a, b, _ = runs(hit, np.array([0, len(hit)]))
-                    out_h.append(h[k])
-                    out_s.append(s[k])
-                    out_spans.append([{"a": int(x), "b": int(y) - 1} for x, y in zip(a, b, strict=True)])
-            none = [None] * len(out_h)
-            yield pa.RecordBatch.from_arrays([pa.array(out_h, pa.int64()), pa.array(out_s, pa.int64()), pa.array(out_spans, span), pa.array(none, pa.int32()), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int64())), pa.array(none, pa.list_(pa.int32()))], _SHARD_NAMES)
+                    out.append({"h": h[k], "s": s[k], "spans": [{"a": int(x), "b": int(y) - 1} for x, y in zip(a, b, strict=True)]})
+            yield pa.RecordBatch.from_pylist(out, _SHARD)
             spread: dict[int, list[int]] = {}
             for k, m in enumerate(shards):
-                if m > 1:
+                if m > 1 and first[k]:
                     spread.setdefault(h[k], []).append(k)
-            over = Rolling(text) if spread else None
+            over = Windows(text, length) if spread else None
             for anchor, ks in spread.items():
-                at = [np.arange(len(hits[k])) + starts[k] for k in ks]
-                where = np.concatenate(at)
-                window = over.spans(where, where + length)
+                where = np.concatenate([np.arange(len(hits[k])) + starts[k] for k in ks])
                 own = np.concatenate([np.full(len(hits[k]), s[k], np.int64) for k in ks])
-                offset = np.concatenate([np.where(hits[k] | (not alone[k]), -1, np.arange(len(hits[k]))) for k in ks]).astype(np.int32)
-                values, first = np.unique(window, return_index=True)
-                n_parts = min(MERGE_PARTS, shards[ks[0]])
-                part = (values >> np.uint64(40)) * np.uint64(n_parts) >> np.uint64(24)
-                for p in range(n_parts):
-                    mine = first[part == p]
-                    if len(mine):
-                        yield pa.RecordBatch.from_arrays([pa.array([anchor]), pa.array([None], pa.int64()), pa.array([None], span), pa.array([p], pa.int32()), pa.array([window[mine].view(np.int64)], pa.list_(pa.int64())), pa.array([own[mine]], pa.list_(pa.int64())), pa.array([offset[mine]], pa.list_(pa.int32()))], _SHARD_NAMES)
-
-    return dealt.mapInArrow(refine, "h long, s long, spans array<struct<a:int,b:int>>, part int, hashes array<long>, own array<long>, at array<int>")
-
-
-_SHARD_NAMES = ["h", "s", "spans", "part", "hashes", "own", "at"]
+                at = np.concatenate([np.where(hits[k], -1, np.arange(len(hits[k]))) for k in ks])
+                window, one = np.unique(over.hashes(where), return_index=True)
+                n_parts = -(-shards[ks[0]] // PART_SHARDS)
+                part = ((window >> np.uint64(31)).astype(np.int64) * n_parts) >> 31
+                bounds = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
+                lists = [(int(part[x]), one[x:y], window[x:y]) for x, y in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_pylist([{"h": anchor, "part": p, "hashes": w.view(np.int64), "own": own[i], "at": at[i]} for p, i, w in lists], _SHARD)
+
+    return dealt.mapInArrow(refine, "h long, s long, spans array<struct<a:int,b:int>>, part long, hashes array<long>, own array<long>, at array<int>")
+
+
+class Windows:
+    """Hashes of the LENGTH letters from any place on: polynomials modulo two primes, 31 bits each."""
+
+    def __init__(self, text: np.ndarray, length: int):
+        self.length, self.sums = length, []
+        for prime, base in (((1 << 31) - 1, 1_220_703_125), ((1 << 31) - 19, 1_162_261_467)):
+            powers, inverse = _prime_powers(len(text) + 1, base, prime), _prime_powers(len(text) + 1, pow(base, -1, prime), prime)
+            sums = np.zeros(len(text) + 1, np.uint64)
+            np.cumsum((text.astype(np.uint64) + np.uint64(1)) * powers[:-1] % np.uint64(prime), out=sums[1:])
+            self.sums.append((np.uint64(prime), sums, inverse))
+
+    def hashes(self, where: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(where), np.uint64)
+        for prime, sums, inverse in self.sums:
+            out = (out << np.uint64(31)) | ((sums[where + self.length] - sums[where]) % prime * inverse[where] % prime)
+        return out
+
+
+def _prime_powers(n: int, base: int, prime: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), prime)) % np.uint64(prime)])
+    return out[:n]
+
+
+def two_merged(a: tuple, b: tuple, found: list) -> tuple:
+    """Two lists (hashes in order, own, at, twice) as one, by binary search of the shorter one's hashes in the longer. Of a
+    window that both have one place stays in the list, as found twice; another place is added to found."""
+    a, b = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    place = np.searchsorted(a[0], b[0])
+    there = np.minimum(place, len(a[0]) - 1)
+    met = a[0][there] == b[0]
+    keys, own, at, twice = a[0], a[1].copy(), a[2].copy(), a[3].copy()
+    twice[there[met]] = True
+    for i, j in zip(np.flatnonzero(met & (b[2] >= 0)).tolist(), there[met & (b[2] >= 0)].tolist(), strict=True):
+        if at[j] >= 0:
+            found.append((int(b[1][i]), int(b[2][i])))
+        else:
+            own[j], at[j] = b[1][i], b[2][i]
+    new = ~met
+    return tuple(np.insert(x, place[new], y[new]) for x, y in zip((keys, own, at, twice), b, strict=True))
 
 
 def merged(lists: DataFrame, parts: int) -> DataFrame:
     """Lists (h, part, hashes, own, at) of several shards: h, s, spans of windows that more than one shard has."""
     dealt = lists.select("h", "part", "hashes", "own", "at").repartition(parts, "h", "part").sortWithinPartitions("h", "part")
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, known, one, where, twice = None, None, None, None, None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if now is not None and len(found := np.flatnonzero(twice & (where >= 0))):
-                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array(one[found]), pa.array([[{"a": int(w), "b": int(w)}] for w in where[found]], span)], ["h", "s", "spans"])
+        now, held = None, []
+
+        def flush() -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            waiting: list[tuple] = []  # of each size about one, so that no list is merged often
+            for one in held:
+                while waiting and len(waiting[-1][0]) <= 2 * len(one[0]):
+                    one = two_merged(waiting.pop(), one, found)
+                waiting.append(one)
+            one = waiting.pop()
+            while waiting:
+                one = two_merged(waiting.pop(), one, found)
+            keep = np.flatnonzero(one[3] & (one[2] >= 0))
+            found += zip(one[1][keep].tolist(), one[2][keep].tolist(), strict=True)
+            return pa.RecordBatch.from_pylist([{"h": now[0], "s": s, "spans": [{"a": w, "b": w}]} for s, w in found], pa.schema([_SHARD.field(i) for i in range(3)]))
 
         for batch in batches:
             for h, p, hashes, own, at in zip(*batch.columns, strict=True):
                 key = (h.as_py(), p.as_py())
-                new = hashes.values.to_numpy().view(np.uint64)
-                own, at = own.values.to_numpy(), at.values.to_numpy().astype(np.int64)
                 if key != now:
-                    yield from flush()
-                    now, known, one, where, twice = key, new, own, at, np.zeros(len(new), bool)
-                    continue
-                place = np.searchsorted(known, new)
-                there = np.minimum(place, len(known) - 1)
-                met = known[there] == new
-                twice[there[met]] = True
-                # a window of both shards that only the new one has a place for is listed by itself
-                extra = met & (at >= 0)
-                known = np.concatenate([known, new[~met], new[extra]])
-                one, where = np.concatenate([one, own[~met], own[extra]]), np.concatenate([where, at[~met], at[extra]])
-                twice = np.concatenate([twice, np.zeros(int((~met).sum()), bool), np.ones(int(extra.sum()), bool)])
-                by = np.argsort(known, kind="stable")
-                known, one, where, twice = known[by], one[by], where[by], twice[by]
-        yield from flush()
+                    if held:
+                        yield flush()
+                    now, held = key, []
+                new = hashes.values.to_numpy().view(np.uint64)
+                held.append((new, own.values.to_numpy(), at.values.to_numpy(), np.zeros(len(new), bool)))
+        if held:
+            yield flush()
 
     return dealt.mapInArrow(merge, "h long, s long, spans array<struct<a:int,b:int>>")
 
@@ -318,30 +365,24 @@ def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segme
     again = cut(found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     places = stored(found.join(again, "h"), "places")
     discard(found)
-    kinds = cut(places.groupBy("h", "s").agg(F.count("*").alias("n"), F.min("t").alias("src")))
-    several = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1")
-    several = cut(several)
-    shards = F.ceil(F.col("kinds") / shard_segments).cast("int")
-    open_ = kinds.join(several, "h").select("h", "s", "src", (F.col("n") == 1).alias("alone"), shards.alias("shards"))
-    source = places.join(open_.withColumnsRenamed({"h": "oh", "s": "os"}), (F.col("h") == F.col("oh")) & (F.col("s") == F.col("os")) & (F.col("t") == F.col("src")))
-    wanted = cut(source.groupBy("h", "s").agg(F.first(F.struct("doc_id", "t", "lo", "hi", "alone", "shards")).alias("w")).select("h", "s", "w.*"))
-    n, most = wanted.agg(F.count("*"), F.max("shards")).first()
-    spans = None
+    place = F.struct("t", "doc_id", "lo", "hi")
+    kinds = cut(places.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(place).alias("one"), F.max(place).alias("other")))
+    hot = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter(F.col("kinds") > shard_segments)
+    hot = cut(hot.select(F.col("h").alias("hot"), F.ceil(F.col("kinds") / shard_segments).cast("int").alias("shards")))
+    both = F.when(F.col("n") > 1, F.array(F.struct(F.lit(True).alias("first"), F.col("one").alias("p")), F.struct(F.lit(False).alias("first"), F.col("other").alias("p")))).otherwise(F.array(F.struct(F.lit(True).alias("first"), F.col("one").alias("p"))))
+    wanted = kinds.join(hot, F.col("h") == F.col("hot"), "left").select("h", "s", F.coalesce("shards", F.lit(1)).alias("shards"), F.explode(both).alias("w"))
+    wanted = cut(wanted.select("h", "s", "shards", "w.first", "w.p.*"))
+    results = sharded(segments(docs, wanted, length), wanted.count(), length)
+    n = hot.agg(F.sum("shards")).first()[0]
     if n:
-        results = sharded(segments(docs, wanted, length), n, length)
-        if most > 1:
-            results = stored(results, "shards")
-            spans = results.filter("spans is not null").select("h", "s", "spans").unionByName(merged(results.filter("part is not null"), max(1, min(10_000, n // shard_segments))))
-        else:
-            spans = results.filter("spans is not null").select("h", "s", "spans")
-        spans = spans.groupBy("h", "s").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    whole = kinds.filter("n > 1").select("h", "s", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
-    hits = whole if spans is None else whole.unionByName(spans)
-    hits = hits.withColumnsRenamed({"h": "hh", "s": "hs"})
+        results = stored(results, "shards")
+        spans = results.filter("spans is not null").select("h", "s", "spans").unionByName(merged(results.filter("part is not null"), max(1, n // PART_SHARDS)))
+    else:
+        spans = results.select("h", "s", "spans")
+    hits = cut(spans.groupBy("h", "s").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnsRenamed({"h": "hh", "s": "hs"}))
     met = places.join(hits, (F.col("h") == F.col("hh")) & (F.col("s") == F.col("hs")))
-    each = F.coalesce(F.transform("spans", lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"]).alias("b"))), F.array(F.struct(F.col("lo").alias("a"), F.col("hi").alias("b"))))
-    flat = met.select("doc_id", "t", F.explode(each).alias("x")).select("doc_id", "t", (F.shiftleft(F.col("x.a").cast("long"), 32) + F.col("x.b")).alias("w"))
-    return flat.groupBy("doc_id", "t").agg(F.collect_set("w").alias("windows"))
+    each = F.transform("spans", lambda x: F.shiftleft((F.col("lo") + x["a"]).cast("long"), 32) + F.col("lo") + x["b"])
+    return met.select("doc_id", "t", F.explode(each).alias("w")).groupBy("doc_id", "t").agg(F.collect_set("w").alias("windows"))
 
 
 def spanned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:

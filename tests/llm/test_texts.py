@@ -135,6 +135,30 @@ def test_suffix_dedup_is_brute_force(spark, seed, length, gram, shard):
     assert sorted(map(tuple, got), key=str) == _covered(rows, length)
 
 
+def test_suffix_dedup_with_one_hot_anchor(spark):
+    """One passage in every text, each time in other company: its anchors are spread over shards and merged."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = word(70)
+    rows = [(i, word(rnd.randrange(60)) + passage + word(rnd.randrange(60))) for i in range(150)]
+    rows += rows[:5] + [(None, rows[9][1])] * 3
+    got = S.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40, 16, 2).collect()
+    assert sorted(map(tuple, got), key=str) == _covered(rows, 40)
+
+
+def test_suffix_dedup_of_texts_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words and their complements, which have one polynomial hash modulo 2**64, in parts that do not repeat."""
+    rnd = random.Random(3)
+    rows = []
+    for n in (512, 1024):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        for flip in (0, 1):
+            rows.append((len(rows), "".join("th"[b ^ flip] for b in bits)))
+            rows.append((len(rows), "".join(rnd.choice("abc") for _ in range(300)) + "".join("qz"[b ^ flip] for b in bits)))
+    got = S.digest(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(map(tuple, got), key=str) == _covered(rows, 400)
+
+
 def test_repeats_in_one_shard():
     rnd = random.Random(7)
     for _ in range(400):
