@@ -5,8 +5,9 @@ to the least. A child's weight is the sum of its leaves, so a change of weights
 whose weights change. A shard is added as a region of its own (``grow``), so that no other subtree's weight changes and
 rows only move into it.
 
-Everything here is DataFrame operations. Slots are exact ranks without a task that holds a shard: rows fall into bins by
-the leading digits of their key's hash, the bins' counts are summed in order, and ranks are taken inside the bins.
+Everything here is DataFrame operations. Slots are exact ranks without a task that holds a shard or a key: rows equal in
+all that the order reads are counted as one, what is left is sorted into ranges of the whole order, the ranges' counts are
+summed in order, and slots are taken inside the ranges.
 
 Defined results: a null text has size 1 and checksum 0; a null doc_id is a key of its own; rows equal in doc_id share a
 shard and have slots of their own; an empty table gives an empty result; other columns are not read.
@@ -22,7 +23,8 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-BIN_ROWS = 20_000
+RANGE_ROWS = 500_000
+RUN = 4096  # equal rows that one row stands for while they are numbered
 HEX = 13
 
 
@@ -80,15 +82,16 @@ def sharded(docs: DataFrame, shards: int = 8, root: Node | None = None) -> DataF
     content = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     thin = docs.select("doc_id", (F.octet_length(content).cast("long") + 1).alias("size"), F.crc32(content).alias("text_crc32"), F.md5(key.cast("binary")).alias("h"))
     placed = thin.withColumns({"shard": place(key, root).cast("int"), "grown_shard": place(key, grow(root, shards)).cast("int")})
-    placed = cut(placed)
-    digits, n = 0, placed.count()
-    while shards * 16**digits * BIN_ROWS < n:
-        digits += 1
-    binned = placed.withColumn("bin", F.substring("h", 1, digits) if digits else F.lit(""))
-    counts = binned.groupBy("shard", "bin").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col("shard").alias("s"), F.col("bin").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("shard", "bin").orderBy("h", "doc_id", "size", "text_crc32"))
-    ranked = binned.withColumn("rank", rank)
-    out = ranked.join(counts, (F.col("shard") == F.col("s")) & (F.col("bin") == F.col("b")))
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("rank") - 1).cast("long").alias("slot"), "grown_shard")
+    order = ["shard", "h", "doc_id", "size", "text_crc32"]
+    each = cut(placed.groupBy(*order, "grown_shard").agg(F.count("*").alias("times")))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), each.count() // RANGE_ROWS)
+    laid = cut(each.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()))
+    counts = laid.groupBy("part", "shard").agg(F.sum("times").alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most ``parts`` rows a shard
+    counts = counts.select(F.col("part").alias("p"), F.col("shard").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("part", "shard").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = laid.withColumn("inside", F.coalesce(F.sum("times").over(inside), F.lit(0)))
+    out = ranked.join(counts, (F.col("part") == F.col("p")) & (F.col("shard") == F.col("s")))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(RUN).cast("long")))
+    out = out.withColumn("first", first).withColumn("nth", F.explode(F.sequence(F.col("first"), F.least(F.col("times"), F.col("first") + RUN) - 1)))
+    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("before") + F.col("inside") + F.col("nth")).cast("long").alias("slot"), "grown_shard")
