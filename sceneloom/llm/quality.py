@@ -9,7 +9,7 @@ The model is fitted on the driver from at most TRAIN_ROWS labelled rows outside
 of a hash of their ids; that bound is a parameter. Their features are made on the executors. All rows are scored.
 
 Defined results: null and empty texts have no features and score the model's bias; a null doc_id is held out; a null
-label is no label, of several labels of an id the largest counts; without labels of both kinds every score is the share
+label is no label, of several labels of an id the largest counts, of several rows of an id one is learned from; without labels of both kinds every score is the share
 of label 1 (0.5 without any). Equal rows each get their result; other columns are kept by ``scored`` and not read.
 """
 
@@ -151,8 +151,9 @@ def fitted(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) ->
                 yield pa.RecordBatch.from_arrays(cols, ["o", "id", "y", "ids", "xs"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(extract, f"o long, id {kind}, y int, ids binary, xs binary").collect()
-    got = sorted(got, key=lambda r: (r["o"], r["id"], bytes(r["ids"]), bytes(r["xs"])))[:train_rows]
+    # of rows with one id one is learned from, so that no more than train_rows reach the driver
+    got = rows.mapInArrow(extract, f"o long, id {kind}, y int, ids binary, xs binary").groupBy("o", "id", "y").agg(F.min(F.struct("ids", "xs")).alias("x")).select("o", "id", "y", "x.*").collect()
+    got = sorted(got, key=lambda r: (r["o"], r["id"]))
     return Model().fit([(np.frombuffer(r["ids"], np.int32).astype(np.int64), np.frombuffer(r["xs"], np.float32).astype(np.float64), int(r["y"])) for r in got])
 
 
