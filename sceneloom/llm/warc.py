@@ -38,6 +38,7 @@ from .common import cut, scratch
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 8 << 20
+BROADCAST_DIGESTS = 200_000  # of 32 bytes and an id each
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 
@@ -184,10 +185,17 @@ def member(raw: memoryview, at: int, step: int = 16384) -> tuple[bytes, int]:
 
 
 def decided(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, kind, refers_to. Digests are counted partly summed; the join's hot keys are split by AQE."""
+    """page_id, url, payload, digest, kind, refers_to.
+
+    Only digests shuffle, partly counted. The repeated ones are broadcast up to BROADCAST_DIGESTS of them, so that payloads
+    stay where they are; beyond that payloads meet them by a plain shuffle, whose hot keys Spark splits.
+    """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     groups = p.filter(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
+    groups = cut(groups)
+    if groups.count() <= BROADCAST_DIGESTS:
+        groups = F.broadcast(groups)
     j = p.join(groups, p["digest"] == groups["same"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return j.select("page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first")).alias("refers_to"))
