@@ -116,7 +116,8 @@ def test_few_single_rows_shuffle(spark, n):
 
 @pytest.mark.parametrize("shards", [1, 2, 7, 8, 13])
 def test_shards_keep_the_law(spark, monkeypatch, shards):
-    monkeypatch.setattr(sharding, "BIN_ROWS", 10)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 300)
+    monkeypatch.setattr(sharding, "RUN", 7)
     df = spark.createDataFrame([(i, f"t{i}") for i in range(3000)], "doc_id long, text string")
     root = sharding.tree(shards)
     out = sharding.sharded(df, shards, root).collect()
@@ -131,6 +132,20 @@ def test_shards_keep_the_law(spark, monkeypatch, shards):
     assert {r["doc_id"]: r["grown_shard"] for r in out} == {r["doc_id"]: r["shard"] for r in twice}
 
 
+def test_slots_of_a_hot_key(spark, monkeypatch, tmp_path):
+    """Half of all rows share a doc_id, and many of them the text too: slots are the SQL's."""
+    import duckdb
+
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    monkeypatch.setattr(sharding, "RUN", 7)
+    rows = [(None, f"t{i % 40}") for i in range(300)] + [(7, None)] * 60 + [(i, f"u{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    df.write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    same(sharding.sharded(df), con, queries.ORACLES["op7_sharding"])
+
+
 def test_weights_move_rows_only_where_they_change(spark):
     """More weight in one rack: rows that move between regions go into its region only."""
     from pyspark.sql import functions as F
