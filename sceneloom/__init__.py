@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -13,7 +15,9 @@ def ship(spark) -> None:
     if getattr(context, "_sceneloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    at = Path(tempfile.mkdtemp(prefix="sceneloom-")) / "sceneloom_package.zip"
+    folder = tempfile.mkdtemp(prefix="sceneloom-")  # of the driver, which hands the file out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = Path(folder) / "sceneloom_package.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, f"{root.name}/{file.relative_to(root)}")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; its own only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="sceneloom-"))
+    """A reliable checkpoint in the folder that the session names."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,7 +47,8 @@ def components(links: DataFrame) -> DataFrame:
     labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "b", "label": "l"}), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "l").alias("next"))
+        # a checkpoint, so that the join on a label that many nodes share stands on plain shuffles, which Spark can split
+        step = saved(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "l").alias("next")))
         jump = step.select(F.col("node").alias("j"), F.col("next").alias("jump"))
         new = saved(step.join(jump, F.col("next") == F.col("j")).select("node", F.least("next", "jump").alias("new"), "label"))
         if not new.where("new <> label").limit(1).count():
