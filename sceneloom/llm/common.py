@@ -6,8 +6,6 @@ and never one Python object a row. A null text counts as the empty text in every
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from sceneloom import ship
+from sceneloom.shared import drop_at_exit, shared_dir
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1  # odd, so it has an inverse modulo 2**64
@@ -30,18 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set to a temporary one only where unset."""
-    ship(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="sceneloom-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
 def cut(df: DataFrame) -> DataFrame:
     """The rows as a reliable checkpoint in the shared folder: computed once, without the lineage before it."""
     shared_dir(df.sparkSession)
@@ -50,18 +37,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder for a table or for archives; it is deleted when the driver ends."""
-    base = shared_dir(spark)
-    path = f"{base.rstrip('/')}/sceneloom-{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            pass
-
-    atexit.register(drop)
+    path = f"{shared_dir(spark).rstrip('/')}/sceneloom-{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
     return path
 
 
