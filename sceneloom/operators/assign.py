@@ -82,14 +82,15 @@ def _boxes(g: pd.DataFrame) -> np.ndarray:
     return g[["x1", "y1", "x2", "y2"]].to_numpy(float)
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0])
-    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1])
+def _overlap(a: np.ndarray, b: np.ndarray, pixel: float = 0.0) -> np.ndarray:
+    """Areas of overlap of one box with others; with ``pixel`` 1, of boxes whose last pixels belong to them."""
+    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]) + pixel
+    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]) + pixel
     return np.maximum(w, 0) * np.maximum(h, 0)
 
 
-def _area(b: np.ndarray) -> np.ndarray:
-    return np.maximum(b[..., 2] - b[..., 0], 0) * np.maximum(b[..., 3] - b[..., 1], 0)
+def _area(b: np.ndarray, pixel: float = 0.0) -> np.ndarray:
+    return np.maximum(b[..., 2] - b[..., 0] + pixel, 0) * np.maximum(b[..., 3] - b[..., 1] + pixel, 0)
 
 
 def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
@@ -121,39 +122,55 @@ def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFr
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, df.schema)
 
 
-def suppressed(dets: DataFrame, by: list[str], iou: float, roles: bool = False) -> DataFrame:
-    """Greedy non-maximum suppression in order of score (with ``roles``: units, carriers, objects first). Tied objects of
-    equal score that overlap both go when roles count."""
+def suppressed(dets: DataFrame, by: list[str], iou: float) -> DataFrame:
+    """Greedy non-maximum suppression in order of score."""
 
     def mask(g: pd.DataFrame) -> np.ndarray:
-        b, role, score = _boxes(g), g["role"].to_numpy(), g["score"].to_numpy()
+        b = _boxes(g)
         area, alive = _area(b), np.ones(len(g), bool)
+        for i in range(len(g)):
+            if alive[i]:
+                both = _overlap(b[i], b)
+                hit = both / np.maximum(area[i] + area - both, 1e-9) > iou
+                hit[: i + 1] = False
+                alive[hit] = False
+        return alive
+
+    return kept_by(dets, by, [F.desc("score"), "det_id"], mask)
+
+
+def suppressed_by_role(dets: DataFrame, by: list[str], iou: float) -> DataFrame:
+    """Greedy suppression of units, carriers, objects in this order, each by score, across roles; boxes hold their last
+    pixels. An object that overlaps a later object of its score (within 1e-6) goes with all that it overlaps."""
+
+    def mask(g: pd.DataFrame) -> np.ndarray:
+        b, thing, score = _boxes(g), (~g["role"].isin(["U", "C"])).to_numpy(), g["score"].to_numpy()
+        area, alive = _area(b, 1.0), np.ones(len(g), bool)
         for i in range(len(g)):
             if not alive[i]:
                 continue
-            both = _overlap(b[i], b)
-            hit = (both / np.maximum(area[i] + area - both, 1e-9) > iou) & alive
+            both = _overlap(b[i], b, 1.0)
+            hit = (both / (area[i] + area - both + 1e-9) > iou) & alive
             hit[: i + 1] = False
-            if roles:
-                hit &= role == role[i]
-                if role[i] == "O" and (hit & (score == score[i])).any():
-                    alive[i] = False
+            if thing[i] and (hit & thing & (np.abs(score - score[i]) <= 1e-6)).any():
+                alive[i] = False
             alive[hit] = False
         return alive
 
-    rank = [F.when(F.col("role") == "U", 0).when(F.col("role") == "C", 1).otherwise(2)] if roles else []
-    return kept_by(dets, by, [*rank, F.desc("score"), "det_id"], mask)
+    rank = F.when(F.col("role") == "U", 0).when(F.col("role") == "C", 1).otherwise(2)
+    return kept_by(dets, by, [rank, F.desc("score"), "det_id"], mask)
 
 
 def covered_away(dets: DataFrame, by: list[str], share: float = 0.95) -> DataFrame:
-    """Drops the lower-scored of two detections of a role if one covers ``share`` of the other; units only of one label."""
+    """Drops the lower-scored of two detections of a role if one covers ``share`` of the other; units only of one label.
+    Boxes hold their last pixels."""
 
     def mask(g: pd.DataFrame) -> np.ndarray:
         b, role, label = _boxes(g), g["role"].to_numpy(), g["label"].to_numpy()
-        area, alive = _area(b), np.ones(len(g), bool)
+        area, alive = _area(b, 1.0), np.ones(len(g), bool)
         for i in range(len(g)):
             if alive[i]:
-                both = _overlap(b[i], b)
+                both = _overlap(b[i], b, 1.0)
                 hit = (both >= share * np.maximum(np.minimum(area, area[i]), 1e-9)) & (role == role[i]) & ((role != "U") | (label == label[i]))
                 hit[: i + 1] = False
                 alive[hit] = False

@@ -29,9 +29,15 @@ def with_border(dets: DataFrame, width: float = 640, height: float = 480, margin
     return dets.withColumn("sides", sum((s.cast("int") for s in sides[1:]), sides[0].cast("int"))).withColumn("border", F.col("sides") > 0)
 
 
+def inclusive_area() -> F.Column:
+    """The area of a box whose last pixels belong to it."""
+    side = lambda a, b: F.greatest(F.lit(0.0), F.col(b) - F.col(a) + 1)
+    return side("x1", "x2") * side("y1", "y2")
+
+
 def tiny_two_border(dets: DataFrame, width: float = 640, height: float = 480) -> DataFrame:
-    """Drops carriers and units that touch two sides and cover less than 1/25 of the image."""
-    share = G.area2d(G.box()) / (width * height)
+    """Drops carriers and units that touch two sides and cover less than 1/25 of the image; boxes hold their last pixels."""
+    share = inclusive_area() / (width * height)
     return with_border(dets, width, height, 3).where(~(F.col("role").isin("C", "U") & (F.col("sides") >= 2) & (share < 1 / 25)))
 
 
@@ -56,26 +62,42 @@ def parents_without_unit(dets: DataFrame, relations: DataFrame, exempt: DataFram
     return dets.where("role <> 'U'").join(has, keys, "left_anti").join(exempt, keys, "left_anti")
 
 
+def remote_exempt(dets: DataFrame, remote: list[str], allowed: DataFrame) -> DataFrame:
+    """(frame_idx, det_id) of objects whose label is a remote candidate's, and of carriers that such an object of their frame
+    may own. allowed: (child_label, parent_label)."""
+    objects = dets.where((F.col("role") == "O") & F.col("label").isin(remote)).select("frame_idx", "det_id", "label")
+    owners = objects.select("frame_idx", F.col("label").alias("parent_label")).distinct()
+    carriers = dets.where("role = 'C'").join(allowed, F.col("label") == F.col("child_label")).join(owners, ["frame_idx", "parent_label"], "left_semi")
+    return objects.select("frame_idx", "det_id").union(carriers.select("frame_idx", "det_id")).distinct()
+
+
+def best_unit_parents(relations: DataFrame) -> DataFrame:
+    """frame_idx, det_id (a unit), its best passing parent (a carrier before an object, then the greatest containment, then
+    the first), that parent's role, and ``units``, how many passing units the parent has."""
+    passing = relations.where("child_role = 'U' and pass_threshold and parent_role in ('C', 'O')")
+    units = F.count("*").over(Window.partitionBy("frame_idx", "parent_det_id"))
+    best = Window.partitionBy("frame_idx", "child_det_id").orderBy((F.col("parent_role") == "C").desc(), F.desc("contain"), "parent_det_id")
+    j = passing.withColumn("units", units).withColumn("rn", F.row_number().over(best)).where("rn = 1")
+    return j.select("frame_idx", F.col("child_det_id").alias("det_id"), "parent_det_id", "parent_role", "units")
+
+
 def small_unsure_units(dets: DataFrame, relations: DataFrame, score: float = 0.7, share: float = 0.25) -> DataFrame:
-    """Unsure units beside at least two sure siblings whose median area is more than 1/share of theirs."""
-    kids = relations.where("child_role = 'U' and pass_threshold").select("frame_idx", "parent_det_id", F.col("child_det_id").alias("det_id"))
-    j = kids.join(dets.select("frame_idx", "det_id", "score", G.area2d(G.box()).alias("area")), ["frame_idx", "det_id"])
-    w = Window.partitionBy("frame_idx", "parent_det_id")
-    sure = F.when(F.col("score") >= score, F.col("area"))
-    j = j.withColumns({"siblings": F.count("*").over(w), "sure": F.count(sure).over(w), "middle": F.percentile(sure, 0.5).over(w)})
-    return j.where((F.col("score") < score) & (F.col("siblings") > 1) & (F.col("sure") >= 2) & (F.col("area") < share * F.col("middle"))).select("frame_idx", "det_id").distinct()
+    """Units below ``score`` whose best parent has at least two units above it, whose median area is more than 1/share of
+    theirs; boxes hold their last pixels."""
+    area = dets.select("frame_idx", "det_id", "score", inclusive_area().alias("area"))
+    siblings = relations.where("child_role = 'U' and pass_threshold").select("frame_idx", "parent_det_id", F.col("child_det_id").alias("det_id")).join(area, ["frame_idx", "det_id"])
+    sure = siblings.where(F.col("score") > score).groupBy("frame_idx", "parent_det_id").agg(F.count("*").alias("sure"), F.percentile("area", 0.5).alias("middle"))
+    j = best_unit_parents(relations).join(area, ["frame_idx", "det_id"]).join(sure, ["frame_idx", "parent_det_id"])
+    return j.where((F.col("score") < score) & (F.col("units") > 1) & (F.col("sure") > 1) & (F.col("middle") > 0) & (F.col("area") < share * F.col("middle"))).select("frame_idx", "det_id")
 
 
 def border_single_units(dets: DataFrame, relations: DataFrame) -> DataFrame:
-    """What goes with a border unit that is its parent's sole passing unit: the unit, its best parent, a carrier's objects."""
-    w = Window.partitionBy("frame_idx", "parent_det_id")
-    sole = relations.where("child_role = 'U' and pass_threshold").withColumn("n", F.count("*").over(w)).where("n = 1")
-    border = with_border(dets).where("role = 'U' and border").select("frame_idx", F.col("det_id").alias("child_det_id"))
-    best = Window.partitionBy("frame_idx", "child_det_id").orderBy(F.desc("contain"), "parent_det_id")
-    hit = sole.join(border, ["frame_idx", "child_det_id"]).withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    owners = relations.where("edge_type = 'O-C' and pass_threshold").select("frame_idx", F.col("parent_det_id").alias("owner"), F.col("child_det_id").alias("carrier"))
-    up = hit.where("parent_role = 'C'").join(owners, (hit["frame_idx"] == owners["frame_idx"]) & (F.col("parent_det_id") == F.col("carrier"))).select(hit["frame_idx"], F.col("owner").alias("det_id"))
-    return hit.select("frame_idx", F.col("child_det_id").alias("det_id")).union(hit.select("frame_idx", "parent_det_id")).union(up).distinct()
+    """What goes with a border unit whose best parent has no other passing unit: the unit, that parent, a carrier's objects."""
+    border = with_border(dets).where("role = 'U' and border").select("frame_idx", "det_id")
+    hit = best_unit_parents(relations).where("units = 1").join(border, ["frame_idx", "det_id"], "left_semi")
+    owners = relations.where("edge_type = 'O-C' and pass_threshold").select("frame_idx", F.col("parent_det_id").alias("owner"), F.col("child_det_id").alias("parent_det_id"))
+    up = hit.where("parent_role = 'C'").join(owners, ["frame_idx", "parent_det_id"]).select("frame_idx", F.col("owner").alias("det_id"))
+    return hit.select("frame_idx", "det_id").union(hit.select("frame_idx", "parent_det_id")).union(up).distinct()
 
 
 def linked_or_inside(dets: DataFrame, relations: DataFrame) -> DataFrame:

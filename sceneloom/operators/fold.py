@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import vectors as V
@@ -81,6 +82,16 @@ def posteriors(evidence: DataFrame, entropy: float = 0.1, temporal: float = 0.05
     return steps.groupBy("child_node_id").applyInPandas(fold, "child_node_id string, frame_idx long, parents array<string>, odds array<double>, p array<double>")
 
 
+def switches(post: DataFrame) -> DataFrame:
+    """child_node_id, frame_idx, top (the first of the posterior: no parent before others as likely, then by name) and
+    whether it differs from what was first, by name only, a frame before."""
+    each = F.transform(F.arrays_zip("parents", "p"), lambda x: F.struct((-F.round(x["p"], 9)).alias("order"), (x["parents"] != NULL_PARENT).alias("real"), x["parents"].alias("name")))
+    plain = F.transform(each, lambda x: F.struct(x["order"].alias("order"), x["name"].alias("name")))
+    top = post.select("child_node_id", "frame_idx", F.array_min(each)["name"].alias("top"), F.array_min(plain)["name"].alias("plain"))
+    before = F.lag("plain").over(Window.partitionBy("child_node_id").orderBy("frame_idx"))
+    return top.withColumn("switched", F.coalesce(before != F.col("top"), F.lit(False))).drop("plain")
+
+
 def decisions(post: DataFrame, margin: float = 0.05) -> DataFrame:
     """The best real parent of each child after the last frame, and whether it is confirmed or provisional."""
     last = post.groupBy("child_node_id").agg(F.max_by(F.struct("parents", "odds", "p"), "frame_idx").alias("s")).select("child_node_id", "s.*")

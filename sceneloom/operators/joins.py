@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as G
 from ..functions import labels as L
+from .fixpoint import saved
 
 
 def looked_up(left: DataFrame, right: DataFrame, first: str, second: list[str], value: str) -> DataFrame:
@@ -48,18 +49,43 @@ def within(a: DataFrame, b: DataFrame, xyz_a: list[str], xyz_b: list[str], radiu
     return j.withColumn("distance", G.norm(*[F.col(x) - F.col(y) for x, y in zip(xyz_a, xyz_b, strict=True)])).where(F.col("distance") <= radius)
 
 
+RANGE_ROWS = 500_000
+
+
 def as_of(points: DataFrame, track: DataFrame, time: str, values: list[str], by: list[str] = ()) -> DataFrame:
     """points with the track's latest row at or before, and its first at or after, their time: one sort of the union, no
-    range join. Adds before_<v>, after_<v>, before_<time>, after_<time>."""
-    keyed = track.select(*by, time, F.struct(time, *values).alias("_row"), F.lit(0).alias("_kind"))
-    both = points.select(*by, time, F.lit(None).cast(keyed.schema["_row"].dataType).alias("_row"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_p")).unionByName(keyed.withColumn("_p", F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType)))
-    back = Window.partitionBy(*by).orderBy(F.col(time), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.col(time).desc(), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumns({"_b": F.last("_row", True).over(back), "_a": F.last("_row", True).over(ahead)}).where("_kind = 1")
+    range join. Adds before_<v>, after_<v>, before_<time>, after_<time>.
+
+    Without ``by`` the union is sorted into ranges of time, each a task's; what a range has of the track last and first is
+    carried over to the ranges beside it."""
     cols = [time, *values]
+    keyed = track.select(*by, time, F.struct(*cols).alias("_row"), F.lit(0).alias("_kind"))
+    row, point = keyed.schema["_row"].dataType, points.select(F.struct(*points.columns)).schema[0].dataType
+    both = points.select(*by, time, F.lit(None).cast(row).alias("_row"), F.lit(1).alias("_kind"), F.struct(*points.columns).alias("_p")).unionByName(keyed.withColumn("_p", F.lit(None).cast(point)))
+    keys = list(by)
+    if not keys:
+        both = saved(both)
+        parts = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), both.count() // RANGE_ROWS)
+        both, keys = saved(both.repartitionByRange(parts, time).withColumn("_part", F.spark_partition_id())), ["_part"]
+    back = Window.partitionBy(*keys).orderBy(F.col(time), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col(time).desc(), F.col("_kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumns({"_b": F.last("_row", True).over(back), "_a": F.last("_row", True).over(ahead)}).where("_kind = 1")
+    if not by:
+        ends = both.groupBy("_part").agg(F.max("_row").alias("_last"), F.min("_row").alias("_first"))  # a row a range
+        order = Window.orderBy("_part")
+        ends = ends.select(F.col("_part").alias("_at"), F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_from"), F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_to"))
+        seen = seen.join(F.broadcast(ends), F.col("_part") == F.col("_at")).withColumns({"_b": F.coalesce("_b", "_from"), "_a": F.coalesce("_a", "_to")})
     return seen.select("_p.*", *[F.col(f"_b.{c}").alias(f"before_{c}") for c in cols], *[F.col(f"_a.{c}").alias(f"after_{c}") for c in cols])
 
 
+def nearest(found: DataFrame, time: str, tolerance: float) -> DataFrame:
+    """What ``as_of`` gives, with the time of the nearest row, the earlier of two as near: none outside the track's range or
+    beyond the tolerance."""
+    t, a, b = F.col(time), F.col(f"before_{time}"), F.col(f"after_{time}")
+    near = F.when(t - a <= b - t, a).otherwise(b)
+    return found.where(a.isNotNull() & b.isNotNull()).withColumn(f"nearest_{time}", near).where(F.abs(F.col(f"nearest_{time}") - t) <= tolerance)
+
+
 def interpolated(found: DataFrame, time: str, values: list[str], tolerance: float) -> DataFrame:
     """What ``as_of`` gives: values between the two neighbours where both lie within the tolerance; exact ones as they are."""
     t, a, b = F.col(time), F.col(f"before_{time}"), F.col(f"after_{time}")

@@ -53,7 +53,7 @@ def border_filter(spark, sf_dir):
     return P.with_border(scene(spark, sf_dir, "detections")).where("border").select("frame_idx", "det_id", "sides")
 
 
-@query("tiny_two_border", DET + "z AS (SELECT *, (x1 <= 3)::INT + (y1 <= 3)::INT + (x2 >= 636)::INT + (y2 >= 476)::INT AS sides FROM detections) SELECT frame_idx, det_id FROM z WHERE NOT (role IN ('C', 'U') AND sides >= 2 AND (x2 - x1) * (y2 - y1) / 307200.0 < 0.04)")
+@query("tiny_two_border", DET + "z AS (SELECT *, (x1 <= 3)::INT + (y1 <= 3)::INT + (x2 >= 636)::INT + (y2 >= 476)::INT AS sides FROM detections) SELECT frame_idx, det_id FROM z WHERE NOT (role IN ('C', 'U') AND sides >= 2 AND (x2 - x1 + 1) * (y2 - y1 + 1) / 307200.0 < 0.04)")
 def tiny_two_border(spark, sf_dir):
     return P.tiny_two_border(scene(spark, sf_dir, "detections")).select("frame_idx", "det_id")
 
@@ -78,19 +78,26 @@ def unit_without_parent(spark, sf_dir):
 
 @query(
     "parent_without_unit",
-    REL + """z AS (SELECT 1) SELECT frame_idx, det_id, role FROM detections d WHERE role <> 'U' AND label <> 'wooden desk'
+    REL + """a AS (SELECT * FROM (VALUES ('fridge door', 'fridge'), ('desk drawer', 'wooden desk'), ('desk drawer', 'kitchen cabinet')) AS t(child_label, parent_label))
+    SELECT frame_idx, det_id, role FROM detections d WHERE role <> 'U' AND NOT (role = 'O' AND label = 'wooden desk')
+    AND NOT (role = 'C' AND EXISTS (SELECT 1 FROM a JOIN detections o ON o.role = 'O' AND o.label = a.parent_label WHERE a.child_label = d.label AND o.label = 'wooden desk' AND o.frame_idx = d.frame_idx))
     AND NOT EXISTS (SELECT 1 FROM relations_2d r WHERE r.frame_idx = d.frame_idx AND r.parent_det_id = d.det_id AND r.child_role = 'U' AND r.pass_threshold)""",
 )
 def parent_without_unit(spark, sf_dir):
+    """Objects and carriers without a passing unit; remote candidates stay, and carriers that one of them may own."""
     d = scene(spark, sf_dir, "detections")
-    return P.parents_without_unit(d, scene(spark, sf_dir, "relations_2d"), d.where("label = 'wooden desk'").select("frame_idx", "det_id")).select("frame_idx", "det_id", "role")
+    owners = spark.createDataFrame([("fridge door", "fridge"), ("desk drawer", "wooden desk"), ("desk drawer", "kitchen cabinet")], "child_label string, parent_label string")
+    return P.parents_without_unit(d, scene(spark, sf_dir, "relations_2d"), P.remote_exempt(d, ["wooden desk"], owners)).select("frame_idx", "det_id", "role")
+
+
+_BEST = """k AS (SELECT r.*, d.score, (d.x2 - d.x1 + 1) * (d.y2 - d.y1 + 1) AS area, count(*) OVER (PARTITION BY r.frame_idx, r.parent_det_id) AS units FROM relations_2d r JOIN detections d ON d.frame_idx = r.frame_idx AND d.det_id = r.child_det_id WHERE r.child_role = 'U' AND r.pass_threshold),
+    best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY frame_idx, child_det_id ORDER BY CASE parent_role WHEN 'C' THEN 0 ELSE 1 END, contain DESC, parent_det_id) = 1)"""
 
 
 @query(
     "small_unit_rule",
-    REL + """k AS (SELECT r.frame_idx, r.parent_det_id, r.child_det_id AS det_id, d.score, (d.x2 - d.x1) * (d.y2 - d.y1) AS area FROM relations_2d r JOIN detections d ON d.frame_idx = r.frame_idx AND d.det_id = r.child_det_id WHERE r.child_role = 'U' AND r.pass_threshold),
-    w AS (SELECT *, count(*) OVER p AS n, count(CASE WHEN score >= 0.7 THEN 1 END) OVER p AS sure, quantile_cont(CASE WHEN score >= 0.7 THEN area END, 0.5) OVER p AS mid FROM k WINDOW p AS (PARTITION BY frame_idx, parent_det_id))
-    SELECT DISTINCT frame_idx, det_id FROM w WHERE score < 0.7 AND n > 1 AND sure >= 2 AND area < 0.5 * mid""",
+    REL + _BEST + """, m AS (SELECT frame_idx, parent_det_id, count(*) AS sure, median(area) AS mid FROM k WHERE score > 0.7 GROUP BY ALL)
+    SELECT frame_idx, child_det_id AS det_id FROM best JOIN m USING (frame_idx, parent_det_id) WHERE score < 0.7 AND units > 1 AND sure > 1 AND mid > 0 AND area < 0.5 * mid""",
 )
 def small_unit_rule(spark, sf_dir):
     return P.small_unsure_units(scene(spark, sf_dir, "detections"), scene(spark, sf_dir, "relations_2d"), share=0.5)
@@ -98,10 +105,7 @@ def small_unit_rule(spark, sf_dir):
 
 @query(
     "border_single_unit",
-    REL + """b AS (SELECT frame_idx, det_id FROM detections WHERE role = 'U' AND (x1 <= 2 OR y1 <= 2 OR x2 >= 637 OR y2 >= 477)),
-    s AS (SELECT *, count(*) OVER (PARTITION BY frame_idx, parent_det_id) AS n FROM relations_2d WHERE child_role = 'U' AND pass_threshold),
-    h AS (SELECT s.*, row_number() OVER (PARTITION BY s.frame_idx, s.child_det_id ORDER BY contain DESC, parent_det_id) AS rn FROM s JOIN b ON b.frame_idx = s.frame_idx AND b.det_id = s.child_det_id WHERE n = 1),
-    g AS (SELECT * FROM h WHERE rn = 1)
+    REL + _BEST + """, g AS (SELECT best.* FROM best JOIN detections d ON d.frame_idx = best.frame_idx AND d.det_id = best.child_det_id WHERE units = 1 AND (d.x1 <= 2 OR d.y1 <= 2 OR d.x2 >= 637 OR d.y2 >= 477))
     SELECT frame_idx, child_det_id AS det_id FROM g UNION SELECT frame_idx, parent_det_id FROM g
     UNION SELECT g.frame_idx, r.parent_det_id FROM g JOIN relations_2d r ON r.frame_idx = g.frame_idx AND r.edge_type = 'O-C' AND r.pass_threshold AND r.child_det_id = g.parent_det_id WHERE g.parent_role = 'C'""",
 )
@@ -273,3 +277,24 @@ def sanitized_atlas(spark, sf_dir):
     n = scene(spark, sf_dir, "nodes").where(~F.col("label").isin("fridge") & ~L.generic(F.col("label")))
     w = Window.partitionBy("role", "label").orderBy("n")
     return n.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= F.when(F.col("role") == "O", 12).otherwise(2)).select("role", "label", "n")
+
+
+_WORDS = "SELECT * FROM (VALUES ('kitchen'), ('home'), ('electric'), ('misc'), ('wooden'), ('generics'), ('')) AS m(modifier) CROSS JOIN (VALUES ('utensils'), ('utensil holder'), ('appliances'), ('device'), ('stuff'), ('boxes'), ('box'), ('furniture'), ('things'), ('item'), ('knife'), ('tableware'), ('countertop')) AS n(noun)"
+
+
+_NOUNS = "['appliance', 'device', 'equipment', 'utensil', 'tool', 'object', 'thing', 'item', 'stuff', 'kitchenware', 'tableware', 'furniture']"
+
+
+@query(
+    "generic_labels",
+    "WITH w AS (" + _WORDS + """), l AS (SELECT DISTINCT trim(modifier || ' ' || noun) AS label FROM w UNION SELECT DISTINCT lower(trim(p_name)) FROM part),
+    t AS (SELECT label, string_split(label, ' ') AS t FROM l),
+    x AS (SELECT label, t, list_transform(t, lambda v: CASE WHEN v LIKE '%es' AND length(v) > 4 THEN CASE WHEN list_contains({nouns}, v[:-3]) THEN v[:-3] WHEN list_contains({nouns}, v[:-2]) THEN v[:-2] ELSE v[:-3] END WHEN v LIKE '%s' AND length(v) > 3 THEN v[:-2] ELSE v END) AS s FROM t),
+    y AS (SELECT label, len(t) AS n, s[-1] AS last, len(list_filter(s[:-2], lambda v: NOT list_contains(['kitchen', 'home', 'household', 'electric', 'electrical', 'generic', 'misc'], v))) AS odd FROM x)
+    SELECT label, label IN ('appliance', 'box', 'cardboard box', 'container', 'counter top', 'countertop', 'equipment', 'device', 'furniture', 'utensil', 'tool', 'object', 'thing', 'home appliance', 'kitchenware', 'tableware')
+        OR (n <= 3 AND list_contains({nouns}, last) AND odd = 0) OR (n = 2 AND last IN ('object', 'thing', 'item')) AS generic FROM y""".replace("{nouns}", _NOUNS),
+)
+def generic_labels(spark, sf_dir):
+    """Which labels name no concrete object, over phrases and all part names."""
+    l = spark.sql(_WORDS).select(F.trim(F.concat_ws(" ", "modifier", "noun")).alias("label")).union(scene(spark, sf_dir, "part").select(F.lower(F.trim("p_name")))).distinct()
+    return l.select("label", L.generic(F.col("label")).alias("generic"))

@@ -93,12 +93,11 @@ _POSE = with_sql("pose_track", "frame_times") + """b AS (SELECT f.frame_idx, f.t
     a AS (SELECT b.*, p.t_us AS nt, p.tx AS atx, p.rz AS arz FROM b ASOF LEFT JOIN pose_track p ON b.t_us <= p.t_us)"""
 
 
-@query("pose_asof", _POSE + " SELECT frame_idx, CASE WHEN nt IS NULL OR (bt IS NOT NULL AND t_us - bt <= nt - t_us) THEN bt ELSE nt END AS pose_us FROM a WHERE bt IS NOT NULL OR nt IS NOT NULL")
+@query("pose_asof", _POSE + " SELECT frame_idx, CASE WHEN t_us - bt <= nt - t_us THEN bt ELSE nt END AS pose_us FROM a WHERE bt IS NOT NULL AND nt IS NOT NULL AND least(t_us - bt, nt - t_us) <= 15e8")
 def pose_asof(spark, sf_dir):
-    """The nearest pose of each frame, the earlier of two as near."""
+    """The nearest pose of each frame within the track's range and the tolerance, the earlier of two as near."""
     f = J.as_of(scene(spark, sf_dir, "frame_times"), scene(spark, sf_dir, "pose_track"), "t_us", ["tx"])
-    t, a, b = F.col("t_us"), F.col("before_t_us"), F.col("after_t_us")
-    return f.where(a.isNotNull() | b.isNotNull()).select("frame_idx", F.when(b.isNull() | (t - a <= b - t), a).otherwise(b).alias("pose_us"))
+    return J.nearest(f, "t_us", 15e8).select("frame_idx", F.col("nearest_t_us").alias("pose_us"))
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..fixtures import scene, with_sql
 from ..functions import geometry as G
@@ -75,13 +74,11 @@ _POST = """e AS (SELECT frame_idx, child_node_id AS c, parent_node_id AS p, s2d_
                 (SELECT ls.c, ls.t, ls.frame_idx, ls.ps, ls.os, list_transform(ls.ps, lambda k: coalesce(fold.q[list_position(fold.ps, k)], 1.0::DOUBLE / len(ls.ps))) AS b FROM fold JOIN ls ON ls.c = fold.c AND ls.t = fold.t + 1))))"""
 
 
-@query("posterior_fold", with_sql("edge_candidates", recursive=True) + _POST + " SELECT c AS child_node_id, frame_idx, len(ps) AS parents, round(list_max(q), 6) AS top FROM fold WHERE t % 5 = 0")
+@query("posterior_fold", with_sql("edge_candidates", recursive=True) + _POST + " SELECT c AS child_node_id, frame_idx, len(ps) AS parents, round(list_max(q), 6) AS top FROM fold")
 def posterior_fold(spark, sf_dir):
     """The posterior of every child's parents, frame by frame."""
     e = scene(spark, sf_dir, "edge_candidates").where("edge_type in ('O-C', 'O-U')").select("frame_idx", "child_node_id", "parent_node_id", "s2d_score")
-    at = e.select("frame_idx").distinct().withColumn("t", F.row_number().over(Window.orderBy("frame_idx"))).where("t % 5 = 0").select(F.col("frame_idx").alias("f"))
-    h = T.posteriors(e)
-    return h.join(F.broadcast(at), F.col("frame_idx") == F.col("f")).select("child_node_id", "frame_idx", F.size("p").cast("long").alias("parents"), F.round(F.array_max("p"), 6).alias("top"))
+    return T.posteriors(e).select("child_node_id", "frame_idx", F.size("p").cast("long").alias("parents"), F.round(F.array_max("p"), 6).alias("top"))
 
 
 @query(
@@ -97,12 +94,15 @@ def parent_decision(spark, sf_dir):
 
 @query(
     "parent_switches",
-    with_sql("edge_candidates") + "b AS (SELECT child_node_id, frame_idx, max_by(parent_node_id, (s2d_score, parent_node_id)) AS top FROM edge_candidates WHERE s2d_score IS NOT NULL GROUP BY ALL), l AS (SELECT *, lag(top) OVER (PARTITION BY child_node_id ORDER BY frame_idx) AS before FROM b) SELECT child_node_id, frame_idx, top, coalesce(top <> before, false) AS switched FROM l",
+    with_sql("edge_candidates", recursive=True) + _POST + """, u AS (SELECT c, t, frame_idx, unnest(ps) AS p, round(unnest(q), 9) AS q FROM fold),
+    n AS (SELECT c, t, any_value(frame_idx) AS frame_idx, first(p ORDER BY q DESC, p <> '__no_parent__', p) AS top, first(p ORDER BY q DESC, p) AS plain FROM u GROUP BY c, t),
+    l AS (SELECT *, lag(plain) OVER (PARTITION BY c ORDER BY t) AS before FROM n)
+    SELECT c AS child_node_id, frame_idx, top, coalesce(before <> top, false) AS switched FROM l""",
 )
 def parent_switches(spark, sf_dir):
-    """The best parent of each frame and whether it differs from the frame before."""
-    b = scene(spark, sf_dir, "edge_candidates").where("s2d_score is not null").groupBy("child_node_id", "frame_idx").agg(F.max(F.struct("s2d_score", "parent_node_id"))["parent_node_id"].alias("top"))
-    return b.withColumn("switched", F.coalesce(F.col("top") != F.lag("top").over(Window.partitionBy("child_node_id").orderBy("frame_idx")), F.lit(False)))
+    """The first of each frame's posterior and whether it differs from the frame before."""
+    e = scene(spark, sf_dir, "edge_candidates").where("edge_type in ('O-C', 'O-U')").select("frame_idx", "child_node_id", "parent_node_id", "s2d_score")
+    return T.switches(T.posteriors(e))
 
 
 @query(
@@ -173,12 +173,12 @@ def eval_matching(spark, sf_dir):
     return recall(hits.select("role", "gt"), g.select("role", "gt"), ["role"])
 
 
-def _greedy(order: str, conflict: str, tied: str = "false", columns: str = "d.frame_idx, d.det_id, d.role") -> str:
+def _greedy(order: str, conflict: str, tied: str = "false", columns: str = "d.frame_idx, d.det_id, d.role", pixel: int = 1) -> str:
     """SQL of greedy suppression: detections in order, each alive one drops its later conflicts (and itself if one is tied)."""
     return (
         with_sql("detections", recursive=True)
-        + f"""d AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY {order}) AS rn, ((x2 - x1) * (y2 - y1))::DOUBLE AS area FROM detections),
-    j AS (SELECT a.frame_idx, a.rn, b.rn AS other, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, a.area AS aa, b.area AS ba, a.role AS ar, b.role AS br, a.label AS al, b.label AS bl, a.score AS sa, b.score AS sb FROM d a JOIN d b ON a.frame_idx = b.frame_idx AND b.rn > a.rn),
+        + f"""d AS (SELECT *, row_number() OVER (PARTITION BY frame_idx ORDER BY {order}) AS rn, ((x2 - x1 + {pixel}) * (y2 - y1 + {pixel}))::DOUBLE AS area FROM detections),
+    j AS (SELECT a.frame_idx, a.rn, b.rn AS other, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1) + {pixel}) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1) + {pixel}) AS i, a.area AS aa, b.area AS ba, a.role AS ar, b.role AS br, a.label AS al, b.label AS bl, a.score AS sa, b.score AS sb FROM d a JOIN d b ON a.frame_idx = b.frame_idx AND b.rn > a.rn),
     c AS (SELECT frame_idx, rn, list(other) FILTER ({conflict}) AS later, list(other) FILTER ({conflict} AND {tied}) AS ties FROM j GROUP BY ALL),
     f(frame_idx, rn, gone) AS (SELECT DISTINCT frame_idx, 0::BIGINT, []::BIGINT[] FROM d UNION ALL SELECT f.frame_idx, f.rn + 1, CASE WHEN list_contains(f.gone, f.rn + 1) THEN f.gone
         ELSE list_concat(list_concat(f.gone, coalesce(c.later, [])), CASE WHEN len(list_filter(coalesce(c.ties, []), lambda x: NOT list_contains(f.gone, x))) > 0 THEN [f.rn + 1] ELSE [] END) END
@@ -188,15 +188,16 @@ def _greedy(order: str, conflict: str, tied: str = "false", columns: str = "d.fr
     )
 
 
-@query("nms", _greedy("score DESC, det_id", "i / greatest(aa + ba - i, 1e-9) > 0.5", columns="d.frame_idx, d.det_id"))
+@query("nms", _greedy("score DESC, det_id", "i / greatest(aa + ba - i, 1e-9) > 0.5", columns="d.frame_idx, d.det_id", pixel=0))
 def nms(spark, sf_dir):
     """Greedy suppression in each frame, by score."""
     return O.suppressed(scene(spark, sf_dir, "detections"), ["frame_idx"], 0.5).select("frame_idx", "det_id")
 
 
-@query("role_nms", _greedy("CASE role WHEN 'U' THEN 0 WHEN 'C' THEN 1 ELSE 2 END, score DESC, det_id", "ar = br AND i / greatest(aa + ba - i, 1e-9) > 0.3", "ar = 'O' AND sa = sb"))
+@query("role_nms", _greedy("CASE role WHEN 'U' THEN 0 WHEN 'C' THEN 1 ELSE 2 END, score DESC, det_id", "i / (aa + ba - i + 1e-9) > 0.3", "ar = 'O' AND br = 'O' AND abs(sa - sb) <= 1e-6"))
 def role_nms(spark, sf_dir):
-    return O.suppressed(scene(spark, sf_dir, "detections"), ["frame_idx"], 0.3, roles=True).select("frame_idx", "det_id", "role")
+    """Units suppress carriers and objects, carriers objects; two objects of one score that overlap both go."""
+    return O.suppressed_by_role(scene(spark, sf_dir, "detections"), ["frame_idx"], 0.3).select("frame_idx", "det_id", "role")
 
 
 @query("coverage_suppression", _greedy("score DESC, det_id", "ar = br AND (ar <> 'U' OR al = bl) AND i >= 0.95 * greatest(least(aa, ba), 1e-9)"))

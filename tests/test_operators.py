@@ -15,8 +15,10 @@ from sceneloom.functions import geometry as G
 from sceneloom.functions import labels as L
 from sceneloom.functions import texts as X
 from sceneloom.operators import assign as O
+from sceneloom.operators import filters as Q
 from sceneloom.operators import fixpoint as P
 from sceneloom.operators import fold as T
+from sceneloom.operators import joins as J
 from sceneloom.operators import windows as W
 from sceneloom.plans import mapping as M
 from sceneloom.sources import files as S
@@ -316,3 +318,66 @@ def test_label_norm_of_whole_texts(spark, sf_dir, tmp_path):
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: (r["prior"], r["hash"], r["md5"]) for r in QUERIES["label_norm_whole"](spark, str(tmp_path)).collect()}
     assert got == {n: (("a b c d " * 10 + ("one", "two")[n]), hashlib.sha256(t.encode()).hexdigest(), hashlib.md5(t.encode()).hexdigest()) for n, t in enumerate(texts)}
+
+
+def _relations(spark, rows):
+    """rows: parent, child, parent_role, child_role, contain; all of frame 1 and passing."""
+    return spark.createDataFrame([(1, p, c, a, b, f"{a}-{b}", float(x), True) for p, c, a, b, x in rows], "frame_idx long, parent_det_id long, child_det_id long, parent_role string, child_role string, edge_type string, contain double, pass_threshold boolean")
+
+
+def test_role_suppression_crosses_roles(spark):
+    """A carrier with an object's box suppresses it; two objects of one score that overlap both go, with what the first overlaps."""
+    rows = [(1, 0, "O", 0.9, 0, 0, 99, 99), (1, 1, "C", 0.3, 0, 0, 99, 99), (2, 0, "O", 0.5, 0, 0, 99, 99), (2, 1, "O", 0.5 + 5e-7, 0, 0, 99, 90), (2, 2, "O", 0.4, 0, 0, 99, 95), (3, 0, "O", 0.5, 0, 0, 99, 99), (3, 1, "O", 0.4, 0, 0, 99, 99), (4, 0, "U", 0.5, 0, 0, 9, 9), (4, 1, "U", 0.4, 7, 0, 16, 9)]
+    d = spark.createDataFrame(rows, "frame_idx long, det_id long, role string, score double, x1 long, y1 long, x2 long, y2 long")
+    got = sorted((r["frame_idx"], r["det_id"]) for r in O.suppressed_by_role(d, ["frame_idx"], 0.17).collect())
+    assert got == [(1, 1), (3, 0), (4, 0)]  # 30 of 170 inclusive pixels are more than 0.17
+    assert (4, 1) in [(r["frame_idx"], r["det_id"]) for r in O.suppressed_by_role(d, ["frame_idx"], 0.18).collect()]
+
+
+def test_units_are_judged_by_their_best_parent(spark):
+    """A carrier before an object that contains more; a score equal to the threshold is not sure."""
+    box = lambda i, role, score, side: (1, i, role, score, 100, 100, 100 + side - 1, 100 + side - 1)
+    d = spark.createDataFrame([box(0, "O", 0.9, 300), box(1, "C", 0.9, 200), box(2, "U", 0.5, 10), box(3, "U", 0.8, 40), box(4, "U", 0.9, 60), box(5, "U", 0.7, 40)], "frame_idx long, det_id long, role string, score double, x1 long, y1 long, x2 long, y2 long")
+    by_carrier = [(1, 2, "C", "U", 0.6), (0, 2, "O", "U", 0.9)]
+    sure = lambda p, role: [(p, 3, role, "U", 0.9), (p, 4, role, "U", 0.9)]
+    small = lambda rows: [r["det_id"] for r in Q.small_unsure_units(d, _relations(spark, rows)).collect()]
+    assert small(by_carrier + sure(1, "C")) == [2]
+    assert small(by_carrier + sure(0, "O")) == []  # the object is not its best parent
+    assert small([(0, 2, "O", "U", 0.9)] + sure(0, "O")) == [2]
+    assert small([(1, 2, "C", "U", 0.6), (1, 3, "C", "U", 0.9), (1, 5, "C", "U", 0.9)]) == []  # one sure sibling only
+
+
+def test_border_unit_of_its_best_parent(spark):
+    d = spark.createDataFrame([(1, 0, "O", 10, 10, 300, 300), (1, 1, "C", 10, 10, 200, 200), (1, 2, "U", 0, 10, 20, 20), (1, 3, "U", 50, 50, 60, 60), (1, 4, "O", 5, 5, 400, 400)], "frame_idx long, det_id long, role string, x1 long, y1 long, x2 long, y2 long")
+    gone = lambda rows: sorted(r["det_id"] for r in Q.border_single_units(d, _relations(spark, rows)).collect())
+    assert gone([(1, 2, "C", "U", 0.6), (0, 2, "O", "U", 0.9), (4, 1, "O", "C", 0.9)]) == [1, 2, 4]
+    # the best parent, a carrier, has another unit: the sole object is no reason
+    assert gone([(1, 2, "C", "U", 0.6), (1, 3, "C", "U", 0.9), (0, 2, "O", "U", 0.9)]) == []
+
+
+def test_remote_candidates_are_exempt(spark):
+    d = spark.createDataFrame([(1, 0, "O", "lamp"), (1, 1, "C", "panel"), (2, 0, "C", "panel"), (1, 2, "O", "desk")], "frame_idx long, det_id long, role string, label string")
+    allowed = spark.createDataFrame([("panel", "lamp")], "child_label string, parent_label string")
+    assert sorted(map(tuple, Q.remote_exempt(d, ["lamp"], allowed).collect())) == [(1, 0), (1, 1)]
+
+
+def test_nearest_pose_keeps_range_and_tolerance(spark, monkeypatch):
+    monkeypatch.setattr(J, "RANGE_ROWS", 3)
+    track = [(t, float(t)) for t in (10, 20, 40, 100)]
+    p = spark.createDataFrame([(t,) for t in (5, 10, 15, 29, 33, 60, 81, 100, 101)], "t long")
+    f = J.as_of(p, spark.createDataFrame(track, "t long, x double"), "t", ["x"])
+    assert sorted((r["t"], r["before_x"], r["after_x"]) for r in f.where("t = 60 or t = 100").collect()) == [(60, 40.0, 100.0), (100, 100.0, 100.0)]
+    assert sorted((r["t"], r["nearest_t"]) for r in J.nearest(f, "t", 19).collect()) == [(10, 10), (15, 10), (29, 20), (33, 40), (81, 100), (100, 100)]
+
+
+def test_generic_labels(spark):
+    want = {"electric device": True, "stuff": True, "box": True, "cardboard box": True, "office furniture": False, "kitchen utensils": True, "utensil holder": False, "dishwasher": False, "red thing": True, "": True, "counter top": True, "household kitchen appliances": True}
+    got = spark.createDataFrame([(x,) for x in want], "l string").select("l", L.generic(F.col("l")).alias("g")).collect()
+    assert {r["l"]: r["g"] for r in got} == want
+
+
+def test_switches_follow_the_posterior(spark):
+    """A parent that scores best in one frame does not come first while another's evidence outweighs it."""
+    rows = [(1, "U1", "A", 0.95), (2, "U1", "B", 0.7), (3, "U1", "B", 0.9999), (4, "U1", "B", None)]
+    out = T.switches(T.posteriors(spark.createDataFrame(rows, "frame_idx long, child_node_id string, parent_node_id string, s2d_score double"))).orderBy("frame_idx").collect()
+    assert [(r["frame_idx"], r["top"], r["switched"]) for r in out] == [(1, "A", False), (2, "A", False), (3, "B", True), (4, "B", False)]
