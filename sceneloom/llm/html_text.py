@@ -1,14 +1,18 @@
 """HTML main text by minimum-cut labelling.
 
-A page is read into blocks: runs of text between block-level tags, each with its open elements. A linear classifier on
-a block's elements, their class, id and role words, its link density and its prose gives a cost for either label, which
-become capacities to the source (content) and the sink (boilerplate). A word of boilerplate in a class, id or role is one
-cost among the others: prose and neighbours can outweigh it, and it counts neither where the element holds an article or
-main, nor beside a word of content, nor after a word of state (with-sidebar). Edges between neighbouring blocks, and between
-blocks of one parent, make it dear to cut close blocks apart. The maximum flow separates the two: what the source still
-reaches is the article.
-
-Blocks whose own capacity is at least that of all their edges have their label in every minimum cut; they are settled
+A page is read into blocks: runs of text between block-level tags, each with its open elements. The graph has a node for
+each block and for each element that divides a page. A linear classifier gives a block the cost of either label, which
+become its capacities to the source (content) and the sink (boilerplate), from its text alone: length, end, links, tag, and
+words of boilerplate in a class, id or role around it, by how sure they are. What an element's tag says for certain
+(article and main, or menus, footers, forms and the like) is the element's capacity. Smoothness edges lead from a block to
+the next one and to the element that holds it, and from an element to the one around it (DOM proximity). The maximum flow
+separates the two: blocks that the source still reaches are the article. So a short line in an article is kept and prose
+in a footer is not, because of their edges and against their own costs.
+
+A tag or word of boilerplate counts for nothing where its element holds an article or main, beside a word of content, or
+after a word of state (with-sidebar).
+
+Nodes whose own capacity is at least that of all their edges have their label in every minimum cut; they are settled
 first and their edges folded into their neighbours' capacities, so that flow is pushed only where it decides.
 
 Defined results: a null or empty html has an empty text; broken markup is read as browsers do where that is simple (an
@@ -30,6 +34,8 @@ from pyspark.sql import DataFrame
 
 from sceneloom import ship
 
+from .common import slices
+
 # HTML's element names by their part in a page, and words of class, id and role that authors use.
 BLOCK = frozenset("address article aside blockquote body br button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li link main menu meta nav noframes noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead tr ul video audio canvas svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,26 +45,30 @@ FOREIGN = frozenset("svg math".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SCOPE = frozenset("html body table td th article section div main button form nav aside footer header blockquote".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu search fieldset head".split())
-BAD_WORDS = frozenset("nav navbar navigation menu menubar header masthead footer foot bottom sidebar aside side breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted share sharing social comment comments commentlist disqus discussion reply replies respond related recommended recommendations subscribe subscription newsletter popup modal overlay login signin signup register form widget toolbar pagination pager copyright legal disclaimer contentinfo complementary skip hidden".split())
+BAD_WORDS = frozenset("nav navbar navigation menu menubar masthead footer foot sidebar aside breadcrumb breadcrumbs cookie cookies consent gdpr banner ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted share sharing social comment comments commentlist disqus respond related recommended recommendations subscribe subscription newsletter popup modal login signin signup pagination pager contentinfo".split())
+LOOSE_WORDS = frozenset("header bottom side notice notices notification alert discussion reply replies overlay register form widget toolbar copyright legal disclaimer complementary skip hidden".split())
 GOOD_WORDS = frozenset("article content main post entry story body text prose maincontent articlebody postbody".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+SECTIONS = frozenset("article main section nav aside header footer div body form".split())
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 ENDS = re.compile(r"</(%s)(?=[\s/>])" % "|".join(sorted(RAW)), re.I)
 NEXT = {tag: re.compile(r"<(/?)%s(?=[\s/>])" % tag, re.I) for tag in APART}
 
-SURE, ARTICLE, WORDY, NEAR, PARENT, FAR = 8.0, 4.0, 4.0, 1.0, 0.5, 0.25
+SURE = 1e6  # of what a tag says for certain
+WORD, LOOSE = 4.0, 1.0  # costs of words
+NEXT_TO, ACROSS, HELD, IN, UP = 1.0, 0.25, 5.0, 1.0, 0.75  # edges: to the next block, if in another section; to the element that holds it, if that is certain or not; to the element around
 STATE = frozenset("with without has have no is".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "own", "bad", "holds", "lean", "wordy", "article", "link", "section")
+    __slots__ = ("tag", "parent", "hidden", "good", "cost", "holds", "article", "link", "section", "sure", "word", "group")
 
     def __init__(self, tag: str, raw: str, parent: Element | None):
         self.tag, self.parent = tag, parent
         words: set[str] = set()
-        hidden = False
+        self.hidden = False
         if raw and raw.strip(" /"):
             for name, value in ATTRIBUTE.findall(raw):
                 name, value = name.lower(), value.strip("\"'")
@@ -72,29 +82,30 @@ class Element:
                             before = w
                         words.add(part.lower())
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-                    hidden = True
+                    self.hidden = True
         self.article = (parent is not None and parent.article) or tag in ("article", "main")
         self.link = (parent is not None and parent.link) or tag == "a"
-        self.own, self.bad, self.holds = 0.0, False, False
-        if tag in BOILERPLATE or tag in APART or hidden or (tag == "header" and not self.article):
-            self.own = -SURE
-        elif tag in ("article", "main"):
-            self.own = ARTICLE
+        self.holds = False
+        self.good = bool(words & GOOD_WORDS)
+        self.cost = 0.0 if self.good or tag in ("html", "body") else WORD if words & BAD_WORDS else LOOSE if words & LOOSE_WORDS else 0.0
+        if tag in ("article", "main"):
             above = parent
             while above is not None and not above.holds:
                 above.holds, above = True, above.parent
-        elif words and tag not in ("html", "body"):
-            good = bool(words & GOOD_WORDS)
-            self.bad = bool(words & BAD_WORDS) and not good
-            if good and (tag in ("p", "h1") or not words & BAD_WORDS):
-                self.own = ARTICLE / 2
-        self.section = self if tag in ("article", "main", "section", "nav", "aside", "header", "footer", "div", "body", "form") else parent.section if parent is not None else self
+        self.section = self if parent is None or tag in SECTIONS else parent.section
 
     def settle(self) -> None:
-        """The lean, once the page is read and the parent's is known: words count against what holds no article."""
-        above, wordy = (self.parent.lean, self.parent.wordy) if self.parent is not None else (0.0, False)
-        self.wordy = wordy or (self.bad and not self.holds)
-        self.lean = -SURE if self.own == -SURE or above == -SURE else -WORDY if self.wordy else max(self.own, above)
+        """The element's capacity, the cost of words in it, and the node that its blocks hang on, once the page is read and
+        the parent's are known."""
+        above = self.parent
+        boilerplate = self.hidden or self.tag in BOILERPLATE or self.tag in APART or (self.tag == "header" and not self.article)
+        self.sure = SURE if self.tag in ("article", "main") else -SURE if boilerplate and not self.holds else 0.0
+        cost = 0.0 if self.holds else self.cost
+        self.word = 0.0 if self.sure > 0 else max(cost, above.word if above is not None else 0.0)
+        node = self.sure != 0 or cost > 0 or (self.section is self and not above.group.sure) if above is not None else True
+        if above is not None and above.group.sure < 0 and self.sure <= 0:
+            node = False
+        self.group = self if node else above.group
 
 
 def blocks(page: str) -> list[tuple[str, Element, float]]:
@@ -182,22 +193,20 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
 
 
 def leaning(text: str, element: Element, links: float) -> float:
-    """The classifier's log odds that a block is content."""
-    if element.lean == -SURE:
-        return -SURE
-    score = element.lean
+    """The classifier's log odds that a block is content, from its text and the words around it."""
+    n = text.count(" ") + 1
+    score = 1.5 if n >= 20 else 0.5 if n >= 8 else -1.0
+    score += 0.5 if text[-1] in ".!?…\"”»" else -0.25
     score -= 3.0 * links * (links > 0.5)
-    if not element.article or element.wordy:
-        n = text.count(" ") + 1
-        score += 1.5 if n >= 20 else 0.5 if n >= 8 else -1.0
-        score += 0.5 if text[-1] in ".!?…\"”»" else -0.25
-        if element.tag == "p":
-            score += 0.5
-        elif element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td"):
-            score += 0.75
-        elif element.tag == "li":
-            score -= 0.5
-    return score
+    if element.tag == "p":
+        score += 0.5
+    elif element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td"):
+        score += 0.75
+    elif element.tag == "li":
+        score -= 0.5
+    if element.good and element.tag in ("p", "h1"):
+        score += 2.0
+    return score - element.word
 
 
 def max_flow_side(capacity: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -252,21 +261,33 @@ def max_flow_side(capacity: list[float], edges: list[tuple[int, int, float]]) ->
     return [bool(x) for x in side]
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
+def graph(found: list[tuple[str, Element, float]]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Capacities of the blocks' nodes, then of their elements', and the edges."""
     capacity = [leaning(*b) for b in found]
     edges: list[tuple[int, int, float]] = []
-    last: dict[int, int] = {}
+    at: dict[int, int] = {}
+
+    def node(e: Element) -> int:
+        if (i := at.get(id(e))) is None:
+            i = at[id(e)] = len(capacity)
+            capacity.append(e.sure)
+            if not e.sure and e.parent is not None:
+                edges.append((i, node(e.parent.group), UP))
+        return i
+
     for i, (_, e, _) in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEAR if found[i - 1][1].section is e.section else FAR))
-        if (j := last.get(id(e.section))) is not None:
-            edges.append((j, i, PARENT))
-        last[id(e.section)] = i
-    side = max_flow_side(capacity, edges)
-    return " ".join(b[0] for b, kept in zip(found, side, strict=True) if kept)
+            edges.append((i - 1, i, NEXT_TO if found[i - 1][1].section is e.section else ACROSS))
+        edges.append((i, node(e.group), HELD if e.group.sure else IN))
+    return capacity, edges
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    if not found:
+        return ""
+    side = max_flow_side(*graph(found))
+    return " ".join(b[0] for b, kept in zip(found, side) if kept)
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -275,8 +296,9 @@ def extracted(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            for piece in slices(batch, "html"):
+                texts = [main_text(h.as_py()) for h in piece.column("html")]
+                yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
     return pages.select("page_id", "url", "html").mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
