@@ -34,8 +34,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "edge_candidates": (
         ("lineitem",),
-        """SELECT *, concat(parent_role, '-', child_role) AS edge_type, concat(parent_role, lpad(cast(pn AS string), 6, '0')) AS parent_node_id,
-            concat(child_role, lpad(cast(cn AS string), 6, '0')) AS child_node_id, concat('f', lpad(cast(frame_idx AS string), 6, '0')) AS frame_key
+        """SELECT *, concat(parent_role, '-', child_role) AS edge_type, concat(parent_role, lpad(cast(pn AS string), 9, '0')) AS parent_node_id,
+            concat(child_role, lpad(cast(cn AS string), 9, '0')) AS child_node_id, concat('f', lpad(cast(frame_idx AS string), 6, '0')) AS frame_key
         FROM (SELECT cast(floor(l_orderkey / cast(500 AS double)) AS bigint) AS frame_idx, ((l_orderkey * 100000 + l_partkey) * 10 + l_linenumber) * 10000 + l_suppkey AS evidence_id,
             CASE l_suppkey % 2 WHEN 0 THEN 'O' ELSE 'C' END AS parent_role,
             CASE WHEN l_suppkey % 2 = 0 AND l_partkey % 40 < 10 THEN 'C' ELSE 'U' END AS child_role,
@@ -49,7 +49,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "nodes": (
         ("part",),
-        """SELECT n, role, concat(role, lpad(cast(n AS string), 6, '0')) AS node_id,
+        """SELECT n, cast(floor(n / cast(120 AS double)) AS bigint) AS scene, role, concat(role, lpad(cast(n AS string), 9, '0')) AS node_id,
             CASE role WHEN 'O' THEN CASE n % 3 WHEN 0 THEN 'kitchen cabinet' WHEN 1 THEN 'fridge' ELSE 'wooden desk' END
             WHEN 'C' THEN CASE n % 3 WHEN 0 THEN 'cabinet door' WHEN 1 THEN 'fridge door' ELSE 'desk drawer' END
             ELSE CASE n % 3 WHEN 0 THEN 'handle' WHEN 1 THEN 'door handle' ELSE 'drawer knob' END END AS label,
@@ -59,7 +59,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             (CASE role WHEN 'O' THEN cast(0.3 AS double) WHEN 'C' THEN cast(0.12 AS double) ELSE cast(0.02 AS double) END) * (1 + (n % 4) * cast(0.1 AS double)) AS half,
             cast(p_size AS double) / 50 AS anchor_quality, cast((n * 7) % 100 AS double) / 100 AS quality_ema, n % 11 = 0 AS border,
             n % 4 AS n_support, n % 3 AS n_real, cast((n * 13) % 100 AS double) / 100 AS confidence, n AS feature_id
-        FROM (SELECT p_partkey AS n, p_size, role FROM part CROSS JOIN (SELECT 'O' AS role UNION ALL SELECT 'C' UNION ALL SELECT 'U') r WHERE p_partkey <= 120) p""",
+        FROM (SELECT p_partkey AS n, p_size, role FROM part CROSS JOIN (SELECT 'O' AS role UNION ALL SELECT 'C' UNION ALL SELECT 'U') r ) p""",
     ),
     "boxes3d": (
         ("nodes",),
@@ -67,7 +67,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "observations": (
         ("events",),
-        """SELECT event_id AS seq, event_id AS frame_idx, concat('U', lpad(cast(user_id % 40 + 1 AS string), 6, '0')) AS node_id,
+        """SELECT event_id AS seq, event_id AS frame_idx, concat('U', lpad(cast(user_id % 40 + 1 AS string), 9, '0')) AS node_id,
             value / 500 AS quality, event_type = 'error' AS imputed, event_type AS label, value / (value + 20) AS score,
             (user_id % 40) * cast(0.1 AS double) + ((event_id * 17) % 100) * cast(0.002 AS double) AS cx,
             (user_id % 7) * cast(0.2 AS double) + ((event_id * 29) % 100) * cast(0.001 AS double) AS cy, cast(event_id % 50 AS double) * cast(0.001 AS double) AS cz

@@ -49,6 +49,11 @@ def best_pairs(score: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:
     n, m = score.shape
     if not n or not m or not valid.any():
         return []
+    best = np.where(valid, score, -1.0)
+    first = best.argmax(axis=1)
+    some = np.flatnonzero(best[np.arange(n), first] > 0)
+    if len(np.unique(first[some])) == len(some) and not (valid & (score == 0)).any():
+        return [(int(i), int(first[i])) for i in some]  # each row can have the best that it could
     cost = np.zeros((n, m + n))
     cost[:, :m] = np.where(valid, -score, 1e9)
     return [(i, int(j)) for i, j in enumerate(solve(cost)) if j < m and valid[i, j]]
@@ -62,22 +67,6 @@ def most_pairs(quality: np.ndarray, valid: np.ndarray) -> list[tuple[int, int]]:
     return best_pairs(np.where(valid, quality + max(n, m) + 1, 0.0), valid)
 
 
-def assigned(pairs: DataFrame, by: list[str], left: str, right: str, score: str, most: bool = False) -> DataFrame:
-    """pairs: one row a legal pair with its score; the chosen ones, group by group."""
-
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = sorted(group[left].unique()), sorted(group[right].unique())
-        at_r, at_c = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-        s, ok = np.zeros((len(rows), len(cols))), np.zeros((len(rows), len(cols)), bool)
-        i, j = group[left].map(at_r).to_numpy(), group[right].map(at_c).to_numpy()
-        s[i, j], ok[i, j] = group[score].to_numpy(), True
-        chosen = set((most_pairs if most else best_pairs)(s, ok))
-        return group[[(a, b) in chosen for a, b in zip(i, j, strict=True)]]
-
-    cols = [*by, left, right, score]
-    return pairs.select(*cols).groupBy(*by).applyInPandas(choose, pairs.select(*cols).schema)
-
-
 def _boxes(g: pd.DataFrame) -> np.ndarray:
     return g[["x1", "y1", "x2", "y2"]].to_numpy(float)
 
@@ -93,17 +82,12 @@ def _area(b: np.ndarray, pixel: float = 0.0) -> np.ndarray:
     return np.maximum(b[..., 2] - b[..., 0] + pixel, 0) * np.maximum(b[..., 3] - b[..., 1] + pixel, 0)
 
 
-def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """The rows that ``mask`` keeps of each group, whose rows stand together in ``order``: groups of a batch one after
-    another, with a group that the batch cuts carried on. For many small groups."""
+def in_whole_groups(df: DataFrame, by: list[str], order: list, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+    """``work`` on whole groups, many at a time, whose rows stand together in ``order``; it gets where they begin, and the
+    end. A group that a batch cuts is carried on. For many small groups."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
-
-        def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-            keep = [mask(g.iloc[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            return g[np.concatenate(keep)] if keep else g
-
         for batch in batches:
             g = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(g):
@@ -119,7 +103,33 @@ def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFr
         if held is not None:
             yield work(held, np.array([0, len(held)]))
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, df.schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def assigned(pairs: DataFrame, by: list[str], left: str, right: str, score: str, most: bool = False) -> DataFrame:
+    """pairs: one row a legal pair with its score; the chosen ones, group by group."""
+
+    def choose(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        keep = np.zeros(len(g), bool)
+        ends, value = [g[c].to_numpy() for c in (left, right)], g[score].to_numpy(float)
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            (rows, i), (cols, j) = (np.unique(x[a:b], return_inverse=True) for x in ends)
+            s, at = np.zeros((len(rows), len(cols))), np.full((len(rows), len(cols)), -1)
+            s[i, j], at[i, j] = value[a:b], np.arange(a, b)
+            keep[[at[p] for p in (most_pairs if most else best_pairs)(s, at >= 0)]] = True
+        return g[keep]
+
+    cols = [*by, left, right, score]
+    return in_whole_groups(pairs.select(*cols), by, [left, right], choose, pairs.select(*cols).schema)
+
+
+def kept_by(df: DataFrame, by: list[str], order: list, mask: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """The rows that ``mask`` keeps of each group."""
+
+    def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        return g[np.concatenate([mask(g.iloc[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])]
+
+    return in_whole_groups(df, by, order, work, df.schema)
 
 
 def suppressed(dets: DataFrame, by: list[str], iou: float) -> DataFrame:

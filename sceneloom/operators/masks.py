@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .assign import in_whole_groups
+
 KEY = ["frame_idx", "det_id"]
 
 
@@ -80,19 +82,62 @@ def filled(m: np.ndarray) -> np.ndarray:
         seen = new
 
 
+def run_parts(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first run of each run's 8-connected part, over many masks at once; runs in the order of mask, row, start."""
+    n = len(row)
+    place = np.arange(n)
+    wide, high = int(end.max()) + 3 if n else 1, int(row.max()) + 3 if n else 1
+    line = (mask * high + row) * wide
+    low = np.searchsorted(line + end, line + wide + start)  # in the row below, from the first run that ends at its start or later
+    top = np.searchsorted(line + start, line + wide + end, side="right")
+    low = np.maximum(low, np.searchsorted(line, line + wide))
+    count = np.maximum(top - low, 0)
+    a = np.repeat(place, count)
+    b = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    lead = place.copy()
+    while len(a):
+        least = np.minimum(lead[a], lead[b])
+        new = lead.copy()
+        np.minimum.at(new, lead[a], least)
+        np.minimum.at(new, lead[b], least)
+        new = np.minimum(new, new[new])
+        if (new == lead).all():
+            break
+        lead = new
+    while (lead[lead] != lead).any():
+        lead = lead[lead]
+    return lead
+
+
+def main_parts(runs: DataFrame) -> DataFrame:
+    """Runs of each mask's part at the center of its bounds, else of its largest part (of equals the last)."""
+
+    def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        row, start = g["row"].to_numpy(np.int64), g["start"].to_numpy(np.int64)
+        end, size = start + g["length"].to_numpy(np.int64), np.diff(bounds)
+        mask = np.repeat(np.arange(len(size)), size)
+        part = run_parts(mask, row, start, end)
+        each = lambda f, v: np.repeat(f.reduceat(v, bounds[:-1]), size)
+        top, bottom, left, right = each(np.minimum, row), each(np.maximum, row), each(np.minimum, start), each(np.maximum, end)
+        cy, cx = top + (bottom - top + 1) // 2, left + (right - left) // 2
+        center = each(np.maximum, np.where((row == cy) & (start <= cx) & (cx < end), part, -1))
+        area = np.bincount(part, end - start, minlength=len(row))[part].astype(np.int64)
+        largest = each(np.maximum, np.where(area == each(np.maximum, area), part, -1))
+        return g[part == np.where(center >= 0, center, largest)]
+
+    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], work, "frame_idx long, det_id long, row int, start int, length int")
+
+
 def shaped(runs: DataFrame, how: str) -> DataFrame:
     """Runs of each mask after ``main`` (its part at the center, else its largest), ``erode``, ``dilate``, ``close`` or ``fill``."""
+    if how == "main":
+        return main_parts(runs)
 
     def work(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         m, top, left = grid(g)
         if how in ("dilate", "close"):
             m, top, left = np.pad(m, 1), top - 1, left - 1
-        if how == "main":
-            p = parts(m)
-            center = p[m.shape[0] // 2, m.shape[1] // 2]
-            m = p == (center if center else 1 + int(np.bincount(p[p > 0]).argsort(kind="stable")[::-1][0]) - 1)
-        else:
-            m = {"erode": eroded, "dilate": dilated, "close": lambda x: eroded(dilated(x)), "fill": filled}[how](m)
+        m = {"erode": eroded, "dilate": dilated, "close": lambda x: eroded(dilated(x)), "fill": filled}[how](m)
         return to_runs(m, top, left).assign(frame_idx=key[0], det_id=key[1])[["frame_idx", "det_id", "row", "start", "length"]]
 
     return runs.groupBy(*KEY).applyInPandas(work, "frame_idx long, det_id long, row int, start int, length int")

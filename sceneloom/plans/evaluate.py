@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,33 +13,56 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 
 
-def hits(queries: DataFrame, vocabulary: DataFrame, k: int, threshold: float, most: int = 100_000) -> DataFrame:
-    """queries (query_id, q), vocabulary (vec_id, embedding): query_id, vec_id, similarity, rank of what is a hit.
+def hits(queries: DataFrame, vocabulary: DataFrame, k: int, threshold: float, most: int = 4096) -> DataFrame:
+    """queries (query_id, q), vocabulary (vec_id, embedding): query_id, vec_id, similarity, rank of what is a hit: among the
+    first k, or closer than the threshold.
 
-    The vocabulary is frozen and small; that is measured, and a larger one goes in blocks of ``most`` vectors, each of which
-    leaves k rows and what passes the threshold.
+    Queries go in blocks of ``most``, each broadcast as one matrix; all vectors stream past it, and a batch leaves k rows a
+    query and what passes the threshold.
     """
-    n = vocabulary.count()
-    blocks = max(1, -(-n // most))
-    unit = queries.select("query_id", V.unit(F.col("q")).alias("q"))
-    words = vocabulary.select("vec_id", V.unit(F.col("embedding")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    spark = queries.sparkSession
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    blocks = max(1, -(-queries.count() // most))
+    ids = {c: d for c, d in (queries.dtypes + vocabulary.dtypes) if c in ("query_id", "vec_id")}
+    schema = f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double"
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     out = None
     for b in range(blocks):
-        s = unit.crossJoin(F.broadcast(words.where(F.col("block") == b))).select("query_id", "vec_id", F.round(V.dot(F.col("q"), F.col("v")), 6).alias("similarity"))
-        part = s.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
-        out = part if out is None else out.unionByName(part)
-    return out if blocks == 1 else out.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
+        rows = dealt.where(F.col("block") == b).select("query_id", V.unit(F.col("q")).alias("q")).collect()
+        if rows:
+            sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], float)))
+            part = vocabulary.select("vec_id", V.unit(F.col("embedding")).alias("v")).mapInArrow(_compared(sent, k, threshold), schema)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], schema)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
+
+
+def _compared(sent, k: int, threshold: float):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                s = np.round(q @ np.stack(part.column("v").to_numpy(zero_copy_only=False)).T, 6)
+                vec = part.column("vec_id").to_numpy(zero_copy_only=False)
+                order = np.lexsort((np.broadcast_to(vec, s.shape), -s), axis=1)[:, :k]
+                keep = s > threshold
+                np.put_along_axis(keep, order, True, axis=1)
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[j]), pa.array(s[i, j])], ["query_id", "vec_id", "similarity"])
+
+    return compare
 
 
 def overlaps(truth: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of boxes (center and half extent) of equal ``on`` whose intersection has a volume; adds iou."""
     from ..functions import geometry as G
+    from ..operators.joins import box_columns, near_boxes
 
-    t = truth.select(*on, "gt", *[F.col(c).alias(f"g_{c}") for c in ("cx", "cy", "cz", "half")])
-    p = predicted.select(*on, "pr", *[F.col(c).alias(f"p_{c}") for c in ("cx", "cy", "cz", "half")])
-    box = lambda k: [F.col(f"{k}_{c}") - F.col(f"{k}_half") for c in ("cx", "cy", "cz")] + [F.col(f"{k}_{c}") + F.col(f"{k}_half") for c in ("cx", "cy", "cz")]
-    return t.join(p, on).withColumn("iou", G.iou3d(box("g"), box("p"))).where("iou > 0").select(*on, "gt", "pr", "iou")
+    box = lambda p: [(F.col(f"c{c}") + (2 * k - 3) * F.col("half")).alias(f"{p}{c}{k}") for k in (1, 2) for c in "xyz"]
+    j = near_boxes(truth.select(*on, "gt", *box("g_")), predicted.select(*on, "pr", *box("p_")), "g_", "p_", 0.0, on)
+    return j.withColumn("iou", G.iou3d(box_columns("g_"), box_columns("p_"))).where("iou > 0").select(*on, "gt", "pr", "iou")
 
 
 def triplets(truth: DataFrame, predicted: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:

@@ -15,13 +15,13 @@ from ..functions import scores as S
 XYZ = ("cx", "cy", "cz")
 
 
-def scene_diagonal(nodes: DataFrame) -> DataFrame:
-    """One row: the length of the diagonal of the centroids' box; 1 for a single node."""
+def scene_diagonal(nodes: DataFrame, by: list[str] = ()) -> DataFrame:
+    """One row, or one a scene: the length of the diagonal of the centroids' box; 1 for a single node."""
     size = G.norm(*[F.max(c) - F.min(c) for c in XYZ])
-    return nodes.agg(F.when(F.count("*") > 1, size).otherwise(1.0).alias("diagonal"))
+    return nodes.groupBy(*by).agg(F.when(F.count("*") > 1, size).otherwise(1.0).alias("diagonal"))
 
 
-def template_nodes(nodes: DataFrame, templates: DataFrame, side: str) -> DataFrame:
+def template_nodes(nodes: DataFrame, templates: DataFrame, side: str, by: list[str]) -> DataFrame:
     """Nodes of a template's label: those with exactly it, or else all that are compatible either way."""
     t = templates.withColumn("want", L.prior_label(F.col(side)))
     n = nodes.withColumn("have", L.prior_label(F.col("label")))
@@ -29,18 +29,18 @@ def template_nodes(nodes: DataFrame, templates: DataFrame, side: str) -> DataFra
     short = t.withColumn("key", F.explode(L.word_suffixes(F.col(side)))).join(n, F.col("key") == F.col("have")).drop("key").where("have <> want")
     both = long.unionByName(short)
     exact = (F.col("have") == F.col("want")).cast("int")
-    w = Window.partitionBy(*templates.columns)
+    w = Window.partitionBy(*by, *templates.columns)
     return both.withColumn("best", F.max(exact).over(w)).where(exact == F.col("best")).drop("want", "have", "best")
 
 
-def remote_links(nodes: DataFrame, templates: DataFrame, common: Callable[[dict, dict], Column]) -> DataFrame:
-    """source, target, relation_text, score, margin: for each template and target node the best source node.
+def remote_links(nodes: DataFrame, templates: DataFrame, common: Callable[[dict, dict], Column], by: list[str]) -> DataFrame:
+    """source, target, relation_text, score, margin: for each template and target node the best source node of its scene (``by``).
 
     nodes: node_id, label, centroid, confidence, n, observed (times that the source was observed as one).
     """
     keep = ["node_id", "confidence", "n", "observed", *XYZ]
-    side = lambda c, p: template_nodes(nodes, templates, c).select(*templates.columns, *[F.col(k).alias(f"{p}_{k}") for k in keep])
-    j = side("source_label", "s").join(side("target_label", "t"), templates.columns).where("s_node_id <> t_node_id").crossJoin(F.broadcast(scene_diagonal(nodes)))
+    side = lambda c, p: template_nodes(nodes, templates, c, by).select(*by, *templates.columns, *[F.col(k).alias(f"{p}_{k}") for k in keep])
+    j = side("source_label", "s").join(side("target_label", "t"), [*by, *templates.columns]).where("s_node_id <> t_node_id").join(scene_diagonal(nodes, by), by)
     s, t = ({k: F.col(f"{p}_{k}") for k in keep} for p in "st")
     distance = G.norm(*[s[c] - t[c] for c in XYZ])
     scale = F.greatest(0.35 * F.col("diagonal"), F.lit(0.25))

@@ -14,6 +14,7 @@ from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
 from ..operators.assign import best_pairs
 from ..operators.fixpoint import canonical, saved
+from ..operators.joins import near_boxes
 from ..operators.windows import evenly, top_with_margin
 
 BOX = ("x1", "y1", "z1", "x2", "y2", "z2")
@@ -141,7 +142,7 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
     side = lambda p: now.select("role", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node_id", *BOX)])
     while True:
         both = seen.join(seen.withColumnRenamed("node_id", "other"), "frame").where("node_id < other").select(F.col("node_id").alias("a_node_id"), F.col("other").alias("b_node_id")).distinct()
-        j = side("a").join(side("b"), ["role", "key"]).where("a_node_id < b_node_id").join(both, ["a_node_id", "b_node_id"], "left_anti")
+        j = near_boxes(side("a"), side("b"), "a_", "b_", 0.01, ["role", "key"]).where("a_node_id < b_node_id").join(both, ["a_node_id", "b_node_id"], "left_anti")
         j = j.withColumn("iou", F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX], 0.005), 9)).where(F.col("iou") >= iou)
         ends = j.select(F.col("a_node_id").alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p")).unionByName(j.select(F.col("b_node_id").alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p")))
         best = ends.groupBy("n").agg(F.min("p").alias("p"))
@@ -188,12 +189,12 @@ def diagnostics(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select("node_id", reason.alias("reason"))
 
 
-def completed(boxes: DataFrame, gap: float, growth: float = 4.0) -> DataFrame:
-    """label, node_id, object: carriers of one owner label joined along links of at most ``gap``, nearest first; two sets join
-    only if their common box is not over ``growth`` times the larger one's diagonal. The groups' order decides, so a label's
-    links are one group; links themselves come from a join."""
-    side = lambda p: boxes.select("label", F.col("node_id").alias(p), *[F.col(f"b{c}").alias(f"{p}_{c}") for c in BOX])
-    j = side("a").join(side("b"), "label").where("a <= b").withColumn("gap", box_gap("a_", "b_")).where((F.col("gap") <= gap) | (F.col("a") == F.col("b")))
+def completed(boxes: DataFrame, by: list[str], gap: float, growth: float = 4.0) -> DataFrame:
+    """by, node_id, object: carriers of one scene and owner label joined along links of at most ``gap``, nearest first; two
+    sets join only if their common box is not over ``growth`` times the larger one's diagonal. The links' order decides, so a
+    scene's links of a label are one group; links themselves come from a join of near boxes."""
+    side = lambda p: boxes.select(*by, F.col("node_id").alias(p), *[F.col(f"b{c}").alias(f"{p}_{c}") for c in BOX])
+    j = near_boxes(side("a"), side("b"), "a_", "b_", gap, by).where("a <= b").withColumn("gap", box_gap("a_", "b_")).where((F.col("gap") <= gap) | (F.col("a") == F.col("b")))
 
     def unite(g: pd.DataFrame) -> pd.DataFrame:
         own = g[g["a"] == g["b"]]
@@ -213,9 +214,10 @@ def completed(boxes: DataFrame, gap: float, growth: float = 4.0) -> DataFrame:
             common = np.concatenate([np.minimum(box[x][:3], box[y][:3]), np.maximum(box[x][3:], box[y][3:])])
             if size(common) <= growth * max(size(box[x]), size(box[y])):
                 lead[y], box[x] = x, common
-        return pd.DataFrame([(own["label"].iloc[0], n, find(n)) for n in lead], columns=["label", "node_id", "object"]) if len(own) else pd.DataFrame(columns=["label", "node_id", "object"])
+        return pd.DataFrame([(*own[by].iloc[0], n, find(n)) for n in lead], columns=[*by, "node_id", "object"]) if len(own) else pd.DataFrame(columns=[*by, "node_id", "object"])
 
-    return j.groupBy("label").applyInPandas(unite, "label string, node_id string, object string")
+    kinds = dict(boxes.dtypes)
+    return j.groupBy(*by).applyInPandas(unite, ", ".join(f"{c} {kinds[c]}" for c in by) + ", node_id string, object string")
 
 
 def carrier_gates(cu: DataFrame, objects: DataFrame, ou: DataFrame, labels: DataFrame, atlas: DataFrame, boxes: DataFrame, reach: float = 0.08) -> DataFrame:

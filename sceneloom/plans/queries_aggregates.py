@@ -40,9 +40,9 @@ def stage_overlays(spark, sf_dir):
     return e.groupBy("stage", "edge_type").agg(F.count("*").alias("n"), F.count_distinct(F.concat("parent_node_id", "child_node_id")).alias("pairs"))
 
 
-@query("relation_text_unanimity", EDG + f"c AS (SELECT parent_node_id, child_node_id, relation_text, {_ROT} AS canon FROM edge_candidates WHERE trim(relation_text) <> '' AND pn % 4 = 1) SELECT parent_node_id, child_node_id, {_UNANIMOUS} FROM c GROUP BY ALL")
+@query("relation_text_unanimity", EDG + f"c AS (SELECT parent_node_id, child_node_id, relation_text, {_ROT} AS canon FROM edge_candidates WHERE trim(relation_text) <> '') SELECT parent_node_id, child_node_id, {_UNANIMOUS} FROM c GROUP BY ALL")
 def relation_text_unanimity(spark, sf_dir):
-    e = scene(spark, sf_dir, "edge_candidates").where("trim(relation_text) <> '' and pn % 4 = 1")
+    e = scene(spark, sf_dir, "edge_candidates").where("trim(relation_text) <> ''")
     return e.groupBy("parent_node_id", "child_node_id").agg(A.unanimous_text(F.col("relation_text")).alias("relation_text"))
 
 
@@ -73,10 +73,10 @@ def iqr_depth_filter(spark, sf_dir):
 
 @query(
     "colour_histogram",
-    with_sql("points") + "h AS (SELECT node, least(11, floor(hue * 12 / 180.0))::BIGINT AS bhue, least(11, floor(sat * 12 / 256.0))::BIGINT AS bsat, least(11, floor(val * 12 / 256.0))::BIGINT AS bval, count(*) AS n FROM points WHERE node < 30 GROUP BY ALL) SELECT *, round(n / sqrt(sum(n * n) OVER (PARTITION BY node)), 6) AS weight FROM h",
+    with_sql("points") + "h AS (SELECT node, least(11, floor(hue * 12 / 180.0))::BIGINT AS bhue, least(11, floor(sat * 12 / 256.0))::BIGINT AS bsat, least(11, floor(val * 12 / 256.0))::BIGINT AS bval, count(*) AS n FROM points GROUP BY ALL) SELECT *, round(n / sqrt(sum(n * n) OVER (PARTITION BY node)), 6) AS weight FROM h",
 )
 def colour_histogram(spark, sf_dir):
-    h = A.colour_histogram(scene(spark, sf_dir, "points").where("node < 30"), ["node"])
+    h = A.colour_histogram(scene(spark, sf_dir, "points"), ["node"])
     return h.withColumn("weight", F.round("weight", 6))
 
 
@@ -103,10 +103,10 @@ def stable_parent_vote(spark, sf_dir):
     return A.stable_parent(scene(spark, sf_dir, "edge_candidates").where("selected"), ["child_node_id"])
 
 
-@query("parent_vote_history", EDG + "f AS (SELECT DISTINCT child_node_id, parent_node_id, frame_idx FROM edge_candidates WHERE selected AND cn <= 8) SELECT child_node_id, parent_node_id, frame_idx, count(*) OVER (PARTITION BY child_node_id, parent_node_id ORDER BY frame_idx) AS frames FROM f")
+@query("parent_vote_history", EDG + "f AS (SELECT DISTINCT child_node_id, parent_node_id, frame_idx FROM edge_candidates WHERE selected) SELECT child_node_id, parent_node_id, frame_idx, count(*) OVER (PARTITION BY child_node_id, parent_node_id ORDER BY frame_idx) AS frames FROM f")
 def parent_vote_history(spark, sf_dir):
     """Support so far of each parent, frame by frame."""
-    f = scene(spark, sf_dir, "edge_candidates").where("selected and cn <= 8").select("child_node_id", "parent_node_id", "frame_idx").distinct()
+    f = scene(spark, sf_dir, "edge_candidates").where("selected").select("child_node_id", "parent_node_id", "frame_idx").distinct()
     return f.withColumn("frames", F.count("*").over(Window.partitionBy("child_node_id", "parent_node_id").orderBy("frame_idx")))
 
 
@@ -195,9 +195,9 @@ def chosen_depth_mode(spark, sf_dir):
     return W.chosen_mode(m, ["grp"], "seed", "parent").select("grp", F.col("mode").cast("long").alias("mode"), "tier", "n")
 
 
-@query("remote_window_confirm", EDG + "f AS (SELECT DISTINCT parent_node_id, child_node_id, frame_idx FROM edge_candidates WHERE selected AND cn <= 10), h AS (SELECT *, count(*) OVER (PARTITION BY parent_node_id, child_node_id ORDER BY frame_idx RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS hits FROM f) SELECT *, hits >= 2 AS confirmed FROM h")
+@query("remote_window_confirm", EDG + "f AS (SELECT DISTINCT parent_node_id, child_node_id, frame_idx FROM edge_candidates WHERE selected), h AS (SELECT *, count(*) OVER (PARTITION BY parent_node_id, child_node_id ORDER BY frame_idx RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS hits FROM f) SELECT *, hits >= 2 AS confirmed FROM h")
 def remote_window_confirm(spark, sf_dir):
-    f = scene(spark, sf_dir, "edge_candidates").where("selected and cn <= 10").select("parent_node_id", "child_node_id", "frame_idx").distinct()
+    f = scene(spark, sf_dir, "edge_candidates").where("selected").select("parent_node_id", "child_node_id", "frame_idx").distinct()
     return W.confirmed_in_window(f, ["parent_node_id", "child_node_id"], "frame_idx")
 
 
@@ -236,9 +236,9 @@ def bounded_history(spark, sf_dir):
     return W.history(scene(spark, sf_dir, "observations"), ["node_id"], "seq").groupBy("node_id").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.round(F.avg("quality"), 6).alias("mean_quality"))
 
 
-@query("node_numbering", with_sql("detections") + "z AS (SELECT 1) SELECT frame_idx, det_id, role || lpad((row_number() OVER (PARTITION BY role ORDER BY frame_idx, det_id) + CASE role WHEN 'C' THEN 100 ELSE 0 END)::VARCHAR, 6, '0') AS node_id FROM detections WHERE frame_idx < 50")
+@query("node_numbering", with_sql("detections") + "z AS (SELECT 1) SELECT frame_idx, det_id, role || lpad((row_number() OVER (PARTITION BY role ORDER BY frame_idx, det_id) + CASE role WHEN 'C' THEN 100 ELSE 0 END)::VARCHAR, 6, '0') AS node_id FROM detections")
 def node_numbering(spark, sf_dir):
-    return W.numbered(scene(spark, sf_dir, "detections").where("frame_idx < 50"), "role", ["frame_idx", "det_id"], {"C": 100}).select("frame_idx", "det_id", "node_id")
+    return W.numbered(scene(spark, sf_dir, "detections"), "role", ["frame_idx", "det_id"], {"C": 100}).select("frame_idx", "det_id", "node_id")
 
 
 @query("natural_sort", "WITH p AS (SELECT DISTINCT p_brand AS name FROM part) SELECT name, row_number() OVER (ORDER BY regexp_extract(name, '^[^0-9]*'), regexp_extract(name, '[0-9]+')::BIGINT, name) AS rank FROM p")
@@ -289,19 +289,10 @@ def directed_dedupe(spark, sf_dir):
     return scene(spark, sf_dir, "edge_candidates").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("parent_node_id", "child_node_id", "relation_text", "s2d_score")
 
 
-@query("label_norm", "WITH d AS (SELECT doc_id, substr(text, 1, 60) AS t FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(t), '_-', '  '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS prior, sha256(t) AS hash, md5(t) AS md5 FROM d")
+@query("label_norm", "WITH d AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(t), '_-', '  '), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g')) AS prior, sha256(t) AS hash, md5(t) AS md5 FROM d")
 def label_norm(spark, sf_dir):
-    return _label_norm(scene(spark, sf_dir, "documents"), F.substring("text", 1, 60))
-
-
-@query("label_norm_whole")
-def label_norm_whole(spark, sf_dir):
-    """As ``label_norm``, of whole texts; its SQL reads 60 characters."""
-    return _label_norm(scene(spark, sf_dir, "documents"), F.col("text"))
-
-
-def _label_norm(docs, t):
-    return docs.select("doc_id", L.prior_label(t).alias("prior"), F.sha2(t, 256).alias("hash"), F.md5(t.cast("binary")).alias("md5"))
+    t = F.col("text")
+    return scene(spark, sf_dir, "documents").select("doc_id", L.prior_label(t).alias("prior"), F.sha2(t, 256).alias("hash"), F.md5(t.cast("binary")).alias("md5"))
 
 
 @query("label_variants", "WITH p AS (SELECT p_partkey, p_brand || ' / ' || upper(p_type) || '/' || p_brand AS t FROM part) SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(t, '/'), lambda x: lower(trim(x))), lambda x: x <> ''))), '|') AS variants FROM p")
@@ -332,25 +323,25 @@ _INTER = " * ".join(f"greatest(0, least(a.b{c}2, b.b{c}2) - greatest(a.b{c}1, b.
 
 @query(
     "box3d_pairs",
-    with_sql("boxes3d") + f"j AS (SELECT a.node_id AS a, b.node_id AS b, {_INTER} AS i, 8 * (pow(a.half, 3) + pow(b.half, 3)) AS s, sqrt(" + " + ".join(f"pow(greatest(0, a.b{c}1 - b.b{c}2, b.b{c}1 - a.b{c}2), 2)" for c in "xyz") + ") AS gap FROM boxes3d a JOIN boxes3d b ON a.role = 'O' AND b.role = 'C' AND a.n % 20 = b.n % 20) SELECT a, b, round(i / (s - i), 6) AS iou, round(gap, 6) AS gap FROM j",
+    with_sql("boxes3d") + f"j AS (SELECT a.node_id AS a, b.node_id AS b, {_INTER} AS i, 8 * (pow(a.half, 3) + pow(b.half, 3)) AS s, sqrt(" + " + ".join(f"pow(greatest(0, a.b{c}1 - b.b{c}2, b.b{c}1 - a.b{c}2), 2)" for c in "xyz") + ") AS gap FROM boxes3d a JOIN boxes3d b ON a.role = 'O' AND b.role = 'C' AND a.n % 20 = b.n % 20 AND a.scene = b.scene) SELECT a, b, round(i / (s - i), 6) AS iou, round(gap, 6) AS gap FROM j",
 )
 def box3d_pairs(spark, sf_dir):
     b = scene(spark, sf_dir, "boxes3d").withColumn("k", F.col("n") % 20)
-    side = lambda role, p: b.where(f"role = '{role}'").select("k", F.col("node_id").alias(p), *[F.col(f"b{c}").alias(f"{p}_{c}") for c in ("x1", "y1", "z1", "x2", "y2", "z2")])
-    j = side("O", "a").join(side("C", "b"), "k")
+    side = lambda role, p: b.where(f"role = '{role}'").select("k", "scene", F.col("node_id").alias(p), *[F.col(f"b{c}").alias(f"{p}_{c}") for c in ("x1", "y1", "z1", "x2", "y2", "z2")])
+    j = side("O", "a").join(side("C", "b"), ["k", "scene"])
     boxes = [[F.col(f"{p}_{c}") for c in ("x1", "y1", "z1", "x2", "y2", "z2")] for p in "ab"]
     return j.select("a", "b", F.round(G.iou3d(*boxes), 6).alias("iou"), F.round(G.gap3d(*boxes), 6).alias("gap"))
 
 
 @query(
     "rigid_transforms",
-    with_sql("points") + """q AS (SELECT pid, x, y, z, 1.0::DOUBLE AS w, hue / 180.0::DOUBLE AS qz FROM points WHERE node < 5), n AS (SELECT *, w / sqrt(w * w + qz * qz) AS a, qz / sqrt(w * w + qz * qz) AS b FROM q),
+    with_sql("points") + """q AS (SELECT pid, x, y, z, 1.0::DOUBLE AS w, hue / 180.0::DOUBLE AS qz FROM points), n AS (SELECT *, w / sqrt(w * w + qz * qz) AS a, qz / sqrt(w * w + qz * qz) AS b FROM q),
     r AS (SELECT pid, (1 - 2 * b * b) * x - 2 * a * b * y + 1 AS wx, 2 * a * b * x + (1 - 2 * b * b) * y + 2 AS wy, z + 3 AS wz FROM n)
     SELECT pid, round(wx, 6) AS wx, round(wy, 6) AS wy, round(wz, 6) AS wz, round(wx * 500 / wz + 320, 6) AS u, round(wy * 500 / wz + 240, 6) AS v FROM r""",
 )
 def rigid_transforms(spark, sf_dir):
     """Points turned by a quaternion, moved, projected."""
-    p = scene(spark, sf_dir, "points").where("node < 5")
+    p = scene(spark, sf_dir, "points")
     zero = F.lit(0.0)
     r = G.rotation(F.lit(1.0), zero, zero, F.col("hue") / 180.0)
     moved = [a + b for a, b in zip(G.turned(r, [F.col(c) for c in "xyz"]), (1.0, 2.0, 3.0), strict=True)]

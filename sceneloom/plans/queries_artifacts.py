@@ -47,10 +47,10 @@ def mask_coverage(spark, sf_dir):
     return K.coverage(_runs(spark, sf_dir), p).withColumn("coverage", F.round("coverage", 6)).select("frame_idx", "parent_det_id", "child_det_id", "coverage")
 
 
-@query("mask_main_part", DET + _RUNS + " SELECT frame_idx, det_id, sum(length)::BIGINT AS area FROM runs WHERE frame_idx < 60 GROUP BY ALL")
+@query("mask_main_part", DET + _RUNS + " SELECT frame_idx, det_id, sum(length)::BIGINT AS area FROM runs GROUP BY ALL")
 def mask_main_part(spark, sf_dir):
     """These masks are of one part each, so the main part is the mask."""
-    return K.areas(K.shaped(_runs(spark, sf_dir).where("frame_idx < 60"), "main"))
+    return K.areas(K.shaped(_runs(spark, sf_dir), "main"))
 
 
 @query(
@@ -132,10 +132,10 @@ def remote_evidence(spark, sf_dir):
     return A.remote_evidence(r, d)
 
 
-@query("instance_boxes", with_sql("points") + "a AS (SELECT node AS annot_id, pid FROM points WHERE node < 25) SELECT annot_id, count(*) AS n, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2 FROM a JOIN points USING (pid) GROUP BY annot_id")
+@query("instance_boxes", with_sql("points") + "a AS (SELECT node AS annot_id, pid FROM points) SELECT annot_id, count(*) AS n, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, min(z) AS z1, max(z) AS z2 FROM a JOIN points USING (pid) GROUP BY annot_id")
 def instance_boxes(spark, sf_dir):
     p = scene(spark, sf_dir, "points")
-    a = p.where("node < 25").groupBy(F.col("node").alias("annot_id")).agg(F.collect_list("pid").alias("indices"))
+    a = p.groupBy(F.col("node").alias("annot_id")).agg(F.collect_list("pid").alias("indices"))
     return A.instance_boxes(a, p.select(F.col("pid").alias("idx"), "x", "y", "z"))
 
 
@@ -173,9 +173,9 @@ def eval_triplets(spark, sf_dir):
     return triplets(e, e, n, r).withColumn("quality", F.round("quality", 6))
 
 
-@query("overlay_points", with_sql("nodes") + "b AS (SELECT node_id, cx, cy, cz, unnest(range(24)) AS i FROM nodes WHERE n <= 30), z AS (SELECT *, 1 - 2 * (i + 0.5::DOUBLE) / 24 AS h FROM b) SELECT node_id, i, round(cx + 0.02 * sqrt(1 - h * h) * cos(i * 2.399963229728653), 6) AS x, round(cy + 0.02 * sqrt(1 - h * h) * sin(i * 2.399963229728653), 6) AS y, round(cz + 0.02 * h, 6) AS z FROM z")
+@query("overlay_points", with_sql("nodes") + "b AS (SELECT node_id, cx, cy, cz, unnest(range(24)) AS i FROM nodes), z AS (SELECT *, 1 - 2 * (i + 0.5::DOUBLE) / 24 AS h FROM b) SELECT node_id, i, round(cx + 0.02 * sqrt(1 - h * h) * cos(i * 2.399963229728653), 6) AS x, round(cy + 0.02 * sqrt(1 - h * h) * sin(i * 2.399963229728653), 6) AS y, round(cz + 0.02 * h, 6) AS z FROM z")
 def overlay_points(spark, sf_dir):
-    p = A.shell(scene(spark, sf_dir, "nodes").where("n <= 30"))
+    p = A.shell(scene(spark, sf_dir, "nodes"))
     return p.select("node_id", "i", *[F.round(c, 6).alias(c) for c in "xyz"])
 
 
@@ -190,12 +190,12 @@ def inference_boxes(spark, sf_dir):
 
 @query(
     "points_near_edges",
-    with_sql("points", "nodes") + """e AS (SELECT 0.05::DOUBLE AS ax, 0.05::DOUBLE AS ay, 0.05::DOUBLE AS az, 0.15::DOUBLE AS ex, 0.1::DOUBLE AS ey, 0.1::DOUBLE AS ez), s AS (SELECT pid, x, y, z, e.*, least(1, greatest(0, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay) + (z - az) * (ez - az)) / (pow(ex - ax, 2) + pow(ey - ay, 2) + pow(ez - az, 2)))) AS t FROM points, e WHERE node < 20)
+    with_sql("points", "nodes") + """e AS (SELECT 0.05::DOUBLE AS ax, 0.05::DOUBLE AS ay, 0.05::DOUBLE AS az, 0.15::DOUBLE AS ex, 0.1::DOUBLE AS ey, 0.1::DOUBLE AS ez), s AS (SELECT pid, x, y, z, e.*, least(1, greatest(0, ((x - ax) * (ex - ax) + (y - ay) * (ey - ay) + (z - az) * (ez - az)) / (pow(ex - ax, 2) + pow(ey - ay, 2) + pow(ez - az, 2)))) AS t FROM points, e)
     SELECT pid, round(sqrt(pow(x - ax - t * (ex - ax), 2) + pow(y - ay - t * (ey - ay), 2) + pow(z - az - t * (ez - az), 2)), 6) AS distance FROM s""",
 )
 def points_near_edges(spark, sf_dir):
     d = G.segment_distance([F.col(c) for c in "xyz"], [F.lit(v) for v in (0.05, 0.05, 0.05)], [F.lit(v) for v in (0.15, 0.1, 0.1)])
-    return scene(spark, sf_dir, "points").where("node < 20").select("pid", F.round(d, 6).alias("distance"))
+    return scene(spark, sf_dir, "points").select("pid", F.round(d, 6).alias("distance"))
 
 
 @query("parent_depth_prior", with_sql("depth_samples", "relations_2d") + "s AS (SELECT grp, median(depth) AS m FROM depth_samples GROUP BY grp), p AS (SELECT frame_idx, child_det_id, s.m FROM relations_2d r JOIN s ON s.grp = (r.frame_idx * 8 + r.parent_det_id) % 200 WHERE r.pass_threshold) SELECT frame_idx, child_det_id, round(median(m), 9) AS depth, count(*) AS parents FROM p GROUP BY ALL")

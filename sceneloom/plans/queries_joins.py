@@ -12,6 +12,7 @@ from ..functions import scores as S
 from ..functions import vectors as V
 from ..operators import fixpoint as X
 from ..operators import joins as J
+from ..operators import windows as W
 from ..registry import query
 
 XYZ = ["cx", "cy", "cz"]
@@ -42,7 +43,7 @@ def score_lookup(spark, sf_dir):
 
 @query(
     "pair_gate_scores",
-    with_sql("observations", "nodes") + """o AS (SELECT * FROM observations WHERE seq % 4 = 0),
+    with_sql("observations", "nodes") + """o AS (SELECT * FROM observations),
     j AS (SELECT o.seq, n.node_id, sqrt(pow(o.cx - n.cx, 2) + pow(o.cy - n.cy, 2) + pow(o.cz - n.cz, 2)) AS d, least(0.15, greatest(0.03, 0.5 * greatest(2 * n.half, 0.05))) AS tau, o.quality, n.quality_ema FROM o JOIN nodes n ON n.role = 'U')
     SELECT seq, node_id, round(d, 6) AS distance, round(exp(-d * d / (2 * 0.08 * 0.08)), 6) AS geometry, round(0.5 * quality + (exp(-d * d / (2 * 0.08 * 0.08)) + quality_ema + quality) / 6, 6) AS total,
         CASE WHEN NOT d < tau THEN 'distance_gate' WHEN NOT quality > 0.05 THEN 'iou_gate' WHEN 0.5 * quality + (exp(-d * d / (2 * 0.08 * 0.08)) + quality_ema + quality) / 6 < 0.45 THEN 'score_gate' ELSE '' END AS reason
@@ -50,7 +51,7 @@ def score_lookup(spark, sf_dir):
 )
 def pair_gate_scores(spark, sf_dir):
     """Observation and node pairs of one role within reach, by 0.15 m cells, with their four-clue score and first failing gate."""
-    o = scene(spark, sf_dir, "observations").where("seq % 4 = 0").select("seq", "quality", *[F.col(c).alias(f"o_{c}") for c in XYZ])
+    o = scene(spark, sf_dir, "observations").select("seq", "quality", *[F.col(c).alias(f"o_{c}") for c in XYZ])
     n = scene(spark, sf_dir, "nodes").where("role = 'U'").select("node_id", "quality_ema", "half", *XYZ)
     p = J.within(o, n, ["o_cx", "o_cy", "o_cz"], XYZ, 0.15)
     g = S.gaussian(F.col("distance"))
@@ -115,31 +116,31 @@ def pose_interpolated(spark, sf_dir):
 
 @query(
     "consolidation_candidates",
-    with_sql("nodes") + """c AS (SELECT DISTINCT least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM nodes a JOIN nodes b ON a.n % 7 = b.n % 7 AND a.node_id < b.node_id)
-    SELECT a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.role = b.role AND a.label = b.label AND a.node_id < b.node_id WHERE (a.node_id, b.node_id) NOT IN (SELECT (a, b) FROM c)""",
+    with_sql("nodes") + """c AS (SELECT DISTINCT least(a.node_id, b.node_id) AS a, greatest(a.node_id, b.node_id) AS b FROM nodes a JOIN nodes b ON a.scene = b.scene AND a.n % 7 = b.n % 7 AND a.node_id < b.node_id)
+    SELECT a.node_id AS a, b.node_id AS b FROM nodes a JOIN nodes b ON a.scene = b.scene AND a.role = b.role AND a.label = b.label AND a.node_id < b.node_id WHERE (a.node_id, b.node_id) NOT IN (SELECT (a, b) FROM c)""",
 )
 def consolidation_candidates(spark, sf_dir):
-    """Pairs of one role and label that were never seen in one frame."""
+    """Pairs of one scene, role and label that were never seen in one frame."""
     n = scene(spark, sf_dir, "nodes").withColumn("key", L.track_label(F.col("label")))
-    seen = J.co_observed(n.select((F.col("n") % 7).alias("frame"), "node_id"), "frame", "node_id")
-    left, right = n.select("role", "key", F.col("node_id").alias("a")), n.select("role", "key", F.col("node_id").alias("b"))
-    return left.join(right, ["role", "key"]).where("a < b").join(seen, ["a", "b"], "left_anti").select("a", "b")
+    seen = J.co_observed(n.select((F.col("scene") * 7 + F.col("n") % 7).alias("frame"), "node_id"), "frame", "node_id")
+    left, right = n.select("scene", "role", "key", F.col("node_id").alias("a")), n.select("scene", "role", "key", F.col("node_id").alias("b"))
+    return left.join(right, ["scene", "role", "key"]).where("a < b").join(seen, ["a", "b"], "left_anti").select("a", "b")
 
 
-_SAMPLE = "r AS (SELECT node, pid, x, y, z, row_number() OVER (PARTITION BY node ORDER BY pid) AS rn FROM points WHERE node < 20), s AS (SELECT * FROM r WHERE rn <= 128)"
+SAMPLE = 1024  # points of a node that distances are measured on
+_SAMPLE = f"r AS (SELECT node, pid, x, y, z, row_number() OVER (PARTITION BY node ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY node) AS n FROM points), s AS (SELECT * FROM r WHERE n <= {SAMPLE} OR list_contains(list_transform(range({SAMPLE}), lambda j: floor(j * ((n - 1) / {SAMPLE - 1}.0::DOUBLE) + 1e-9)::BIGINT), i))"
 
 
 @query(
     "point_overlap_fraction",
-    with_sql("points") + _SAMPLE + """, h AS (SELECT DISTINCT a.node AS a, b.node AS b, a.pid FROM s a JOIN s b ON a.node <> b.node AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 0.0001 WHERE b.node = (a.node + 1) % 20),
+    with_sql("points") + _SAMPLE + """, h AS (SELECT DISTINCT a.node AS a, b.node AS b, a.pid FROM s a JOIN s b ON a.node <> b.node AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 0.0001 WHERE b.node = (a.node + 1) % 100),
     n AS (SELECT node, count(*) AS n FROM s GROUP BY node)
     SELECT h.a, h.b, round(count(*) / n.n::DOUBLE, 6) AS share FROM h JOIN n ON n.node = h.a GROUP BY h.a, h.b, n.n""",
 )
 def point_overlap_fraction(spark, sf_dir):
-    """The share of a node's points (128 at most) within 1 cm of the next node's, by grid cells."""
-    w = Window.partitionBy("node").orderBy("pid")
-    s = scene(spark, sf_dir, "points").where("node < 20").withColumn("rn", F.row_number().over(w)).where("rn <= 128")
-    a = s.select(F.col("node").alias("a"), ((F.col("node") + 1) % 20).alias("b"), F.col("pid"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
+    """The share of a node's points (an even sample) within 1 cm of the next node's, by grid cells."""
+    s = W.evenly(scene(spark, sf_dir, "points"), ["node"], ["pid"], SAMPLE)
+    a = s.select(F.col("node").alias("a"), ((F.col("node") + 1) % 100).alias("b"), F.col("pid"), *[F.col(c).alias(f"a_{c}") for c in "xyz"])
     b = s.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in "xyz"])
     hit = J.within(a, b, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"], 0.010000001, ["b"]).where("pow(a_x - b_x, 2) + pow(a_y - b_y, 2) + pow(a_z - b_z, 2) <= 0.0001").select("a", "b", "pid").distinct()
     n = s.groupBy(F.col("node").alias("a")).agg(F.count("*").alias("n"))
@@ -148,18 +149,17 @@ def point_overlap_fraction(spark, sf_dir):
 
 @query(
     "surface_distance",
-    with_sql("points") + _SAMPLE + """, d AS (SELECT a.node AS unit, b.node AS carrier, a.pid, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM s a JOIN s b ON b.node = (a.node + 1) % 20 GROUP BY a.node, b.node, a.pid),
+    with_sql("points") + _SAMPLE + """, d AS (SELECT a.node AS unit, b.node AS carrier, a.pid, sqrt(min(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) AS d FROM s a JOIN s b ON b.node = (a.node + 1) % 100 GROUP BY a.node, b.node, a.pid),
     k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY d, pid) AS rn, count(*) OVER (PARTITION BY unit) AS n FROM d)
     SELECT unit, carrier, round(median(d), 6) AS distance FROM k WHERE rn <= greatest(1, ceil(n * 0.2)) GROUP BY unit, carrier""",
 )
 def surface_distance(spark, sf_dir):
-    """The median of the nearest fifth of a unit's distances to a carrier's points; samples are bounded, so pairs are."""
-    w = Window.partitionBy("node").orderBy("pid")
-    s = scene(spark, sf_dir, "points").where("node < 20").withColumn("rn", F.row_number().over(w)).where("rn <= 128")
-    u = s.select(F.col("node").alias("unit"), ((F.col("node") + 1) % 20).alias("carrier"), "pid", *[F.col(c).alias(f"u_{c}") for c in "xyz"])
-    c = s.groupBy(F.col("node").alias("carrier")).agg(F.collect_list(F.struct("x", "y", "z")).alias("surface"))
-    near = F.array_min(F.transform("surface", lambda p: G.norm(*[F.col(f"u_{k}") - p[k] for k in "xyz"])))
-    d = u.join(c, "carrier").select("unit", "carrier", "pid", near.alias("d"))
+    """The median of the nearest fifth of a unit's distances to a carrier's points; samples are bounded, so are a node's pairs."""
+    s = W.evenly(scene(spark, sf_dir, "points"), ["node"], ["pid"], SAMPLE)
+    u = s.select(F.col("node").alias("unit"), ((F.col("node") + 1) % 100).alias("carrier"), "pid", *[F.col(c).alias(f"u_{c}") for c in "xyz"])
+    c = s.select(F.col("node").alias("carrier"), *[F.col(k).alias(f"c_{k}") for k in "xyz"])
+    square = sum(((F.col(f"u_{k}") - F.col(f"c_{k}")) * (F.col(f"u_{k}") - F.col(f"c_{k}")) for k in "yz"), (F.col("u_x") - F.col("c_x")) * (F.col("u_x") - F.col("c_x")))
+    d = u.join(c, "carrier").groupBy("unit", "carrier", "pid").agg(F.sqrt(F.min(square)).alias("d"))
     o = Window.partitionBy("unit").orderBy("d", "pid")
     k = d.withColumns({"rn": F.row_number().over(o), "n": F.count("*").over(Window.partitionBy("unit"))}).where("rn <= greatest(1, ceil(n * 0.2))")
     return k.groupBy("unit", "carrier").agg(F.round(F.median("d"), 6).alias("distance"))
@@ -171,13 +171,11 @@ def surface_distance(spark, sf_dir):
     SELECT carrier, unit, round(gap, 6) AS gap FROM g WHERE gap <= 0.08""",
 )
 def aabb_gap_pairs(spark, sf_dir):
-    """Carriers and units whose boxes are at most 0.08 m apart: centers within a cell of the largest reach, then the gap."""
+    """Carriers and units whose boxes are at most 0.08 m apart: boxes that share a cell, then the gap."""
     b = scene(spark, sf_dir, "boxes3d")
-    side = lambda role, p: b.where(f"role = '{role}'").select(F.col("node_id").alias(f"{p}id"), *[F.col(c).alias(f"{p}{c}") for c in (*XYZ, "half", "bx1", "by1", "bz1", "bx2", "by2", "bz2")])
-    c, u = side("C", "c_"), side("U", "u_")
-    reach = b.agg(F.max("half")).first()[0] * 4 + 0.2
-    j = J.within(c, u, ["c_cx", "c_cy", "c_cz"], ["u_cx", "u_cy", "u_cz"], reach)
-    gap = G.gap3d([F.col(f"c_b{k}") for k in ("x1", "y1", "z1", "x2", "y2", "z2")], [F.col(f"u_b{k}") for k in ("x1", "y1", "z1", "x2", "y2", "z2")])
+    side = lambda role, p: b.where(f"role = '{role}'").select(F.col("node_id").alias(f"{p}id"), *[F.col(f"b{c}").alias(f"{p}{c}") for c in J.BOX3D])
+    j = J.near_boxes(side("C", "c_"), side("U", "u_"), "c_", "u_", 0.08)
+    gap = G.gap3d(J.box_columns("c_"), J.box_columns("u_"))
     return j.withColumn("gap", gap).where("gap <= 0.08").select(F.col("c_id").alias("carrier"), F.col("u_id").alias("unit"), F.round("gap", 6).alias("gap"))
 
 
@@ -234,22 +232,22 @@ def cross_role_duplicates(spark, sf_dir):
 
 @query(
     "remote_best_source",
-    with_sql("nodes", "templates") + """d AS (SELECT greatest(0.35 * sqrt(pow(max(cx) - min(cx), 2) + pow(max(cy) - min(cy), 2) + pow(max(cz) - min(cz), 2)), 0.25) AS scale FROM nodes),
-    m AS (SELECT t.*, s.side, n.node_id, n.cx, n.cy, n.cz, n.confidence, n.n, n.label = CASE s.side WHEN 0 THEN source_label ELSE target_label END AS exact FROM templates t CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) s
+    with_sql("nodes", "templates") + """d AS (SELECT scene, greatest(0.35 * sqrt(pow(max(cx) - min(cx), 2) + pow(max(cy) - min(cy), 2) + pow(max(cz) - min(cz), 2)), 0.25) AS scale FROM nodes GROUP BY scene),
+    m AS (SELECT t.*, s.side, n.scene, n.node_id, n.cx, n.cy, n.cz, n.confidence, n.n, n.label = CASE s.side WHEN 0 THEN source_label ELSE target_label END AS exact FROM templates t CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) s
         JOIN nodes n ON n.label = CASE s.side WHEN 0 THEN source_label ELSE target_label END OR n.label LIKE '% ' || CASE s.side WHEN 0 THEN source_label ELSE target_label END OR CASE s.side WHEN 0 THEN source_label ELSE target_label END LIKE '% ' || n.label),
-    e AS (SELECT *, bool_or(exact) OVER (PARTITION BY source_label, relation_text, target_label, side) AS any_exact FROM m), k AS (SELECT * FROM e WHERE exact OR NOT any_exact),
+    e AS (SELECT *, bool_or(exact) OVER (PARTITION BY scene, source_label, relation_text, target_label, side) AS any_exact FROM m), k AS (SELECT * FROM e WHERE exact OR NOT any_exact),
     j AS (SELECT a.source_label, a.relation_text, a.target_label, b.node_id AS target, a.node_id AS source, round(0.4 + 0.25 * (1 - exp(-(a.n % 3))) + 0.15 * exp(-sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) / d.scale) + 0.15 * least(1, ((a.n + b.n) % 4) / 3.0) + 0.05 * least(1, greatest(0, 0.5 * (a.confidence + b.confidence))), 6) AS score
-        FROM k a JOIN k b ON a.side = 0 AND b.side = 1 AND a.source_label = b.source_label AND a.relation_text = b.relation_text AND a.target_label = b.target_label AND a.node_id <> b.node_id CROSS JOIN d),
+        FROM k a JOIN k b ON a.side = 0 AND b.side = 1 AND a.scene = b.scene AND a.source_label = b.source_label AND a.relation_text = b.relation_text AND a.target_label = b.target_label AND a.node_id <> b.node_id JOIN d ON d.scene = a.scene),
     w AS (SELECT *, row_number() OVER p AS rn, lead(score) OVER p AS second FROM j WINDOW p AS (PARTITION BY source_label, relation_text, target_label, target ORDER BY score DESC, source)),
     x AS (SELECT *, row_number() OVER (PARTITION BY source, target, relation_text ORDER BY score DESC, source_label) AS k FROM w WHERE rn = 1)
     SELECT source, target, relation_text, score, round(score - second, 6) AS margin FROM x WHERE k = 1""",
 )
 def remote_best_source(spark, sf_dir):
-    """For each remote template and target node the source node of the best score; one row a (source, target, text)."""
+    """For each remote template and target node the source node of its scene with the best score; one row a (source, target, text)."""
     from ..plans.graph import remote_links
 
     n = scene(spark, sf_dir, "nodes").withColumn("observed", F.col("n") % 3)
-    return remote_links(n, scene(spark, sf_dir, "templates"), lambda s, t: (s["n"] + t["n"]) % 4)
+    return remote_links(n, scene(spark, sf_dir, "templates"), lambda s, t: (s["n"] + t["n"]) % 4, ["scene"])
 
 
 @query(
@@ -308,9 +306,9 @@ def uco_closure(spark, sf_dir):
     return J.owner_closure(e, e, e)
 
 
-@query("covisibility_pairs", with_sql("edge_candidates") + "f AS (SELECT DISTINCT frame_idx, child_node_id AS n FROM edge_candidates WHERE cn <= 15) SELECT DISTINCT a.n AS a, b.n AS b FROM f a JOIN f b ON a.frame_idx = b.frame_idx AND a.n < b.n")
+@query("covisibility_pairs", with_sql("edge_candidates") + "f AS (SELECT DISTINCT frame_idx, child_node_id AS n FROM edge_candidates ) SELECT DISTINCT a.n AS a, b.n AS b FROM f a JOIN f b ON a.frame_idx = b.frame_idx AND a.n < b.n")
 def covisibility_pairs(spark, sf_dir):
-    return J.co_observed(scene(spark, sf_dir, "edge_candidates").where("cn <= 15"), "frame_idx", "child_node_id")
+    return J.co_observed(scene(spark, sf_dir, "edge_candidates"), "frame_idx", "child_node_id")
 
 
 @query(
@@ -331,18 +329,22 @@ def descendants(spark, sf_dir):
     return X.descendants(e, e.where("parent in ('r1', 'r3')").select(F.col("parent").alias("root")).distinct()).groupBy("root").agg(F.count("*").alias("n"))
 
 
-_HITS = """v AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 100), q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id >= 100 AND vec_id < 300),
+_HITS = """v AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
     s AS (SELECT query_id, vec_id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS similarity FROM q CROSS JOIN v),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)"""
 
 
 @query("retrieval_hits", "WITH " + _HITS + " SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 3 OR similarity > 0.75")
 def retrieval_hits(spark, sf_dir):
-    """Hits of queries in a frozen vocabulary (broadcast: its size is fixed): among the first 3, or closer than 0.75."""
+    """Hits of a query set, every twentieth vector, among all vectors: the first 3, or closer than 0.75."""
     from .evaluate import hits
 
     e = scene(spark, sf_dir, "embeddings")
-    return hits(e.where("vec_id >= 100 and vec_id < 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.where("vec_id < 100").select("vec_id", "embedding"), 3, 0.75)
+    return hits(_queries(e), e.select("vec_id", "embedding"), 3, 0.75)
+
+
+def _queries(e):
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query("nearest_prototype", "WITH " + _HITS + " SELECT query_id, vec_id AS prototype, similarity FROM r WHERE rank = 1")
@@ -350,7 +352,7 @@ def nearest_prototype(spark, sf_dir):
     from .evaluate import hits
 
     e = scene(spark, sf_dir, "embeddings")
-    return hits(e.where("vec_id >= 100 and vec_id < 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.where("vec_id < 100").select("vec_id", "embedding"), 1, 2.0).select("query_id", F.col("vec_id").alias("prototype"), "similarity")
+    return hits(_queries(e), e.select("vec_id", "embedding"), 1, 2.0).select("query_id", F.col("vec_id").alias("prototype"), "similarity")
 
 
 @query(

@@ -20,19 +20,13 @@ def quality_ema(spark, sf_dir):
     return s.select("node_id", F.size("steps").cast("long").alias("n"), F.round(T.average(F.col("steps"), "quality", 0.25), 6).alias("ema"))
 
 
-_VEC = """v AS (SELECT label AS k, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings WHERE vec_id < 200),
+_VEC = """v AS (SELECT label AS k, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
     f(k, rn, e) AS (SELECT k, rn, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) FROM v WHERE rn = 1 UNION ALL
     SELECT k, rn, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) FROM (SELECT v.k, v.rn, list_transform(range(1, 65), lambda i: {0}) AS m FROM f JOIN v ON v.k = f.k AND v.rn = f.rn + 1))"""
 
 
 @query("feature_ema", "WITH RECURSIVE " + _VEC.format("0.7::DOUBLE * f.e[i] + 0.3::DOUBLE * v.e[i]") + " SELECT k AS label, round(arg_max(e[1], rn), 6) AS first, round(arg_max(e[64], rn), 6) AS last FROM f GROUP BY k")
 def feature_ema(spark, sf_dir):
-    return _feature_ema(scene(spark, sf_dir, "embeddings").where("vec_id < 200"))
-
-
-@query("feature_ema_whole")
-def feature_ema_whole(spark, sf_dir):
-    """As ``feature_ema``, over every embedding; its SQL reads the first 200."""
     return _feature_ema(scene(spark, sf_dir, "embeddings"))
 
 
@@ -43,12 +37,6 @@ def _feature_ema(e):
 
 @query("weighted_feature_mean", "WITH RECURSIVE " + _VEC.format("f.e[i] + (v.vec_id % 7 + 1) / 8.0::DOUBLE * v.e[i]") + " SELECT k AS label, round(arg_max(e[1], rn), 6) AS first, round(arg_max(e[64], rn), 6) AS last FROM f GROUP BY k")
 def weighted_feature_mean(spark, sf_dir):
-    return _weighted_feature_mean(scene(spark, sf_dir, "embeddings").where("vec_id < 200"))
-
-
-@query("weighted_feature_mean_whole")
-def weighted_feature_mean_whole(spark, sf_dir):
-    """As ``weighted_feature_mean``, over every embedding; its SQL reads the first 200."""
     return _weighted_feature_mean(scene(spark, sf_dir, "embeddings"))
 
 
@@ -123,39 +111,40 @@ def scene_switch(spark, sf_dir):
     return s.select("sequence", F.inline("switches")).select("sequence", "frame_idx", "scene")
 
 
-_PAIRS = "p AS (SELECT o.seq % 40 AS grp, o.seq, n.node_id, round(exp(-pow(o.quality - n.quality_ema, 2) * 4) * (0.5 + (o.seq * n.n) % 17 / 34.0), 6) AS score FROM observations o JOIN nodes n ON n.role = 'U' AND n.n <= 4 WHERE o.seq < 160)"
+_PAIRS = "p AS (SELECT o.seq // 4 AS grp, o.seq, n.node_id, round(exp(-pow(o.quality - n.quality_ema, 2) * 4) * (0.5 + (o.seq * n.n) % 17 / 34.0), 6) AS score FROM observations o JOIN nodes n ON n.role = 'U' AND n.n // 4 = (o.seq // 4) % 25)"
 
 
 @query(
     "frame_assignment",
     with_sql("observations", "nodes") + _PAIRS + """, k AS (SELECT grp, seq, row_number() OVER (PARTITION BY grp ORDER BY seq) AS i FROM (SELECT DISTINCT grp, seq FROM p)), q AS (SELECT p.*, k.i FROM p JOIN k USING (grp, seq) WHERE score > 0.2),
     a AS (SELECT grp, node_id, score FROM q WHERE i = 1 UNION ALL SELECT DISTINCT grp, NULL, 0 FROM k), b AS (SELECT grp, node_id, score FROM q WHERE i = 2 UNION ALL SELECT DISTINCT grp, NULL, 0 FROM k), c AS (SELECT grp, node_id, score FROM q WHERE i = 3 UNION ALL SELECT DISTINCT grp, NULL, 0 FROM k), d AS (SELECT grp, node_id, score FROM q WHERE i = 4 UNION ALL SELECT DISTINCT grp, NULL, 0 FROM k)
-    SELECT a.grp, round(max(a.score + b.score + c.score + d.score), 4) AS total FROM a JOIN b ON a.grp = b.grp AND coalesce(a.node_id <> b.node_id, true) JOIN c ON c.grp = a.grp AND coalesce(c.node_id <> a.node_id, true) AND coalesce(c.node_id <> b.node_id, true)
+    SELECT a.grp, round(max(a.score + b.score + c.score + d.score), 6) AS total FROM a JOIN b ON a.grp = b.grp AND coalesce(a.node_id <> b.node_id, true) JOIN c ON c.grp = a.grp AND coalesce(c.node_id <> a.node_id, true) AND coalesce(c.node_id <> b.node_id, true)
     JOIN d ON d.grp = a.grp AND coalesce(d.node_id <> a.node_id, true) AND coalesce(d.node_id <> b.node_id, true) AND coalesce(d.node_id <> c.node_id, true) GROUP BY a.grp""",
 )
 def frame_assignment(spark, sf_dir):
     """Observations and nodes paired for the greatest total score, each frame by itself."""
-    o = scene(spark, sf_dir, "observations").where("seq < 160").select((F.col("seq") % 40).alias("grp"), "seq", "quality")
-    n = scene(spark, sf_dir, "nodes").where("role = 'U' and n <= 4").select("node_id", "n", "quality_ema")
+    o = scene(spark, sf_dir, "observations").select(F.floor(F.col("seq") / 4).cast("long").alias("grp"), "seq", "quality").withColumn("at", F.col("grp") % 25)
+    n = scene(spark, sf_dir, "nodes").where("role = 'U'").select("node_id", "n", "quality_ema", F.floor(F.col("n") / 4).cast("long").alias("at"))
     score = F.round(F.exp(-F.pow(F.col("quality") - F.col("quality_ema"), 2) * 4) * (0.5 + (F.col("seq") * F.col("n")) % 17 / 34.0), 6)
-    p = o.crossJoin(F.broadcast(n)).select("grp", "seq", "node_id", score.alias("score")).where("score > 0.2")
-    return O.assigned(p, ["grp"], "seq", "node_id", "score").groupBy("grp").agg(F.round(F.sum("score"), 4).alias("total"))
+    p = o.join(n, "at").select("grp", "seq", "node_id", score.alias("score")).where("score > 0.2")
+    total = O.assigned(p, ["grp"], "seq", "node_id", "score").groupBy("grp").agg(F.sum("score").alias("total"))
+    return o.join(n.select("at").distinct(), "at", "left_semi").select("grp").distinct().join(total, "grp", "left").select("grp", F.round(F.coalesce("total", F.lit(0.0)), 6).alias("total"))
 
 
 @query(
     "eval_node_recall",
-    with_sql("boxes3d") + """g AS (SELECT n AS gt, role, label, cx, cy, cz, half FROM boxes3d WHERE n % 2 = 0), q AS (SELECT n AS pr, role, label, cx + 0.02 AS cx, cy - 0.26 AS cy, cz, half FROM boxes3d WHERE n % 2 = 0),
-    j AS (SELECT g.role, gt, pr FROM g JOIN q ON g.role = q.role AND g.label = q.label AND abs(g.cx - q.cx) < g.half + q.half AND abs(g.cy - q.cy) < g.half + q.half AND abs(g.cz - q.cz) < g.half + q.half)
+    with_sql("boxes3d") + """g AS (SELECT n AS gt, role, label, cx, cy, cz, half, scene FROM boxes3d), q AS (SELECT n AS pr, role, label, cx + 0.02 AS cx, cy - 0.26 AS cy, cz, half, scene FROM boxes3d),
+    j AS (SELECT g.role, gt, pr FROM g JOIN q ON g.scene = q.scene AND g.role = q.role AND g.label = q.label AND abs(g.cx - q.cx) < g.half + q.half AND abs(g.cy - q.cy) < g.half + q.half AND abs(g.cz - q.cz) < g.half + q.half)
     SELECT g.role, count(DISTINCT g.gt) AS truth, count(DISTINCT j.gt) AS with_overlap FROM g LEFT JOIN j ON j.role = g.role AND j.gt = g.gt GROUP BY g.role""",
 )
 def eval_node_recall(spark, sf_dir):
     """Ground truth nodes with a prediction of their role and label that overlaps them."""
     from .evaluate import overlaps
 
-    b = scene(spark, sf_dir, "boxes3d").where("n % 2 = 0")
-    g = b.select(F.col("n").alias("gt"), "role", "label", "cx", "cy", "cz", "half")
-    p = b.select(F.col("n").alias("pr"), "role", "label", (F.col("cx") + 0.02).alias("cx"), (F.col("cy") - 0.26).alias("cy"), "cz", "half")
-    hit = overlaps(g, p, ["role", "label"]).select("role", "gt").distinct()
+    b = scene(spark, sf_dir, "boxes3d")
+    g = b.select(F.col("n").alias("gt"), "scene", "role", "label", "cx", "cy", "cz", "half")
+    p = b.select(F.col("n").alias("pr"), "scene", "role", "label", (F.col("cx") + 0.02).alias("cx"), (F.col("cy") - 0.26).alias("cy"), "cz", "half")
+    hit = overlaps(g, p, ["scene", "role", "label"]).select("role", "gt").distinct()
     t = g.groupBy("role").agg(F.count_distinct("gt").alias("truth"))
     return t.join(hit.groupBy("role").agg(F.count("*").alias("with_overlap")), "role", "left").select("role", "truth", F.coalesce("with_overlap", F.lit(0)).alias("with_overlap"))
 
@@ -166,10 +155,10 @@ def eval_matching(spark, sf_dir):
     from ..operators.aggregates import recall
     from .evaluate import overlaps
 
-    b = scene(spark, sf_dir, "boxes3d").where("n % 2 = 0")
-    g = b.select(F.col("n").alias("gt"), "role", "label", "cx", "cy", "cz", "half")
-    p = b.select(F.col("n").alias("pr"), "role", "label", (F.col("cx") + 0.02).alias("cx"), (F.col("cy") - 0.26).alias("cy"), "cz", "half")
-    hits = O.assigned(overlaps(g, p, ["role", "label"]), ["role"], "gt", "pr", "iou", most=True)
+    b = scene(spark, sf_dir, "boxes3d")
+    g = b.select(F.col("n").alias("gt"), "scene", "role", "label", "cx", "cy", "cz", "half")
+    p = b.select(F.col("n").alias("pr"), "scene", "role", "label", (F.col("cx") + 0.02).alias("cx"), (F.col("cy") - 0.26).alias("cy"), "cz", "half")
+    hits = O.assigned(overlaps(g, p, ["scene", "role", "label"]), ["scene", "role"], "gt", "pr", "iou", most=True)
     return recall(hits.select("role", "gt"), g.select("role", "gt"), ["role"])
 
 
@@ -229,7 +218,7 @@ def track_consolidation(spark, sf_dir):
     """Duplicate tracks merged to a fixpoint: source, target."""
     b = scene(spark, sf_dir, "boxes3d")
     grown = b.withColumns({f"b{c}{k}": F.col(f"c{c}") + (2 * k - 3) * 2.0 * F.col("half") for c in "xyz" for k in (1, 2)})
-    return M.consolidated(grown, b.select((F.col("n") % 7).alias("frame"), "node_id"))
+    return M.consolidated(grown, b.select((F.col("scene") * 7 + F.col("n") % 7).alias("frame"), "node_id"))
 
 
 @query(
@@ -269,7 +258,7 @@ def link_diagnostics(spark, sf_dir):
 def completed_objects(spark, sf_dir):
     """Carriers of one label joined into objects where their links allow it, in the order of priority."""
     b = scene(spark, sf_dir, "boxes3d").where("role = 'C' and state = 'stable'")
-    return M.completed(b, gap=0.6)
+    return M.completed(b, ["scene", "label"], gap=0.6)
 
 
 @query("owner_distance", with_sql("boxes3d") + "z AS (SELECT 1) SELECT a.role, count(*) AS n, round(min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS least, round(median(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS middle, round(max(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS most FROM boxes3d a JOIN boxes3d b ON a.n = b.n AND b.role = 'O' AND a.role <> 'O' GROUP BY a.role")

@@ -299,7 +299,7 @@ def test_features_of_every_embedding(spark, sf_dir):
     unit = lambda x: x / np.sqrt((x * x).sum())
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", "vec_id", "embedding").toPandas().sort_values("vec_id")
     assert (e.vec_id >= 200).any()
-    for name, step in (("feature_ema_whole", lambda a, x, _: 0.7 * a + 0.3 * x), ("weighted_feature_mean_whole", lambda a, x, i: a + (i % 7 + 1) / 8 * x)):
+    for name, step in (("feature_ema", lambda a, x, _: 0.7 * a + 0.3 * x), ("weighted_feature_mean", lambda a, x, i: a + (i % 7 + 1) / 8 * x)):
         want = {}
         for label, i, x in zip(e.label, e.vec_id, e.embedding, strict=True):
             x = np.asarray(x, float)
@@ -316,7 +316,7 @@ def test_label_norm_of_whole_texts(spark, sf_dir, tmp_path):
 
     texts = ["a b_c-D " * 10 + end for end in ("One!", "Two?")]
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: (r["prior"], r["hash"], r["md5"]) for r in QUERIES["label_norm_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["prior"], r["hash"], r["md5"]) for r in QUERIES["label_norm"](spark, str(tmp_path)).collect()}
     assert got == {n: (("a b c d " * 10 + ("one", "two")[n]), hashlib.sha256(t.encode()).hexdigest(), hashlib.md5(t.encode()).hexdigest()) for n, t in enumerate(texts)}
 
 
@@ -381,3 +381,38 @@ def test_switches_follow_the_posterior(spark):
     rows = [(1, "U1", "A", 0.95), (2, "U1", "B", 0.7), (3, "U1", "B", 0.9999), (4, "U1", "B", None)]
     out = T.switches(T.posteriors(spark.createDataFrame(rows, "frame_idx long, child_node_id string, parent_node_id string, s2d_score double"))).orderBy("frame_idx").collect()
     assert [(r["frame_idx"], r["top"], r["switched"]) for r in out] == [(1, "A", False), (2, "A", False), (3, "B", True), (4, "B", False)]
+
+
+def test_main_parts_are_those_of_the_grid(spark):
+    """Parts found on runs are the parts of the pixels, of many masks at once."""
+    from sceneloom.operators import masks as K
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for i in range(60):
+        m = rng.random((rng.integers(1, 9), rng.integers(1, 12))) < rng.choice([0.25, 0.5, 0.75])
+        if not m.any():
+            continue
+        m = m[np.ix_(np.flatnonzero(m.any(axis=1)).min() + np.arange(np.ptp(np.flatnonzero(m.any(axis=1))) + 1), np.flatnonzero(m.any(axis=0)).min() + np.arange(np.ptp(np.flatnonzero(m.any(axis=0))) + 1))]
+        p = K.parts(m)
+        center = p[m.shape[0] // 2, m.shape[1] // 2]
+        sizes = np.bincount(p[m], minlength=p.max() + 1)
+        part = center if m[m.shape[0] // 2, m.shape[1] // 2] else np.flatnonzero(sizes == sizes.max()).max()
+        want[i] = {(y + 3, x + 7) for y, x in zip(*np.nonzero(m & (p == part)), strict=True)}
+        rows += [(i // 7, i, int(r.row), int(r.start), int(r.length)) for r in K.to_runs(m, 3, 7).itertuples()]
+    got = {}
+    for r in K.shaped(spark.createDataFrame(rows, "frame_idx long, det_id long, row int, start int, length int"), "main").collect():
+        got.setdefault(r["det_id"], set()).update((r["row"], x) for x in range(r["start"], r["start"] + r["length"]))
+    assert got == want
+
+
+def test_completed_objects_follow_the_nearest_links(spark):
+    """Links in the order of their gap join two sets only while their common box stays small; scenes and labels apart."""
+    box = lambda scene, label, n, x: (scene, label, n, x, 0.0, 0.0, x + 1.0, 1.0, 1.0)
+    rows = [box(0, "door", "a", 0.0), box(0, "door", "b", 1.0), box(0, "door", "c", 2.24), box(0, "door", "d", 9.0), box(1, "door", "e", 0.0), box(0, "drawer", "f", 0.0)]
+    b = spark.createDataFrame(rows, "scene long, label string, node_id string, bx1 double, by1 double, bz1 double, bx2 double, by2 double, bz2 double")
+    got = {r["node_id"]: r["object"] for r in M.completed(b, ["scene", "label"], gap=0.25).collect()}
+    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f"}
+    # the box of a and b is sqrt(6) across, 1.414 times that of a; with c it is 1.443 times that of a and b
+    got = {r["node_id"]: r["object"] for r in M.completed(b, ["scene", "label"], gap=0.25, growth=1.42).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f"}
