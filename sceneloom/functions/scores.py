@@ -67,3 +67,13 @@ def first_of(*cases: tuple[Column, str], otherwise: str = "") -> Column:
     for condition, name in cases[1:]:
         out = out.when(F.coalesce(condition, F.lit(False)), name)
     return out.otherwise(otherwise)
+
+
+#: How near an identity must be at least, by role.
+IDENTITY_FLOOR = {"O": 0.08, "C": 0.05, "U": 0.03}
+
+
+def identity_reason(state: Column, overlap: Column, total: Column, semantic: Column, distance: Column, diagonal: Column, role: str, most: float = 0.25, scale: float = 0.5, similar: float = 0.5) -> Column:
+    """Why a pair may not share an identity without geometry, or nothing."""
+    tau = F.greatest(F.lit(IDENTITY_FLOOR.get(role, 0.0)), F.least(F.lit(most), scale * diagonal))
+    return first_of((state != "stable", "node_not_identity_eligible"), (~(overlap > 0.05), "iou_gate"), (total < 0.45, "score_gate"), (semantic < similar, "semantic_gate"), (~(distance < tau), "identity_distance_gate"))

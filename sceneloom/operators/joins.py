@@ -156,3 +156,84 @@ def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on:
     j = placed(a, of_a, gap).join(placed(b, of_b, 0.0), [*on, "_cx", "_cy", "_cz"])
     once = [F.col(f"_c{c}") == F.greatest(low(of_a, c, gap), low(of_b, c, 0.0)) for c in "xyz"]
     return j.where(once[0] & once[1] & once[2]).drop("_cx", "_cy", "_cz")
+
+
+def projected_boxes(points: DataFrame, by: str, camera: tuple[float, float, float, float], width: int, height: int, least: int = 3, tolerance: float = 0.08, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """by, p_x1..p_y2: the percentile box, within the image, of each node's projected points.
+
+    points: by, x, y, z in the camera, depth (the measured depth at the point's pixel). Points before the camera and within
+    an image's size of it count; of these only the visible ones, if there are enough.
+    """
+    u, v, front = G.projected([F.col(c) for c in "xyz"], *[F.lit(k) for k in camera])
+    near = u.between(-width, 2 * width - 1) & v.between(-height, 2 * height - 1)
+    seen = F.coalesce((F.col("depth") > 0) & (F.col("z") <= F.col("depth") + tolerance), F.lit(False))
+    p = points.where(front).select(by, u.alias("u"), v.alias("v"), seen.alias("seen"), near.alias("near")).where("near")
+    w = Window.partitionBy(by)
+    p = p.withColumns({"n": F.count("*").over(w), "k": F.count_if("seen").over(w)}).where((F.col("n") >= least) & (F.col("seen") | (F.col("k") < least)))
+    side = lambda c, most: F.least(F.lit(most - 1.0), F.greatest(F.lit(0.0), F.col(c)))
+    return p.groupBy(by).agg(*[F.percentile(side(c, m), q).alias(f"p_{x}{i}") for i, q in ((1, low), (2, high)) for x, c, m in (("x", "u", width), ("y", "v", height))])
+
+
+def contradicted(seen: DataFrame, own: DataFrame) -> DataFrame:
+    """frame_idx, child_node_id, parents: children whose own parent of a role is none of the frame's parents of that role.
+    seen: frame_idx, child_node_id, child_role, parent_role, parent_node_id; own: child_node_id, parent_role, own."""
+    j = seen.where("child_role = 'U' or parent_role = 'O'").join(own, ["child_node_id", "parent_role"])
+    c = j.groupBy("frame_idx", "child_node_id", "parent_role").agg(F.count("*").alias("parents"), F.bool_and(F.col("parent_node_id") != F.col("own")).alias("against"))
+    return c.where("against").groupBy("frame_idx", "child_node_id").agg(F.sum("parents").alias("parents"))
+
+
+def recovered(seen: DataFrame, linked: DataFrame, known: DataFrame, boxes: DataFrame, reach: float, covered: float, top: int) -> DataFrame:
+    """unit, carrier, distance, rank: for units without a link the ``top`` nearest carriers that were seen with them (seen:
+    pairs and the share of the unit's mask in the carrier's), are not known as a pair, and lie within reach."""
+    k = seen.where(F.col("coverage") > covered).select("parent_node_id", "child_node_id").distinct()
+    k = k.join(linked, "child_node_id", "left_anti").join(known, ["parent_node_id", "child_node_id"], "left_anti")
+    side = lambda p, name: boxes.select(F.col("node_id").alias(name), *[F.col(f"b{c}").alias(f"{p}{c}") for c in BOX3D])
+    j = k.join(side("p_", "parent_node_id"), "parent_node_id").join(side("q_", "child_node_id"), "child_node_id")
+    j = j.select(F.col("child_node_id").alias("unit"), F.col("parent_node_id").alias("carrier"), F.round(G.gap3d(box_columns("p_"), box_columns("q_")), 6).alias("distance")).where(F.col("distance") <= reach)
+    w = Window.partitionBy("unit").orderBy("distance", "carrier")
+    return j.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= top)
+
+
+def retired(points: DataFrame, most: int = 1024, floor: float = 0.03, ratio: float = 0.35, near: float = 0.01, both: float = 0.45, one: float = 0.80) -> DataFrame:
+    """carrier, unit, distance, mutual, one_way: carriers that a unit duplicates, each with its best witness: the greatest lesser
+    and greater share of points near the other's, then the nearest centroid.
+
+    points: id, role (C, or U of a witness), pid, x, y, z. Centroids meet by cells of the largest gate, points by cells."""
+    from .windows import evenly
+
+    c = saved(points.groupBy("id", "role").agg(*[F.avg(k).alias(f"c{k}") for k in "xyz"], G.norm(*[F.max(k) - F.min(k) for k in "xyz"]).alias("extent")))
+    reach = F.greatest(F.lit(floor), ratio * F.greatest("extent", "u_extent"))
+    limit = max(floor, ratio * (c.agg(F.max("extent")).first()[0] or 0.0))
+    u = c.where("role = 'U'").select(F.col("id").alias("unit"), F.col("extent").alias("u_extent"), *[F.col(f"c{k}").alias(f"u_{k}") for k in "xyz"])
+    pairs = within(c.where("role = 'C'").select(F.col("id").alias("carrier"), "extent", "cx", "cy", "cz"), u, ["cx", "cy", "cz"], ["u_x", "u_y", "u_z"], limit).where(F.col("distance") <= reach).select("carrier", "unit", "distance")
+    pairs = saved(pairs)
+    s = saved(evenly(points, ["id"], ["pid"], most).select("id", "pid", "x", "y", "z"))
+    side = lambda name, p: s.select(F.col("id").alias(name), F.col("pid").alias(f"{p}pid"), *[F.col(k).alias(f"{p}{k}") for k in "xyz"])
+    a = pairs.select("carrier", "unit").join(side("carrier", "a_"), "carrier")
+    b = pairs.select("carrier", "unit").join(side("unit", "b_"), "unit")
+    square = sum(((F.col(f"a_{k}") - F.col(f"b_{k}")) * (F.col(f"a_{k}") - F.col(f"b_{k}")) for k in "yz"), (F.col("a_x") - F.col("b_x")) * (F.col("a_x") - F.col("b_x")))
+    hit = saved(within(a, b, ["a_x", "a_y", "a_z"], ["b_x", "b_y", "b_z"], near * 1.0000001, ["carrier", "unit"]).where(square <= near * near).select("carrier", "unit", "a_pid", "b_pid"))
+    n = s.groupBy("id").agg(F.count("*").alias("n"))
+    share = lambda name, pid: hit.groupBy("carrier", "unit").agg(F.count_distinct(pid).alias("k")).join(n.withColumnRenamed("id", name), name).select("carrier", "unit", (F.col("k") / F.col("n")).alias(f"{name}_share"))
+    o = share("carrier", "a_pid").join(share("unit", "b_pid"), ["carrier", "unit"]).join(pairs, ["carrier", "unit"])
+    o = o.select("carrier", "unit", "distance", F.least("carrier_share", "unit_share").alias("mutual"), F.greatest("carrier_share", "unit_share").alias("one_way")).where((F.col("mutual") >= both) & (F.col("one_way") >= one))
+    w = Window.partitionBy("carrier").orderBy(*[F.round(x, 6).desc() for x in ("mutual", "one_way")], F.round("distance", 6), "unit")
+    return o.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def hint_links(hints: DataFrame, seen: DataFrame, nodes: DataFrame, gap: float = 0.12, dot: float = 0.90, iou: float = 1e-4, frames: int = 1) -> DataFrame:
+    """owner, a, b, frames, n_overlaps, normal_dot, gap: carriers with a common owner hint (owner, frame, parent), boxes that
+    overlap in enough of these frames, like normals and a small gap.
+
+    hints: owner, frame_idx, parent_det_id, node_id; seen: frame_idx, node_id, x1..y2; nodes: node_id, nx, ny, nz, x1..z2.
+    """
+    h = hints.select("owner", "frame_idx", "parent_det_id", "node_id").distinct()
+    shared = h.withColumnRenamed("node_id", "a").join(h.withColumnRenamed("node_id", "b"), ["owner", "frame_idx", "parent_det_id"]).where("a < b").select("owner", "a", "b", "frame_idx").distinct()
+    box = lambda k: seen.select("frame_idx", F.col("node_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")])
+    j = shared.join(box("a"), ["frame_idx", "a"]).join(box("b"), ["frame_idx", "b"])
+    k = j.groupBy("owner", "a", "b").agg(F.count("*").alias("frames"), F.count_if(G.iou2d(G.box("a_"), G.box("b_")) > iou).alias("n_overlaps")).where(F.col("n_overlaps") >= frames)
+    side = lambda k: nodes.select(F.col("node_id").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("nx", "ny", "nz", *BOX3D)])
+    m = k.join(side("a"), "a").join(side("b"), "b")
+    like = F.abs(F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") + F.col("a_nz") * F.col("b_nz"))
+    m = m.withColumns({"normal_dot": like, "gap": G.gap3d(box_columns("a_"), box_columns("b_"))})
+    return m.where((F.col("normal_dot") >= dot) & (F.col("gap") <= gap)).select("owner", "a", "b", "frames", "n_overlaps", "normal_dot", "gap")

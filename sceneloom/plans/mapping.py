@@ -254,3 +254,22 @@ def carrier_gates(cu: DataFrame, objects: DataFrame, ou: DataFrame, labels: Data
         (box_gap("p_", "q_") > reach, "aabb_gate_above_threshold"),
     )
     return j.select("carrier", "unit", reason.alias("reason"))
+
+
+def final_hierarchy(edges: DataFrame) -> DataFrame:
+    """Chosen edges (edge_type, parent_node_id, child_node_id, relation_text, provisional) as the final graph's: whether they
+    are complete, and for a unit's carrier the object above it and how sure that is. A child with two parents is an error."""
+    many = edges.groupBy("child_node_id").agg(F.count("*").alias("n")).where("n > 1").orderBy("child_node_id").limit(20).collect()
+    if many:
+        raise ValueError("immediate parents must be resolved before: " + ", ".join(r["child_node_id"] for r in many))
+    above = edges.where("edge_type = 'O-C'").select(F.col("child_node_id").alias("parent_node_id"), F.col("parent_node_id").alias("owner"), F.col("provisional").alias("unsure"))
+    cu = F.col("edge_type") == "C-U"
+    j = edges.join(above, "parent_node_id", "left")
+    status = F.when(cu, F.when(F.col("owner").isNull(), "unknown").when(F.col("unsure"), "provisional").otherwise("confirmed"))
+    return j.select("edge_type", "parent_node_id", "child_node_id", F.when(F.trim("relation_text") != "", "complete").otherwise("pending").alias("functional_status"), F.when(cu, F.col("owner")).alias("object_parent_id"), status.alias("object_parent_status"))
+
+
+def hierarchy_audit(final: DataFrame) -> DataFrame:
+    """One row: edges, units whose carrier has an object, and units whose carrier has none."""
+    cu = F.col("edge_type") == "C-U"
+    return final.agg(F.count("*").alias("edges"), F.count_if(cu & F.col("object_parent_id").isNotNull()).alias("anchored"), F.count_if(cu & F.col("object_parent_id").isNull()).alias("unanchored"))

@@ -62,32 +62,55 @@ def pair_gate_scores(spark, sf_dir):
 
 @query(
     "projected_overlap",
-    with_sql("points", "detections") + """u AS (SELECT node, (x + 0.1) * 300 / (z + 1) + 20 AS u, (y + 0.1) * 400 / (z + 1) + 30 AS v FROM points),
-    b AS (SELECT node, quantile_cont(u, 0.02) AS x1, quantile_cont(v, 0.02) AS y1, quantile_cont(u, 0.98) AS x2, quantile_cont(v, 0.98) AS y2, count(*) AS n FROM u GROUP BY node HAVING count(*) >= 3),
+    with_sql("points", "depth_samples", "detections") + """c AS (SELECT p.node, x + 0.1 AS x, y + 0.1 AS y, z + 0.3 AS z, d.depth FROM points p JOIN depth_samples d USING (pid)),
+    u AS (SELECT node, z, depth, x * 900 / z + 20 AS u, y * 1200 / z + 30 AS v FROM c WHERE z > 1e-6), w AS (SELECT *, z <= depth + 0.08 AND depth > 0 AS seen FROM u WHERE u BETWEEN -640 AND 1279 AND v BETWEEN -480 AND 959),
+    n AS (SELECT node, count(*) AS n, count(*) FILTER (seen) AS k FROM w GROUP BY node),
+    b AS (SELECT node, quantile_cont(least(639, greatest(0, u)), 0.02) AS x1, quantile_cont(least(479, greatest(0, v)), 0.02) AS y1, quantile_cont(least(639, greatest(0, u)), 0.98) AS x2, quantile_cont(least(479, greatest(0, v)), 0.98) AS y2 FROM w JOIN n USING (node) WHERE n >= 3 AND (seen OR k < 3) GROUP BY node),
     j AS (SELECT d.frame_idx, d.det_id, b.node, greatest(0, least(d.x2, b.x2) - greatest(d.x1, b.x1)) * greatest(0, least(d.y2, b.y2) - greatest(d.y1, b.y1)) AS i, (d.x2 - d.x1) * (d.y2 - d.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM detections d JOIN b ON b.node = d.frame_idx % 100 WHERE d.role = 'O')
     SELECT frame_idx, det_id, node, round(i / (s - i), 6) AS iou FROM j WHERE i > 0""",
 )
 def projected_overlap(spark, sf_dir):
-    """Each node's points projected, their 2-98 percentile box, and its overlap with detections."""
-    p = scene(spark, sf_dir, "points")
-    u, v, front = G.projected([F.col("x") + 0.1, F.col("y") + 0.1, F.col("z") + 1], *[F.lit(float(k)) for k in (300, 400, 20, 30)])
-    q = p.select("node", u.alias("u"), v.alias("v"), front.alias("front")).where("front").groupBy("node").agg(F.count("*").alias("n"), *[F.percentile(c, x).alias(k) for k, c, x in (("p_x1", "u", 0.02), ("p_y1", "v", 0.02), ("p_x2", "u", 0.98), ("p_y2", "v", 0.98))]).where("n >= 3")
+    """Each node's points projected with the test of depth, their 2-98 percentile box within the image, and its overlap with
+    the detections of the frame that sees it."""
+    p = scene(spark, sf_dir, "points").join(scene(spark, sf_dir, "depth_samples").select("pid", "depth"), "pid")
+    b = J.projected_boxes(p.select("node", (F.col("x") + 0.1).alias("x"), (F.col("y") + 0.1).alias("y"), (F.col("z") + 0.3).alias("z"), "depth"), "node", (900.0, 1200.0, 20.0, 30.0), 640, 480)
     d = scene(spark, sf_dir, "detections").where("role = 'O'").withColumn("node", F.col("frame_idx") % 100)
-    return d.join(q, "node").withColumn("iou", G.iou2d(G.box(), G.box("p_"))).where("iou > 0").select("frame_idx", "det_id", "node", F.round("iou", 6).alias("iou"))
+    return d.join(b, "node").withColumn("iou", G.iou2d(G.box(), G.box("p_"))).where("iou > 0").select("frame_idx", "det_id", "node", F.round("iou", 6).alias("iou"))
+
+
+@query(
+    "identity_pairs",
+    with_sql("observations", "nodes") + """j AS (SELECT o.seq, n.node_id, n.state, sqrt(pow(o.cx - n.cx, 2) + pow(o.cy - n.cy, 2) + pow(o.cz - n.cz, 2)) AS d, greatest(0.03, least(0.25, 0.5 * 2 * n.half)) AS tau, o.quality AS sim, n.quality_ema AS sem FROM observations o JOIN nodes n ON n.role = 'U'),
+    k AS (SELECT *, 0.5 * sim + (exp(-d * d / (2 * 0.08 * 0.08)) + sem + sim) / 6 AS total FROM j WHERE d <= 0.25)
+    SELECT seq, node_id, round(d, 6) AS distance, CASE WHEN state <> 'stable' THEN 'node_not_identity_eligible' WHEN NOT sim > 0.05 THEN 'iou_gate' WHEN total < 0.45 THEN 'score_gate' WHEN sem < 0.5 THEN 'semantic_gate' WHEN NOT d < tau THEN 'identity_distance_gate' ELSE '' END AS reason FROM k""",
+)
+def identity_pairs(spark, sf_dir):
+    """Pairs that may share an identity without fusing geometry: the four-clue score under gates of its own."""
+    o = scene(spark, sf_dir, "observations").select("seq", "quality", *[F.col(c).alias(f"o_{c}") for c in XYZ])
+    n = scene(spark, sf_dir, "nodes").where("role = 'U'").select("node_id", "state", "quality_ema", "half", *XYZ)
+    p = J.within(o, n, ["o_cx", "o_cy", "o_cz"], XYZ, 0.25)
+    total = S.pair_total(F.col("quality"), S.gaussian(F.col("distance")), F.col("quality_ema"), F.col("quality"))
+    return p.select("seq", "node_id", F.round("distance", 6).alias("distance"), S.identity_reason(F.col("state"), F.col("quality"), total, F.col("quality_ema"), F.col("distance"), 2 * F.col("half"), "U").alias("reason"))
 
 
 @query(
     "parent_conflict",
-    with_sql("edge_candidates", "nodes") + """s AS (SELECT e.frame_idx, e.child_node_id, e.parent_node_id FROM edge_candidates e JOIN nodes p ON p.node_id = e.parent_node_id WHERE p.state = 'stable' AND e.selected),
-    k AS (SELECT child_node_id, min(parent_node_id) AS own FROM s GROUP BY child_node_id)
-    SELECT s.frame_idx, s.child_node_id, count(*) AS parents FROM s JOIN k USING (child_node_id) GROUP BY s.frame_idx, s.child_node_id HAVING bool_and(s.parent_node_id <> k.own)""",
+    with_sql("edge_candidates", "nodes") + """s AS (SELECT e.frame_idx, e.frame_key, e.child_node_id, e.child_role, e.parent_role, e.parent_node_id FROM edge_candidates e JOIN nodes p ON p.node_id = e.parent_node_id WHERE p.state = 'stable' AND e.selected),
+    v AS (SELECT child_node_id, parent_role, parent_node_id, count(DISTINCT frame_key) AS frames FROM s GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER w AS rn, coalesce(lead(frames) OVER w, 0) AS second FROM v WINDOW w AS (PARTITION BY child_node_id, parent_role ORDER BY frames DESC, parent_node_id DESC)),
+    own AS (SELECT child_node_id, parent_role, parent_node_id AS own FROM r WHERE rn = 1 AND frames >= 2 AND frames - second >= 1),
+    c AS (SELECT s.frame_idx, s.child_node_id, s.parent_role, count(*) AS parents, bool_and(s.parent_node_id <> own.own) AS against FROM s JOIN own USING (child_node_id, parent_role) WHERE s.child_role = 'U' OR s.parent_role = 'O' GROUP BY ALL)
+    SELECT frame_idx, child_node_id, sum(parents)::BIGINT AS parents FROM c WHERE against GROUP BY ALL""",
 )
 def parent_conflict(spark, sf_dir):
-    """Children whose stable parent contradicts every stable parent of a frame."""
+    """Children whose stable object or carrier contradicts every stable object, or carrier, of a frame; a carrier has an
+    object only."""
+    from ..operators.aggregates import stable_parent
+
     e, n = scene(spark, sf_dir, "edge_candidates").where("selected"), scene(spark, sf_dir, "nodes").where("state = 'stable'")
     s = e.join(n.select(F.col("node_id").alias("parent_node_id")), "parent_node_id", "left_semi")
-    own = s.groupBy("child_node_id").agg(F.min("parent_node_id").alias("own"))
-    return s.join(own, "child_node_id").groupBy("frame_idx", "child_node_id").agg(F.count("*").alias("parents"), F.bool_and(F.col("parent_node_id") != F.col("own")).alias("all")).where("all").drop("all")
+    own = stable_parent(s, ["child_node_id", "parent_role"]).select("child_node_id", "parent_role", F.col("parent_node_id").alias("own"))
+    return J.contradicted(s, own)
 
 
 _POSE = with_sql("pose_track", "frame_times") + """b AS (SELECT f.frame_idx, f.t_us, p.t_us AS bt, p.tx AS btx, p.rz AS brz FROM frame_times f ASOF LEFT JOIN pose_track p ON f.t_us >= p.t_us),
@@ -250,49 +273,67 @@ def remote_best_source(spark, sf_dir):
     return remote_links(n, scene(spark, sf_dir, "templates"), lambda s, t: (s["n"] + t["n"]) % 4, ["scene"])
 
 
+_HINTED = """m AS (SELECT frame_idx, det_id, 'C' || lpad(((det_id * 5 + frame_idx % 3) % 24)::VARCHAR, 9, '0') AS node_id, x1, y1, x2, y2 FROM detections WHERE role = 'C'),
+    h AS (SELECT DISTINCT m.node_id, r.parent_label AS owner, r.frame_idx, r.parent_det_id FROM relations_2d r JOIN m ON m.frame_idx = r.frame_idx AND m.det_id = r.child_det_id WHERE r.edge_type = 'O-C' AND contain > 0.3),
+    o AS (SELECT frame_idx, node_id, min(det_id) AS det_id FROM m GROUP BY ALL), ob AS (SELECT m.* FROM m JOIN o USING (frame_idx, node_id, det_id)),
+    nm AS (SELECT node_id, cos(n * 0.15) AS nx, sin(n * 0.15) AS ny, 0.0::DOUBLE AS nz, bx1, by1, bz1, bx2, by2, bz2 FROM boxes3d WHERE role = 'C')"""
+
+
 @query(
     "owner_hint_links",
-    with_sql("relations_2d") + """h AS (SELECT frame_idx, parent_det_id, child_det_id FROM relations_2d WHERE edge_type = 'O-C' AND contain > 0.3)
-    SELECT a.frame_idx, a.parent_det_id, a.child_det_id AS a, b.child_det_id AS b FROM h a JOIN h b ON a.frame_idx = b.frame_idx AND a.parent_det_id = b.parent_det_id AND a.child_det_id < b.child_det_id
-    JOIN detections p ON p.frame_idx = a.frame_idx AND p.det_id = a.child_det_id JOIN detections q ON q.frame_idx = b.frame_idx AND q.det_id = b.child_det_id
-    WHERE greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) > 0""",
+    with_sql("relations_2d", "boxes3d") + _HINTED + """, f AS (SELECT DISTINCT a.owner, a.node_id AS a, b.node_id AS b, a.frame_idx FROM h a JOIN h b ON a.owner = b.owner AND a.frame_idx = b.frame_idx AND a.parent_det_id = b.parent_det_id AND a.node_id < b.node_id),
+    g AS (SELECT owner, a, b, f.frame_idx, greatest(0, least(x.x2, y.x2) - greatest(x.x1, y.x1)) * greatest(0, least(x.y2, y.y2) - greatest(x.y1, y.y1)) AS i, (x.x2 - x.x1) * (x.y2 - x.y1) + (y.x2 - y.x1) * (y.y2 - y.y1) AS s FROM f JOIN ob x ON x.frame_idx = f.frame_idx AND x.node_id = a JOIN ob y ON y.frame_idx = f.frame_idx AND y.node_id = b),
+    k AS (SELECT owner, a, b, count(*) AS frames, count(*) FILTER (i / (s - i) > 1e-4) AS n_overlaps FROM g GROUP BY ALL)
+    SELECT owner, a, b, frames, n_overlaps, round(abs(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz), 6) AS normal_dot, round(sqrt(pow(greatest(0, p.bx1 - q.bx2, q.bx1 - p.bx2), 2) + pow(greatest(0, p.by1 - q.by2, q.by1 - p.by2), 2) + pow(greatest(0, p.bz1 - q.bz2, q.bz1 - p.bz2), 2)), 6) AS gap
+    FROM k JOIN nm p ON p.node_id = a JOIN nm q ON q.node_id = b WHERE n_overlaps >= 1 AND abs(p.nx * q.nx + p.ny * q.ny + p.nz * q.nz) >= 0.9 AND sqrt(pow(greatest(0, p.bx1 - q.bx2, q.bx1 - p.bx2), 2) + pow(greatest(0, p.by1 - q.by2, q.by1 - p.by2), 2) + pow(greatest(0, p.bz1 - q.bz2, q.bz1 - p.bz2), 2)) <= 0.4""",
 )
 def owner_hint_links(spark, sf_dir):
-    """Carriers that share an owner hint in a frame and overlap there."""
-    h = scene(spark, sf_dir, "relations_2d").where("edge_type = 'O-C' and contain > 0.3").select("frame_idx", "parent_det_id", "child_det_id")
-    d = scene(spark, sf_dir, "detections").select("frame_idx", F.col("det_id").alias("child_det_id"), "x1", "y1", "x2", "y2")
-    b = h.join(d, ["frame_idx", "child_det_id"])
-    left = b.select("frame_idx", "parent_det_id", F.col("child_det_id").alias("a"), *[F.col(x).alias(f"a_{x}") for x in ("x1", "y1", "x2", "y2")])
-    right = b.select("frame_idx", "parent_det_id", F.col("child_det_id").alias("b"), *[F.col(x).alias(f"b_{x}") for x in ("x1", "y1", "x2", "y2")])
-    return left.join(right, ["frame_idx", "parent_det_id"]).where("a < b").where(G.iou2d(G.box("a_"), G.box("b_")) > 0).select("frame_idx", "parent_det_id", "a", "b")
+    """Carriers that share an owner hint in frames in which they overlap, with like normals and a small gap."""
+    node = F.concat(F.lit("C"), F.lpad(((F.col("det_id") * 5 + F.col("frame_idx") % 3) % 24).cast("string"), 9, "0"))
+    m = scene(spark, sf_dir, "detections").where("role = 'C'").select("frame_idx", "det_id", node.alias("node_id"), "x1", "y1", "x2", "y2")
+    r = scene(spark, sf_dir, "relations_2d").where("edge_type = 'O-C' and contain > 0.3").select("frame_idx", F.col("child_det_id").alias("det_id"), F.col("parent_label").alias("owner"), "parent_det_id")
+    seen = m.groupBy("frame_idx", "node_id").agg(F.min(F.struct("det_id", "x1", "y1", "x2", "y2")).alias("m")).select("frame_idx", "node_id", "m.x1", "m.y1", "m.x2", "m.y2")
+    b = scene(spark, sf_dir, "boxes3d").where("role = 'C'").select("node_id", F.cos(F.col("n") * 0.15).alias("nx"), F.sin(F.col("n") * 0.15).alias("ny"), F.lit(0.0).alias("nz"), *[F.col(f"b{c}").alias(c) for c in J.BOX3D])
+    out = J.hint_links(r.join(m.select("frame_idx", "det_id", "node_id"), ["frame_idx", "det_id"]), seen, b, gap=0.4)
+    return out.select("owner", "a", "b", "frames", "n_overlaps", F.round("normal_dot", 6).alias("normal_dot"), F.round("gap", 6).alias("gap"))
 
 
 @query(
     "historical_recovery",
-    with_sql("edge_candidates") + """l AS (SELECT DISTINCT child_node_id FROM edge_candidates WHERE edge_type = 'C-U' AND selected AND pass_threshold AND sdet > 0.95 AND coverage > 0.98),
-    k AS (SELECT child_node_id AS unit, parent_node_id AS carrier, count(DISTINCT frame_idx) AS frames, round(min(sdet), 6) AS distance FROM edge_candidates WHERE edge_type = 'C-U' AND coverage > 0.3 AND child_node_id NOT IN (SELECT child_node_id FROM l) GROUP BY 1, 2),
-    w AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY distance, carrier) AS rank FROM k WHERE frames >= 2) SELECT * FROM w WHERE rank <= 2""",
+    with_sql("edge_candidates", "boxes3d") + """l AS (SELECT DISTINCT parent_node_id, child_node_id FROM edge_candidates WHERE edge_type = 'C-U' AND selected AND pass_threshold AND sdet > 0.9 AND coverage > 0.96),
+    k AS (SELECT DISTINCT e.child_node_id, e.parent_node_id FROM edge_candidates e WHERE edge_type = 'C-U' AND from_raw AND coverage > 0.3 AND child_node_id NOT IN (SELECT child_node_id FROM l) AND NOT EXISTS (SELECT 1 FROM edge_candidates x WHERE x.edge_type = 'C-U' AND x.semantic_source = 'atlas' AND x.frame_idx % 7 = 0 AND x.parent_node_id = e.parent_node_id AND x.child_node_id = e.child_node_id)),
+    g AS (SELECT k.child_node_id AS unit, k.parent_node_id AS carrier, round(sqrt(pow(greatest(0, p.bx1 - q.bx2, q.bx1 - p.bx2), 2) + pow(greatest(0, p.by1 - q.by2, q.by1 - p.by2), 2) + pow(greatest(0, p.bz1 - q.bz2, q.bz1 - p.bz2), 2)), 6) AS distance FROM k JOIN boxes3d p ON p.node_id = k.parent_node_id JOIN boxes3d q ON q.node_id = k.child_node_id WHERE p.state <> 'rejected' AND q.state <> 'rejected'),
+    w AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY distance, carrier) AS rank FROM g WHERE distance <= 1.2) SELECT * FROM w WHERE rank <= 2""",
 )
 def historical_recovery(spark, sf_dir):
-    """Units without a strong link: the two nearest carriers that were seen with them in two frames or more."""
-    e = scene(spark, sf_dir, "edge_candidates").where("edge_type = 'C-U'")
-    linked = e.where("selected and pass_threshold and sdet > 0.95 and coverage > 0.98").select("child_node_id").distinct()
-    k = e.where("coverage > 0.3").join(linked, "child_node_id", "left_anti").groupBy(F.col("child_node_id").alias("unit"), F.col("parent_node_id").alias("carrier")).agg(F.count_distinct("frame_idx").alias("frames"), F.round(F.min("sdet"), 6).alias("distance")).where("frames >= 2")
-    return k.withColumn("rank", F.row_number().over(Window.partitionBy("unit").orderBy("distance", "carrier")).cast("long")).where("rank <= 2")
+    """Units without a link: the two nearest carriers that were seen with them, whose mask covers them, and that no pair has
+    yet."""
+    e, b = scene(spark, sf_dir, "edge_candidates").where("edge_type = 'C-U'"), scene(spark, sf_dir, "boxes3d").where("state <> 'rejected'")
+    linked = e.where("selected and pass_threshold and sdet > 0.9 and coverage > 0.96").select("child_node_id").distinct()
+    known = e.where("semantic_source = 'atlas' and frame_idx % 7 = 0").select("parent_node_id", "child_node_id").distinct()
+    return J.recovered(e.where("from_raw"), linked, known, b, reach=1.2, covered=0.3, top=2)
+
+
+_TRACKS = """t AS (SELECT 'C' || node AS id, 'C' AS role, pid, x + node * 0.5 AS x, y, z FROM points UNION ALL SELECT 'U' || node, 'U', pid, x + node * 0.5 + CASE node % 3 WHEN 0 THEN 0.002 WHEN 1 THEN 0.012 ELSE 0.2 END, y, z FROM points WHERE node % 5 <> 4 AND pid % 4 <> 3),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pid) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM t), s AS (SELECT * FROM r WHERE n <= 512 OR list_contains(list_transform(range(512), lambda j: floor(j * ((n - 1) / 511.0::DOUBLE) + 1e-9)::BIGINT), i)),
+    c AS (SELECT id, role, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) AS extent FROM t GROUP BY id, role)"""
 
 
 @query(
     "retired_carriers",
-    with_sql("boxes3d") + """j AS (SELECT c.node_id AS carrier, u.node_id AS unit, sqrt(pow(c.cx - u.cx, 2) + pow(c.cy - u.cy, 2) + pow(c.cz - u.cz, 2)) AS d FROM boxes3d c JOIN boxes3d u ON c.role = 'C' AND u.role = 'U' WHERE c.state <> 'rejected'),
-    w AS (SELECT carrier, unit, round(d, 6) AS distance, row_number() OVER (PARTITION BY carrier ORDER BY round(d, 6), unit) AS rn FROM j WHERE d <= 0.2) SELECT carrier, unit, distance FROM w WHERE rn = 1""",
+    with_sql("points") + _TRACKS + """, p AS (SELECT a.id AS carrier, b.id AS unit, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) AS d, greatest(0.03, 0.35 * greatest(a.extent, b.extent)) AS most FROM c a JOIN c b ON a.role = 'C' AND b.role = 'U'),
+    k AS (SELECT * FROM p WHERE d <= most), h AS (SELECT k.carrier, k.unit, x.pid AS xp, y.pid AS yp FROM k JOIN s x ON x.id = k.carrier JOIN s y ON y.id = k.unit AND pow(x.x - y.x, 2) + pow(x.y - y.y, 2) + pow(x.z - y.z, 2) <= 0.0001),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY id), o AS (SELECT h.carrier, h.unit, count(DISTINCT xp) / any_value(a.n)::DOUBLE AS cu, count(DISTINCT yp) / any_value(b.n)::DOUBLE AS uc FROM h JOIN n a ON a.id = h.carrier JOIN n b ON b.id = h.unit GROUP BY ALL),
+    w AS (SELECT carrier, unit, round(d, 6) AS distance, round(least(cu, uc), 6) AS mutual, round(greatest(cu, uc), 6) AS one_way FROM o JOIN k USING (carrier, unit) WHERE least(cu, uc) >= 0.45 AND greatest(cu, uc) >= 0.8)
+    SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY carrier ORDER BY mutual DESC, one_way DESC, distance, unit) = 1""",
 )
 def retired_carriers(spark, sf_dir):
-    """The nearest witness unit within the centroid gate of each carrier."""
-    b = scene(spark, sf_dir, "boxes3d")
-    c = b.where("role = 'C' and state <> 'rejected'").select(F.col("node_id").alias("carrier"), *[F.col(x).alias(f"c_{x}") for x in XYZ])
-    u = b.where("role = 'U'").select(F.col("node_id").alias("unit"), *XYZ)
-    j = J.within(c, u, ["c_cx", "c_cy", "c_cz"], XYZ, 0.2).withColumn("distance", F.round("distance", 6))
-    return j.withColumn("rn", F.row_number().over(Window.partitionBy("carrier").orderBy("distance", "unit"))).where("rn = 1").select("carrier", "unit", "distance")
+    """Carriers that a witness unit duplicates: centroids within the gate, points that cover each other, the best witness."""
+    p = scene(spark, sf_dir, "points")
+    shift = F.when(F.col("node") % 3 == 0, 0.002).when(F.col("node") % 3 == 1, 0.012).otherwise(0.2)
+    side = lambda d, role, x: d.select(F.concat(F.lit(role), F.col("node").cast("string")).alias("id"), F.lit(role).alias("role"), "pid", x.alias("x"), "y", "z")
+    t = side(p, "C", F.col("x") + F.col("node") * 0.5).unionByName(side(p.where("node % 5 <> 4 and pid % 4 <> 3"), "U", F.col("x") + F.col("node") * 0.5 + shift))
+    return J.retired(t, 512).select("carrier", "unit", *[F.round(c, 6).alias(c) for c in ("distance", "mutual", "one_way")])
 
 
 @query("hierarchy_roles", with_sql("gt_edges") + "t AS (SELECT DISTINCT a.child AS unit, a.parent AS carrier, b.parent AS object FROM gt_edges a JOIN gt_edges b ON a.parent = b.child JOIN gt_edges c ON c.child = a.child AND c.parent = b.parent) SELECT carrier, object, count(*) AS units FROM t GROUP BY carrier, object")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..fixtures import scene, with_sql
 from ..functions import geometry as G
@@ -267,3 +268,20 @@ def owner_distance(spark, sf_dir):
     o = b.where("role = 'O'").select("n", *[F.col(c).alias(f"o_{c}") for c in ("cx", "cy", "cz")])
     d = b.where("role <> 'O'").join(o, "n").withColumn("d", G.norm(*[F.col(c) - F.col(f"o_{c}") for c in ("cx", "cy", "cz")]))
     return d.groupBy("role").agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("least"), F.round(F.median("d"), 6).alias("middle"), F.round(F.max("d"), 6).alias("most"))
+
+
+_CHOSEN = """a AS (SELECT child_node_id, parent_node_id, edge_type, count(*) FILTER (selected) AS n, min(relation_text) AS relation_text FROM edge_candidates WHERE pn % 3 <> 0 OR edge_type <> 'O-C' GROUP BY ALL),
+    f AS (SELECT edge_type, parent_node_id, child_node_id, relation_text, n < 20 AS provisional FROM a QUALIFY row_number() OVER (PARTITION BY child_node_id ORDER BY n DESC, parent_node_id, edge_type) = 1)"""
+
+
+@query(
+    "final_hierarchy",
+    with_sql("edge_candidates") + _CHOSEN + """, o AS (SELECT child_node_id AS c, parent_node_id AS owner, provisional AS unsure FROM f WHERE edge_type = 'O-C')
+    SELECT edge_type, parent_node_id, child_node_id, CASE WHEN trim(relation_text) <> '' THEN 'complete' ELSE 'pending' END AS functional_status, CASE WHEN edge_type = 'C-U' THEN owner END AS object_parent_id, CASE WHEN edge_type = 'C-U' THEN CASE WHEN owner IS NULL THEN 'unknown' WHEN unsure THEN 'provisional' ELSE 'confirmed' END END AS object_parent_status FROM f LEFT JOIN o ON o.c = f.parent_node_id""",
+)
+def final_hierarchy(spark, sf_dir):
+    """The chosen parent of each child as the final graph's edge."""
+    e = scene(spark, sf_dir, "edge_candidates").where("pn % 3 <> 0 or edge_type <> 'O-C'")
+    a = e.groupBy("child_node_id", "parent_node_id", "edge_type").agg(F.count_if("selected").alias("n"), F.min("relation_text").alias("relation_text"))
+    best = Window.partitionBy("child_node_id").orderBy(F.desc("n"), "parent_node_id", "edge_type")
+    return M.final_hierarchy(a.withColumn("rn", F.row_number().over(best)).where("rn = 1").withColumn("provisional", F.col("n") < 20))
