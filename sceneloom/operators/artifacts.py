@@ -130,6 +130,11 @@ def write_rows(df: DataFrame, path: str, partition: str | None = None, mode: str
     (w.partitionBy(partition) if partition else w).save(path)
 
 
+def unprocessed(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys a former run has not written, so that a run goes on where it was stopped."""
+    return rows.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
 def fingerprint(df: DataFrame) -> str:
     """A digest of a table's rows that does not depend on their order."""
     row = F.xxhash64(*df.columns)

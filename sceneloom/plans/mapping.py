@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -84,6 +86,63 @@ def main_cluster(points: DataFrame, by: str, eps: float, least: int, most: int =
     return evenly(points, [by], ["pid"], most).groupBy(by).applyInPandas(keep, points.schema)
 
 
+def legacy_cluster(xyz: np.ndarray, eps: float, least: int, ratio: float, voxel: float = 0.0) -> np.ndarray:
+    """Which points stay: those of the largest density cluster (found on voxels' means, then all points near it), or all
+    where there are too few, no cluster, or it holds too small a share."""
+    n, every = len(xyz), np.ones(len(xyz), bool)
+    if n < max(2, least):
+        return every
+    sample = xyz
+    if voxel > 0:
+        _, at = np.unique(np.floor(xyz / voxel).astype(np.int64), axis=0, return_inverse=True)
+        at = at.ravel()
+        sample = np.stack([np.bincount(at, xyz[:, k]) for k in range(3)], axis=1) / np.bincount(at)[:, None]
+        if len(sample) < max(2, least):
+            return every
+    c = dense(sample, eps, least)
+    if not (c >= 0).any():
+        return every
+    main = c == np.bincount(c[c >= 0]).argmax()
+    if main.mean() < ratio:
+        return every
+    if len(sample) == n:
+        return main
+    near = np.concatenate([(((xyz[i : i + 512, None] - sample[main][None]) ** 2).sum(axis=2).min(axis=1)) for i in range(0, n, 512)])
+    keep = near <= (1.5 * eps) ** 2
+    return every if keep.mean() < ratio or keep.sum() < max(2, least) else keep
+
+
+def adaptive_cluster(xyz: np.ndarray, uv: np.ndarray, center: tuple[float, float], focal: float, parent: float | None = None, band: float = 0.0, pixels: float = 12.0, low: float = 0.008, high: float = 0.05, least: int = 8, keep: int = 8) -> np.ndarray:
+    """Which points stay: those of the cluster that fits the parent's depth, else is nearest the center in the image, then
+    flattest, then largest; its radius is some pixels at the median depth. None where no cluster is large enough, all where
+    there are too few points."""
+    if len(xyz) < max(2, least):
+        return np.ones(len(xyz), bool)
+    eps = float(np.clip(pixels * np.median(xyz[:, 2]) / max(1e-6, focal), low, high))
+    c = dense(xyz, eps, least)
+    best, chosen = None, -1
+    for k in range(c.max() + 1):
+        own = c == k
+        if own.sum() < keep:
+            continue
+        z = xyz[own, 2]
+        mid = float(np.median(z))
+        rank = (parent is not None and abs(mid - parent) <= band, -float(np.linalg.norm(np.median(uv[own], axis=0) - np.asarray(center))), -float(np.median(np.abs(z - mid))), int(own.sum()))
+        if best is None or rank > best:
+            best, chosen = rank, k
+    return c == chosen if best is not None else np.zeros(len(xyz), bool)
+
+
+def clustered(points: DataFrame, by: str, keep: Callable[[np.ndarray], np.ndarray], most: int = 4096) -> DataFrame:
+    """The points of each group that ``keep`` (of their x, y, z) keeps, from at most ``most`` evenly spaced ones."""
+
+    def work(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("pid")
+        return g[keep(g[["x", "y", "z"]].to_numpy(float))]
+
+    return evenly(points, [by], ["pid"], most).groupBy(by).applyInPandas(work, points.schema)
+
+
 def step(nodes: dict, frame: pd.DataFrame, ids: dict[str, int], cap: float = 0.15) -> list[tuple]:
     """One frame of the tracker: objects, carriers, units in turn; (det_id, node_id, kind). Changes nodes and ids."""
     out = []

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,6 +89,23 @@ def posed_frames(rgb: DataFrame, depth: DataFrame, pose: DataFrame, start: int =
     return sliced(j, natural_key(F.col("stem")), start, end, stride).withColumnRenamed("stem", "frame_key")
 
 
+def colmap_frames(spark: SparkSession, root: str, start: int = 0, end: int | None = None, stride: int = 1) -> DataFrame:
+    """Frames of a folder with rgb, depth and images.txt."""
+    return posed_frames(image_files(spark, f"{root}/rgb"), image_files(spark, f"{root}/depth"), poses(spark, f"{root}/images.txt"), start, end, stride)
+
+
+#: What ``create_sequence`` knows, by name.
+SEQUENCES = {"rgb_folder": rgb_folder, "colmap": colmap_frames}
+
+
+def create_sequence(spark: SparkSession, dataset: str, **kwargs) -> DataFrame:
+    """The frames of a sequence by the name of its kind; an unknown name is an error."""
+    name = dataset.lower()
+    if name not in SEQUENCES:
+        raise ValueError(f"unknown kind of sequence {dataset!r}; known are {', '.join(sorted(SEQUENCES))}")
+    return SEQUENCES[name](spark, **kwargs)
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON Lines file; blank lines are skipped, a missing file is empty."""
     from pyspark.errors import AnalysisException
@@ -106,6 +126,45 @@ def split_list(spark: SparkSession, path: str) -> DataFrame:
     return s
 
 
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, through the file system of its path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+#: A PLY's number types as numpy names them.
+PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "float32": "f4", "double": "f8", "float64": "f8"}
+
+
+def ply_binary(spark: SparkSession, path: str) -> DataFrame:
+    """x, y, z, r, g, b of the vertices of binary PLY files; a missing colour is 180, rows that are not finite go."""
+
+    def vertices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                head, _, body = content.as_py().partition(b"end_header\n")
+                lines = [x.split() for x in head.decode("ascii").splitlines()]
+                if ["format", "binary_little_endian", "1.0"] not in lines and ["format", "binary_big_endian", "1.0"] not in lines:
+                    raise ValueError("no binary PLY")
+                order = "<" if ["format", "binary_little_endian", "1.0"] in lines else ">"
+                first = next(i for i, x in enumerate(lines) if x[:2] == ["element", "vertex"])
+                fields = []
+                for x in lines[first + 1 :]:
+                    if x[0] == "element":
+                        break
+                    if x[0] == "property":
+                        fields.append((x[2], order + PLY_TYPES[x[1]]))
+                v = np.frombuffer(body, np.dtype(fields), int(lines[first][2]))
+                keep = np.isfinite(v["x"]) & np.isfinite(v["y"]) & np.isfinite(v["z"])
+                colour = [v[c][keep].astype(np.int32) if c in v.dtype.names else np.full(int(keep.sum()), 180, np.int32) for c in ("red", "green", "blue")]
+                for at in range(0, max(1, int(keep.sum())), 100_000):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(v[c][keep][at : at + 100_000].astype(np.float64)) for c in "xyz"), *(pa.array(c[at : at + 100_000]) for c in colour)], list("xyzrgb"))
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(vertices, "x double, y double, z double, r int, g int, b int")
+
+
 def ply(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z, r, g, b of an ASCII PLY's vertices; a missing colour is 180, rows that are not finite go."""
     v = F.split(F.trim("value"), "\\s+")

@@ -416,3 +416,65 @@ def test_completed_objects_follow_the_nearest_links(spark):
     # the box of a and b is sqrt(6) across, 1.414 times that of a; with c it is 1.443 times that of a and b
     got = {r["node_id"]: r["object"] for r in M.completed(b, ["scene", "label"], gap=0.25, growth=1.42).collect()}
     assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f"}
+
+
+def _density_clusters(xyz, eps, least):
+    """Brute force: core points within eps of each other are one cluster; others join their first core neighbour's."""
+    near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= eps * eps
+    core = near.sum(axis=1) >= least
+    out, now = np.full(len(xyz), -1), 0
+    for i in np.flatnonzero(core):
+        if out[i] < 0:
+            todo = [i]
+            out[i] = now
+            while todo:
+                for j in np.flatnonzero(near[todo.pop()] & (out < 0)):
+                    out[j] = now
+                    if core[j]:
+                        todo.append(j)
+            now += 1
+    return out
+
+
+def test_clusters_stay_or_fall_by_their_rules():
+    rng = np.random.default_rng(3)
+    big, small, far = rng.normal(0, 0.01, (60, 3)), rng.normal(0.5, 0.005, (20, 3)), rng.uniform(2, 9, (10, 3))
+    xyz = np.concatenate([big, small, far])
+    assert (M.dense(xyz, 0.02, 4) == _density_clusters(xyz, 0.02, 4)).all()
+    c = _density_clusters(xyz, 0.02, 4)
+    main = c == np.bincount(c[c >= 0]).argmax()
+    assert (M.legacy_cluster(xyz, 0.02, 4, 0.3) == main).all()
+    assert M.legacy_cluster(xyz, 0.02, 4, 0.9).all() and M.legacy_cluster(far, 0.02, 4, 0.1).all() and M.legacy_cluster(xyz[:1], 0.02, 4, 0.1).all()
+    # on voxels all points near the main cluster's means stay, and none of the others
+    kept = M.legacy_cluster(xyz, 0.02, 2, 0.1, 0.005)
+    assert kept[:60].mean() > 0.8 and not kept[60:].any()
+    depth = xyz + np.array([0.0, 0.0, 1.0])
+    uv = xyz[:, :2] * 500
+    near_big = M.adaptive_cluster(depth, uv, (0.0, 0.0), 600.0, low=0.02, high=0.02, least=4)
+    near_small = M.adaptive_cluster(depth, uv, (250.0, 250.0), 600.0, low=0.02, high=0.02, least=4)
+    by_parent = M.adaptive_cluster(depth, uv, (0.0, 0.0), 600.0, parent=1.5, band=0.05, low=0.02, high=0.02, least=4)
+    assert near_big[:60].mean() > 0.8 and not near_big[60:].any()
+    assert near_small[60:80].mean() > 0.8 and (near_small == by_parent).all() and not near_small[:60].any()
+    assert not M.adaptive_cluster(far, far[:, :2], (0, 0), 600.0, low=0.02, high=0.02).any()
+
+
+def test_binary_ply_and_sequences(spark, tmp_path):
+    v = np.array([(1, 2, 3, 4, 5, 6), (np.nan, 0, 0, 1, 1, 1), (7, 8, 9, 10, 11, 12)], [(c, "<f4") for c in "xyz"] + [(c, "u1") for c in ("red", "green", "blue")])
+    head = "ply\nformat binary_little_endian 1.0\ncomment x\nelement vertex 3\n" + "".join(f"property float {c}\n" for c in "xyz") + "".join(f"property uchar {c}\n" for c in ("red", "green", "blue")) + "element face 0\nproperty list uchar int vertex_indices\nend_header\n"
+    (tmp_path / "b.ply").write_bytes(head.encode() + v.tobytes())
+    plain = np.array([(1, 2, 3)], [(c, ">f8") for c in "xyz"])
+    (tmp_path / "p.ply").write_bytes(b"ply\nformat binary_big_endian 1.0\nelement vertex 1\nproperty double x\nproperty double y\nproperty double z\nend_header\n" + plain.tobytes())
+    got = sorted(tuple(r) for r in S.ply_binary(spark, str(tmp_path / "*.ply")).collect())
+    assert got == [(1.0, 2.0, 3.0, 4, 5, 6), (1.0, 2.0, 3.0, 180, 180, 180), (7.0, 8.0, 9.0, 10, 11, 12)]
+    with pytest.raises(ValueError, match="unknown kind of sequence"):
+        S.create_sequence(spark, "nothing")
+
+
+def test_final_hierarchy_refuses_two_parents(spark):
+    rows = [("O-C", "O1", "C1", "open", True), ("C-U", "C1", "U1", " ", False), ("C-U", "C2", "U2", "pull", False)]
+    e = spark.createDataFrame(rows, "edge_type string, parent_node_id string, child_node_id string, relation_text string, provisional boolean")
+    f = M.final_hierarchy(e)
+    assert {r["child_node_id"]: (r["functional_status"], r["object_parent_id"], r["object_parent_status"]) for r in f.collect()} == {"C1": ("complete", None, None), "U1": ("pending", "O1", "provisional"), "U2": ("complete", None, "unknown")}
+    assert tuple(M.hierarchy_audit(f).first()) == (3, 1, 1)
+    with pytest.raises(ValueError, match="U1"):
+        M.final_hierarchy(e.union(spark.createDataFrame([("O-U", "O1", "U1", "", False)], e.schema)))
