@@ -14,7 +14,6 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
-from ..operators.assign import best_pairs
 from ..operators.fixpoint import canonical, saved
 from ..operators.joins import near_boxes
 from ..operators.windows import evenly, top_with_margin
@@ -143,52 +142,6 @@ def clustered(points: DataFrame, by: str, keep: Callable[[np.ndarray], np.ndarra
     return evenly(points, [by], ["pid"], most).groupBy(by).applyInPandas(work, points.schema)
 
 
-def step(nodes: dict, frame: pd.DataFrame, ids: dict[str, int], cap: float = 0.15) -> list[tuple]:
-    """One frame of the tracker: objects, carriers, units in turn; (det_id, node_id, kind). Changes nodes and ids."""
-    out = []
-    for role in "OCU":
-        obs = frame[frame["role"] == role].sort_values("det_id")
-        known = sorted(k for k in nodes if k[0] == role)
-        chosen: dict[int, str] = {}
-        if len(obs) and known:
-            a, b = obs[["cx", "cy", "cz"]].to_numpy(float), np.array([nodes[k]["at"] for k in known])
-            d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
-            same = np.array([[nodes[k]["label"] == x for k in known] for x in obs["label"]], float)
-            score = 0.5 * obs["quality"].to_numpy()[:, None] + (np.exp(-d * d / (2 * 0.08**2)) + same + 0.5) / 6
-            for i, j in best_pairs(score, (d < cap) & (score >= 0.45)):
-                chosen[i] = known[j]
-        for i, o in enumerate(obs.itertuples()):
-            at = np.array([o.cx, o.cy, o.cz])
-            if (node := chosen.get(i)) is not None:
-                n = nodes[node]
-                n["history"] = [*n["history"], at][-12:]
-                n["at"], n["ema"], n["frames"] = np.median(n["history"], axis=0), 0.75 * n["ema"] + 0.25 * o.quality, n["frames"] + 1
-                n["votes"][o.label] = n["votes"].get(o.label, 0.0) + o.score
-                n["label"] = min(n["votes"], key=lambda x: (-n["votes"][x], x))
-                kind = "match"
-            else:
-                ids[role] = ids.get(role, 0) + 1
-                node, kind = f"{role}{ids[role]:06d}", "birth"
-                nodes[node] = {"at": at, "history": [at], "ema": float(o.quality), "frames": 1, "votes": {o.label: float(o.score)}, "label": o.label}
-            out.append((int(o.det_id), node, kind))
-    return out
-
-
-def tracked(observations: DataFrame) -> DataFrame:
-    """sequence, frame_idx, det_id, node_id, kind: the tracker over each sequence's frames, one after another.
-
-    A sequence is one serial state, so that sequences are what runs in parallel.
-    """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        nodes: dict = {}
-        ids: dict[str, int] = {}
-        rows = [(g["sequence"].iloc[0], f, *r) for f, frame in g.groupby("frame_idx", sort=True) for r in step(nodes, frame, ids)]
-        return pd.DataFrame(rows, columns=["sequence", "frame_idx", "det_id", "node_id", "kind"])
-
-    return observations.groupBy("sequence").applyInPandas(run, "sequence long, frame_idx long, det_id long, node_id string, kind string")
-
-
 def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> DataFrame:
     """source, target: tracks merged while two of one role and label, never seen together, have boxes of enough padded
     overlap. Each round merges pairs that are best for both; the merged box, sightings and ids make the next round.

@@ -9,8 +9,10 @@ from ..fixtures import scene, with_sql
 from ..functions import geometry as G
 from ..operators import assign as O
 from ..operators import fold as T
+from ..operators.artifacts import mock_features
 from ..registry import query
 from . import mapping as M
+from . import tracker as K
 
 _FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS rn FROM observations)"
 
@@ -222,11 +224,27 @@ def adaptive_clusters(spark, sf_dir):
     return M.clustered(p, "node", keep).groupBy("node").agg(F.count("*").alias("n"))
 
 
+def _observed(spark, sf_dir):
+    """Observations of many sequences, with points about their center, colours by label, and boxes where a camera sees them."""
+    o = scene(spark, sf_dir, "observations").withColumn("z", F.col("cz") + 1.5)
+    sides = [(a, b, c) for a in (-0.02, 0.0, 0.02) for b in (-0.02, 0.02) for c in (-0.01, 0.01)]
+    points = F.array(*[F.array(F.col("cx") + a, F.col("cy") + b, F.col("z") + c) for a, b, c in sides])
+    u, v = 500.0 * F.col("cx") / F.col("z") + 320.0, 500.0 * F.col("cy") / F.col("z") + 240.0
+    status = F.when(F.col("quality") >= 0.62, "reliable").when(F.col("quality") >= 0.38, "provisional").when(F.col("quality") >= 0.2, "low_quality").otherwise("rejected")
+    feature = mock_features(F.col("label"))
+    return o.select((F.col("seq") % 4 + 4 * F.floor(F.col("seq") / 2000)).cast("long").alias("sequence"), F.floor(F.col("seq") / 16).cast("long").alias("frame_idx"), F.col("seq").alias("det_id"), F.lit("U").alias("role"), "label", "score", "quality", status.alias("status"), "imputed", F.lit(False).alias("border"), points.alias("points"), feature.alias("hist"), feature.alias("feature"), (u - 8).alias("x1"), (v - 8).alias("y1"), (u + 8).alias("x2"), (v + 8).alias("y2"), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"])
+
+
 @query("track_map")
 def track_map(spark, sf_dir):
-    """Observations of four sequences tracked frame by frame: match, update, birth."""
-    o = scene(spark, sf_dir, "observations").where("quality >= 0.38")
-    return M.tracked(o.select((F.col("seq") % 4).alias("sequence"), F.floor(F.col("seq") / 16).cast("long").alias("frame_idx"), F.col("seq").alias("det_id"), F.lit("U").alias("role"), "label", "score", "quality", "cx", "cy", "cz"))
+    """Observations of sequences tracked frame by frame: match, fuse, keep identity, birth."""
+    return K.tracked(_observed(spark, sf_dir))
+
+
+@query("track_nodes")
+def track_nodes(spark, sf_dir):
+    """The nodes that the tracker leaves."""
+    return K.built(_observed(spark, sf_dir))
 
 
 @query("track_consolidation")
