@@ -66,7 +66,7 @@ def suffix_array(text: np.ndarray, depth: int, packed: np.ndarray | None = None)
     keys = pack(text) if packed is None else packed
     order = np.argsort(keys, kind="stable")
     ordered = keys[order]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
 
     def settle(slots: np.ndarray, new: np.ndarray) -> np.ndarray:
         """Ranks the suffixes in slots, whose groups begin where ``new``; gives the slots of groups of several."""
@@ -83,10 +83,17 @@ def suffix_array(text: np.ndarray, depth: int, packed: np.ndarray | None = None)
     times = min(63 // wide, 4) if n else 2  # ranks that fit into one number
     while len(tied) and h < depth:
         places = order[tied]
-        both = rank[places].astype(np.uint64)
-        for j in range(1, times):
-            ahead = places + j * h
-            both = (both << np.uint64(wide)) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0).astype(np.uint64)
+        if 4 * len(tied) > n:  # in text order, which reads memory in a row
+            both = rank.astype(np.uint64)
+            for j in range(1, times):
+                both <<= np.uint64(wide)
+                both[: max(0, n - j * h)] |= (rank[j * h :] + 1).astype(np.uint64)
+            both = both[places]
+        else:
+            both = rank[places].astype(np.uint64)
+            for j in range(1, times):
+                ahead = places + j * h
+                both = (both << np.uint64(wide)) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0).astype(np.uint64)
         by = np.argsort(both, kind="stable")
         order[tied] = places[by]
         both = both[by]
@@ -99,7 +106,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
     suffixes of fewer than ``most`` letters.
 
     All segments go in step: from one place to the next a prefix loses one letter at most. That holds where what stood
-    before goes on to stand before, which among suffixes tied beyond the sorted depth it may not; those start anew.
+    before goes on to stand before, which among suffixes tied beyond the sorted depth it may not; those start anew, or
+    from the prefix found for the same two in the other order.
     """
     n = len(text)
     slot = np.empty(n, np.int64)
@@ -119,6 +127,8 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, starts: np.ndarray, end
         i = starts[own] + step
         j = before[i]
         h = np.where(slot[np.minimum(was[own] + 1, n - 1)] < slot[i], np.maximum(have[own] - 1, 0), 0)
+        if step:  # two neighbours may have changed places
+            h = np.where((j > 0) & (before[j - 1] == i - 1), np.maximum(h, found[j - 1] - 1), h)
         room = np.minimum(np.minimum(until[i] - i, np.where(j >= 0, until[j] - j, 0)), most)
         h = np.minimum(h, room)
         go = np.flatnonzero(h < room)
