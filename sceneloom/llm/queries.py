@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, sharding, suffix_dedup, token_counts, warc
+from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, quality_rules, sharding, suffix_dedup, token_counts, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL_OP1 = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
@@ -160,5 +164,6 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op13_quality_rules": op13_quality_rules,
 }
 ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7}
