@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, quality_rules, sharding, suffix_dedup, token_counts, warc
+from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, quality_rules, sharding, suffix_dedup, token_counts, vector_codes, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -153,6 +157,32 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
     row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM p
 """
 
+
+
+def _lloyd(n: int) -> str:
+    """Assignments of round n to the entries before, and the entries after it."""
+    return f"""
+a{n} AS MATERIALIZED (SELECT r, p, min(struct_pack(d := d, e := e)) AS best FROM (
+    SELECT r, p, e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i])))::BIGINT AS d
+    FROM x JOIN c{n - 1} c USING (p)) GROUP BY r, p),
+s{n} AS (SELECT p, e, i, sum(v)::BIGINT AS s, count(*) AS n FROM (
+    SELECT p, best.e AS e, unnest(range(1, len(v) + 1)) AS i, unnest(v) AS v FROM x JOIN a{n} USING (r, p)) GROUP BY p, e, i),
+c{n} AS MATERIALIZED (SELECT p, e, coalesce(m.v, c.v) AS v FROM c{n - 1} c
+    LEFT JOIN (SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{n} GROUP BY p, e) m USING (p, e)),"""
+
+
+SQL_OP12 = f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0 AND len(embedding) % 16 = 0),
+v AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, q) AS r FROM k
+    WHERE len(q) = (SELECT len(q) FROM k ORDER BY vec_id NULLS LAST, len(q) LIMIT 1)),
+x AS MATERIALIZED (SELECT r, p, q[p * len(q) // 16 + 1 : (p + 1) * len(q) // 16] AS v FROM v, range(16) t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, v FROM x WHERE r <= 64),{_lloyd(1)}{_lloyd(2)}{_lloyd(3)}
+t AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a3 GROUP BY r),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM v JOIN t USING (r), h
+"""
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -164,6 +194,7 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op12_vector_codes": op12_vector_codes,
     "op13_quality_rules": op13_quality_rules,
 }
-ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7}
+ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7, "op12_vector_codes": SQL_OP12}
