@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_text, mixing, near_join, quality, quality_rules, sharding, suffix_dedup, token_counts, vector_codes, warc
+from . import decontamination, exact_dedup, html_text, merkle, mixing, near_join, quality, quality_rules, sharding, suffix_dedup, token_counts, vector_codes, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -57,6 +57,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digest(table(spark, sf_dir, "embeddings"))
 
@@ -146,9 +150,10 @@ def _place(node: sharding.Node) -> str:
     return f"CASE list_position([{costs}], list_min([{costs}])) " + " ".join(f"WHEN {i} THEN {_place(c)}" for i, c in enumerate(node.children, 1)) + " END"
 
 
+_CRC = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM range(256) r(i)))"""
 SQL_OP7 = f"""
-WITH crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
-    FROM range(256) r(i))),
+WITH {_CRC},
 d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, strlen(coalesce(text, '')) + 1 AS size,
     xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT),
         lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM documents, crc),
@@ -159,6 +164,45 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
 
 
 
+def _hashed(n_chars: str) -> str:
+    each = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in each) + ")"
+
+
+def _levels(name: str, first: str, key: str) -> str:
+    """All levels of the trees over (key, i, h, n)."""
+    return f"""{name}({key}, level, i, h, n) AS ({first} UNION ALL
+    SELECT {key}, level + 1, i // 2, sha256(h || coalesce(after, '')), (n + 1) // 2
+    FROM (SELECT *, lead(h) OVER (PARTITION BY {key} ORDER BY i) AS after FROM {name} WHERE n > 1) WHERE i % 2 = 0)"""
+
+
+def _steps(tree: str, rows: str, key: str, at: int) -> str:
+    """What each row's node meets on each level below the root: L or R and the sibling's digest, N without one."""
+    return f"""SELECT w.r, {at} + b.level AS k, CASE WHEN s.h IS NULL THEN 'N' WHEN (w.i >> b.level) % 2 = 1 THEN 'L' || s.h ELSE 'R' || s.h END AS step
+    FROM {rows} w JOIN (SELECT DISTINCT {key}, level FROM {tree} WHERE n > 1) b ON w.{key} IS NOT DISTINCT FROM b.{key}
+    LEFT JOIN {tree} s ON s.{key} IS NOT DISTINCT FROM b.{key} AND s.level = b.level AND s.i = xor(w.i >> b.level, 1)"""
+
+
+SQL_OP11 = f"""
+WITH RECURSIVE {_CRC},
+d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, {_hashed('n_chars')} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 7 = 0 THEN {_hashed('n_chars::HUGEINT + 1')} END AS tampered FROM documents, crc),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d),
+{_levels('t', 'SELECT lang, 0, i, leaf, n FROM o', 'lang')},
+g AS MATERIALIZED (SELECT lang, h, 0 AS one, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+{_levels('u', 'SELECT one, 0, i, h, n FROM g', 'one')},
+w AS MATERIALIZED (SELECT o.r, g.i, g.one, g.h FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang),
+s AS ({_steps('t', 'o', 'lang', 0)} UNION ALL {_steps('u', 'w', 'one', 1000)}),
+p AS (SELECT r, list(step ORDER BY k) AS steps FROM s GROUP BY r),
+f AS (SELECT o.doc_id, o.leaf, w.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root,
+    sha256(coalesce(array_to_string(list_transform(p.steps, lambda x: x[2:]), ''), '')) AS proof_sha256,
+    list_reduce([coalesce(o.tampered, o.leaf)] || coalesce(p.steps, []), lambda h, x: sha256(CASE x[1] WHEN 'N' THEN h WHEN 'L' THEN x[2:] || h ELSE h || x[2:] END)) AS folded_root
+    FROM o JOIN w USING (r) LEFT JOIN p USING (r))
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+
 def _lloyd(n: int) -> str:
     """Assignments of round n to the entries before, and the entries after it."""
     return f"""
@@ -194,7 +238,8 @@ QUERIES = {
     "op8_near_join": op8_near_join,
     "op9_token_counts": op9_token_counts,
     "op10_html_text": op10_html_text,
+    "op11_merkle": op11_merkle,
     "op12_vector_codes": op12_vector_codes,
     "op13_quality_rules": op13_quality_rules,
 }
-ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7, "op12_vector_codes": SQL_OP12}
+ORACLES = {"op1_warc": SQL_OP1, "op2_suffix_dedup": SQL_OP2, "op3_decontamination": SQL_OP3, "op4_mixing": SQL_OP4, "op5_exact_dedup": SQL_OP5, "op7_sharding": SQL_OP7, "op11_merkle": SQL_OP11, "op12_vector_codes": SQL_OP12}
