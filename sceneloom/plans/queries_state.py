@@ -225,20 +225,25 @@ def adaptive_clusters(spark, sf_dir):
 
 
 def _observed(spark, sf_dir):
-    """Observations of many sequences, with points about their center, colours by label, and boxes where a camera sees them."""
+    """Observations of many sequences, with points about their center, colours by label, boxes where a camera sees them, and
+    as parents the objects and carriers that the frame shows at the same place."""
     o = scene(spark, sf_dir, "observations").withColumn("z", F.col("cz") + 1.5)
     sides = [(a, b, c) for a in (-0.02, 0.0, 0.02) for b in (-0.02, 0.02) for c in (-0.01, 0.01)]
     points = F.array(*[F.array(F.col("cx") + a, F.col("cy") + b, F.col("z") + c) for a, b, c in sides])
     u, v = 500.0 * F.col("cx") / F.col("z") + 320.0, 500.0 * F.col("cy") / F.col("z") + 240.0
     status = F.when(F.col("quality") >= 0.62, "reliable").when(F.col("quality") >= 0.38, "provisional").when(F.col("quality") >= 0.2, "low_quality").otherwise("rejected")
     feature = mock_features(F.col("label"))
-    return o.select((F.col("seq") % 4 + 4 * F.floor(F.col("seq") / 2000)).cast("long").alias("sequence"), F.floor(F.col("seq") / 16).cast("long").alias("frame_idx"), F.col("seq").alias("det_id"), F.lit("U").alias("role"), "label", "score", "quality", status.alias("status"), "imputed", F.lit(False).alias("border"), points.alias("points"), feature.alias("hist"), feature.alias("feature"), (u - 8).alias("x1"), (v - 8).alias("y1"), (u + 8).alias("x2"), (v + 8).alias("y2"), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"])
+    role = F.when(F.col("label").isin("view", "signup"), "O").when(F.col("label") == "click", "C").otherwise("U")
+    o = o.withColumns({"sequence": (F.col("seq") % 4 + 4 * F.floor(F.col("seq") / 2000)).cast("long"), "frame": F.floor(F.col("seq") / 16).cast("long"), "role": role})
+    there = F.collect_list(F.struct("seq", "role")).over(Window.partitionBy("sequence", "frame", "node_id"))
+    above = F.transform(F.filter(there, lambda x: (x["role"] < F.lit("U")) & (x["seq"] != F.col("seq"))), lambda x: x["seq"])
+    return o.select("sequence", F.col("frame").alias("frame_idx"), F.col("seq").alias("det_id"), "role", "label", "score", "quality", status.alias("status"), "imputed", F.lit(False).alias("border"), points.alias("points"), feature.alias("hist"), feature.alias("feature"), (u - 8).alias("x1"), (v - 8).alias("y1"), (u + 8).alias("x2"), (v + 8).alias("y2"), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"], F.array_sort(above).alias("parents"))
 
 
 @query("track_map")
 def track_map(spark, sf_dir):
     """Observations of sequences tracked frame by frame: match, fuse, keep identity, birth."""
-    return K.tracked(_observed(spark, sf_dir))
+    return K.tracked(_observed(spark, sf_dir), settings=K.Settings(identity=True))
 
 
 @query("track_nodes")
@@ -247,6 +252,12 @@ def track_nodes(spark, sf_dir):
     return K.built(_observed(spark, sf_dir))
 
 
+@query("track_covisibility")
+def track_covisibility(spark, sf_dir):
+    """Nodes that the tracker's frames show together."""
+    return K.covisible(K.replayed(_observed(spark, sf_dir)))
+
+
 @query("track_consolidation")
 def track_consolidation(spark, sf_dir):
     """Duplicate tracks merged to a fixpoint: source, target."""

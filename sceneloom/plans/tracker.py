@@ -1,23 +1,34 @@
-"""The map of a sequence, frame by frame: observations matched to nodes by four clues, geometry fused or refused, identity
-kept without geometry, births, promotion. A sequence is one serial state; sequences are what runs in parallel.
+"""The map of a sequence as keyed state: observations matched to nodes by four clues, geometry fused or refused, identity
+kept without geometry, births, promotion, stable parents.
+
+A sequence is one serial state, kept in the state store: a row a node, its points apart, so that a micro-batch rewrites only
+nodes that it saw. Micro-batches bring ranges of frames; inside one, a sequence's frames go in order. A frame that is not
+after the sequence's last one is late and changes nothing, so a batch that runs again gives what it gave. Sequences run in
+parallel; what a task holds is one sequence's nodes and one batch of its frames, never the sequence.
 
 An observation is a row: sequence, frame_idx, det_id, role, label, score, quality, status (reliable, provisional,
 low_quality, rejected), imputed, border, points (array of x, y, z arrays), hist, feature (arrays), x1..y2, and the frame's
-pose as tx, ty, tz (the camera looks along z). Points of a node are voxels' means, at most POINTS of them.
+pose as tx, ty, tz (the camera looks along z). It may have: near (points for association; else ``points``), parents (det_ids
+of its parents in the frame), witness (whether it repeats another role), depth (the frame's depth image as rows, in the
+camera's proportions). Rows without points are left out; of rows with one det_id in a frame each counts.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.scores import IDENTITY_FLOOR
 from ..operators.assign import best_pairs
+from ..shared import scratch
 
-POINTS, VOXEL, HISTORY, ALPHA = 4096, 0.01, 12, 0.3
+SIGHT = ("reliable", "provisional")
 
 
 @dataclass(frozen=True)
@@ -29,16 +40,36 @@ class Camera:
     width: int = 640
     height: int = 480
 
-    def box(self, points: np.ndarray, at: np.ndarray, least: int = 3) -> np.ndarray | None:
-        """The 2-98 percentile box, within the image, of the points that it may show."""
-        p = points - at
-        p = p[np.isfinite(p).all(axis=1) & (p[:, 2] > 1e-6)]
-        uv = np.stack([self.fx * p[:, 0] / p[:, 2] + self.cx, self.fy * p[:, 1] / p[:, 2] + self.cy], axis=1)
-        size = np.array([self.width, self.height])
-        uv = uv[((uv >= -size) & (uv <= 2 * size - 1)).all(axis=1)]
-        if len(uv) < least:
-            return None
-        return np.percentile(np.clip(uv, 0, size - 1), [2, 98], axis=0).ravel()
+
+@dataclass(frozen=True)
+class Settings:
+    """A mapping run's parameters."""
+
+    voxel: dict = field(default_factory=lambda: {"O": 0.005, "C": 0.004, "U": 0.004})
+    near_voxel: float = 0.004
+    most_points: int = 20_000
+    most_near: int = 4096
+    history: int = 12
+    spread_over: int = 5
+    spread: float = 0.08
+    ema: float = 0.25
+    appearance: float = 0.3
+    residual: float = 0.12
+    expansion: float = 2.5
+    expansion_after: int = 2
+    least_quality: float = 0.35
+    stable_quality: float = 0.55
+    support: int = 2
+    sigma: float = 0.08
+    least_score: float = 0.45
+    distance: tuple = (0.03, 0.15, 0.5)  # floor, cap, share of the larger extent
+    depth_tolerance: float = 0.08
+    least_projected: int = 3
+    parent_conflict: bool = True
+    parent_support: int = 2
+    identity: bool = False
+    identity_semantic: float = 0.5
+    identity_distance: tuple = (0.25, 0.5)
 
 
 def iou(a: np.ndarray, b: np.ndarray) -> float:
@@ -56,203 +87,420 @@ def cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 def unit(a: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(a)
-    return a / n if n > 1e-12 else a
+    return a / n if n > 1e-12 else np.zeros_like(a)
 
 
-def extent(points: np.ndarray) -> float:
+def bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low, high = np.percentile(points, [2, 98], axis=0)
+    return low, high
+
+
+def diagonal(low: np.ndarray, high: np.ndarray) -> float:
     return float(np.linalg.norm(np.maximum(high - low, 0)))
 
 
-def voxel_means(points: np.ndarray, size: float = VOXEL, most: int = POINTS) -> np.ndarray:
+def voxel_means(points: np.ndarray, size: float, most: int) -> np.ndarray:
     _, at = np.unique(np.floor(points / size).astype(np.int64), axis=0, return_inverse=True)
     at = at.ravel()
     means = np.stack([np.bincount(at, points[:, k]) for k in range(3)], axis=1) / np.bincount(at)[:, None]
-    return means if len(means) <= most else means[np.floor(np.linspace(0, len(means) - 1, most)).astype(int)]
+    return means if len(means) <= most else means[np.linspace(0, len(means) - 1, most).round().astype(int)]
+
+
+def seen_box(points: np.ndarray, at: np.ndarray, camera: Camera, depth: np.ndarray | None, s: Settings) -> np.ndarray | None:
+    """The 2-98 percentile box, within the image, of the points near it; of those that nothing hides, where enough are."""
+    p = points - at
+    p = p[np.isfinite(p).all(axis=1) & (p[:, 2] > 1e-6)]
+    uv = np.stack([camera.fx * p[:, 0] / p[:, 2] + camera.cx, camera.fy * p[:, 1] / p[:, 2] + camera.cy], axis=1)
+    size = np.array([camera.width, camera.height])
+    close = ((uv >= -size) & (uv <= 2 * size - 1)).all(axis=1)
+    uv, z = uv[close], p[close, 2]
+    if len(uv) < s.least_projected:
+        return None
+    if depth is not None and depth.size:
+        cell = np.clip(np.round(uv).astype(np.int64), 0, size - 1) * np.array(depth.shape[::-1]) // size
+        there = depth[cell[:, 1], cell[:, 0]]
+        clear = np.isfinite(there) & (there > 0) & (z <= there + s.depth_tolerance)
+        if clear.sum() >= s.least_projected:
+            uv = uv[clear]
+    return np.percentile(np.clip(uv, 0, size - 1), [2, 98], axis=0).ravel()
 
 
 @dataclass
 class Node:
+    """What the state store has of a node beside its points: histories that would grow with the sequence are counts."""
+
     role: str
-    points: np.ndarray
-    hist: np.ndarray
-    feature: np.ndarray
+    votes: dict
+    hist: list
+    feature: list
     weight: float
-    votes: dict[str, float]
-    ema: float
-    anchor: float
+    center: list
+    low: list
+    high: list
+    reach: float
+    state: str
+    anchor_frame: int
+    anchor_det: int
+    anchor_quality: float
     anchor_border: bool
-    frames: set[int] = field(default_factory=set)
-    real: set[int] = field(default_factory=set)
-    identity: set[int] = field(default_factory=set)
-    history: list[np.ndarray] = field(default_factory=list)
-    count: int = 0
-    accepts: int = 0
-    refusals: int = 0
-    state: str = "provisional"
-
-    @property
-    def at(self) -> np.ndarray:
-        return self.points.mean(axis=0)
+    ema: float
+    accepts: int
+    rejects: int
+    last_reject: str | None
+    seen: int
+    first_frame: int
+    last_frame: int
+    last_box: list
+    support: int
+    real: int
+    imputed: int
+    identity: int
+    last_identity: int | None
+    witnesses: int
+    centers: list
+    boxes: list
+    qualities: list
+    object_votes: dict
+    carrier_votes: dict
+    object_parent: str | None
+    carrier_parent: str | None
 
     @property
     def label(self) -> str:
         return min(self.votes, key=lambda x: (-self.votes[x], x))
 
-    def seen(self, o) -> None:
-        """Support, quality and lifecycle of one more observation."""
-        self.count += 1
-        self.frames.add(int(o.frame_idx))
-        if not o.imputed:
-            self.real.add(int(o.frame_idx))
-        self.history = [*self.history, o.at][-HISTORY:]
-        if o.quality > self.anchor and not o.imputed and o.status in ("reliable", "provisional"):
-            self.anchor, self.anchor_border = float(o.quality), bool(o.border)
-        past = np.array(self.history)
-        spread = float(np.linalg.norm(past - np.median(past, axis=0), axis=1).max())
-        if len(self.frames) >= 2 and len(self.real) >= 2 and self.ema >= 0.55 and spread <= 0.08:
-            self.state = "stable"
-
-    def fusion(self, o) -> str:
+
+NODE = (
+    "role string, votes map<string,double>, hist array<double>, feature array<double>, weight double, center array<double>, low array<double>, high array<double>, "
+    "reach double, state string, anchor_frame long, anchor_det long, anchor_quality double, anchor_border boolean, ema double, accepts long, rejects long, last_reject string, "
+    "seen long, first_frame long, last_frame long, last_box array<double>, support long, real long, imputed long, identity long, last_identity long, witnesses long, "
+    "centers array<array<double>>, boxes array<array<double>>, qualities array<double>, object_votes map<string,long>, carrier_votes map<string,long>, object_parent string, carrier_parent string"
+)
+POINTS = "points binary, near binary, anchor binary"
+EVENT = "sequence long, frame_idx long, det_id long, node_id string, kind string, fusion string, score double"
+
+
+class Seen:
+    """An observation with its arrays as numpy."""
+
+    def __init__(self, row):
+        self.__dict__.update(row._asdict())
+        array = lambda name: None if getattr(row, name, None) is None else np.array([list(p) for p in getattr(row, name)], float)
+        self.points = array("points").reshape(-1, 3)
+        near = array("near")
+        self.near = self.points if near is None or not len(near) else near.reshape(-1, 3)
+        self.depth = array("depth")
+        self.hist, self.feature = np.asarray(row.hist, float), np.asarray(row.feature, float)
+        self.center, self.low, self.high = self.points.mean(axis=0), self.points.min(axis=0), self.points.max(axis=0)
+        self.reach = diagonal(*bounds(self.near))
+        self.box = np.array([row.x1, row.y1, row.x2, row.y2], float)
+        parents = getattr(row, "parents", None)
+        self.parents = [] if parents is None else [int(p) for p in parents]
+        self.witness = bool(getattr(row, "witness", False) or False)
+
+
+class Sequence:
+    """The nodes of one sequence, and those that changed since they were read."""
+
+    def __init__(self, camera: Camera, settings: Settings):
+        self.camera, self.s = camera, settings
+        self.nodes: dict[str, Node] = {}
+        self.points: dict[str, list[np.ndarray]] = {}
+        self.ids = {"O": 0, "C": 0, "U": 0}
+        self.changed: set[str] = set()
+
+    # one observation and one node
+
+    def conflict(self, o: Seen, n: Node, found: dict[int, str]) -> bool:
+        """Whether all stable parents that the frame gives the observation are others than the node's stable parent."""
+        if not self.s.parent_conflict or o.role == "O":
+            return False
+        stable = [p for p in (found.get(d) for d in o.parents) if p and self.nodes[p].state == "stable"]
+        other = lambda mine, role: mine and (own := [p for p in stable if self.nodes[p].role == role]) and mine not in own
+        return bool(other(n.object_parent, "O") or (o.role == "U" and other(n.carrier_parent, "C")))
+
+    def pair(self, o: Seen, k: str, found: dict[int, str], identity: bool) -> tuple[float, str]:
+        """The four-clue score of an observation and a node, and the first gate that refuses the pair."""
+        s, n = self.s, self.nodes[k]
+        distance = float(np.linalg.norm(o.center - np.array(n.center)))
+        semantic = cosine(o.feature, np.array(n.feature))
+        if identity and n.state != "stable":
+            return 0.0, "node_not_identity_eligible"
+        refused = "stable_parent_conflict" if self.conflict(o, n, found) else ""
+        box = None if refused else seen_box(self.points[k][1], np.array([o.tx, o.ty, o.tz], float), self.camera, o.depth, s)
+        overlap = 0.0 if box is None else iou(o.box, box)
+        total = 0.5 * overlap + (float(np.exp(-distance * distance / (2 * s.sigma**2))) + cosine(o.hist, np.array(n.hist)) + semantic) / 6
+        floor, cap, share = s.distance
+        far, share_of_own = s.identity_distance
+        gates = [
+            (bool(refused), refused),
+            (box is None, "not_projectable"),
+            (not identity and not distance < min(cap, max(floor, share * max(n.reach, o.reach))), "distance_gate"),
+            (not overlap > 0, "iou_gate"),
+            (total < s.least_score, "score_gate"),
+            (identity and semantic < s.identity_semantic, "semantic_gate"),
+            (identity and not distance < max(IDENTITY_FLOOR.get(o.role, 0.0), min(far, share_of_own * diagonal(np.array(n.low), np.array(n.high)))), "identity_distance_gate"),
+        ]
+        return total, next((why for hit, why in gates if hit), "")
+
+    def fusion(self, o: Seen, n: Node) -> str:
         """``accepted``, or the first gate that keeps an observation's points out."""
-        if o.status not in ("reliable", "provisional"):
-            return f"obs_{o.status}"
-        if o.imputed and self.state == "stable":
-            return "imputed_geometry_not_fused_into_stable"
-        if o.quality < 0.35:
-            return "quality_gate"
-        if np.linalg.norm(o.at - self.at) > 0.12:
-            return "centroid_residual_gate"
-        both = np.concatenate([self.points, o.points])
-        size = lambda p: float(np.linalg.norm(p.max(axis=0) - p.min(axis=0)))
-        if self.count >= 2 and size(both) / max(size(self.points), 1e-6) > 2.5:
-            return "bbox_expansion_gate"
-        return "accepted"
-
-    def update(self, o) -> str:
-        how = self.fusion(o)
+        s, low, high = self.s, np.array(n.low), np.array(n.high)
+        grown = diagonal(np.minimum(low, o.low), np.maximum(high, o.high)) / max(diagonal(low, high), 1e-6)
+        gates = [
+            (o.status not in SIGHT, f"obs_{o.status}"),
+            (o.imputed and n.state == "stable", "imputed_geometry_not_fused_into_stable"),
+            (o.quality < s.least_quality, "quality_gate"),
+            (np.linalg.norm(o.center - np.array(n.center)) > s.residual, "centroid_residual_gate"),
+            (n.seen >= s.expansion_after and grown > s.expansion, "bbox_expansion_gate"),
+        ]
+        return next((why for hit, why in gates if hit), "accepted")
+
+    # changes of a node
+
+    def born(self, o: Seen) -> str:
+        self.ids[o.role] += 1
+        k = f"{o.role}{self.ids[o.role]:06d}"
+        f, real = int(o.frame_idx), int(not o.imputed)
+        low, high = o.low.tolist(), o.high.tolist()
+        self.nodes[k] = Node(
+            o.role, {o.label: float(o.score)}, o.hist.tolist(), o.feature.tolist(), float(o.score), o.center.tolist(), low, high, o.reach, "provisional", f, int(o.det_id), float(o.quality), bool(o.border), float(o.quality),
+            1, 0, None, 1, f, f, o.box.tolist(), 1, real, 1 - real, 0, None, int(o.witness), [o.center.tolist()], [low + high], [float(o.quality)], {}, {}, None, None,
+        )
+        self.points[k] = [o.points, o.near, o.points]
+        self.changed.add(k)
+        return k
+
+    def update(self, k: str, o: Seen) -> str:
+        s, n, f = self.s, self.nodes[k], int(o.frame_idx)
+        how = self.fusion(o, n)
         if how == "accepted":
-            self.points = voxel_means(np.concatenate([self.points, o.points]))
-            self.accepts += 1
+            own, near, _ = self.points[k]
+            own = voxel_means(np.concatenate([own, o.points]), s.voxel[n.role], s.most_points)
+            near = voxel_means(np.concatenate([near, o.near]), s.near_voxel, s.most_near)
+            self.points[k][:2] = own, near
+            low, high = bounds(own)
+            n.center, n.low, n.high, n.reach = np.median(own, axis=0).tolist(), low.tolist(), high.tolist(), diagonal(*bounds(near))
+            n.accepts, n.last_reject = n.accepts + 1, None
         else:
-            self.refusals += 1
-        self.hist = unit((1 - ALPHA) * self.hist + ALPHA * o.hist)
-        self.feature = unit(self.feature * self.weight + o.feature * o.score)
-        self.weight += float(o.score)
-        self.votes[o.label] = self.votes.get(o.label, 0.0) + float(o.score)
-        self.ema = 0.75 * self.ema + 0.25 * float(o.quality)
-        self.seen(o)
+            n.rejects, n.last_reject = n.rejects + 1, how
+        n.hist = unit((1 - s.appearance) * np.array(n.hist) + s.appearance * o.hist).tolist()
+        n.feature = unit(np.array(n.feature) * n.weight + o.feature * o.score).tolist()
+        n.weight += float(o.score)
+        n.votes[o.label] = n.votes.get(o.label, 0.0) + float(o.score)
+        new = f != n.last_frame
+        n.seen, n.last_frame, n.last_box = n.seen + 1, f, o.box.tolist()
+        n.witnesses += int(o.witness and new)
+        if o.quality > n.anchor_quality and not o.imputed and o.status in SIGHT:
+            n.anchor_frame, n.anchor_det, n.anchor_quality, n.anchor_border = f, int(o.det_id), float(o.quality), bool(o.border)
+            self.points[k][2] = o.points
+        n.support, n.real, n.imputed = n.support + new, n.real + int(new and not o.imputed), n.imputed + int(new and bool(o.imputed))
+        n.centers = [*n.centers, o.center.tolist()][-s.history :]
+        n.boxes = [*n.boxes, [*o.low.tolist(), *o.high.tolist()]][-s.history :]
+        n.qualities = [*n.qualities, float(o.quality)][-s.history :]
+        n.ema = (1 - s.ema) * n.ema + s.ema * float(o.quality)
+        last = np.array(n.centers[-s.spread_over :])
+        spread = float(np.linalg.norm(last - np.median(last, axis=0), axis=1).max())
+        if n.support >= s.support and n.real >= s.support and n.ema >= s.stable_quality and spread <= s.spread:
+            n.state = "stable"
+        self.changed.add(k)
         return how
 
+    def vote(self, o: Seen, k: str, found: dict[int, str]) -> None:
+        """A frame's stable parents of a node; the one ahead by a frame or more becomes its stable parent."""
+        n = self.nodes[k]
+        for p in sorted({found[d] for d in o.parents if d in found}):
+            role = self.nodes[p].role
+            if self.nodes[p].state != "stable" or (n.role, role) not in (("C", "O"), ("U", "O"), ("U", "C")):
+                continue
+            votes = n.object_votes if role == "O" else n.carrier_votes
+            votes[p] = votes.get(p, 0) + 1
+            (best, name), *rest = sorted(((v, q) for q, v in votes.items()), reverse=True)
+            if best >= self.s.parent_support and best - (rest[0][0] if rest else 0) >= 1:
+                if role == "O":
+                    n.object_parent = name
+                else:
+                    n.carrier_parent = name
+            self.changed.add(k)
 
-def born(o) -> Node:
-    node = Node(o.role, voxel_means(o.points), unit(o.hist), unit(o.feature), float(o.score), {o.label: float(o.score)}, float(o.quality), float(o.quality), bool(o.border))
-    node.seen(o)
-    node.accepts = 1
-    return node
-
-
-def pair_score(o, node: Node, camera: Camera, identity: bool) -> tuple[float, str]:
-    """The four-clue score of an observation and a node, and the first gate that refuses the pair."""
-    distance = float(np.linalg.norm(o.at - node.at))
-    size = extent(node.points)
-    box = camera.box(node.points, np.array([o.tx, o.ty, o.tz]))
-    overlap = 0.0 if box is None else iou(np.array([o.x1, o.y1, o.x2, o.y2], float), box)
-    semantic = cosine(o.feature, node.feature)
-    total = 0.5 * overlap + (float(np.exp(-distance * distance / (2 * 0.08**2))) + cosine(o.hist, node.hist) + semantic) / 6
-    if identity and node.state != "stable":
-        return total, "node_not_identity_eligible"
-    if box is None:
-        return total, "not_projectable"
-    if not identity and not distance < min(0.15, max(0.03, 0.5 * max(size, extent(o.points)))):
-        return total, "distance_gate"
-    if not overlap > 0:
-        return total, "iou_gate"
-    if total < 0.45:
-        return total, "score_gate"
-    if identity and semantic < 0.5:
-        return total, "semantic_gate"
-    if identity and not distance < max(IDENTITY_FLOOR.get(o.role, 0.0), min(0.25, 0.5 * size)):
-        return total, "identity_distance_gate"
-    return total, ""
-
-
-class Map:
-    """The nodes of one sequence so far."""
-
-    def __init__(self, camera: Camera):
-        self.camera, self.nodes, self.ids = camera, {}, {}
-
-    def matched(self, seen: list, known: list[str], identity: bool) -> dict[int, tuple[str, float]]:
+    # a frame
+
+    def matched(self, seen: list[Seen], known: list[str], found: dict[int, str], identity: bool) -> dict[int, tuple[str, float]]:
         """The node and score of each observation that has one, for the greatest total score."""
         score, valid = np.zeros((len(seen), len(known))), np.zeros((len(seen), len(known)), bool)
         for i, o in enumerate(seen):
             for j, k in enumerate(known):
-                score[i, j], why = pair_score(o, self.nodes[k], self.camera, identity)
+                score[i, j], why = self.pair(o, k, found, identity)
                 valid[i, j] = not why
         return {i: (known[j], float(score[i, j])) for i, j in best_pairs(score, valid)}
 
-    def frame(self, observations: list) -> list[tuple]:
+    def frame(self, observations: list[Seen]) -> list[tuple]:
         """det_id, node_id, kind, fusion, score of each observation: objects, carriers, units in turn."""
-        out = []
+        out, found = [], {}
         for role in "OCU":
             own = sorted((o for o in observations if o.role == role), key=lambda o: o.det_id)
-            good = [o for o in own if o.status in ("reliable", "provisional")]
-            weak = [o for o in own if o.status == "low_quality"]
-            out += [(o.det_id, None, "rejected", None, None) for o in own if o.status not in ("reliable", "provisional", "low_quality")]
-            found = self.matched(good, sorted(k for k, n in self.nodes.items() if n.role == role), False)
-            for i, (node, score) in sorted(found.items()):
-                out.append((good[i].det_id, node, "match", self.nodes[node].update(good[i]), round(score, 6)))
-            kept = self.matched(weak, sorted(k for k, n in self.nodes.items() if n.role == role and n.state == "stable"), True)
+            good, weak = [o for o in own if o.status in SIGHT], [o for o in own if o.status == "low_quality"]
+            out += [(o.det_id, None, "rejected", None, None) for o in own if o.status not in (*SIGHT, "low_quality")]
+            same = sorted(k for k, n in self.nodes.items() if n.role == role)
+            hits = self.matched(good, same, found, False)
+            for i, (k, score) in sorted(hits.items()):
+                out.append((good[i].det_id, k, "match", self.update(k, good[i]), round(score, 6)))
+            found |= {good[i].det_id: k for i, (k, _) in hits.items()}
+            kept = self.matched(weak, [k for k in same if self.nodes[k].state == "stable"], found, True) if self.s.identity else {}
             for i, o in enumerate(weak):
-                if i in kept:
-                    self.nodes[kept[i][0]].identity.add(int(o.frame_idx))
-                    out.append((o.det_id, kept[i][0], "identity", "not_attempted_identity_only", round(kept[i][1], 6)))
-                else:
+                if i not in kept:
                     out.append((o.det_id, None, "skipped", None, None))
+                    continue
+                k, score = kept[i]
+                n = self.nodes[k]
+                n.identity, n.last_identity = n.identity + int(n.last_identity != int(o.frame_idx)), int(o.frame_idx)
+                self.changed.add(k)
+                found[o.det_id] = k
+                out.append((o.det_id, k, "identity", "not_attempted_identity_only", round(score, 6)))
             for i, o in enumerate(good):
-                if i not in found:
-                    self.ids[role] = self.ids.get(role, 0) + 1
-                    node = f"{role}{self.ids[role]:06d}"
-                    self.nodes[node] = born(o)
-                    out.append((o.det_id, node, "birth", "accepted", None))
+                if i not in hits:
+                    found[o.det_id] = self.born(o)
+                    out.append((o.det_id, found[o.det_id], "birth", "accepted", None))
+        for o in observations:
+            if o.parents and o.det_id in found:
+                self.vote(o, found[o.det_id], found)
         return out
 
 
-class _Seen:
-    """An observation with its arrays as numpy."""
-
-    def __init__(self, row):
-        self.__dict__.update(row._asdict())
-        self.points = np.array([list(p) for p in row.points], float).reshape(-1, 3)
-        self.hist, self.feature = np.asarray(row.hist, float), np.asarray(row.feature, float)
-        self.at = self.points.mean(axis=0)
+_bytes = lambda a: np.ascontiguousarray(a, np.float64).tobytes()
+_points = lambda b: np.frombuffer(bytes(b), np.float64).reshape(-1, 3)
+
+
+class Tracker(StatefulProcessor):
+    """State of a sequence: its last frame and numbers given, a row a node, and each node's points."""
+
+    def __init__(self, camera: Camera, settings: Settings):
+        self.camera, self.settings = camera, settings
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.clock = handle.getValueState("clock", "frame long, O long, C long, U long")
+        self.nodes = handle.getMapState("nodes", "node_id string", NODE)
+        self.points = handle.getMapState("points", "node_id string", POINTS)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        m, last = Sequence(self.camera, self.settings), None
+        if self.clock.exists():
+            last, *ids = self.clock.get()
+            m.ids = dict(zip("OCU", map(int, ids)))
+        for k, v in self.nodes.iterator():
+            values = {f.name: x for f, x in zip(fields(Node), v)}
+            m.nodes[k[0]] = Node(**{n: dict(x) if isinstance(x, dict) else [list(y) if isinstance(y, list | Row | tuple) else y for y in x] if isinstance(x, list | Row | tuple) else x for n, x in values.items()})
+        for k, v in self.points.iterator():
+            m.points[k[0]] = [_points(b) for b in v]
+        batch, out = pd.concat(list(rows), ignore_index=True), []
+        for f, frame in batch.groupby("frame_idx", sort=True):
+            seen = [Seen(r) for r in frame.itertuples(index=False) if r.points is not None and len(r.points)]
+            if last is not None and f <= last:
+                out += [(key[0], int(f), o.det_id, None, "late", None, None) for o in seen]
+                continue
+            out += [(key[0], int(f), *r) for r in m.frame(seen)]
+            last = int(f)
+        if last is not None:
+            self.clock.update((last, m.ids["O"], m.ids["C"], m.ids["U"]))
+        for k in sorted(m.changed):
+            n = m.nodes[k]
+            self.nodes.updateValue((k,), tuple(getattr(n, f.name) for f in fields(Node)))
+            self.points.updateValue((k,), tuple(map(_bytes, m.points[k])))
+        events = pd.DataFrame(out, columns=[c.split()[0] for c in EVENT.split(", ")])
+        yield events.assign(node=[None] * len(events))
+        now = [(key[0], last, None, k, "node", None, None, _snapshot(m.nodes[k], len(m.points[k][0]))) for k in sorted(m.changed)]
+        yield pd.DataFrame(now, columns=[*events.columns, "node"])
+
+    def close(self) -> None:
+        pass
+
+
+SNAPSHOT = (
+    "role string, label string, state string, n_points long, cx double, cy double, cz double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, quality_ema double, "
+    "anchor_frame long, anchor_det long, anchor_quality double, border boolean, n_seen long, n_support long, n_real long, n_imputed long, n_identity long, n_witness long, accepts long, refusals long, last_refusal string, "
+    "first_frame long, last_frame long, object_parent string, carrier_parent string"
+)
+
+
+def _snapshot(n: Node, points: int) -> tuple:
+    return (
+        n.role, n.label, n.state, points, *n.center, *n.low, *n.high, n.ema, n.anchor_frame, n.anchor_det, n.anchor_quality, n.anchor_border, n.seen, n.support, n.real, n.imputed, n.identity, n.witnesses,
+        n.accepts, n.rejects, n.last_reject, n.first_frame, n.last_frame, n.object_parent, n.carrier_parent,
+    )
+
+
+def track(stream: DataFrame, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
+    """A stream of observations as one of events (``node`` null) and of nodes that a batch changed (kind ``node``)."""
+    return stream.groupBy("sequence").transformWithStateInPandas(Tracker(camera, settings), f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>", "Append", "None")
+
+
+def drain(spark, folder: str, schema, camera: Camera = Camera(), settings: Settings = Settings(), each=None) -> DataFrame:
+    """Runs the tracker over the files in ``folder``/in that it has not read, from its checkpoint there, and gives the rows of
+    all batches so far. ``each``: called again and again before a batch, to bring files; false when there are no more."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = track(spark.readStream.schema(schema).parquet(f"{folder}/in"), camera, settings)
+        put = lambda batch, i: batch.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")  # noqa: E731  a batch that runs again writes the same
+        q = rows.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{folder}/state")
+        if each is None:
+            q.trigger(availableNow=True).start().awaitTermination()
+        else:
+            running = q.start()
+            try:
+                while each():
+                    running.processAllAvailable()
+            finally:
+                running.stop()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{folder}/out")
+
+
+def replayed(observations: DataFrame, batches: int = 8, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
+    """The tracker's rows over a table of observations, brought in ``batches`` ranges of frames one after another."""
+    spark = observations.sparkSession
+    folder = scratch(spark, "track")
+    observations.write.parquet(f"{folder}/all")
+    rows = spark.read.schema(observations.schema).parquet(f"{folder}/all")
+    low, high = rows.agg(F.min("frame_idx"), F.max("frame_idx")).first()
+    rows.limit(0).write.parquet(f"{folder}/in")
+    todo = iter([] if low is None else range(batches))
+    range_of = F.floor((F.col("frame_idx") - F.lit(low)) * F.lit(batches) / F.lit(1 if low is None else high - low + 1))
+
+    def bring() -> bool:
+        i = next(todo, None)
+        if i is None:
+            return False
+        rows.filter(range_of == i).write.mode("append").parquet(f"{folder}/in")
+        return True
+
+    spark.createDataFrame([], f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>").write.parquet(f"{folder}/out/batch=-1")
+    return drain(spark, folder, observations.schema, camera, settings, bring)
+
+
+def events(rows: DataFrame) -> DataFrame:
+    """sequence, frame_idx, det_id, node_id, kind, fusion, score of each observation that has points."""
+    return rows.where("kind <> 'node'").drop("node", "batch")
 
 
-def mapped(g: pd.DataFrame, camera: Camera) -> tuple[list[tuple], Map]:
-    m, rows = Map(camera), []
-    for f, frame in g.groupby("frame_idx", sort=True):
-        seen = [_Seen(r) for r in frame.itertuples(index=False) if r.points is not None and len(r.points)]
-        rows += [(g["sequence"].iloc[0], f, *r) for r in m.frame(seen)]
-    return rows, m
+def nodes(rows: DataFrame) -> DataFrame:
+    """The nodes of each sequence after its last frame so far."""
+    newest = rows.where("kind = 'node'").groupBy("sequence", "node_id").agg(F.max_by("node", "batch").alias("node"))
+    return newest.select("sequence", "node_id", "node.*")
 
 
-def tracked(observations: DataFrame, camera: Camera = Camera()) -> DataFrame:
-    """sequence, frame_idx, det_id, node_id, kind, fusion, score of each observation that has points."""
-    names = ["sequence", "frame_idx", "det_id", "node_id", "kind", "fusion", "score"]
-    run = lambda g: pd.DataFrame(mapped(g, camera)[0], columns=names)
-    return observations.groupBy("sequence").applyInPandas(run, "sequence long, frame_idx long, det_id long, node_id string, kind string, fusion string, score double")
+def covisible(rows: DataFrame) -> DataFrame:
+    """sequence, a, b, frames: nodes that frames show together."""
+    seen = events(rows).where("node_id is not null").select("sequence", "frame_idx", "node_id").distinct()
+    other = seen.withColumnRenamed("node_id", "b")
+    return seen.withColumnRenamed("node_id", "a").join(other, ["sequence", "frame_idx"]).where("a < b").groupBy("sequence", "a", "b").agg(F.count("*").alias("frames"))
 
 
-def built(observations: DataFrame, camera: Camera = Camera()) -> DataFrame:
-    """The nodes of each sequence after its last frame."""
+def tracked(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 8) -> DataFrame:
+    return events(replayed(observations, batches, camera, settings))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for k, n in sorted(mapped(g, camera)[1].nodes.items()):
-            low, high = n.points.min(axis=0), n.points.max(axis=0)
-            rows.append((g["sequence"].iloc[0], k, n.role, n.label, n.state, len(n.points), *n.at, *low, *high, n.ema, n.anchor, n.anchor_border, len(n.frames), len(n.real), len(n.identity), n.accepts, n.refusals, min(n.frames), max(n.frames)))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in kinds.split(", ")])
 
-    kinds = "sequence long, node_id string, role string, label string, state string, n_points long, cx double, cy double, cz double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, quality_ema double, anchor_quality double, border boolean, n_support long, n_real long, n_identity long, accepts long, refusals long, first_frame long, last_frame long"
-    return observations.groupBy("sequence").applyInPandas(run, kinds)
+def built(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 8) -> DataFrame:
+    return nodes(replayed(observations, batches, camera, settings))

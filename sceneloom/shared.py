@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; it is deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/sceneloom-{name}-{uuid.uuid4().hex}"
+    drop_at_exit(spark, path)
+    return path
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a folder when the driver ends."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

@@ -21,7 +21,6 @@ from sceneloom.operators import fold as T
 from sceneloom.operators import joins as J
 from sceneloom.operators import windows as W
 from sceneloom.plans import mapping as M
-from sceneloom.plans import tracker as K
 from sceneloom.sources import files as S
 
 
@@ -108,45 +107,6 @@ def test_normals_of_a_plane(spark):
     assert (r["nx"], r["ny"], r["nz"]) == (0.0, 0.0, 1.0)
 
 
-_SEEN = "sequence long, frame_idx long, det_id long, role string, label string, score double, quality double, status string, imputed boolean, border boolean, points array<array<double>>, hist array<double>, feature array<double>, x1 double, y1 double, x2 double, y2 double, tx double, ty double, tz double"
-
-
-def _seen(frame, det, at, role="U", label="handle", quality=0.8, status="reliable", imputed=False, feature=(1.0, 0.0), half=0.02, sequence=0):
-    """An observation of a small box about a place, seen by a camera at the origin."""
-    points = [[at[0] + a, at[1] + b, at[2] + c] for a in (-half, 0.0, half) for b in (-half, half) for c in (-half, half)]
-    u, v, r = 500 * at[0] / at[2] + 320, 500 * at[1] / at[2] + 240, 500 * half / at[2]
-    return (sequence, frame, det, role, label, 0.9, quality, status, imputed, False, points, [1.0, 0.0], list(feature), u - r, v - r, u + r, v + r, 0.0, 0.0, 0.0)
-
-
-def test_tracker_matches_and_births(spark):
-    rows = [_seen(t, i, (i * 0.3 + t * 0.005, 0.0, 1.5), sequence=s) for s in (0, 1) for t in range(5) for i in range(3)]
-    rows += [_seen(5, 9, (0.0, 0.4, 1.5), label="knob", feature=(0.0, 1.0)), _seen(6, 0, (0.02, 0.0, 1.5), role="C")]
-    out = K.tracked(spark.createDataFrame(rows, _SEEN)).toPandas()
-    of = out[out.det_id < 9].query("not (frame_idx == 6)").groupby(["sequence", "det_id"])["node_id"]
-    assert of.nunique().eq(1).all() and out[out.kind == "birth"].shape[0] == 3 + 3 + 2
-    assert set(out[out.frame_idx == 6].node_id) == {"C000001"}
-    nodes = {(r["sequence"], r["node_id"]): r for r in K.built(spark.createDataFrame(rows, _SEEN)).collect()}
-    assert nodes[1, "U000001"]["state"] == "stable" and nodes[1, "U000001"]["n_support"] == 5 and nodes[0, "U000004"]["label"] == "knob" and nodes[0, "U000004"]["state"] == "provisional"
-    assert nodes[1, "U000001"]["n_points"] > 12 and nodes[1, "U000001"]["accepts"] == 5
-
-
-def test_tracker_gates(spark):
-    at = (0.0, 0.0, 1.5)
-    base = [_seen(0, 0, at), _seen(1, 0, at)]
-    last = lambda *rows: {r["det_id"]: (r["node_id"], r["kind"], r["fusion"]) for r in K.tracked(spark.createDataFrame([*base, *rows], _SEEN)).where("frame_idx = 2").collect()}
-    assert last(_seen(2, 0, at, imputed=True)) == {0: ("U000001", "match", "imputed_geometry_not_fused_into_stable")}
-    assert last(_seen(2, 0, (0.0, 0.0, 1.51), quality=0.3, status="provisional")) == {0: ("U000001", "match", "quality_gate")}
-    assert last(_seen(2, 0, (0.004, 0.0, 1.5), half=0.055)) == {0: ("U000001", "match", "bbox_expansion_gate")}
-    # weak observations keep an identity near a stable node, fuse nothing and found nothing
-    assert last(_seen(2, 0, at, quality=0.25, status="low_quality")) == {0: ("U000001", "identity", "not_attempted_identity_only")}
-    assert last(_seen(2, 0, at, quality=0.25, status="low_quality", feature=(0.0, 1.0)), _seen(2, 1, (0.3, 0.0, 1.5), status="low_quality"), _seen(2, 2, at, status="rejected")) == {0: (None, "skipped", None), 1: (None, "skipped", None), 2: (None, "rejected", None)}
-    # without an overlap in the image there is no match, however near
-    far = list(_seen(2, 0, at))
-    far[13:17] = [0.0, 0.0, 9.0, 9.0]
-    assert last(tuple(far)) == {0: ("U000002", "birth", "accepted")}
-    assert K.pair_score(K._Seen(pd.DataFrame([_seen(2, 0, (0.2, 0.0, 1.5))], columns=[c.split()[0] for c in _SEEN.split(", ")]).iloc[:1].itertuples(index=False).__next__()), K.born(K._Seen(pd.DataFrame([_seen(0, 0, at)], columns=[c.split()[0] for c in _SEEN.split(", ")]).itertuples(index=False).__next__())), K.Camera(), False)[1] == "distance_gate"
-
-
 def test_consolidation_ends_in_disjoint_tracks(spark):
     rows = [(f"C{i:06d}", "C", "door", 0.0 + 0.01 * i, 0.0, 0.0, 1.0 + 0.01 * i, 1.0, 1.0) for i in range(4)] + [("C000009", "C", "door", 5.0, 5.0, 5.0, 6.0, 6.0, 6.0)]
     boxes = spark.createDataFrame(rows, "node_id string, role string, label string, bx1 double, by1 double, bz1 double, bx2 double, by2 double, bz2 double")
