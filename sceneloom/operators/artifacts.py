@@ -94,7 +94,8 @@ def mock_features(label: Column, dim: int = 8) -> Column:
 
     t = L.track_label(label)
     seed = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(t))), lambda i: i * F.ascii(F.substr(t, i, F.lit(1)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    return unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((seed + 37 * i) % 101) / 100.0))
+    # the seed is computed once a label, not once a component
+    return F.get(F.transform(F.array(seed), lambda s: unit(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: ((s + 37 * i) % 101) / 100.0))), F.lit(0))
 
 
 def predicate_text(evidence: DataFrame, by: list[str], prior: Column) -> DataFrame:

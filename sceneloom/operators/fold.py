@@ -23,12 +23,6 @@ def ordered(df: DataFrame, by: list[str], order: list[str], values: list[str]) -
     return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, *values))).alias("steps"))
 
 
-def average(steps: Column, value: str, alpha: float) -> Column:
-    """Exponential moving average from the first value on."""
-    first = F.get(steps, F.lit(0))[value].cast("double")
-    return F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))), first, lambda a, s: (1 - alpha) * a + alpha * s[value])
-
-
 def average_vector(steps: Column, value: str, alpha: float) -> Column:
     """Moving average of vectors, of length 1 after each step."""
     first = V.unit(F.get(steps, F.lit(0))[value])
@@ -105,27 +99,3 @@ def decisions(post: DataFrame, margin: float = 0.05) -> DataFrame:
     lead = F.col("p") - F.greatest("none", second)
     weak = (F.col("odds") <= 0) | (F.col("p") <= F.col("none")) | (lead < margin)
     return best.select("child_node_id", F.col("parent").alias("parent_node_id"), F.round("p", 6).alias("posterior"), F.round("odds", 6).alias("log_odds"), F.when(weak, "provisional").otherwise("confirmed").alias("status"))
-
-
-def scene_switches(votes: DataFrame, times: int = 2, confidence: float = 0.9, cooldown: int = 20) -> DataFrame:
-    """sequence, switches: locked at the first good vote, then switched by ``times`` good votes in a row for another scene,
-    not within ``cooldown`` frames of the last switch. votes: sequence, frame_idx, scene, confidence."""
-    steps = ordered(votes, ["sequence"], ["frame_idx"], ["scene", "confidence"])
-    zero = F.struct(F.lit(None).cast("string").alias("locked"), F.lit(None).cast("string").alias("other"), F.lit(0).alias("run"), F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<frame_idx:bigint,scene:string>>").alias("rows"))
-
-    def step(s: Column, v: Column) -> Column:
-        good = (v["scene"] != "unknown") & (v["confidence"] >= confidence)
-        first = s["locked"].isNull() & good
-        differs = s["locked"].isNotNull() & good & (v["scene"] != s["locked"])
-        run = F.when(differs, F.when(s["other"] == v["scene"], s["run"] + 1).otherwise(1)).otherwise(0)
-        rested = s["last"].isNull() | (v["frame_idx"] - s["last"] >= cooldown)
-        go = differs & (run >= times) & rested
-        return F.struct(
-            F.when(first | go, v["scene"]).otherwise(s["locked"]).alias("locked"),
-            F.when(go | ~differs, F.lit(None).cast("string")).otherwise(v["scene"]).alias("other"),
-            F.when(go, 0).otherwise(run).alias("run"),
-            F.when(go, v["frame_idx"]).otherwise(s["last"]).alias("last"),
-            F.when(go, F.concat(s["rows"], F.array(F.struct(v["frame_idx"].alias("frame_idx"), v["scene"].alias("scene"))))).otherwise(s["rows"]).alias("rows"),
-        )
-
-    return steps.select("sequence", F.aggregate("steps", zero, step)["rows"].alias("switches"))

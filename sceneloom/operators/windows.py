@@ -54,16 +54,6 @@ def confirmed_in_window(rows: DataFrame, by: list[str], frame: str, frames: int
     return rows.withColumn("hits", F.count("*").over(w)).withColumn("confirmed", F.col("hits") >= times)
 
 
-def streaks(votes: DataFrame, by: list[str], order: str, value: str, ok: Column) -> DataFrame:
-    """Length so far of the run of equal good votes; a bad vote breaks it and has 0."""
-    w = Window.partitionBy(*by).orderBy(order)
-    v = votes.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    breaks = F.when(~F.col("_ok") | ~F.coalesce(F.lag("_ok").over(w), F.lit(False)) | (F.col(value) != F.coalesce(F.lag(value).over(w), F.lit(""))), 1).otherwise(0)
-    v = v.withColumn("_b", breaks).withColumn("_run", F.sum("_b").over(w))
-    n = F.sum(F.col("_ok").cast("int")).over(Window.partitionBy(*by, "_run").orderBy(order))
-    return v.withColumn("streak", n).drop("_ok", "_b", "_run")
-
-
 def evenly(df: DataFrame, by: list[str], order: list, k: int, rounded: bool = False) -> DataFrame:
     """k rows of each group at evenly spaced ranks (cut off, or rounded half to even); all of a group of k or fewer."""
     w = Window.partitionBy(*by)

@@ -10,6 +10,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators import aggregates as A
+from ..operators import scan
 from ..operators import windows as W
 from ..registry import query
 
@@ -209,14 +210,14 @@ _STREAK = """o AS (SELECT *, scene <> 'unknown' AND confidence >= 0.8 AS ok FROM
 @query("scene_streaks", with_sql("scene_votes") + _STREAK + " SELECT * FROM s")
 def scene_streaks(spark, sf_dir):
     v = scene(spark, sf_dir, "scene_votes")
-    return W.streaks(v, ["sequence"], "frame_idx", "scene", (F.col("scene") != "unknown") & (F.col("confidence") >= 0.8)).select("sequence", "frame_idx", "scene", "streak")
+    return scan.streaks(v, ["sequence"], "frame_idx", "scene", (F.col("scene") != "unknown") & (F.col("confidence") >= 0.8)).select("sequence", "frame_idx", "scene", "streak")
 
 
 @query("scene_lock", with_sql("scene_votes") + _STREAK + ", w AS (SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY frame_idx) AS rn FROM s WHERE streak >= 2) SELECT sequence, frame_idx AS lock_frame, scene FROM w WHERE rn = 1")
 def scene_lock(spark, sf_dir):
     """The frame and scene at which each sequence locks for good."""
     v = scene(spark, sf_dir, "scene_votes")
-    s = W.streaks(v, ["sequence"], "frame_idx", "scene", (F.col("scene") != "unknown") & (F.col("confidence") >= 0.8)).where("streak >= 2")
+    s = scan.streaks(v, ["sequence"], "frame_idx", "scene", (F.col("scene") != "unknown") & (F.col("confidence") >= 0.8)).where("streak >= 2")
     return s.groupBy("sequence").agg(F.min(F.struct("frame_idx", "scene")).alias("m")).select("sequence", F.col("m.frame_idx").alias("lock_frame"), F.col("m.scene").alias("scene"))
 
 

@@ -9,6 +9,7 @@ from ..fixtures import scene, with_sql
 from ..functions import geometry as G
 from ..operators import assign as O
 from ..operators import fold as T
+from ..operators import scan
 from ..operators.artifacts import mock_features
 from ..registry import query
 from . import mapping as M
@@ -19,8 +20,8 @@ _FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq)
 
 @query("quality_ema", with_sql("observations", recursive=True) + _FIRST + ", e(node_id, rn, ema) AS (SELECT node_id, rn, quality FROM o WHERE rn = 1 UNION ALL SELECT o.node_id, o.rn, 0.75::DOUBLE * e.ema + 0.25::DOUBLE * o.quality FROM e JOIN o ON o.node_id = e.node_id AND o.rn = e.rn + 1) SELECT node_id, max(rn) AS n, round(arg_max(ema, rn), 6) AS ema FROM e GROUP BY node_id")
 def quality_ema(spark, sf_dir):
-    s = T.ordered(scene(spark, sf_dir, "observations"), ["node_id"], ["seq"], ["quality"])
-    return s.select("node_id", F.size("steps").cast("long").alias("n"), F.round(T.average(F.col("steps"), "quality", 0.25), 6).alias("ema"))
+    s = scan.averages(scene(spark, sf_dir, "observations"), ["node_id"], "seq", "quality", 0.25)
+    return s.select("node_id", "n", F.round("ema", 6).alias("ema"))
 
 
 _VEC = """v AS (SELECT label AS k, vec_id, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
@@ -110,8 +111,7 @@ def parent_switches(spark, sf_dir):
     SELECT sequence, frame_idx, locked AS scene FROM f WHERE go""",
 )
 def scene_switch(spark, sf_dir):
-    s = T.scene_switches(scene(spark, sf_dir, "scene_votes"))
-    return s.select("sequence", F.inline("switches")).select("sequence", "frame_idx", "scene")
+    return scan.scene_switches(scene(spark, sf_dir, "scene_votes")).select("sequence", "frame_idx", "scene")
 
 
 _PAIRS = "p AS (SELECT o.seq // 4 AS grp, o.seq, n.node_id, round(exp(-pow(o.quality - n.quality_ema, 2) * 4) * (0.5 + (o.seq * n.n) % 17 / 34.0), 6) AS score FROM observations o JOIN nodes n ON n.role = 'U' AND n.n // 4 = (o.seq // 4) % 25)"
@@ -232,12 +232,13 @@ def _observed(spark, sf_dir):
     points = F.array(*[F.array(F.col("cx") + a, F.col("cy") + b, F.col("z") + c) for a, b, c in sides])
     u, v = 500.0 * F.col("cx") / F.col("z") + 320.0, 500.0 * F.col("cy") / F.col("z") + 240.0
     status = F.when(F.col("quality") >= 0.62, "reliable").when(F.col("quality") >= 0.38, "provisional").when(F.col("quality") >= 0.2, "low_quality").otherwise("rejected")
-    feature = mock_features(F.col("label"))
+    features = o.select("label").distinct().withColumn("feature", mock_features(F.col("label")))
     role = F.when(F.col("label").isin("view", "signup"), "O").when(F.col("label") == "click", "C").otherwise("U")
     o = o.withColumns({"sequence": (F.col("seq") % 4 + 4 * F.floor(F.col("seq") / 2000)).cast("long"), "frame": F.floor(F.col("seq") / 16).cast("long"), "role": role})
     there = F.collect_list(F.struct("seq", "role")).over(Window.partitionBy("sequence", "frame", "node_id"))
     above = F.transform(F.filter(there, lambda x: (x["role"] < F.lit("U")) & (x["seq"] != F.col("seq"))), lambda x: x["seq"])
-    return o.select("sequence", F.col("frame").alias("frame_idx"), F.col("seq").alias("det_id"), "role", "label", "score", "quality", status.alias("status"), "imputed", F.lit(False).alias("border"), points.alias("points"), feature.alias("hist"), feature.alias("feature"), (u - 8).alias("x1"), (v - 8).alias("y1"), (u + 8).alias("x2"), (v + 8).alias("y2"), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"], F.array_sort(above).alias("parents"))
+    o = o.join(features, "label")
+    return o.select("sequence", F.col("frame").alias("frame_idx"), F.col("seq").alias("det_id"), "role", "label", "score", "quality", status.alias("status"), "imputed", F.lit(False).alias("border"), points.alias("points"), F.col("feature").alias("hist"), "feature", (u - 8).alias("x1"), (v - 8).alias("y1"), (u + 8).alias("x2"), (v + 8).alias("y2"), *[F.lit(0.0).alias(f"t{c}") for c in "xyz"], F.array_sort(above).alias("parents"))
 
 
 @query("track_map")

@@ -15,11 +15,13 @@ camera's proportions). Rows without points are left out; of rows with one det_id
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -328,10 +330,14 @@ class Sequence:
     def matched(self, seen: list[Seen], known: list[str], found: dict[int, str], identity: bool) -> dict[int, tuple[str, float]]:
         """The node and score of each observation that has one, for the greatest total score."""
         score, valid = np.zeros((len(seen), len(known))), np.zeros((len(seen), len(known)), bool)
-        for i, o in enumerate(seen):
-            for j, k in enumerate(known):
-                score[i, j], why = self.pair(o, k, found, identity)
-                valid[i, j] = not why
+        if not seen or not known:
+            return {}
+        # no gate lets a pair through beyond the largest distance, so that only pairs within it are scored
+        most = max(self.s.identity_distance[0], *IDENTITY_FLOOR.values()) if identity else self.s.distance[1]
+        apart = np.linalg.norm(np.array([o.center for o in seen])[:, None] - np.array([self.nodes[k].center for k in known])[None], axis=2)
+        for i, j in zip(*np.nonzero(apart < most)):
+            score[i, j], why = self.pair(seen[i], known[j], found, identity)
+            valid[i, j] = not why
         return {i: (known[j], float(score[i, j])) for i, j in best_pairs(score, valid)}
 
     def frame(self, observations: list[Seen]) -> list[tuple]:
@@ -431,7 +437,13 @@ def _snapshot(n: Node, points: int) -> tuple:
 
 def track(stream: DataFrame, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
     """A stream of observations as one of events (``node`` null) and of nodes that a batch changed (kind ``node``)."""
-    return stream.groupBy("sequence").transformWithStateInPandas(Tracker(camera, settings), f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>", "Append", "None")
+    # Spark asks for the state's schema in a process of the driver that does not see shipped packages, so this one is sent whole
+    package = sys.modules[__package__.split(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        return stream.groupBy("sequence").transformWithStateInPandas(Tracker(camera, settings), f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>", "Append", "None")
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
 
 
 def drain(spark, folder: str, schema, camera: Camera = Camera(), settings: Settings = Settings(), each=None) -> DataFrame:
@@ -458,7 +470,7 @@ def drain(spark, folder: str, schema, camera: Camera = Camera(), settings: Setti
     return spark.read.schema(rows.schema.add("batch", "long")).parquet(f"{folder}/out")
 
 
-def replayed(observations: DataFrame, batches: int = 8, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
+def replayed(observations: DataFrame, batches: int = 4, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
     """The tracker's rows over a table of observations, brought in ``batches`` ranges of frames one after another."""
     spark = observations.sparkSession
     folder = scratch(spark, "track")
@@ -498,9 +510,9 @@ def covisible(rows: DataFrame) -> DataFrame:
     return seen.withColumnRenamed("node_id", "a").join(other, ["sequence", "frame_idx"]).where("a < b").groupBy("sequence", "a", "b").agg(F.count("*").alias("frames"))
 
 
-def tracked(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 8) -> DataFrame:
+def tracked(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 4) -> DataFrame:
     return events(replayed(observations, batches, camera, settings))
 
 
-def built(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 8) -> DataFrame:
+def built(observations: DataFrame, camera: Camera = Camera(), settings: Settings = Settings(), batches: int = 4) -> DataFrame:
     return nodes(replayed(observations, batches, camera, settings))
