@@ -158,6 +158,32 @@ def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on:
     return j.where(once[0] & once[1] & once[2]).drop("_cx", "_cy", "_cz")
 
 
+def nearest_points(left: DataFrame, right: DataFrame, on: list[str], of_left: str, of_right: str, key: list[str], cell: float, grow: int = 2) -> DataFrame:
+    """on, key and ``distance`` to the nearest of right's points with equal ``on``, for each of left's points, without a radius.
+
+    Columns x, y, z stand under a prefix. A round looks into a point's cell and those around it, so that all points within a
+    cell's size are met; who has one that near is done, and the others go on with cells ``grow`` times as large. Only the
+    points still to do are joined, and a point whose partner group is empty has no row."""
+    axes = lambda p: [F.col(f"{p}{c}") for c in "xyz"]
+    at = lambda p, size: [F.floor(c / F.lit(size)).cast("long") for c in axes(p)]
+    right = saved(right.select(*on, *(f"{of_right}{c}" for c in "xyz")))
+    todo = saved(left.select(*on, *key, *(f"{of_left}{c}" for c in "xyz")).join(right.select(*on).distinct(), on, "left_semi"))
+    square = sum((a - b) * (a - b) for a, b in zip(axes(of_left), axes(of_right)))
+    done, size, cells = None, cell, ["_cx", "_cy", "_cz"]
+    while True:
+        around = todo
+        for name, c in zip(cells, at(of_left, size)):
+            around = around.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
+        placed = right.withColumns(dict(zip(cells, at(of_right, size))))
+        best = around.join(placed, [*on, *cells]).groupBy(*on, *key).agg(F.sqrt(F.min(square)).alias("distance"))
+        met = saved(best.where(F.col("distance") <= size))
+        done = met if done is None else saved(done.unionByName(met))
+        todo = saved(todo.join(met.select(*on, *key), [*on, *key], "left_anti"))
+        if not todo.limit(1).count():
+            return done
+        size *= grow
+
+
 def projected_boxes(points: DataFrame, by: str, camera: tuple[float, float, float, float], width: int, height: int, least: int = 3, tolerance: float = 0.08, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """by, p_x1..p_y2: the percentile box, within the image, of each node's projected points.
 

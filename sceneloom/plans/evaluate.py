@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,46 +11,49 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 
 
-def hits(queries: DataFrame, vocabulary: DataFrame, k: int, threshold: float, most: int = 4096) -> DataFrame:
+QUERY_ROWS, VECTOR_ROWS = 8192, 16384  # of a block
+
+
+def hits(queries: DataFrame, vocabulary: DataFrame, k: int, threshold: float, query_rows: int = QUERY_ROWS, vector_rows: int = VECTOR_ROWS) -> DataFrame:
     """queries (query_id, q), vocabulary (vec_id, embedding): query_id, vec_id, similarity, rank of what is a hit: among the
     first k, or closer than the threshold.
 
-    Queries go in blocks of ``most``, each broadcast as one matrix; all vectors stream past it, and a batch leaves k rows a
-    query and what passes the threshold.
+    Both sides are dealt into blocks of about so many rows, and each pair of blocks is one task's matrix product, which
+    leaves a heap of k rows a query and what passes the threshold; heaps meet by query. Of equally near vectors the least
+    vec_ids come first, so that a heap is full by itself however many are equal.
     """
-    spark = queries.sparkSession
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    blocks = max(1, -(-queries.count() // most))
+    blocks = [max(1, -(-d.count() // n)) for d, n in ((queries, query_rows), (vocabulary, vector_rows))]
     ids = {c: d for c, d in (queries.dtypes + vocabulary.dtypes) if c in ("query_id", "vec_id")}
-    schema = f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double"
-    dealt = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        rows = dealt.where(F.col("block") == b).select("query_id", V.unit(F.col("q")).alias("q")).collect()
-        if rows:
-            sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in rows]), np.array([r["q"] for r in rows], float)))
-            part = vocabulary.select("vec_id", V.unit(F.col("embedding")).alias("v")).mapInArrow(_compared(sent, k, threshold), schema)
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], schema)
-    return out.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
-
-
-def _compared(sent, k: int, threshold: float):
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                s = np.round(q @ np.stack(part.column("v").to_numpy(zero_copy_only=False)).T, 6)
-                vec = part.column("vec_id").to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(vec, s.shape), -s), axis=1)[:, :k]
-                keep = s > threshold
-                np.put_along_axis(keep, order, True, axis=1)
-                i, j = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(vec[j]), pa.array(s[i, j])], ["query_id", "vec_id", "similarity"])
-
-    return compare
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    q = queries.select("query_id", V.unit(F.col("q")).alias("v"), dealt("query_id", blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    v = vocabulary.select("vec_id", V.unit(F.col("embedding")).alias("v"), every(blocks[0]).alias("a"), dealt("vec_id", blocks[1]).alias("b"))
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_id", "vec_id", "similarity"]
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=names)
+        right = right.sort_values("vec_id")
+        ids, vec = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+        m, t, out = np.stack(left["v"].to_numpy()), np.stack(right["v"].to_numpy()).T, []
+        for at in range(0, len(m), 256):
+            s = np.round(m[at : at + 256] @ t, 6)
+            i, j = np.nonzero(first_of(s, k) | (s > threshold))
+            out.append(pd.DataFrame({"query_id": ids[at + i], "vec_id": vec[j], "similarity": s[i, j]}))
+        return pd.concat(out)
+
+    met = q.groupBy("a", "b").cogroup(v.groupBy("a", "b")).applyInPandas(compare, f"query_id {ids['query_id']}, vec_id {ids['vec_id']}, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(w).cast("long")).where((F.col("rank") <= k) | (F.col("similarity") > threshold))
+
+
+def first_of(s: np.ndarray, k: int) -> np.ndarray:
+    """The k largest of each row; of equal ones the first."""
+    if s.shape[1] <= k:
+        return np.ones(s.shape, bool)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+    above, equal = s > least, s == least
+    return above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
 def overlaps(truth: DataFrame, predicted: DataFrame, on: list[str]) -> DataFrame:

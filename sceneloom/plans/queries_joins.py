@@ -177,12 +177,11 @@ def point_overlap_fraction(spark, sf_dir):
     SELECT unit, carrier, round(median(d), 6) AS distance FROM k WHERE rn <= greatest(1, ceil(n * 0.2)) GROUP BY unit, carrier""",
 )
 def surface_distance(spark, sf_dir):
-    """The median of the nearest fifth of a unit's distances to a carrier's points; samples are bounded, so are a node's pairs."""
+    """The median of the nearest fifth of a unit's distances to a carrier's points, each to the nearest by cells that grow."""
     s = W.evenly(scene(spark, sf_dir, "points"), ["node"], ["pid"], SAMPLE)
     u = s.select(F.col("node").alias("unit"), ((F.col("node") + 1) % 100).alias("carrier"), "pid", *[F.col(c).alias(f"u_{c}") for c in "xyz"])
     c = s.select(F.col("node").alias("carrier"), *[F.col(k).alias(f"c_{k}") for k in "xyz"])
-    square = sum(((F.col(f"u_{k}") - F.col(f"c_{k}")) * (F.col(f"u_{k}") - F.col(f"c_{k}")) for k in "yz"), (F.col("u_x") - F.col("c_x")) * (F.col("u_x") - F.col("c_x")))
-    d = u.join(c, "carrier").groupBy("unit", "carrier", "pid").agg(F.sqrt(F.min(square)).alias("d"))
+    d = J.nearest_points(u, c, ["carrier"], "u_", "c_", ["unit", "pid"], 0.02).withColumnRenamed("distance", "d")
     o = Window.partitionBy("unit").orderBy("d", "pid")
     k = d.withColumns({"rn": F.row_number().over(o), "n": F.count("*").over(Window.partitionBy("unit"))}).where("rn <= greatest(1, ceil(n * 0.2))")
     return k.groupBy("unit", "carrier").agg(F.round(F.median("d"), 6).alias("distance"))

@@ -470,3 +470,45 @@ def test_final_hierarchy_refuses_two_parents(spark):
     assert tuple(M.hierarchy_audit(f).first()) == (3, 1, 1)
     with pytest.raises(ValueError, match="U1"):
         M.final_hierarchy(e.union(spark.createDataFrame([("O-U", "O1", "U1", "", False)], e.schema)))
+
+
+def test_nearest_without_a_radius(spark):
+    """Clumps, far points and partners of other groups: as by brute force, each point once."""
+    rng = np.random.default_rng(8)
+    near, far = rng.normal(0, 0.03, (150, 3)), rng.uniform(-40, 40, (12, 3))
+    left = [(g, int(i), *map(float, p)) for g in (1, 2, 3) for i, p in enumerate(np.concatenate([near, far]))]
+    points = {1: rng.normal(0, 0.03, (300, 3)), 2: rng.uniform(-60, 60, (4, 3))}
+    right = [(g, *map(float, p)) for g, ps in points.items() for p in ps]
+    got = J.nearest_points(spark.createDataFrame(left, "g long, i long, a_x double, a_y double, a_z double"), spark.createDataFrame(right, "g long, b_x double, b_y double, b_z double"), ["g"], "a_", "b_", ["i"], 0.01).collect()
+    want = {(g, i): float(np.sqrt(((points[g] - np.array(p)) ** 2).sum(axis=1)).min()) for g, i, *p in left if g in points}
+    assert len(got) == len(want) and {(r["g"], r["i"]): round(r["distance"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_hits_of_many_blocks(spark):
+    """Blocks on both sides, many equal vectors: as one product over all."""
+    from sceneloom.plans import evaluate as E
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 5))
+    vectors = np.concatenate([base, np.repeat(base[:1], 40, axis=0), -base[:10]])
+    v = [(int(i), [float(x) for x in e]) for i, e in enumerate(vectors)]
+    q = [(int(i), [float(x) for x in e]) for i, e in enumerate(vectors) if i % 3 == 0]
+    got = E.hits(spark.createDataFrame(q, "query_id long, q array<double>"), spark.createDataFrame(v, "vec_id long, embedding array<double>"), 3, 0.9, 7, 11).collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = set()
+    for i, _ in q:
+        s = np.round(unit @ unit[i], 6)
+        order = sorted(range(len(v)), key=lambda j: (-s[j], j))
+        want |= {(i, j, r) for r, j in enumerate(order, 1) if r <= 3 or s[j] > 0.9}
+    assert {(r["query_id"], r["vec_id"], r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("k", [1, 3, 50])
+def test_first_of_equal_ones(k):
+    from sceneloom.plans import evaluate as E
+
+    s = np.random.default_rng(k).integers(0, 4, (20, 40)) / 4.0
+    want = np.zeros(s.shape, bool)
+    for i, row in enumerate(s):
+        want[i, sorted(range(40), key=lambda j: (-row[j], j))[:k]] = True
+    assert (E.first_of(s, k) == want).all()
