@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +13,7 @@ from ..functions import labels as L
 from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
 from ..operators.fixpoint import canonical, saved
-from ..operators.joins import near_boxes
+from ..operators.joins import near_boxes, within
 from ..operators.windows import evenly, top_with_margin
 
 BOX = ("x1", "y1", "z1", "x2", "y2", "z2")
@@ -42,34 +40,49 @@ def normals(points: DataFrame, by: str) -> DataFrame:
     return sums.mapInPandas(eigen, f"{by} {dict(points.dtypes)[by]}, n long, nx double, ny double, nz double")
 
 
-def dense(xyz: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Cluster numbers by density, -1 for noise. Places are compared within grid cells and their neighbours."""
-    n = len(xyz)
+def close_pairs(xyz: np.ndarray, eps: float, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of places at most eps apart, each place with itself too; only cells side by side are compared."""
     cell = np.floor(xyz / eps).astype(np.int64)
-    cell -= cell.min(axis=0) - 1 if n else 0
-    span = cell.max(axis=0) + 2 if n else np.ones(3, np.int64)
+    cell -= cell.min(axis=0) - 1
+    span = cell.max(axis=0) + 2
     key = (cell[:, 0] * span[1] + cell[:, 1]) * span[2] + cell[:, 2]
     order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    steps = [(a * span[1] + b) * span[2] + c for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
-    near: list[np.ndarray] = []
-    for i in range(n):
-        at = np.concatenate([order[np.searchsorted(sorted_key, key[i] + s) : np.searchsorted(sorted_key, key[i] + s, side="right")] for s in steps])
-        near.append(at[((xyz[at] - xyz[i]) ** 2).sum(axis=1) <= eps * eps])
-    core = np.array([len(x) >= least for x in near], bool)
-    out, now = np.full(n, -1), 0
-    for i in range(n):
-        if core[i] and out[i] < 0:
-            stack = [i]
-            out[i] = now
-            while stack:
-                for j in near[stack.pop()]:
-                    if out[j] < 0:
-                        out[j] = now
-                        if core[j]:
-                            stack.append(j)
-            now += 1
-    return out
+    steps = np.array([(a * span[1] + b) * span[2] - 1 for a in (-1, 0, 1) for b in (-1, 0, 1)])  # three cells in a row each
+    low = np.searchsorted(key[order], (key[:, None] + steps).ravel())
+    count = np.searchsorted(key[order], (key[:, None] + steps + 2).ravel(), side="right") - low
+    ends, out, begin = np.cumsum(count), [], 0
+    while begin < len(count):
+        to = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + at_once, side="right")))
+        n = count[begin:to]
+        i = np.repeat(np.arange(begin, to) // len(steps), n)
+        j = order[np.repeat(low[begin:to] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        near = ((xyz[i] - xyz[j]) ** 2).sum(axis=1) <= eps * eps
+        out.append((i[near], j[near]))
+        begin = to
+    return np.concatenate([i for i, _ in out]), np.concatenate([j for _, j in out])
+
+
+def dense(xyz: np.ndarray, eps: float, least: int) -> np.ndarray:
+    """Cluster numbers by density, in order of their first core, -1 for noise; a border place is the first such cluster's."""
+    n = len(xyz)
+    if not n:
+        return np.empty(0, np.int64)
+    i, j = close_pairs(xyz, eps)
+    core = np.bincount(i, minlength=n) >= least
+    label, inner = np.arange(n), core[i] & core[j]
+    a, b = i[inner], j[inner]
+    while True:  # the least core of each cluster, by spreading and shortening
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    first = np.full(n, n)
+    np.minimum.at(first, i[core[j]], label[j[core[j]]])
+    first[core] = label[core]
+    leads = np.unique(label[core])
+    return np.where(first < n, np.searchsorted(leads, first), -1)
 
 
 def main_cluster(points: DataFrame, by: str, eps: float, least: int, most: int = 4096) -> DataFrame:
@@ -85,61 +98,60 @@ def main_cluster(points: DataFrame, by: str, eps: float, least: int, most: int =
     return evenly(points, [by], ["pid"], most).groupBy(by).applyInPandas(keep, points.schema)
 
 
-def legacy_cluster(xyz: np.ndarray, eps: float, least: int, ratio: float, voxel: float = 0.0) -> np.ndarray:
-    """Which points stay: those of the largest density cluster (found on voxels' means, then all points near it), or all
-    where there are too few, no cluster, or it holds too small a share."""
-    n, every = len(xyz), np.ones(len(xyz), bool)
-    if n < max(2, least):
-        return every
-    sample = xyz
-    if voxel > 0:
-        _, at = np.unique(np.floor(xyz / voxel).astype(np.int64), axis=0, return_inverse=True)
-        at = at.ravel()
-        sample = np.stack([np.bincount(at, xyz[:, k]) for k in range(3)], axis=1) / np.bincount(at)[:, None]
-        if len(sample) < max(2, least):
-            return every
-    c = dense(sample, eps, least)
-    if not (c >= 0).any():
-        return every
-    main = c == np.bincount(c[c >= 0]).argmax()
-    if main.mean() < ratio:
-        return every
-    if len(sample) == n:
-        return main
-    near = np.concatenate([(((xyz[i : i + 512, None] - sample[main][None]) ** 2).sum(axis=2).min(axis=1)) for i in range(0, n, 512)])
-    keep = near <= (1.5 * eps) ** 2
-    return every if keep.mean() < ratio or keep.sum() < max(2, least) else keep
-
-
-def adaptive_cluster(xyz: np.ndarray, uv: np.ndarray, center: tuple[float, float], focal: float, parent: float | None = None, band: float = 0.0, pixels: float = 12.0, low: float = 0.008, high: float = 0.05, least: int = 8, keep: int = 8) -> np.ndarray:
-    """Which points stay: those of the cluster that fits the parent's depth, else is nearest the center in the image, then
-    flattest, then largest; its radius is some pixels at the median depth. None where no cluster is large enough, all where
-    there are too few points."""
-    if len(xyz) < max(2, least):
-        return np.ones(len(xyz), bool)
-    eps = float(np.clip(pixels * np.median(xyz[:, 2]) / max(1e-6, focal), low, high))
-    c = dense(xyz, eps, least)
-    best, chosen = None, -1
-    for k in range(c.max() + 1):
-        own = c == k
-        if own.sum() < keep:
-            continue
-        z = xyz[own, 2]
-        mid = float(np.median(z))
-        rank = (parent is not None and abs(mid - parent) <= band, -float(np.linalg.norm(np.median(uv[own], axis=0) - np.asarray(center))), -float(np.median(np.abs(z - mid))), int(own.sum()))
-        if best is None or rank > best:
-            best, chosen = rank, k
-    return c == chosen if best is not None else np.zeros(len(xyz), bool)
-
-
-def clustered(points: DataFrame, by: str, keep: Callable[[np.ndarray], np.ndarray], most: int = 4096) -> DataFrame:
-    """The points of each group that ``keep`` (of their x, y, z) keeps, from at most ``most`` evenly spaced ones."""
+def labelled(points: DataFrame, by: str, eps: str, least: int) -> DataFrame:
+    """points and ``cluster``: each group's density clusters at the radius in column ``eps``, -1 for noise. For groups that an
+    even sample bounds."""
 
     def work(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("pid")
-        return g[keep(g[["x", "y", "z"]].to_numpy(float))]
-
-    return evenly(points, [by], ["pid"], most).groupBy(by).applyInPandas(work, points.schema)
+        return g.assign(cluster=dense(g[["x", "y", "z"]].to_numpy(float), float(g[eps].iloc[0]), least).astype("int64"))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.groupBy(by).applyInPandas(work, f"{kinds}, cluster long")
+
+
+def in_best_cluster(points: DataFrame, by: str, focal: float, center: tuple[float, float], pixels: float = 12.0, low: float = 0.008, high: float = 0.06, least: int = 8, keep: int = 4, most: int = 4096) -> DataFrame:
+    """The points of each group's best cluster: that in the parent's depth band, else nearest the center in the image, then
+    flattest, then largest. The radius is some pixels at the group's median depth. A group of fewer than ``least`` points
+    stays whole; one without a cluster of ``keep`` points goes.
+
+    points: by, pid, x, y, z in the camera, u, v in the image, parent (depth; null without one), band."""
+    sample = saved(evenly(points, [by], ["pid"], most))
+    depth = sample.groupBy(by).agg(F.median("z").alias("_mid"), F.count("*").alias("_n"))
+    radius = F.least(F.lit(high), F.greatest(F.lit(low), pixels * F.col("_mid") / max(focal, 1e-6)))
+    own = saved(labelled(sample.join(depth.withColumn("_eps", radius), by), by, "_eps", least))
+    few = own.where(F.col("_n") < max(2, least))
+    found = own.where(F.col("_n") >= max(2, least)).where("cluster >= 0")
+    middle = found.groupBy(by, "cluster").agg(F.count("*").alias("size"), F.median("z").alias("depth"), F.median("u").alias("cu"), F.median("v").alias("cv"), F.first("parent").alias("of"), F.first("band").alias("reach"))
+    middle = middle.where(F.col("size") >= keep)
+    spread = found.join(middle.select(by, "cluster", "depth"), [by, "cluster"]).groupBy(by, "cluster").agg(F.median(F.abs(F.col("z") - F.col("depth"))).alias("mad"))
+    fits = F.coalesce(F.abs(F.col("depth") - F.col("of")) <= F.col("reach"), F.lit(False))
+    order = Window.partitionBy(by).orderBy(fits.desc(), F.hypot(F.col("cu") - center[0], F.col("cv") - center[1]), "mad", F.desc("size"), "cluster")
+    best = middle.join(spread, [by, "cluster"]).withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(by, "cluster")
+    return few.unionByName(found.join(best, [by, "cluster"], "left_semi")).select(*points.columns)
+
+
+def in_main_cluster(points: DataFrame, by: str, eps: float, least: int, ratio: float, voxel: float = 0.0, most: int = 4096) -> DataFrame:
+    """The points of each group within one and a half radii of its largest cluster, which is found on voxels' means; without
+    voxels, or where each point has its own, the cluster's points. A group stays whole if it or its voxels are fewer than
+    ``least``, or what would stay is less than ``ratio`` of the voxels or of the points."""
+    whole = saved(evenly(points, [by], ["pid"], most))
+    place = [F.floor(F.col(c) / F.lit(voxel)).alias(f"_v{c}") for c in "xyz"] if voxel > 0 else [F.col("pid").alias("_vx")]
+    means = whole.groupBy(by, *place).agg(F.min("pid").alias("_pid"), *[F.avg(c).alias(c) for c in "xyz"])
+    order = Window.partitionBy(by).orderBy(*(["_vx", "_vy", "_vz"] if voxel > 0 else ["_pid"]))
+    means = means.withColumn("pid", F.row_number().over(order)).withColumn("_eps", F.lit(eps))
+    sample = saved(labelled(means.select(by, "pid", "_pid", "x", "y", "z", "_eps"), by, "_eps", least))
+    sizes = sample.groupBy(by, "cluster").agg(F.count("*").alias("size"))
+    main = sizes.where("cluster >= 0").groupBy(by).agg(F.min(F.struct((-F.col("size")).alias("size"), "cluster")).alias("m")).select(by, "m.cluster", (-F.col("m.size")).alias("size"))
+    counts = whole.groupBy(by).agg(F.count("*").alias("n")).join(sizes.groupBy(by).agg(F.sum("size").alias("k")), by)
+    chosen = saved(main.join(counts, by).where((F.col("k") >= max(2, least)) & (F.col("size") >= ratio * F.col("k"))).select(by, "cluster", F.col("k").alias("_k"), F.col("n").alias("_n")))
+    core = sample.join(chosen, [by, "cluster"]).select(by, "_pid", *[F.col(c).alias(f"_{c}") for c in "xyz"], "_k", "_n")
+    single = core.where("_k = _n").select(by, F.col("_pid").alias("pid"))
+    near = within(whole.join(chosen.where("_k < _n").select(by), by, "left_semi"), core.where("_k < _n"), ["x", "y", "z"], ["_x", "_y", "_z"], 1.5 * eps, [by]).select(by, "pid")
+    held = saved(single.unionByName(near).distinct())
+    enough = held.groupBy(by).agg(F.count("*").alias("_h")).join(counts, by).where((F.col("k") == F.col("n")) | ((F.col("_h") >= ratio * F.col("n")) & (F.col("_h") >= max(2, least)))).select(by)
+    stays = whole.join(enough, by, "left_anti").unionByName(whole.join(enough, by, "left_semi").join(held, [by, "pid"], "left_semi"))
+    return stays.select(*points.columns)
 
 
 def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> DataFrame:

@@ -213,15 +213,16 @@ def depth_clusters(spark, sf_dir):
 def legacy_clusters(spark, sf_dir):
     """The points of each node that its main cluster holds, found on voxels; all where that is too small a share."""
     p = scene(spark, sf_dir, "points").select("node", "pid", "x", "y", "z")
-    return M.clustered(p, "node", lambda xyz: M.legacy_cluster(xyz, 0.02, 4, 0.3, 0.01)).groupBy("node").agg(F.count("*").alias("n"))
+    return M.in_main_cluster(p, "node", 0.02, 4, 0.3, 0.01).groupBy("node").agg(F.count("*").alias("n"))
 
 
 @query("adaptive_clusters")
 def adaptive_clusters(spark, sf_dir):
-    """The points of each node in the cluster nearest the image's center, at a radius that follows depth."""
+    """The points of each node in the cluster of its parent's depth, else nearest the image's center, at a radius that follows
+    depth."""
     p = scene(spark, sf_dir, "points").select("node", "pid", "x", "y", (F.col("z") + 0.5).alias("z"))
-    keep = lambda xyz: M.adaptive_cluster(xyz, xyz[:, :2] / xyz[:, 2:] * 500.0, (100.0, 100.0), 500.0, pixels=60.0, high=0.1, least=4)
-    return M.clustered(p, "node", keep).groupBy("node").agg(F.count("*").alias("n"))
+    p = p.withColumns({"u": 500.0 * F.col("x") / F.col("z"), "v": 500.0 * F.col("y") / F.col("z"), "parent": F.when(F.col("node") % 2 == 0, F.lit(0.55)), "band": F.lit(0.025)})
+    return M.in_best_cluster(p, "node", 500.0, (100.0, 100.0), pixels=60.0, high=0.1, least=4).groupBy("node").agg(F.count("*").alias("n"))
 
 
 def _observed(spark, sf_dir):

@@ -428,26 +428,45 @@ def _density_clusters(xyz, eps, least):
     return out
 
 
-def test_clusters_stay_or_fall_by_their_rules():
+def test_clusters_stay_or_fall_by_their_rules(spark):
     rng = np.random.default_rng(3)
     big, small, far = rng.normal(0, 0.01, (60, 3)), rng.normal(0.5, 0.005, (20, 3)), rng.uniform(2, 9, (10, 3))
     xyz = np.concatenate([big, small, far])
     assert (M.dense(xyz, 0.02, 4) == _density_clusters(xyz, 0.02, 4)).all()
     c = _density_clusters(xyz, 0.02, 4)
     main = c == np.bincount(c[c >= 0]).argmax()
-    assert (M.legacy_cluster(xyz, 0.02, 4, 0.3) == main).all()
-    assert M.legacy_cluster(xyz, 0.02, 4, 0.9).all() and M.legacy_cluster(far, 0.02, 4, 0.1).all() and M.legacy_cluster(xyz[:1], 0.02, 4, 0.1).all()
+
+    def frame(*groups):
+        rows = [(n, i, *map(float, p), float(p[0] * 500), float(p[1] * 500), parent, 0.05) for n, (ps, parent) in enumerate(groups) for i, p in enumerate(ps)]
+        return spark.createDataFrame(rows, "node long, pid long, x double, y double, z double, u double, v double, parent double, band double")
+
+    def held(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault(r["node"], set()).add(r["pid"])
+        return out
+
+    some = frame((xyz, None), (far, None), (xyz[:1], None))
+    got = held(M.in_main_cluster(some, "node", 0.02, 4, 0.3))
+    assert got == {0: set(np.flatnonzero(main)), 1: set(range(10)), 2: {0}}
+    assert held(M.in_main_cluster(some, "node", 0.02, 4, 0.9)) == {0: set(range(90)), 1: set(range(10)), 2: {0}}
     # on voxels all points near the main cluster's means stay, and none of the others
-    kept = M.legacy_cluster(xyz, 0.02, 2, 0.1, 0.005)
-    assert kept[:60].mean() > 0.8 and not kept[60:].any()
-    depth = xyz + np.array([0.0, 0.0, 1.0])
-    uv = xyz[:, :2] * 500
-    near_big = M.adaptive_cluster(depth, uv, (0.0, 0.0), 600.0, low=0.02, high=0.02, least=4)
-    near_small = M.adaptive_cluster(depth, uv, (250.0, 250.0), 600.0, low=0.02, high=0.02, least=4)
-    by_parent = M.adaptive_cluster(depth, uv, (0.0, 0.0), 600.0, parent=1.5, band=0.05, low=0.02, high=0.02, least=4)
-    assert near_big[:60].mean() > 0.8 and not near_big[60:].any()
-    assert near_small[60:80].mean() > 0.8 and (near_small == by_parent).all() and not near_small[:60].any()
-    assert not M.adaptive_cluster(far, far[:, :2], (0, 0), 600.0, low=0.02, high=0.02).any()
+    means = {}
+    for p in xyz:
+        means.setdefault(tuple(np.floor(p / 0.005).astype(int)), []).append(p)
+    sample = np.array([np.mean(v, axis=0) for _, v in sorted(means.items())])
+    k = _density_clusters(sample, 0.02, 2)
+    core = sample[k == np.bincount(k[k >= 0]).argmax()]
+    near = {i for i, p in enumerate(xyz) if (np.linalg.norm(core - p, axis=1) <= 0.03).any()}
+    assert held(M.in_main_cluster(some, "node", 0.02, 2, 0.1, 0.005))[0] == near and len(near) < 70
+    deep = xyz + np.array([0.0, 0.0, 1.0])
+    best = lambda center, **more: held(M.in_best_cluster(frame((deep, None), (deep, 1.5), (far, None), (far[:3], None)), "node", 600.0, center, low=0.02, high=0.02, least=4, **more))
+    at_big, at_small = best((0.0, 0.0)), best((250.0, 250.0))
+    own = lambda k: set(np.flatnonzero(c == k))
+    first, second = c[0] if c[0] >= 0 else 0, c[60:80].max()
+    assert at_big == {0: own(first), 1: own(second), 3: {0, 1, 2}} and at_small == {0: own(second), 1: own(second), 3: {0, 1, 2}}
+    assert best((250.0, 250.0), keep=30)[0] == own(first)
+
 
 
 def test_binary_ply_and_sequences(spark, tmp_path):
