@@ -194,56 +194,6 @@ def carriers(candidates: DataFrame, boxes: DataFrame, reach: float = 0.08, least
     return best.select("unit", "carrier", "score", "margin", F.when(weak, "provisional").otherwise("confirmed").alias("status"))
 
 
-def completeness(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """One row: whether a run is complete, and the reasons why not."""
-    linked = candidates.where("selected and pass_threshold").select(F.col("child_node_id").alias("node_id")).distinct()
-    n = nodes.agg(F.count_if(F.col("state") != "rejected").alias("nodes"))
-    e = candidates.agg(F.count_if("selected").alias("edges"), F.count_if(F.col("parent_node_id") == F.col("child_node_id")).alias("loops"), F.count_if(F.col("s2d_score").isNull() & F.col("selected")).alias("unscored"))
-    u = nodes.where("role = 'U' and state = 'stable'").join(linked, "node_id", "left_anti").agg(F.count("*").alias("open"))
-    why = [(F.col("nodes") == 0, "no_nodes"), (F.col("edges") == 0, "no_edges"), (F.col("loops") > 0, "self_loops"), (F.col("open") > 0, "units_without_link"), (F.col("unscored") > 0, "unscored_edges")]
-    reasons = F.array_compact(F.array(*[F.when(c, r) for c, r in why]))
-    return n.crossJoin(e).crossJoin(u).select((F.size(reasons) == 0).alias("complete"), F.array_join(reasons, ",").alias("reasons"))
-
-
-def diagnostics(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The first reason why a carrier or unit has no link, or ``linked``."""
-    e = candidates.groupBy("child_node_id").agg(F.bool_or(F.col("selected") & F.col("pass_threshold")).alias("linked"), F.bool_or("pass_threshold").alias("passed"), F.bool_or(F.col("s2d_score").isNotNull()).alias("scored"))
-    j = nodes.where("role <> 'O'").join(e, F.col("node_id") == F.col("child_node_id"), "left")
-    reason = S.first_of((F.col("state") == "rejected", "node_rejected"), (F.col("child_node_id").isNull(), "no_candidate"), (~F.col("scored"), "never_scored"), (~F.col("passed"), "never_passed"), (~F.col("linked"), "never_selected"), otherwise="linked")
-    return j.select("node_id", reason.alias("reason"))
-
-
-def completed(boxes: DataFrame, by: list[str], gap: float, growth: float = 4.0) -> DataFrame:
-    """by, node_id, object: carriers of one scene and owner label joined along links of at most ``gap``, nearest first; two
-    sets join only if their common box is not over ``growth`` times the larger one's diagonal. The links' order decides, so a
-    scene's links of a label are one group; links themselves come from a join of near boxes."""
-    side = lambda p: boxes.select(*by, F.col("node_id").alias(p), *[F.col(f"b{c}").alias(f"{p}_{c}") for c in BOX])
-    j = near_boxes(side("a"), side("b"), "a_", "b_", gap, by).where("a <= b").withColumn("gap", box_gap("a_", "b_")).where((F.col("gap") <= gap) | (F.col("a") == F.col("b")))
-
-    def unite(g: pd.DataFrame) -> pd.DataFrame:
-        own = g[g["a"] == g["b"]]
-        lead = {n: n for n in own["a"]}
-        box = {r.a: np.array([getattr(r, f"a_{c}") for c in BOX]) for r in own.itertuples()}
-
-        def find(x: str) -> str:
-            while lead[x] != x:
-                x = lead[x]
-            return x
-
-        size = lambda b: float(np.linalg.norm(b[3:] - b[:3]))
-        for r in g[g["a"] != g["b"]].sort_values(["gap", "a", "b"]).itertuples():
-            x, y = sorted((find(r.a), find(r.b)))
-            if x == y:
-                continue
-            common = np.concatenate([np.minimum(box[x][:3], box[y][:3]), np.maximum(box[x][3:], box[y][3:])])
-            if size(common) <= growth * max(size(box[x]), size(box[y])):
-                lead[y], box[x] = x, common
-        return pd.DataFrame([(*own[by].iloc[0], n, find(n)) for n in lead], columns=[*by, "node_id", "object"]) if len(own) else pd.DataFrame(columns=[*by, "node_id", "object"])
-
-    kinds = dict(boxes.dtypes)
-    return j.groupBy(*by).applyInPandas(unite, ", ".join(f"{c} {kinds[c]}" for c in by) + ", node_id string, object string")
-
-
 def carrier_gates(cu: DataFrame, objects: DataFrame, ou: DataFrame, labels: DataFrame, atlas: DataFrame, boxes: DataFrame, reach: float = 0.08) -> DataFrame:
     """carrier, unit, reason: the first gate that keeps a carrier from a unit, empty where none does.
 

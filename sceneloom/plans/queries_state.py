@@ -8,11 +8,14 @@ from pyspark.sql.window import Window
 from ..fixtures import scene, with_sql
 from ..functions import geometry as G
 from ..operators import assign as O
+from ..operators import fixpoint as X
 from ..operators import fold as T
 from ..operators import scan
 from ..operators.artifacts import mock_features
 from ..registry import query
+from . import completion as C
 from . import mapping as M
+from . import reports as R
 from . import tracker as K
 
 _FIRST = "o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY seq) AS rn FROM observations)"
@@ -281,31 +284,126 @@ def carrier_resolution(spark, sf_dir):
     return M.carriers(scene(spark, sf_dir, "edge_candidates"), scene(spark, sf_dir, "boxes3d"), reach=1.5)
 
 
+_CHOSEN = """a AS (SELECT child_node_id, parent_node_id, edge_type, count(*) FILTER (selected) AS n, min(relation_text) AS relation_text FROM edge_candidates WHERE pn % 3 <> 0 OR edge_type <> 'O-C' GROUP BY ALL),
+    f AS (SELECT edge_type, parent_node_id, child_node_id, relation_text, n < 20 AS provisional FROM a QUALIFY row_number() OVER (PARTITION BY child_node_id ORDER BY n DESC, parent_node_id, edge_type) = 1)"""
+
+
+_RUN = (
+    with_sql("edge_candidates", "nodes")
+    + _CHOSEN
+    + """, o AS (SELECT child_node_id AS c, parent_node_id AS owner FROM f WHERE edge_type = 'O-C'),
+    lo AS (SELECT f.edge_type, f.parent_node_id, f.child_node_id, f.relation_text, CASE WHEN f.provisional THEN 'O000000001' ELSE owner END AS object_parent_id, owner AS carrier_object_parent_id
+        FROM f LEFT JOIN o ON o.c = f.parent_node_id AND f.edge_type = 'C-U' WHERE right(f.child_node_id, 1) NOT IN ('2', '6', '7')),
+    el AS (SELECT node_id, label, role FROM nodes WHERE state = 'stable'),
+    ca AS (SELECT e.edge_type, e.parent_node_id, e.child_node_id, e.s2d_score, e.relation_text, e.coverage >= 0.3 AS pass_prefilter, e.s2d_score IS NOT NULL AS s2d_available,
+        CASE WHEN p.state = 'rejected' OR c.state = 'rejected' THEN 'canonical_node_missing' ELSE '' END AS reason
+        FROM edge_candidates e LEFT JOIN nodes p ON p.node_id = e.parent_node_id LEFT JOIN nodes c ON c.node_id = e.child_node_id WHERE (e.pn * 3 + e.cn) % 5 = 0 AND (e.cn % 4 <> 2 OR (e.edge_type <> 'C-U' AND e.coverage < 0.9 AND (e.cn % 8 <> 2 OR e.s2d_score IS NULL))))"""
+)
+
+
+def _run(spark, sf_dir):
+    """A run's eligible nodes, candidates, and chosen edges of some children."""
+    e, n = scene(spark, sf_dir, "edge_candidates"), scene(spark, sf_dir, "nodes")
+    f = _chosen(e)
+    owner = f.where("edge_type = 'O-C'").select(F.col("child_node_id").alias("parent_node_id"), F.col("parent_node_id").alias("owner"), F.lit("C-U").alias("edge_type"))
+    local = f.join(owner, ["parent_node_id", "edge_type"], "left").where(~F.substring("child_node_id", -1, 1).isin("2", "6", "7"))
+    local = local.select("edge_type", "parent_node_id", "child_node_id", "relation_text", F.when(F.col("provisional"), "O000000001").otherwise(F.col("owner")).alias("object_parent_id"), F.col("owner").alias("carrier_object_parent_id"))
+    out = n.where("state = 'rejected'").select("node_id")
+    c = e.where("(pn * 3 + cn) % 5 = 0 AND (cn % 4 <> 2 OR (edge_type <> 'C-U' AND coverage < 0.9 AND (cn % 8 <> 2 OR s2d_score IS NULL)))")
+    for side in ("parent", "child"):
+        c = c.join(out.select(F.col("node_id").alias(f"{side}_node_id"), F.lit(True).alias(f"{side}_gone")), f"{side}_node_id", "left")
+    c = c.withColumns({"reason": F.when(F.col("parent_gone") | F.col("child_gone"), "canonical_node_missing").otherwise(""), "pass_prefilter": F.col("coverage") >= 0.3, "s2d_available": F.col("s2d_score").isNotNull()})
+    return n.where("state = 'stable'").select("node_id", "label", "role"), c, local
+
+
+def _chosen(e):
+    a = e.where("pn % 3 <> 0 or edge_type <> 'O-C'").groupBy("child_node_id", "parent_node_id", "edge_type").agg(F.count_if("selected").alias("n"), F.min("relation_text").alias("relation_text"))
+    best = Window.partitionBy("child_node_id").orderBy(F.desc("n"), "parent_node_id", "edge_type")
+    return a.withColumn("rn", F.row_number().over(best)).where("rn = 1").withColumn("provisional", F.col("n") < 20)
+
+
+_OPEN = """k AS (SELECT ca.child_node_id AS node_id, count(*) AS candidates, count(*) FILTER (p.node_id IS NOT NULL) AS mapped, count(*) FILTER (p.node_id IS NOT NULL AND edge_type IN ('O-C', 'O-U')) AS objects,
+        count(*) FILTER (p.node_id IS NOT NULL AND edge_type IN ('O-C', 'O-U') AND s2d_score IS NOT NULL) AS measured, count(*) FILTER (p.node_id IS NOT NULL AND edge_type IN ('O-C', 'O-U') AND pass_prefilter) AS passed,
+        count(*) FILTER (p.node_id IS NOT NULL AND edge_type = 'C-U') AS carriers FROM ca LEFT JOIN el p ON p.node_id = ca.parent_node_id GROUP BY 1),
+    op AS (SELECT el.node_id, el.label, el.role, coalesce(candidates, 0) AS candidates, coalesce(mapped, 0) AS mapped, coalesce(objects, 0) AS objects, coalesce(measured, 0) AS measured, coalesce(passed, 0) AS passed, coalesce(carriers, 0) AS carriers
+        FROM el LEFT JOIN k USING (node_id) WHERE role <> 'O' AND el.node_id NOT IN (SELECT child_node_id FROM lo))"""
+
+
 @query(
     "completeness_report",
-    with_sql("edge_candidates", "nodes") + """k AS (SELECT DISTINCT child_node_id FROM edge_candidates WHERE selected AND pass_threshold),
-    c AS (SELECT (SELECT count(*) FROM nodes WHERE state <> 'rejected') > 0 AS has_nodes, (SELECT count(*) FROM edge_candidates WHERE selected) > 0 AS has_edges, (SELECT count(*) FROM edge_candidates WHERE parent_node_id = child_node_id) = 0 AS no_self_loops,
-        (SELECT count(*) FROM nodes WHERE role = 'U' AND state = 'stable' AND node_id NOT IN (SELECT child_node_id FROM k)) = 0 AS all_units_linked, (SELECT count(*) FROM edge_candidates WHERE s2d_score IS NULL AND selected) = 0 AS all_scored)
-    SELECT has_nodes AND has_edges AND no_self_loops AND all_units_linked AND all_scored AS complete, array_to_string(list_filter([CASE WHEN NOT has_nodes THEN 'no_nodes' END, CASE WHEN NOT has_edges THEN 'no_edges' END, CASE WHEN NOT no_self_loops THEN 'self_loops' END, CASE WHEN NOT all_units_linked THEN 'units_without_link' END, CASE WHEN NOT all_scored THEN 'unscored_edges' END], lambda x: x IS NOT NULL), ',') AS reasons FROM c""",
+    _RUN + ", " + _OPEN + """, q AS (SELECT count(*) AS candidates, count(*) FILTER (edge_type IN ('O-C', 'O-U') AND pass_prefilter) AS prefilter, count(*) FILTER (edge_type IN ('O-C', 'O-U') AND pass_prefilter AND s2d_available) AS available, count(*) FILTER (reason <> '') AS unresolved FROM ca),
+    h AS (SELECT child_node_id FROM ca WHERE edge_type IN ('O-C', 'O-U') AND trim(relation_text) <> '' UNION SELECT child_node_id FROM lo WHERE edge_type = 'C-U' AND carrier_object_parent_id IS NOT NULL),
+    z AS (SELECT q.*, (SELECT count(*) FROM el WHERE role <> 'O' AND node_id NOT IN (SELECT child_node_id FROM h)) AS orphans, (SELECT count(*) FROM op) AS alone,
+        (SELECT count(*) FROM lo WHERE parent_node_id NOT IN (SELECT node_id FROM el) OR child_node_id NOT IN (SELECT node_id FROM el)) AS illegal, (SELECT count(*) FROM lo WHERE trim(relation_text) = '') AS untold,
+        (SELECT count(*) FROM (SELECT child_node_id FROM lo GROUP BY 1 HAVING count(*) > 1)) AS many, (SELECT count(*) FROM lo WHERE edge_type = 'C-U' AND object_parent_id <> carrier_object_parent_id) AS crossed FROM q),
+    r AS (SELECT *, list_filter([CASE WHEN prefilter > available THEN 's2d_coverage_incomplete' END, CASE WHEN unresolved > 0 THEN 'endpoint_mapping_sparse' END, CASE WHEN orphans > 0 THEN 'graph_eligible_child_has_no_object_candidate' END,
+        CASE WHEN alone > 0 THEN 'graph_eligible_child_has_no_local_parent' END, CASE WHEN illegal > 0 THEN 'illegal_node_id' END, CASE WHEN untold > 0 THEN 'functional_predicate_missing' END, CASE WHEN many > 0 THEN 'multiple_immediate_parents' END,
+        CASE WHEN crossed > 0 THEN 'cross_object_carrier_unit_edge' END], lambda x: x IS NOT NULL) AS why FROM z)
+    SELECT candidates, prefilter, available, unresolved, orphans, alone, len(why) = 0 AND candidates > 0 AS complete, array_to_string(why, ',') AS reasons FROM r""",
 )
 def completeness_report(spark, sf_dir):
-    return M.completeness(scene(spark, sf_dir, "nodes"), scene(spark, sf_dir, "edge_candidates"))
+    """Whether a run's graph is complete, and why not."""
+    nodes, candidates, local = _run(spark, sf_dir)
+    return R.completeness(nodes, candidates, local, local)
 
 
 @query(
     "link_diagnostics",
-    with_sql("edge_candidates", "nodes") + """e AS (SELECT child_node_id, bool_or(selected AND pass_threshold) AS linked, bool_or(pass_threshold) AS passed, bool_or(s2d_score IS NOT NULL) AS scored FROM edge_candidates GROUP BY 1)
-    SELECT n.node_id, CASE WHEN n.state = 'rejected' THEN 'node_rejected' WHEN e.child_node_id IS NULL THEN 'no_candidate' WHEN NOT scored THEN 'never_scored' WHEN NOT passed THEN 'never_passed' WHEN NOT linked THEN 'never_selected' ELSE 'linked' END AS reason FROM nodes n LEFT JOIN e ON e.child_node_id = n.node_id WHERE n.role <> 'O'""",
+    _RUN + ", " + _OPEN + """ SELECT node_id, label, role, CASE WHEN candidates = 0 THEN 'no_parent_candidate' WHEN mapped = 0 THEN 'parent_unmapped_or_ineligible' WHEN carriers > 0 THEN 'carrier_candidate_rejected_by_local_evidence_or_conflict'
+        WHEN objects > 0 AND measured = 0 AND passed > 0 THEN 'object_s2d_unavailable_after_prefilter' WHEN objects > 0 AND measured = 0 THEN 'object_candidate_not_instance_validated' ELSE 'parent_resolution_unavailable' END AS reason,
+        node_id NOT IN (SELECT parent_node_id FROM lo UNION SELECT child_node_id FROM lo) AS isolated, candidates, mapped, measured, carriers FROM op""",
 )
 def link_diagnostics(spark, sf_dir):
-    return M.diagnostics(scene(spark, sf_dir, "nodes"), scene(spark, sf_dir, "edge_candidates"))
+    """Eligible carriers and units without a parent, and the first reason for it."""
+    nodes, candidates, local = _run(spark, sf_dir)
+    return R.unlinked(nodes, candidates, local, local)
+
+
+_NODE_OF = "role || lpad(((frame_idx * 8 + det_id) % 2500 + 1)::VARCHAR, 9, '0')"
+
+
+@query(
+    "unresolved_endpoints",
+    with_sql("relations_2d", "nodes") + f"""a AS (SELECT frame_idx, det_id, {_NODE_OF} AS node_id, (frame_idx * 8 + det_id) % 2500 + 1 AS k, role FROM detections WHERE frame_idx % 11 <> 0 AND (frame_idx * 3 + det_id) % 5 <> 0),
+    m AS (SELECT frame_idx, det_id, CASE WHEN n.node_id IS NULL THEN a.node_id ELSE a.role || lpad((k - k % 5)::VARCHAR, 9, '0') END AS node_id FROM a LEFT JOIN nodes n ON n.node_id = a.node_id),
+    fr AS (SELECT DISTINCT frame_idx FROM detections WHERE frame_idx % 11 <> 0),
+    j AS (SELECT r.frame_idx, r.edge_type, r.parent_det_id, r.child_det_id, p.node_id AS pn, c.node_id AS cn, x.node_id AS px, y.node_id AS cx, fr.frame_idx AS seen FROM relations_2d r LEFT JOIN fr USING (frame_idx)
+        LEFT JOIN m p ON p.frame_idx = r.frame_idx AND p.det_id = r.parent_det_id LEFT JOIN m c ON c.frame_idx = r.frame_idx AND c.det_id = r.child_det_id LEFT JOIN nodes x ON x.node_id = p.node_id LEFT JOIN nodes y ON y.node_id = c.node_id),
+    w AS (SELECT *, CASE WHEN seen IS NULL THEN 'association_frame_missing' WHEN pn IS NULL AND cn IS NULL THEN 'both_detection_endpoints_unmapped' WHEN pn IS NULL THEN 'parent_detection_endpoint_unmapped'
+        WHEN cn IS NULL THEN 'child_detection_endpoint_unmapped' WHEN px IS NULL OR cx IS NULL THEN 'canonical_node_missing' ELSE '' END AS reason FROM j)
+    SELECT frame_idx, edge_type, parent_det_id, child_det_id, reason FROM w WHERE reason <> ''""",
+)
+def unresolved_endpoints(spark, sf_dir):
+    """Candidates whose detections lead to no node after tracks were merged, and the first reason for it."""
+    k = (F.col("frame_idx") * 8 + F.col("det_id")) % 2500 + 1
+    d = scene(spark, sf_dir, "detections").where("frame_idx % 11 <> 0").select("frame_idx", "det_id", F.concat("role", F.lpad(k.cast("string"), 9, "0")).alias("node_id"))
+    kept = F.when((F.col("frame_idx") * 3 + F.col("det_id")) % 5 != 0, F.col("det_id"))
+    n = scene(spark, sf_dir, "nodes")
+    steps = n.where("n % 5 <> 0").select(F.col("node_id").alias("source"), F.concat("role", F.lpad((F.col("n") - 1).cast("string"), 9, "0")).alias("target"))
+    out = R.endpoints(
+        scene(spark, sf_dir, "relations_2d").withColumnRenamed("frame_idx", "frame_key").select("frame_key", "edge_type", "parent_det_id", "child_det_id"),
+        d.select(F.col("frame_idx").alias("frame_key"), kept.alias("det_id"), "node_id"),
+        X.canonical(steps),
+        n.select("node_id", "state"),
+    )
+    return out.where("reason <> ''").select(F.col("frame_key").alias("frame_idx"), "edge_type", "parent_det_id", "child_det_id", "reason")
 
 
 @query("completed_objects")
 def completed_objects(spark, sf_dir):
-    """Carriers of one label joined into objects where their links allow it, in the order of priority."""
+    """Objects of deferred labels, made of stable carriers that share owner hints, overlap, lie near and in one plane."""
     b = scene(spark, sf_dir, "boxes3d").where("role = 'C' and state = 'stable'")
-    return M.completed(b, ["scene", "label"], gap=0.6)
+    normal = F.array(F.cos(F.col("n") * 0.05), F.sin(F.col("n") * 0.05), F.lit(0.0))
+    nodes = b.select("node_id", normal.alias("normal"), *[F.col(f"b{c}").alias(c) for c in M.BOX])
+    deferred = spark.createDataFrame([("kitchen cabinet",), ("wooden desk",)], "label string")
+    owned = C.owned_by(b.select("scene", "node_id", "label"), scene(spark, sf_dir, "atlas"), deferred)
+    node = F.concat(F.lit("C"), F.lpad((F.floor(F.col("frame_idx") / 3) * 3 + F.col("det_id") + 1).cast("long").cast("string"), 9, "0"))
+    d = scene(spark, sf_dir, "detections").where("role = 'C'").withColumn("node_id", node)
+    seen = d.groupBy("frame_idx", "node_id").agg(F.min(F.struct("det_id", "x1", "y1", "x2", "y2")).alias("m")).select("frame_idx", "node_id", "m.*")
+    r = scene(spark, sf_dir, "relations_2d").where("edge_type = 'O-C' and contain > 0.1").select("frame_idx", F.col("child_det_id").alias("det_id"), F.col("parent_label").alias("label"), "parent_det_id")
+    hints = C.hinted(owned, d.select("frame_idx", "det_id", "node_id").join(r, ["frame_idx", "det_id"]).drop("det_id"))
+    links = C.membership_links(hints, seen.drop("det_id"), nodes, gap=0.6, dot=0.9)
+    return C.completed(hints, links, nodes, scene(spark, sf_dir, "nodes").select("scene", "node_id"))
 
 
 @query("owner_distance", with_sql("boxes3d") + "z AS (SELECT 1) SELECT a.role, count(*) AS n, round(min(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS least, round(median(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS middle, round(max(sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2))), 6) AS most FROM boxes3d a JOIN boxes3d b ON a.n = b.n AND b.role = 'O' AND a.role <> 'O' GROUP BY a.role")
@@ -316,10 +414,6 @@ def owner_distance(spark, sf_dir):
     return d.groupBy("role").agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("least"), F.round(F.median("d"), 6).alias("middle"), F.round(F.max("d"), 6).alias("most"))
 
 
-_CHOSEN = """a AS (SELECT child_node_id, parent_node_id, edge_type, count(*) FILTER (selected) AS n, min(relation_text) AS relation_text FROM edge_candidates WHERE pn % 3 <> 0 OR edge_type <> 'O-C' GROUP BY ALL),
-    f AS (SELECT edge_type, parent_node_id, child_node_id, relation_text, n < 20 AS provisional FROM a QUALIFY row_number() OVER (PARTITION BY child_node_id ORDER BY n DESC, parent_node_id, edge_type) = 1)"""
-
-
 @query(
     "final_hierarchy",
     with_sql("edge_candidates") + _CHOSEN + """, o AS (SELECT child_node_id AS c, parent_node_id AS owner, provisional AS unsure FROM f WHERE edge_type = 'O-C')
@@ -327,7 +421,4 @@ _CHOSEN = """a AS (SELECT child_node_id, parent_node_id, edge_type, count(*) FIL
 )
 def final_hierarchy(spark, sf_dir):
     """The chosen parent of each child as the final graph's edge."""
-    e = scene(spark, sf_dir, "edge_candidates").where("pn % 3 <> 0 or edge_type <> 'O-C'")
-    a = e.groupBy("child_node_id", "parent_node_id", "edge_type").agg(F.count_if("selected").alias("n"), F.min("relation_text").alias("relation_text"))
-    best = Window.partitionBy("child_node_id").orderBy(F.desc("n"), "parent_node_id", "edge_type")
-    return M.final_hierarchy(a.withColumn("rn", F.row_number().over(best)).where("rn = 1").withColumn("provisional", F.col("n") < 20))
+    return M.final_hierarchy(_chosen(scene(spark, sf_dir, "edge_candidates")))

@@ -398,18 +398,6 @@ def test_main_parts_are_those_of_the_grid(spark):
     assert got == want
 
 
-def test_completed_objects_follow_the_nearest_links(spark):
-    """Links in the order of their gap join two sets only while their common box stays small; scenes and labels apart."""
-    box = lambda scene, label, n, x: (scene, label, n, x, 0.0, 0.0, x + 1.0, 1.0, 1.0)
-    rows = [box(0, "door", "a", 0.0), box(0, "door", "b", 1.0), box(0, "door", "c", 2.24), box(0, "door", "d", 9.0), box(1, "door", "e", 0.0), box(0, "drawer", "f", 0.0)]
-    b = spark.createDataFrame(rows, "scene long, label string, node_id string, bx1 double, by1 double, bz1 double, bx2 double, by2 double, bz2 double")
-    got = {r["node_id"]: r["object"] for r in M.completed(b, ["scene", "label"], gap=0.25).collect()}
-    assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f"}
-    # the box of a and b is sqrt(6) across, 1.414 times that of a; with c it is 1.443 times that of a and b
-    got = {r["node_id"]: r["object"] for r in M.completed(b, ["scene", "label"], gap=0.25, growth=1.42).collect()}
-    assert got == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "e", "f": "f"}
-
-
 def _density_clusters(xyz, eps, least):
     """Brute force: core points within eps of each other are one cluster; others join their first core neighbour's."""
     near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= eps * eps
