@@ -63,7 +63,7 @@ STATE = frozenset("with without has have no is".split())
 
 
 class Element:
-    __slots__ = ("tag", "parent", "hidden", "good", "cost", "holds", "article", "link", "section", "sure", "word", "group")
+    __slots__ = ("tag", "parent", "hidden", "good", "cost", "holds", "article", "link", "foreign", "section", "sure", "word", "group")
 
     def __init__(self, tag: str, raw: str, parent: Element | None):
         self.tag, self.parent = tag, parent
@@ -85,6 +85,7 @@ class Element:
                     self.hidden = True
         self.article = (parent is not None and parent.article) or tag in ("article", "main")
         self.link = (parent is not None and parent.link) or tag == "a"
+        self.foreign = (parent is not None and parent.foreign) or tag in FOREIGN
         self.holds = False
         self.good = bool(words & GOOD_WORDS)
         self.cost = 0.0 if self.good or tag in ("html", "body") else WORD if words & BAD_WORDS else LOOSE if words & LOOSE_WORDS else 0.0
@@ -113,6 +114,9 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
     out: list[tuple[str, Element, float]] = []
     stack = [Element("html", "", None)]
     made = stack[:]
+    # where each tag is open, and for each open element the topmost one at or below it that bounds a search, of both kinds
+    open_at: dict[str, list[int]] = {"html": [0]}
+    bounds: list[tuple[int, int]] = [(0, 0)]
     text: list[str] = []
     linked = total = 0
 
@@ -138,6 +142,14 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
             linked += size
         text.append(part)
 
+    def drop(to: int) -> None:
+        for e in reversed(stack[to:]):
+            open_at[e.tag].pop()
+        del stack[to:], bounds[to:]
+
+    def last(tags: tuple[str, ...]) -> int:
+        return max((places[-1] for t in tags if (places := open_at.get(t))), default=0)
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -159,22 +171,16 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
         if tag in BLOCK:
             flush()
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in SCOPE:
-                    break
+            i = last((tag,))
+            if i and (tag in SCOPE or i > bounds[-1][0]):
+                drop(i)
             continue
         if tag in CLOSES_P or tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
             same = ("p",) if tag in CLOSES_P else ("td", "th") if tag in ("td", "th") else ("dd", "dt") if tag in ("dd", "dt") else (tag,)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in same:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE or stack[i].tag in ("ul", "ol", "dl"):
-                    break
-        if raw and raw.rstrip().endswith("/") and (tag in FOREIGN or any(e.tag in FOREIGN for e in stack)):
+            i = last(same)
+            if i and i >= bounds[-1][1]:
+                drop(i)
+        if raw and raw.rstrip().endswith("/") and (tag in FOREIGN or stack[-1].foreign):
             continue
         if tag in APART and ((e := NEXT[tag].search(page, at)) is None or not e[1]):
             continue
@@ -186,6 +192,10 @@ def blocks(page: str) -> list[tuple[str, Element, float]]:
         if tag not in VOID:
             stack.append(Element(tag, raw, stack[-1]))
             made.append(stack[-1])
+            i = len(stack) - 1
+            open_at.setdefault(tag, []).append(i)
+            scope = i if tag in SCOPE else bounds[-1][0]
+            bounds.append((scope, i if tag in SCOPE or tag in ("ul", "ol", "dl") else bounds[-1][1]))
     flush()
     for e in made:
         e.settle()
@@ -199,7 +209,7 @@ def leaning(text: str, element: Element, links: float) -> float:
     score += 0.5 if text[-1] in ".!?…\"”»" else -0.25
     score -= 3.0 * links * (links > 0.5)
     if element.tag == "p":
-        score += 0.5
+        score += 1.0
     elif element.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "td"):
         score += 0.75
     elif element.tag == "li":
@@ -268,12 +278,18 @@ def graph(found: list[tuple[str, Element, float]]) -> tuple[list[float], list[tu
     at: dict[int, int] = {}
 
     def node(e: Element) -> int:
-        if (i := at.get(id(e))) is None:
-            i = at[id(e)] = len(capacity)
+        new: list[Element] = []
+        while id(e) not in at:
+            at[id(e)] = len(capacity)
             capacity.append(e.sure)
+            new.append(e)
+            if e.sure or e.parent is None:
+                break
+            e = e.parent.group
+        for e in new:
             if not e.sure and e.parent is not None:
-                edges.append((i, node(e.parent.group), UP))
-        return i
+                edges.append((at[id(e)], at[id(e.parent.group)], UP))
+        return at[id(new[0])] if new else at[id(e)]
 
     for i, (_, e, _) in enumerate(found):
         if i:

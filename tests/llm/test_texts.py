@@ -7,6 +7,7 @@ import io
 import random
 import re
 import struct
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -441,6 +442,22 @@ def test_every_prefix_count_is_exact(library, spark):
 # ---- HTML
 
 
+def test_tokens_of_all_letters(library):
+    """Each code point that some library takes for a letter or number, and a share of the others, in words and alone."""
+    import unicodedata
+
+    import regex
+
+    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    unsure = {c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"}
+    texts = [f"a{c}1 {c}{c}x" for c in [*sorted(unsure), *every[::53]]]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    got = T.counts(pa.array(texts), queries.tokenizer_path())[1].tolist()
+    assert got == want and len(unsure) > 1000
+    one = "x".join(sorted(unsure)[:500])
+    assert len(T.Prefixes(T.counter(queries.tokenizer_path()), one).ends) == len(library.encode(one, add_special_tokens=False).ids)
+
+
 def test_html_parts():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
     <header><h1>Site</h1></header><nav><ul><li><a href=x>Home</a></ul></nav><div class="cookie-notice">We use cookies &amp; more.</div>
@@ -510,6 +527,23 @@ def test_html_cut_decides(sf_dir):
     assert changed > 0.05 * blocks
 
 
+def test_html_short_paragraphs_without_telling_tags():
+    prose = "Prose that runs on for long enough to be read as the body of a page. " * 4
+    assert H.main_text("<div><p>Short one.</p><p>Short two.</p><p>Short three.</p></div>") == "Short one. Short two. Short three."
+    assert H.main_text(f'<div class="legal"><h1>Court ruling</h1><p>{prose}</p></div>') == f"Court ruling {prose.strip()}"
+    assert H.main_text("<p>Four words are here.</p>" * 500).count("Four") == 500
+    assert H.main_text('<div class="cookies"><p>We use cookies.</p></div>') == ""
+
+
+def test_html_deep_pages_take_time_in_proportion():
+    deep = 100_000
+    text = "Some text that is long enough to count as prose here."
+    assert H.main_text("<div>" * 997 + text) == text and H.main_text("<div>" * deep + text + "</div>" * deep) == text
+    for page in ("<div>" * deep, "<b>" * deep + "</i>" * deep, "<i><div>" + "<b>" * deep + "</i>" * deep, "<ul><li>" * deep, "<div><p>a b c.</p>" * 30_000, "<article>" * 20_000 + "x", "<svg>" * deep + "<a/>" * deep):
+        began = time.perf_counter()
+        assert isinstance(H.main_text(page), str) and time.perf_counter() - began < 30
+
+
 def test_html_edge_cases(spark):
     for page in (None, "", "   ", "<", "<p", "plain", "<!-- never closed", "<script>never closed", "<a href='never closed>x", "</p></div>", "<div " * 2000, "a<b>c" * 5000, "<p>" * 3000):
         assert isinstance(H.main_text(page), str)
