@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -34,7 +35,13 @@ from sceneloom import ship
 from .common import slices, text_bytes, tokens
 
 SPACE = r"\t-\r \x85\xa0  -     　"
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+
+
+def pieces(letter: str, number: str, other: str) -> regex.Pattern:
+    return regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+", regex.V1)
+
+
+PIECE = pieces(r"\p{L}", r"\p{N}", rf"[^{SPACE}\p{{L}}\p{{N}}]")
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 KEPT_PIECES, KEPT_UNITS = 1 << 18, 1 << 20
 
@@ -46,8 +53,32 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def unassigned(text: str) -> bool:
+    """Whether a text has code points that Python's tables do not know: only there do two libraries' letters differ."""
+    return not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text))
+
+
+def by_library(path: str) -> regex.Pattern:
+    """The pattern of pieces with the letters and numbers of the vocabulary's library, which is asked about each code point
+    that is a letter or number here and unknown to Python."""
+    from tokenizers import Tokenizer
+
+    cut = Tokenizer.from_file(path).pre_tokenizer
+    known = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
+    asked = [c for c in regex.findall(r"[\p{L}\p{N}]", known) if unicodedata.category(c) == "Cn"]
+    alone = set(range(len(asked)))
+    for before in "a1":  # a letter stands in one piece with a letter, a number with a number
+        begins = {at for _, (at, _) in cut.pre_tokenize_str("".join(f"\n{before}{c}" for c in asked))}
+        alone &= {i for i in alone if 3 * i + 2 in begins}
+    if not alone:
+        return PIECE
+    out = "".join(f"\\U{ord(asked[i]):08x}" for i in sorted(alone))
+    return pieces(rf"[\p{{L}}--[{out}]]", rf"[\p{{N}}--[{out}]]", rf"[[^{SPACE}\p{{L}}\p{{N}}]||[{out}]]")
+
+
 class PrefixCounter:
     def __init__(self, path: str):
+        self.path, self.exact = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
@@ -83,6 +114,14 @@ class PrefixCounter:
         self.pieces: dict[str, int] = {}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def cut(self, text: str) -> list[str]:
+        """A text's pieces, as the library's pre-tokenizer gives them."""
+        if not unassigned(text):
+            return PIECE.findall(text)
+        if self.exact is None:
+            self.exact = by_library(self.path)
+        return self.exact.findall(text)
+
     def merged(self, word: bytes) -> list[int]:
         """BPE as defined: the pair of least rank first, the leftmost of equals. For short strings."""
         ids = [self.ids[word[i : i + 1]] for i in range(len(word))]
@@ -176,7 +215,7 @@ class PrefixCounter:
             if part in self.special:
                 total += 1
                 continue
-            for piece in PIECE.findall(part):
+            for piece in self.cut(part):
                 n = pieces.get(piece)
                 if n is None:
                     if len(pieces) >= KEPT_PIECES:
@@ -201,7 +240,7 @@ class Prefixes:
                 at += len(part.encode())
                 self.ends.append(at)
                 continue
-            for piece in PIECE.findall(part):
+            for piece in counter.cut(part):
                 raw = piece.encode()
                 self.ends += [at + e for e in counter.ends(raw)]
                 at += len(raw)
