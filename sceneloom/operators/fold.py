@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import vectors as V
+from .fixpoint import saved
 
 NULL_PARENT = "__no_parent__"
 
@@ -35,45 +36,70 @@ def weighted_direction(steps: Column, value: str, weight: str) -> Column:
     return F.aggregate(F.slice(steps, 2, F.greatest(F.size(steps), F.lit(1))), first, lambda a, s: V.unit(F.zip_with(a, s[value], lambda x, y: x + s[weight] * y)))
 
 
-def posteriors(evidence: DataFrame, entropy: float = 0.1, temporal: float = 0.05) -> DataFrame:
-    """child_node_id, frame_idx, parents, odds, p: for each frame with any object evidence, from a child's first on, the
-    posterior of its parents so far and of no parent.
+def calendar(frames: DataFrame, rows: int = 500_000) -> DataFrame:
+    """frame_idx and ``t``: its number from 1 on. Frames are sorted by ranges; a range goes on from the counts before it."""
+    own = saved(frames.select("frame_idx").distinct())
+    parts = max(int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() // rows)
+    own = saved(own.repartitionByRange(parts, "frame_idx").withColumn("_part", F.spark_partition_id()))
+    n = own.groupBy("_part").agg(F.count("*").alias("n"))  # a row a range
+    before = n.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    t = F.row_number().over(Window.partitionBy("_part").orderBy("frame_idx")) + F.col("_before")
+    return saved(own.join(before, "_part").select("frame_idx", t.cast("long").alias("t")))
+
+
+def segments(evidence: DataFrame, frames: DataFrame, entropy: float = 0.1, temporal: float = 0.05) -> DataFrame:
+    """child_node_id, since, until, parents, odds, p: the posterior of a child's parents so far and of no parent, for runs of
+    frames (numbers of ``calendar``) in which it is the same, from the child's first evidence to the last frame.
 
     evidence: frame_idx, child_node_id, parent_node_id, s2d_score (null: unscored, counts as a frame only). Every frame
-    optimizes every known child again, so a child's steps are all frames after its first, with increments where it has any.
-    Increments are summed in Spark; a child's frames, in order, are one group.
+    optimizes every known child again; frames without evidence of a child apply one fixed map, which draws nearer to its
+    fixed point by a factor of temporal / (entropy + temporal), so that a run of them costs a few dozen steps at most,
+    however long it is. Increments are summed in Spark; a child's frames with evidence are one group.
     """
-    frames = evidence.select("frame_idx").distinct()
     adds = evidence.where("s2d_score is not null").groupBy("child_node_id", "frame_idx", "parent_node_id").agg(F.sum(S.logit(F.col("s2d_score"))).alias("gain"))
-    start = adds.groupBy("child_node_id").agg(F.min("frame_idx").alias("since"))
-    calendar = start.join(frames, F.col("frame_idx") >= F.col("since")).drop("since")
-    steps = calendar.join(adds, ["child_node_id", "frame_idx"], "left")
+    end = frames.agg(F.max("t")).first()[0] or 0
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*g["parent_node_id"].dropna(), NULL_PARENT})
         at = {k: i for i, k in enumerate(names)}
         odds, p = np.zeros(len(names)), np.full(len(names), np.nan)
         seen = np.array([k == NULL_PARENT for k in names])
-        order = np.argsort(g["frame_idx"].to_numpy(), kind="stable")
-        frame, gain = g["frame_idx"].to_numpy()[order], g["gain"].to_numpy(float)[order]
-        parent = [at.get(k, -1) for k in g["parent_node_id"].to_numpy()[order]]
-        rows, i = [], 0
-        while i < len(frame):
-            now = frame[i]
-            while i < len(frame) and frame[i] == now:
-                if parent[i] >= 0:
-                    odds[parent[i]] += gain[i]
-                    seen[parent[i]] = True
-                i += 1
-            before = np.where(np.isnan(p), 1.0 / seen.sum(), p)[seen]
-            before = before / max(before.sum(), 1e-12)
-            logit = (odds[seen] + temporal * np.log(np.maximum(before, 1e-9))) / (entropy + temporal)
-            e = np.exp(logit - logit.max())
-            p[seen] = e / e.sum()
-            rows.append((g["child_node_id"].iloc[0], now, [k for k, s in zip(names, seen, strict=True) if s], odds[seen].tolist(), p[seen].tolist()))
-        return pd.DataFrame(rows, columns=["child_node_id", "frame_idx", "parents", "odds", "p"])
-
-    return steps.groupBy("child_node_id").applyInPandas(fold, "child_node_id string, frame_idx long, parents array<string>, odds array<double>, p array<double>")
+        g = g.sort_values("t", kind="stable")
+        times, starts = np.unique(g["t"].to_numpy(), return_index=True)
+        gain, parent = g["gain"].to_numpy(float), np.array([at.get(k, -1) for k in g["parent_node_id"]])
+        rows = []
+        for k, (t, a) in enumerate(zip(times, starts)):
+            z, until = (starts[k + 1], int(times[k + 1]) - 1) if k + 1 < len(times) else (len(g), end)
+            there = parent[a:z] >= 0
+            np.add.at(odds, parent[a:z][there], gain[a:z][there])
+            seen[parent[a:z][there]] = True
+            own, now = [n for n, s in zip(names, seen) if s], int(t)
+            while now <= until:
+                before = np.where(np.isnan(p), 1.0 / seen.sum(), p)[seen]
+                before = before / max(before.sum(), 1e-12)
+                logit = (odds[seen] + temporal * np.log(np.maximum(before, 1e-9))) / (entropy + temporal)
+                e = np.exp(logit - logit.max())
+                p[seen] = e / e.sum()
+                still = now > t and np.abs(p[seen] - before).max() < 1e-13
+                last = until if still else now
+                rows.append((g["child_node_id"].iloc[0], now, last, own, odds[seen].tolist(), p[seen].tolist()))
+                now = last + 1
+        return pd.DataFrame(rows, columns=["child_node_id", "since", "until", "parents", "odds", "p"])
+
+    numbered = adds.join(frames, "frame_idx").select("child_node_id", "t", "parent_node_id", "gain")
+    return numbered.groupBy("child_node_id").applyInPandas(fold, "child_node_id string, since long, until long, parents array<string>, odds array<double>, p array<double>")
+
+
+def each_frame(runs: DataFrame, frames: DataFrame) -> DataFrame:
+    """child_node_id, frame_idx, parents, odds, p: a row for each frame of each run."""
+    every = runs.withColumn("t", F.explode(F.sequence("since", "until"))).drop("since", "until")
+    return every.join(frames, "t").drop("t")
+
+
+def posteriors(evidence: DataFrame, entropy: float = 0.1, temporal: float = 0.05) -> DataFrame:
+    """child_node_id, frame_idx, parents, odds, p: the posterior after each frame, from a child's first evidence on."""
+    frames = calendar(evidence)
+    return each_frame(segments(evidence, frames, entropy, temporal), frames)
 
 
 def switches(post: DataFrame) -> DataFrame:
@@ -86,9 +112,9 @@ def switches(post: DataFrame) -> DataFrame:
     return top.withColumn("switched", F.coalesce(before != F.col("top"), F.lit(False))).drop("plain")
 
 
-def decisions(post: DataFrame, margin: float = 0.05) -> DataFrame:
-    """The best real parent of each child after the last frame, and whether it is confirmed or provisional."""
-    last = post.groupBy("child_node_id").agg(F.max_by(F.struct("parents", "odds", "p"), "frame_idx").alias("s")).select("child_node_id", "s.*")
+def decisions(runs: DataFrame, margin: float = 0.05) -> DataFrame:
+    """The best real parent of each child after the last frame, and whether it is confirmed or provisional. runs: ``segments``."""
+    last = runs.groupBy("child_node_id").agg(F.max_by(F.struct("parents", "odds", "p"), "until").alias("s")).select("child_node_id", "s.*")
     flat = last.select("child_node_id", F.explode(F.arrays_zip("parents", "odds", "p")).alias("x")).select("child_node_id", F.col("x.parents").alias("parent"), F.col("x.odds").alias("odds"), F.col("x.p").alias("p"))
     none = flat.where(F.col("parent") == NULL_PARENT).select("child_node_id", F.col("p").alias("none"))
     from .windows import top_with_margin

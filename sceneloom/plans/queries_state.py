@@ -84,7 +84,7 @@ def posterior_fold(spark, sf_dir):
 )
 def parent_decision(spark, sf_dir):
     e = scene(spark, sf_dir, "edge_candidates").where("edge_type in ('O-C', 'O-U')").select("frame_idx", "child_node_id", "parent_node_id", "s2d_score")
-    return T.decisions(T.posteriors(e))
+    return T.decisions(T.segments(e, T.calendar(e)))
 
 
 @query(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import permutations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -519,3 +521,29 @@ def test_first_of_equal_ones(k):
     for i, row in enumerate(s):
         want[i, sorted(range(40), key=lambda j: (-row[j], j))[:k]] = True
     assert (E.first_of(s, k) == want).all()
+
+
+def test_sparse_fold_is_the_fold_of_every_frame(spark):
+    """Long runs of frames without a child's evidence: as by going through each frame, with far fewer runs than frames."""
+    rng = random.Random(5)
+    rows = [(f, "other", "P", 0.5) for f in range(400)] + [(f, c, rng.choice(["A", "B", "C"]), rng.uniform(0.02, 0.98)) for c in ("x", "y") for f in rng.sample(range(400), 5)] + [(7, "z", "A", None)]
+    df = spark.createDataFrame(rows, "frame_idx long, child_node_id string, parent_node_id string, s2d_score double").repartition(3)
+    want = {}
+    for c in ("x", "y", "other"):
+        odds, p = {T.NULL_PARENT: 0.0}, {}
+        for f in range(400):
+            for _, _, parent, s in (r for r in rows if r[0] == f and r[1] == c):
+                odds[parent] = odds.get(parent, 0.0) + np.log(s / (1 - s))
+            if len(odds) == 1:
+                continue
+            before = {k: p.get(k, 1.0 / len(odds)) for k in odds}
+            total = sum(before.values())
+            e = {k: np.exp((odds[k] + 0.05 * np.log(max(before[k] / total, 1e-9))) / 0.15) for k in odds}
+            p = {k: v / sum(e.values()) for k, v in e.items()}
+            want[c, f] = p
+    got = {(r["child_node_id"], r["frame_idx"]): dict(zip(r["parents"], r["p"])) for r in T.posteriors(df).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k][n] - v) < 1e-9 for k, w in want.items() for n, v in w.items())
+    runs = T.segments(df, T.calendar(df))
+    assert runs.where("child_node_id <> 'other'").count() < 0.6 * sum(c != "other" for c, _ in want)
+    assert [tuple(r) for r in T.calendar(df).orderBy("t").collect()] == [(f, f + 1) for f in range(400)]
