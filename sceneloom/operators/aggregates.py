@@ -114,6 +114,29 @@ def lowest_role(labels: DataFrame) -> DataFrame:
     return labels.groupBy("label").agg(F.min(F.struct(rank.alias("r"), "role"))["role"].alias("role"), F.count_distinct("role").alias("roles"))
 
 
+#: Fixed value: the relation that says the least; any other takes its place.
+PLAIN_RELATION = "part of"
+
+
+def preferred(text: Column, *order: Column) -> Column:
+    """Of a group's relation texts the one that says most: any before none, another before ``part of``, the longer, and of
+    equals the first by ``order`` (numbers)."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    return F.max_by(t, F.struct((t != "").alias("some"), (t != PLAIN_RELATION).alias("own"), F.length(t).alias("size"), *[(-o).alias(f"o{i}") for i, o in enumerate(order)]))
+
+
+def merged_priors(nested: DataFrame, order: str) -> DataFrame:
+    """object, carrier, unit, oc_relation, cu_relation: nested lists of many entries as one list, each name once.
+
+    nested: order (a number), object, carriers (carrier, oc_relation, units (unit, cu_relation)). A carrier's relation is
+    chosen over all its entries, a unit's over those of the carrier; empty names are left out."""
+    of = nested.select(F.col(order).alias("_order"), "object", F.posexplode("carriers").alias("_at", "_c")).select("_order", "_at", "object", F.col("_c.carrier").alias("carrier"), F.col("_c.oc_relation").alias("_oc"), F.col("_c.units").alias("_units")).where("trim(object) <> '' and trim(carrier) <> ''")
+    carriers = of.groupBy("object", "carrier").agg(preferred(F.col("_oc"), F.col("_order"), F.col("_at")).alias("oc_relation"))
+    units = of.select("_order", "_at", "object", "carrier", F.posexplode("_units").alias("_n", "_u")).where("trim(_u.unit) <> ''")
+    units = units.groupBy("object", "carrier", F.col("_u.unit").alias("unit")).agg(preferred(F.col("_u.cu_relation"), F.col("_order"), F.col("_at"), F.col("_n")).alias("cu_relation"))
+    return units.join(carriers, ["object", "carrier"]).select("object", "carrier", "unit", "oc_relation", "cu_relation")
+
+
 def recall(hits: DataFrame, truth: DataFrame, by: list[str]) -> DataFrame:
     """Matched, truth and recall by group and, where ``by`` is null, over all."""
     t = truth.groupBy(*by).agg(F.count("*").alias("truth"))

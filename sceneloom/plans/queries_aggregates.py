@@ -150,20 +150,35 @@ def scene_diagonal(spark, sf_dir):
     return d(scene(spark, sf_dir, "nodes")).select(F.round("diagonal", 6).alias("diagonal"))
 
 
-@query("role_minimum", with_sql("atlas") + "l AS (SELECT parent_label AS label, split_part(edge_type, '-', 1) AS role FROM atlas UNION ALL SELECT child_label, split_part(edge_type, '-', 2) FROM atlas) SELECT label, CASE min(CASE role WHEN 'U' THEN 0 WHEN 'C' THEN 1 ELSE 2 END) WHEN 0 THEN 'U' WHEN 1 THEN 'C' ELSE 'O' END AS role, count(DISTINCT role) AS roles FROM l GROUP BY label")
+@query("role_minimum", "WITH l AS (SELECT p_name AS label, CASE p_size % 7 WHEN 0 THEN 'U' WHEN 1 THEN 'C' ELSE 'O' END AS role FROM part) SELECT label, CASE min(CASE role WHEN 'U' THEN 0 WHEN 'C' THEN 1 ELSE 2 END) WHEN 0 THEN 'U' WHEN 1 THEN 'C' ELSE 'O' END AS role, count(DISTINCT role) AS roles FROM l GROUP BY label")
 def role_minimum(spark, sf_dir):
-    a = scene(spark, sf_dir, "atlas")
-    return A.lowest_role(a.select(F.col("parent_label").alias("label"), F.substring_index("edge_type", "-", 1).alias("role")).union(a.select("child_label", F.substring_index("edge_type", "-", -1))))
+    """The lowest role that each name is used in, over all parts."""
+    p = scene(spark, sf_dir, "part")
+    return A.lowest_role(p.select(F.col("p_name").alias("label"), F.when(F.col("p_size") % 7 == 0, "U").when(F.col("p_size") % 7 == 1, "C").otherwise("O").alias("role")))
+
+
+_TOLD = "CASE ({0}) % 5 WHEN 0 THEN 'part of' WHEN 1 THEN '' WHEN 2 THEN ' pull ' WHEN 3 THEN 'open' ELSE 'pull the handle' END"
 
 
-@query("nested_prior_flatten", with_sql("atlas") + "z AS (SELECT 1) SELECT object_context AS object, parent_label AS carrier, child_label AS unit, min(relation_text) AS relation_text FROM atlas WHERE edge_type = 'C-U' GROUP BY ALL")
+@query(
+    "nested_prior_flatten",
+    with_sql("relations_2d") + f"""e AS (SELECT o.frame_idx, o.parent_label AS object, o.child_label AS carrier, o.parent_det_id AS p, o.child_det_id AS c, u.child_det_id AS n, u.child_label AS unit,
+        trim({_TOLD.format('o.frame_idx + o.child_det_id')}) AS oc, trim({_TOLD.format('o.frame_idx * 3 + u.child_det_id')}) AS cu
+        FROM relations_2d o JOIN relations_2d u ON u.frame_idx = o.frame_idx AND o.edge_type = 'O-C' AND u.edge_type = 'C-U' AND u.parent_det_id = o.child_det_id WHERE o.contain > 0 AND u.contain > 0),
+    a AS (SELECT object, carrier, first(oc ORDER BY oc <> '' DESC, oc <> 'part of' DESC, length(oc) DESC, frame_idx, p, c) AS oc_relation FROM e GROUP BY ALL),
+    b AS (SELECT object, carrier, unit, first(cu ORDER BY cu <> '' DESC, cu <> 'part of' DESC, length(cu) DESC, frame_idx, p, c, n) AS cu_relation FROM e GROUP BY ALL)
+    SELECT object, carrier, unit, oc_relation, cu_relation FROM b JOIN a USING (object, carrier)""",
+)
 def nested_prior_flatten(spark, sf_dir):
-    """Priors nested as object -> carriers -> units, merged, and flattened again."""
-    a = scene(spark, sf_dir, "atlas").where("edge_type = 'C-U'")
-    carriers = a.groupBy("object_context", "parent_label").agg(F.collect_list(F.struct(F.col("child_label").alias("unit"), F.col("relation_text").alias("relation_text"))).alias("units"))
-    nested = carriers.groupBy("object_context").agg(F.collect_list(F.struct(F.col("parent_label").alias("carrier"), "units")).alias("carriers"))
-    flat = nested.select(F.col("object_context").alias("object"), F.inline("carriers")).select("object", "carrier", F.inline("units"))
-    return flat.groupBy("object", "carrier", "unit").agg(F.min("relation_text").alias("relation_text"))
+    """What frames say of objects, nested as object -> carriers -> units, merged by what says most, and flattened."""
+    r = scene(spark, sf_dir, "relations_2d").where("contain > 0").select("frame_idx", "edge_type", "parent_det_id", "child_det_id", "parent_label", "child_label")
+    told = lambda n: F.element_at(F.array(*map(F.lit, ("part of", "", " pull ", "open", "pull the handle"))), (n % 5 + 1).cast("int"))
+    u = r.where("edge_type = 'C-U'").select("frame_idx", F.col("parent_det_id").alias("child_det_id"), F.struct(F.col("child_det_id").alias("n"), F.col("child_label").alias("unit"), told(F.col("frame_idx") * 3 + F.col("child_det_id")).alias("cu_relation")).alias("u"))
+    units = u.groupBy("frame_idx", "child_det_id").agg(F.array_sort(F.collect_list("u")).alias("units"))
+    c = r.where("edge_type = 'O-C'").join(units, ["frame_idx", "child_det_id"])
+    entry = F.struct("parent_det_id", "child_det_id", F.col("child_label").alias("carrier"), told(F.col("frame_idx") + F.col("child_det_id")).alias("oc_relation"), "units")
+    nested = c.groupBy("frame_idx", F.col("parent_label").alias("object")).agg(F.array_sort(F.collect_list(entry)).alias("carriers"))
+    return A.merged_priors(nested, "frame_idx")
 
 
 @query("edge_softmax", EDG + f"s AS (SELECT child_node_id, parent_node_id, round(sum({_LOGIT}), 6) / 100 AS l FROM edge_candidates WHERE s2d_score IS NOT NULL GROUP BY ALL), e AS (SELECT *, exp(l - max(l) OVER (PARTITION BY child_node_id)) AS e FROM s) SELECT child_node_id, parent_node_id, round(e / sum(e) OVER (PARTITION BY child_node_id), 6) AS p FROM e")

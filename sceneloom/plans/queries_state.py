@@ -117,7 +117,7 @@ def scene_switch(spark, sf_dir):
     return scan.scene_switches(scene(spark, sf_dir, "scene_votes")).select("sequence", "frame_idx", "scene")
 
 
-_PAIRS = "p AS (SELECT o.seq // 4 AS grp, o.seq, n.node_id, round(exp(-pow(o.quality - n.quality_ema, 2) * 4) * (0.5 + (o.seq * n.n) % 17 / 34.0), 6) AS score FROM observations o JOIN nodes n ON n.role = 'U' AND n.n // 4 = (o.seq // 4) % 25)"
+_PAIRS = "p AS (SELECT o.seq // 4 AS grp, o.seq, n.node_id, round(exp(-pow(o.quality - n.quality_ema, 2) * 4) * (0.5 + (o.seq * n.n) % 17 / 34.0), 6) AS score FROM observations o JOIN nodes n ON n.role = 'U' AND n.n // 4 = (o.seq // 4) % (SELECT greatest(1, count(*) // 4) FROM part))"
 
 
 @query(
@@ -129,7 +129,8 @@ _PAIRS = "p AS (SELECT o.seq // 4 AS grp, o.seq, n.node_id, round(exp(-pow(o.qua
 )
 def frame_assignment(spark, sf_dir):
     """Observations and nodes paired for the greatest total score, each frame by itself."""
-    o = scene(spark, sf_dir, "observations").select(F.floor(F.col("seq") / 4).cast("long").alias("grp"), "seq", "quality").withColumn("at", F.col("grp") % 25)
+    frames = scene(spark, sf_dir, "part").agg(F.greatest(F.lit(1), F.floor(F.count("*") / 4)).cast("long").alias("k"))  # one row
+    o = scene(spark, sf_dir, "observations").select(F.floor(F.col("seq") / 4).cast("long").alias("grp"), "seq", "quality").crossJoin(frames).withColumn("at", F.col("grp") % F.col("k")).drop("k")
     n = scene(spark, sf_dir, "nodes").where("role = 'U'").select("node_id", "n", "quality_ema", F.floor(F.col("n") / 4).cast("long").alias("at"))
     score = F.round(F.exp(-F.pow(F.col("quality") - F.col("quality_ema"), 2) * 4) * (0.5 + (F.col("seq") * F.col("n")) % 17 / 34.0), 6)
     p = o.join(n, "at").select("grp", "seq", "node_id", score.alias("score")).where("score > 0.2")

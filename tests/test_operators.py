@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sceneloom.functions import geometry as G
 from sceneloom.functions import labels as L
 from sceneloom.functions import texts as X
+from sceneloom.operators import aggregates as A
 from sceneloom.operators import assign as O
 from sceneloom.operators import filters as Q
 from sceneloom.operators import fixpoint as P
@@ -547,3 +548,15 @@ def test_sparse_fold_is_the_fold_of_every_frame(spark):
     runs = T.segments(df, T.calendar(df))
     assert runs.where("child_node_id <> 'other'").count() < 0.6 * sum(c != "other" for c, _ in want)
     assert [tuple(r) for r in T.calendar(df).orderBy("t").collect()] == [(f, f + 1) for f in range(400)]
+
+
+def test_merged_priors_keep_what_says_most(spark):
+    kind = "n long, object string, carriers array<struct<carrier:string,oc_relation:string,units:array<struct<unit:string,cu_relation:string>>>>"
+    rows = [
+        (1, "desk", [("drawer", "part of", [("knob", "pull"), ("knob", " ")]), ("", "x", [("a", "b")])]),
+        (2, "desk", [("drawer", "hold", [("knob", "turn"), ("lock", None)]), ("drawer", "", [("knob", "part of")])]),
+        (3, "desk", [("drawer", "open", [("lock", "part of")]), ("lid", None, [])]),
+        (4, " ", [("drawer", "open", [("lock", "x")])]),
+    ]
+    got = {tuple(r) for r in A.merged_priors(spark.createDataFrame(rows, kind), "n").collect()}
+    assert got == {("desk", "drawer", "knob", "hold", "pull"), ("desk", "drawer", "lock", "hold", "part of")}
