@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .assign import in_whole_groups
 
@@ -109,8 +110,9 @@ def run_parts(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndar
     return lead
 
 
-def main_parts(runs: DataFrame) -> DataFrame:
-    """Runs of each mask's part at the center of its bounds, else of its largest part (of equals the last)."""
+def main_parts(runs: DataFrame, at_center: bool = True) -> DataFrame:
+    """Runs of each mask's part at the center of its bounds, else of its largest part (of equals the last; where the center
+    does not count the first)."""
 
     def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         row, start = g["row"].to_numpy(np.int64), g["start"].to_numpy(np.int64)
@@ -122,12 +124,121 @@ def main_parts(runs: DataFrame) -> DataFrame:
         cy, cx = top + (bottom - top + 1) // 2, left + (right - left) // 2
         center = each(np.maximum, np.where((row == cy) & (start <= cx) & (cx < end), part, -1))
         area = np.bincount(part, end - start, minlength=len(row))[part].astype(np.int64)
-        largest = each(np.maximum, np.where(area == each(np.maximum, area), part, -1))
-        return g[part == np.where(center >= 0, center, largest)]
+        most = area == each(np.maximum, area)
+        if not at_center:
+            return g[part == each(np.minimum, np.where(most, part, len(part)))]
+        return g[part == np.where(center >= 0, center, each(np.maximum, np.where(most, part, -1)))]
 
     return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], work, "frame_idx long, det_id long, row int, start int, length int")
 
 
+RUN = "frame_idx long, det_id long, row int, start int, length int"
+FAR = 1 << 28  # beyond any image
+
+
+def ellipse(radius: int) -> list[tuple[int, int]]:
+    """Rows of a round neighbourhood: (rows down, pixels to either side)."""
+    return [(dy, int(np.rint(np.sqrt(radius * radius - dy * dy)))) for dy in range(-radius, radius + 1)]
+
+
+def swept(spans: DataFrame, depth: int) -> DataFrame:
+    """Runs of pixels that ``depth`` spans or more cover. spans: frame_idx, det_id, row, s, e (one past the end)."""
+    ends = spans.where("s < e").select(*KEY, "row", F.explode(F.array(F.struct(F.col("s").alias("x"), F.lit(1).alias("d")), F.struct(F.col("e").alias("x"), F.lit(-1).alias("d")))).alias("v"))
+    ends = ends.groupBy(*KEY, "row", F.col("v.x").alias("x")).agg(F.sum("v.d").alias("d"))
+    w = Window.partitionBy(*KEY, "row").orderBy("x")
+    level = ends.withColumns({"in": F.sum("d").over(w) >= depth, "to": F.lead("x").over(w)})
+    new = level.withColumn("new", (F.col("in") & ~F.coalesce(F.lag("in").over(w), F.lit(False))).cast("int")).withColumn("k", F.sum("new").over(w))
+    out = new.where("in").groupBy(*KEY, "row", "k").agg(F.min("x").alias("s"), F.max("to").alias("e"))
+    return out.select(*KEY, F.col("row").cast("int").alias("row"), F.col("s").cast("int").alias("start"), (F.col("e") - F.col("s")).cast("int").alias("length"))
+
+
+def grown(runs: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
+    """Each mask and all pixels that ``around`` reaches from it: spans of the rows about each run, joined."""
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around]))
+    each = runs.withColumn("a", steps)
+    return swept(each.select(*KEY, (F.col("row") + F.col("a.dy")).alias("row"), (F.col("start") - F.col("a.dx")).alias("s"), (F.col("start") + F.col("length") + F.col("a.dx")).alias("e")), 1)
+
+
+def shrunk(runs: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
+    """The pixels of each mask all of whose ``around`` lies in it: covered by the shortened runs of every row about them."""
+    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around]))
+    each = runs.withColumn("a", steps)
+    return swept(each.select(*KEY, (F.col("row") - F.col("a.dy")).alias("row"), (F.col("start") + F.col("a.dx")).alias("s"), (F.col("start") + F.col("length") - F.col("a.dx")).alias("e")), len(around))
+
+
+def closed(runs: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """Each mask without gaps that a round neighbourhood does not fit into; beyond the image all counts as mask."""
+    around = ellipse(radius)
+    big = clipped(grown(runs, around), F.lit(0), F.lit(0), F.lit(width), F.lit(height))
+    start = F.when(F.col("start") == 0, -FAR).otherwise(F.col("start"))
+    end = F.when(F.col("start") + F.col("length") == width, FAR).otherwise(F.col("start") + F.col("length"))
+    wide = big.select(*KEY, "row", start.alias("start"), (end - start).alias("length"))
+    edge = big.where((F.col("row") < radius) | (F.col("row") >= height - radius)).select(*KEY).distinct()
+    outside = F.explode(F.array(*[F.lit(r) for r in [*range(-radius, 0), *range(height, height + radius)]]))
+    full = edge.select(*KEY, outside.alias("row"), F.lit(-FAR).alias("start"), F.lit(2 * FAR).alias("length"))
+    return clipped(shrunk(wide.unionByName(full), around), F.lit(0), F.lit(0), F.lit(width), F.lit(height))
+
+
+def clipped(runs: DataFrame, left, top, right, bottom) -> DataFrame:
+    s, e = F.greatest("start", left), F.least(F.col("start") + F.col("length"), right)
+    return runs.where((F.col("row") >= top) & (F.col("row") < bottom) & (s < e)).select(*KEY, "row", s.cast("int").alias("start"), (e - s).cast("int").alias("length"))
+
+
+def hull_rows(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, first, last) of the pixels whose centers lie in the convex hull of these centers."""
+    points = sorted(set(zip(y.tolist(), x.tolist())))
+
+    def chain(side: int) -> list[tuple[int, int]]:
+        """The hull's left (-1) or right (1) side from the top row to the bottom row."""
+        out: list[tuple[int, int]] = []
+        ends: dict[int, int] = {}
+        for r, c in points:
+            ends[r] = c if r not in ends else side * max(side * ends[r], side * c)
+        for p in ends.items():
+            while len(out) > 1 and side * ((out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) - (p[1] - out[-2][1]) * (out[-1][0] - out[-2][0])) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    def places(side: int) -> dict[int, int]:
+        line = chain(side)
+        got = {line[0][0]: line[0][1]}
+        for (r0, c0), (r1, c1) in zip(line, line[1:]):
+            for r in range(r0 + 1, r1 + 1):
+                up = (c1 - c0) * (r - r0)
+                got[r] = c0 + (up // (r1 - r0) if side > 0 else -(-up // (r1 - r0)))
+        return got
+
+    first, last = places(-1), places(1)
+    return [(r, first[r], last[r]) for r in sorted(first) if first[r] <= last[r]]
+
+
+def hulls(runs: DataFrame) -> DataFrame:
+    """Each mask's convex hull, from its runs' ends; a mask of fewer than three pixels stays as it is."""
+
+    def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        rows, start, length = (g[c].to_numpy(np.int64) for c in ("row", "start", "length"))
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            f, d = g["frame_idx"].iloc[a], g["det_id"].iloc[a]
+            if length[a:b].sum() < 3:
+                out += [(f, d, *v) for v in zip(rows[a:b], start[a:b], length[a:b])]
+                continue
+            x, y = np.concatenate([start[a:b], start[a:b] + length[a:b] - 1]), np.concatenate([rows[a:b], rows[a:b]])
+            out += [(f, d, r, s, e - s + 1) for r, s, e in hull_rows(x, y)]
+        return pd.DataFrame(out, columns=[*KEY, "row", "start", "length"])
+
+    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], work, RUN)
+
+
+def support(runs: DataFrame, boxes: DataFrame, radius: int, width: int, height: int) -> DataFrame:
+    """Where a parent may hold children: its mask within its box, the largest part, without holes, closed, its hull, within
+    the box again. boxes: frame_idx, det_id, x1, y1, x2, y2 (pixels; the ends are outside)."""
+    within = lambda r: clipped(r.join(boxes.select(*KEY, "x1", "y1", "x2", "y2"), KEY), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+    whole = shaped(main_parts(within(runs), at_center=False), "fill")
+    return within(hulls(closed(whole, radius, width, height) if radius else whole))
+
+
 def shaped(runs: DataFrame, how: str) -> DataFrame:
     """Runs of each mask after ``main`` (its part at the center, else its largest), ``erode``, ``dilate``, ``close`` or ``fill``."""
     if how == "main":

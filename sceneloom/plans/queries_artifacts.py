@@ -53,6 +53,14 @@ def mask_main_part(spark, sf_dir):
     return K.areas(K.shaped(_runs(spark, sf_dir), "main"))
 
 
+@query("mask_support")
+def mask_support(spark, sf_dir):
+    """The area in which each object or carrier may hold children, from a mask with gaps: parts, holes, closing, hull."""
+    d = scene(spark, sf_dir, "detections").where("role <> 'U'").select("frame_idx", "det_id", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    r = _runs(spark, sf_dir).where("(row + det_id) % 5 <> 3")
+    return K.areas(K.support(r.join(d.select("frame_idx", "det_id"), ["frame_idx", "det_id"], "left_semi"), d, 3, 640, 480))
+
+
 @query(
     "relation_decision",
     with_sql("relations_2d") + """m AS (SELECT *, least(1, contain + child_det_id * 0.01) AS mask FROM relations_2d), p AS (SELECT *, count(*) OVER c AS n, row_number() OVER (PARTITION BY frame_idx, edge_type, child_det_id ORDER BY mask DESC, parent_det_id) AS rn, lead(mask) OVER (PARTITION BY frame_idx, edge_type, child_det_id ORDER BY mask DESC, parent_det_id) AS second FROM m WHERE pass_threshold WINDOW c AS (PARTITION BY frame_idx, edge_type, child_det_id))

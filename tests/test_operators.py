@@ -401,6 +401,61 @@ def test_main_parts_are_those_of_the_grid(spark):
     assert got == want
 
 
+def _pixels(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r["det_id"], set()).update((r["row"], x) for x in range(r["start"], r["start"] + r["length"]))
+    return got
+
+
+def test_runs_grow_shrink_close_as_pixels(spark):
+    """Random masks, some at the image's border: spans against a grid of pixels; hulls against half planes."""
+    from sceneloom.operators import masks as K
+
+    rng, rows, masks = np.random.default_rng(12), [], {}
+    h, w = 14, 17
+    for i in range(24):
+        m = rng.random((h, w)) < rng.choice([0.05, 0.2, 0.6])
+        if m.any():
+            masks[i] = m
+            rows += [(0, i, int(r.row), int(r.start), int(r.length)) for r in K.to_runs(m, 0, 0).itertuples()]
+    runs = spark.createDataFrame(rows, K.RUN)
+    around = K.ellipse(2)
+    assert around == [(-2, 0), (-1, 2), (0, 2), (1, 2), (2, 0)] and K.ellipse(1) == [(-1, 0), (0, 1), (1, 0)]
+    offsets = [(dy, dx) for dy, n in around for dx in range(-n, n + 1)]
+    spots = lambda m: {(int(y), int(x)) for y, x in zip(*np.nonzero(m))}
+    grow = lambda s: {(y + dy, x + dx) for y, x in s for dy, dx in offsets}
+    shrink = lambda s, ok: {(y, x) for y, x in s if all((y + dy, x + dx) in s or not ok(y + dy, x + dx) for dy, dx in offsets)}
+    inside = lambda y, x: 0 <= y < h and 0 <= x < w
+    assert _pixels(K.grown(runs, around)) == {i: grow(spots(m)) for i, m in masks.items()}
+    assert _pixels(K.shrunk(runs, around)) == {i: s for i, m in masks.items() if (s := shrink(spots(m), lambda y, x: True))}
+    assert _pixels(K.closed(runs, 2, w, h)) == {i: shrink({p for p in grow(spots(m)) if inside(*p)}, inside) for i, m in masks.items()}
+    want = {}
+    for i, m in masks.items():
+        points = sorted(spots(m))
+        if len(points) < 3:
+            want[i] = set(points)
+            continue
+        lines = [(a, b) for a in points for b in points if a != b and all((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= 0 for p in points)]
+        box = [(y, x) for y in range(h) for x in range(w) if points[0][0] <= y <= points[-1][0] and min(p[1] for p in points) <= x <= max(p[1] for p in points)]
+        want[i] = {p for p in box if all((b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0]) >= 0 for a, b in lines)}
+    assert _pixels(K.hulls(runs)) == want
+
+
+def test_support_of_a_mask(spark):
+    from sceneloom.operators import masks as K
+
+    m = np.zeros((20, 20), bool)
+    m[3:12, 3:12] = True
+    m[5, 5] = m[7, 3:12] = False  # a hole, and a gap that the largest part does not cross
+    m[16, 16] = True
+    runs = spark.createDataFrame([(0, 0, int(r.row), int(r.start), int(r.length)) for r in K.to_runs(m, 0, 0).itertuples()], K.RUN)
+    box = lambda *b: spark.createDataFrame([(0, 0, *b)], "frame_idx long, det_id long, x1 int, y1 int, x2 int, y2 int")
+    area = lambda b, r: sum(x["area"] for x in K.areas(K.support(runs, box(*b), r, 20, 20)).collect())
+    assert area((0, 0, 20, 20), 0) == area((0, 0, 20, 20), 1) == 36  # rows 3 to 6 or 8 to 11: the first of equal parts, the larger by the hole
+    assert area((4, 0, 9, 20), 0) == 20 and area((14, 14, 20, 20), 1) == 1
+
+
 def _density_clusters(xyz, eps, least):
     """Brute force: core points within eps of each other are one cluster; others join their first core neighbour's."""
     near = ((xyz[:, None] - xyz[None]) ** 2).sum(axis=2) <= eps * eps
