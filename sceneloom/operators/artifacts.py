@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -143,17 +146,61 @@ def fingerprint(df: DataFrame) -> str:
     return f"{r['n']}-{r['s']}-{r['x']}"
 
 
-def checkpointed(spark: SparkSession, path: str, prints: dict[str, str]) -> DataFrame | None:
-    """The state saved at a path if its fingerprints are these; None without a state; others are an error."""
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/prints")
-    if not jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm):
+def _files(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return jvm, conf, at, at.getFileSystem(conf)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small document so that a reader sees the former one or this one, whole: beside it, then moved over it."""
+    jvm, conf, at, fs = _files(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    over = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(over, 1)
+    how[0] = over.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(at), how)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small document, or None where there is none."""
+    jvm, _, at, fs = _files(spark, path)
+    if not fs.exists(at):
         return None
-    found = {r["name"]: r["value"] for r in spark.read.parquet(f"{path}/prints").collect()}
-    if found != prints:
-        raise ValueError(f"the checkpoint at {path} is of other inputs: {sorted(k for k in {*found, *prints} if found.get(k) != prints.get(k))}")
-    return spark.read.parquet(f"{path}/state")
+    into = fs.open(at)
+    try:
+        return bytes(into.readAllBytes()).decode()
+    finally:
+        into.close()
 
 
-def save_checkpoint(state: DataFrame, path: str, prints: dict[str, str]) -> None:
-    state.write.mode("overwrite").parquet(f"{path}/state")
-    state.sparkSession.createDataFrame(list(prints.items()), "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/prints")
+def checkpointed(spark: SparkSession, path: str, prints: dict[str, str], table: str = "state") -> DataFrame | None:
+    """A table of the state saved last at a path if its fingerprints are these; None without a state; others are an error."""
+    text = get_text(spark, f"{path}/manifest.json")
+    if text is None:
+        return None
+    found = json.loads(text)
+    if found["prints"] != prints:
+        raise ValueError(f"the checkpoint at {path} is of other inputs: {sorted(k for k in {*found['prints'], *prints} if found['prints'].get(k) != prints.get(k))}")
+    return spark.read.parquet(f"{path}/{found['version']}/{table}")
+
+
+def save_checkpoint(state: DataFrame | dict[str, DataFrame], path: str, prints: dict[str, str]) -> None:
+    """One or more tables as a new version of the state: each in a folder of the version, and the manifest that names it last,
+    so that a write that is cut off leaves the version before. Of former versions the last stays."""
+    tables = state if isinstance(state, dict) else {"state": state}
+    spark = next(iter(tables.values())).sparkSession
+    before = get_text(spark, f"{path}/manifest.json")
+    last = json.loads(before)["version"] if before else None
+    version = f"v-{uuid.uuid4().hex}"
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    put_text(spark, f"{path}/manifest.json", json.dumps({"version": version, "prints": prints, "tables": sorted(tables)}, sort_keys=True))
+    jvm, _, at, fs = _files(spark, path)
+    for found in fs.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in (version, last):
+            fs.delete(found.getPath(), True)

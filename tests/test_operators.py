@@ -223,6 +223,25 @@ def test_late_rows_are_dropped(spark, tmp_path):
     assert all(r["n"] == 1 for r in w.collect())
 
 
+def test_a_cut_off_checkpoint_leaves_the_one_before(spark, tmp_path, monkeypatch):
+    from sceneloom.operators import artifacts as A
+
+    at, df = str(tmp_path / "c"), lambda n: spark.range(n).withColumnRenamed("id", "v")
+    A.save_checkpoint({"state": df(2), "points": df(5)}, at, {"a": "1"})
+    assert (A.checkpointed(spark, at, {"a": "1"}).count(), A.checkpointed(spark, at, {"a": "1"}, "points").count()) == (2, 5)
+    with monkeypatch.context() as m:  # the run stops after its tables, before the manifest
+        m.setattr(A, "put_text", lambda *x: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            A.save_checkpoint({"state": df(3), "points": df(6)}, at, {"a": "1"})
+    assert (A.checkpointed(spark, at, {"a": "1"}).count(), A.checkpointed(spark, at, {"a": "1"}, "points").count()) == (2, 5)
+    for n in (7, 8, 9):
+        A.save_checkpoint(df(n), at, {"a": str(n)})
+    assert A.checkpointed(spark, at, {"a": "9"}).count() == 9 and len(list((tmp_path / "c").glob("v-*"))) == 2
+    A.put_text(spark, f"{at}/note.json", "x" * 9)
+    A.put_text(spark, f"{at}/note.json", '{"ü": 1}')
+    assert A.get_text(spark, f"{at}/note.json") == '{"ü": 1}' and A.get_text(spark, f"{at}/none.json") is None
+
+
 def test_masks(spark):
     from sceneloom.operators import masks as K
 
