@@ -224,14 +224,20 @@ def retired(points: DataFrame, most: int = 1024, floor: float = 0.03, ratio: flo
     """carrier, unit, distance, mutual, one_way: carriers that a unit duplicates, each with its best witness: the greatest lesser
     and greater share of points near the other's, then the nearest centroid.
 
-    points: id, role (C, or U of a witness), pid, x, y, z. Centroids meet by cells of the largest gate, points by cells."""
+    points: id, role (C, or U of a witness), pid, x, y, z. Centroids meet by cells of the larger one's gate, points by cells."""
     from .windows import evenly
 
     c = saved(points.groupBy("id", "role").agg(*[F.avg(k).alias(f"c{k}") for k in "xyz"], G.norm(*[F.max(k) - F.min(k) for k in "xyz"]).alias("extent")))
     reach = F.greatest(F.lit(floor), ratio * F.greatest("extent", "u_extent"))
-    limit = max(floor, ratio * (c.agg(F.max("extent")).first()[0] or 0.0))
-    u = c.where("role = 'U'").select(F.col("id").alias("unit"), F.col("extent").alias("u_extent"), *[F.col(f"c{k}").alias(f"u_{k}") for k in "xyz"])
-    pairs = within(c.where("role = 'C'").select(F.col("id").alias("carrier"), "extent", "cx", "cy", "cz"), u, ["cx", "cy", "cz"], ["u_x", "u_y", "u_z"], limit).where(F.col("distance") <= reach).select("carrier", "unit", "distance")
+    # by sizes: a pair meets in cells of the larger one's reach, so that one large thing does not make all cells large
+    c = c.withColumn("size", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(floor), ratio * F.col("extent")) / F.lit(floor)))).cast("int"))
+    u = c.where("role = 'U'").select(F.col("id").alias("unit"), F.col("extent").alias("u_extent"), F.col("size").alias("u_size"), *[F.col(f"c{k}").alias(f"u_{k}") for k in "xyz"])
+    carriers = c.where("role = 'C'").select(F.col("id").alias("carrier"), "extent", "size", "cx", "cy", "cz")
+    pairs = None
+    for k in range((c.agg(F.max("size")).first()[0] or 0) + 1):
+        for a, b in ((carriers.where(f"size = {k}"), u.where(f"u_size <= {k}")), (carriers.where(f"size < {k}"), u.where(f"u_size = {k}"))):
+            met = within(a, b, ["cx", "cy", "cz"], ["u_x", "u_y", "u_z"], floor * 2.0**k * 1.0000001).where(F.col("distance") <= reach).select("carrier", "unit", "distance")
+            pairs = met if pairs is None else pairs.unionByName(met)
     pairs = saved(pairs)
     s = saved(evenly(points, ["id"], ["pid"], most).select("id", "pid", "x", "y", "z"))
     side = lambda name, p: s.select(F.col("id").alias(name), F.col("pid").alias(f"{p}pid"), *[F.col(k).alias(f"{p}{k}") for k in "xyz"])

@@ -634,3 +634,31 @@ def test_merged_priors_keep_what_says_most(spark):
     ]
     got = {tuple(r) for r in A.merged_priors(spark.createDataFrame(rows, kind), "n").collect()}
     assert got == {("desk", "drawer", "knob", "hold", "pull"), ("desk", "drawer", "lock", "hold", "part of")}
+
+
+def test_retirement_meets_things_of_all_sizes(spark):
+    """Pairs by classes of size are all pairs within the larger one's gate: tiny, middling and very large things."""
+    rng = np.random.default_rng(4)
+    points, at = [], {}
+    for i in range(40):
+        size, role = float(rng.choice([0.01, 0.1, 0.5, 6.0])), "CU"[i % 2]
+        place = rng.uniform(0, 0.4, 3)
+        cloud = place + rng.uniform(-size / 2, size / 2, (30, 3))
+        at[f"{role}{i}"] = (role, cloud)
+        points += [(f"{role}{i}", role, j, *map(float, p)) for j, p in enumerate(cloud)]
+    got = {r["carrier"]: (r["unit"], round(r["mutual"], 6)) for r in J.retired(spark.createDataFrame(points, "id string, role string, pid long, x double, y double, z double"), near=0.3, both=0.05, one=0.05).collect()}
+    want = {}
+    for c, (role, a) in at.items():
+        found = []
+        for u, (other, b) in at.items():
+            if role != "C" or other != "U":
+                continue
+            size = lambda p: float(np.linalg.norm(p.max(axis=0) - p.min(axis=0)))
+            apart = float(np.linalg.norm(a.mean(axis=0) - b.mean(axis=0)))
+            near = (((a[:, None] - b[None]) ** 2).sum(axis=2) <= 0.09)
+            one, two = near.any(axis=1).mean(), near.any(axis=0).mean()
+            if apart <= max(0.03, 0.35 * max(size(a), size(b))) and min(one, two) >= 0.05:
+                found.append((-round(min(one, two), 6), -round(max(one, two), 6), round(apart, 6), u))
+        if found:
+            want[c] = (min(found)[3], -min(found)[0])
+    assert got == want and len(want) > 10
