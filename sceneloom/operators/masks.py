@@ -20,12 +20,13 @@ def areas(runs: DataFrame) -> DataFrame:
 
 def coverage(runs: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (frame_idx, parent_det_id, child_det_id): adds the share of the child's pixels that are the parent's, 0 if it
-    has none. Runs meet on frame and row."""
-    side = lambda k, p: runs.select("frame_idx", F.col("det_id").alias(f"{k}_det_id"), "row", F.col("start").alias(f"{p}s"), (F.col("start") + F.col("length")).alias(f"{p}e"))
+    has none. Runs meet on frame and row. Runs are many a detection, which Spark's estimate of their size does not know, so
+    that none of them is broadcast."""
+    side = lambda k, p: runs.select("frame_idx", F.col("det_id").alias(f"{k}_det_id"), "row", F.col("start").alias(f"{p}s"), (F.col("start") + F.col("length")).alias(f"{p}e")).hint("merge")
     j = pairs.join(side("parent", "p"), ["frame_idx", "parent_det_id"]).join(side("child", "c"), ["frame_idx", "child_det_id", "row"])
     both = j.groupBy(*pairs.columns).agg(F.sum(F.greatest(F.lit(0), F.least("pe", "ce") - F.greatest("ps", "cs"))).alias("both"))
     own = areas(runs).withColumnRenamed("det_id", "child_det_id")
-    return pairs.join(both, pairs.columns, "left").join(own, ["frame_idx", "child_det_id"], "left").withColumn("coverage", F.when(F.coalesce("area", F.lit(0)) > 0, F.coalesce("both", F.lit(0)) / F.col("area")).otherwise(0.0)).drop("both", "area")
+    return pairs.join(both.hint("merge"), pairs.columns, "left").join(own.hint("merge"), ["frame_idx", "child_det_id"], "left").withColumn("coverage", F.when(F.coalesce("area", F.lit(0)) > 0, F.coalesce("both", F.lit(0)) / F.col("area")).otherwise(0.0)).drop("both", "area")
 
 
 def grid(g: pd.DataFrame) -> tuple[np.ndarray, int, int]:
