@@ -42,9 +42,10 @@ def _steps(n: int, reach: int) -> list[tuple[int, ...]]:
 
 
 def within(a: DataFrame, b: DataFrame, xyz_a: list[str], xyz_b: list[str], radius: float, on: list[str] = ()) -> DataFrame:
-    """Pairs of points at most ``radius`` apart with equal ``on`` columns, by grid cells of that size; adds ``distance``."""
+    """Pairs of points at most ``radius`` apart with equal ``on`` columns, by grid cells of that size; adds ``distance``. The
+    side that stands in all cells about it is larger than Spark estimates and must not be broadcast."""
     left = cells(a, xyz_a, radius, "_cell")
-    right = cells(b, xyz_b, radius, "_cell", 1)
+    right = cells(b, xyz_b, radius, "_cell", 1).hint("merge")
     j = left.join(right, ["_cell", *on]).drop("_cell")
     return j.withColumn("distance", G.norm(*[F.col(x) - F.col(y) for x, y in zip(xyz_a, xyz_b, strict=True)])).where(F.col("distance") <= radius)
 
@@ -175,7 +176,7 @@ def nearest_points(left: DataFrame, right: DataFrame, on: list[str], of_left: st
         for name, c in zip(cells, at(of_left, size)):
             around = around.withColumn(name, F.explode(F.sequence(c - 1, c + 1)))
         placed = right.withColumns(dict(zip(cells, at(of_right, size))))
-        best = around.join(placed, [*on, *cells]).groupBy(*on, *key).agg(F.sqrt(F.min(square)).alias("distance"))
+        best = around.hint("merge").join(placed, [*on, *cells]).groupBy(*on, *key).agg(F.sqrt(F.min(square)).alias("distance"))
         met = saved(best.where(F.col("distance") <= size))
         done = met if done is None else saved(done.unionByName(met))
         todo = saved(todo.join(met.select(*on, *key), [*on, *key], "left_anti"))

@@ -19,3 +19,12 @@ def test_runs_of_masks_are_not_broadcast(spark):
     c = K.coverage(runs, pairs)
     assert "Broadcast" not in joins_by(c)
     assert {(r["parent_det_id"], r["child_det_id"], r["coverage"]) for r in c.collect()} == {(0, 1, 0.5)}
+
+
+def test_cells_about_points_are_not_broadcast(spark):
+    from sceneloom.operators import joins as J
+
+    p = lambda k: spark.range(30).select(F.col("id").alias(k), *[(F.col("id") * 0.1).alias(f"{k}{c}") for c in "xyz"])
+    j = J.within(p("a"), p("b"), ["ax", "ay", "az"], ["bx", "by", "bz"], 0.18)
+    assert "Broadcast" not in joins_by(j)
+    assert j.count() == 30 + 2 * 29
