@@ -45,8 +45,17 @@ def rgb_folder(spark: SparkSession, folder: str, start: int = 0, end: int | None
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and its place; a text file of one camera list is small, and its places are those of the file."""
-    return spark.read.text(path).withColumn("at", F.monotonically_increasing_id())
+    """value and its place ``at``: files by name, in a file by its splits, in a split by line. Spark reads splits in any order
+    and numbers lines with gaps between its tasks, so places only compare; ``numbered`` counts them."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows of ``_lines`` with ``i``, their number from 0 without gaps: splits are counted, then each counts on from those before."""
+    split = rows.select("at").groupBy("at.file", "at.split").agg(F.min("at.line").alias("_first"), F.count("*").alias("_n"))
+    before = split.select("file", "split", "_first", (F.sum("_n").over(Window.orderBy("file", "split")) - F.col("_n")).alias("_before"))  # a row a split
+    j = rows.join(F.broadcast(before), (F.col("at.file") == F.col("file")) & (F.col("at.split") == F.col("split")))
+    return j.withColumn("i", F.col("_before") + F.col("at.line") - F.col("_first")).select("value", "at", "i")
 
 
 def cameras(spark: SparkSession, path: str) -> DataFrame:
@@ -168,22 +177,24 @@ def ply_binary(spark: SparkSession, path: str) -> DataFrame:
 def ply(spark: SparkSession, path: str) -> DataFrame:
     """x, y, z, r, g, b of an ASCII PLY's vertices; a missing colour is 180, rows that are not finite go."""
     v = F.split(F.trim("value"), "\\s+")
-    rows = _lines(spark, path)
-    end = rows.where("trim(value) = 'end_header'").agg(F.min("at")).first()[0]
-    count = rows.where("value like 'element vertex%'").select(F.element_at(F.split("value", " "), -1).cast("long")).first()[0]
-    body = rows.where((F.col("at") > end) & (F.col("at") <= end + count))
-    p = body.select(*[F.get(v, F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")], *[F.coalesce(F.get(v, F.lit(i + 3)).cast("int"), F.lit(180)).alias(c) for i, c in enumerate("rgb")])
+    rows = numbered(_lines(spark, path))
+    end = rows.where("trim(value) = 'end_header'").agg(F.min("i")).first()[0]
+    count = rows.where((F.col("i") < end) & F.col("value").like("element vertex%")).select(F.element_at(F.split("value", " "), -1).cast("long")).first()[0]
+    inside = (F.col("i") > end) & (F.col("i") <= end + count)
+    v = F.when(inside, v)  # so that no other line is cast, wherever Spark puts the filters
+    p = rows.where(inside).select(*[F.get(v, F.lit(i)).cast("double").alias(c) for i, c in enumerate("xyz")], *[F.coalesce(F.get(v, F.lit(i + 3)).cast("int"), F.lit(180)).alias(c) for i, c in enumerate("rgb")])
     return p.where(" and ".join(f"not isnan({c}) and abs({c}) < double('infinity')" for c in "xyz"))
 
 
 def write_ply(points: DataFrame, path: str, order: list[str]) -> None:
-    """An ASCII PLY of x, y, z, r, g, b in the order of columns, as one text file in a folder."""
+    """An ASCII PLY of x, y, z, r, g, b in the order of columns, as text files in a folder: one after another by name they are
+    the PLY, the first begins with its head. Each range of the order is written by a task of its own."""
     n = points.count()
     head = ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property float {c}" for c in "xyz"], *[f"property uchar {c}" for c in ("red", "green", "blue")], "end_header"]
     spark = points.sparkSession
     lines = points.select(F.struct(F.lit(1).alias("part"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(order)]).alias("k"), F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyzrgb"]).alias("value"))
     top = spark.createDataFrame([(i, v) for i, v in enumerate(head)], "i int, value string").select(F.struct(F.lit(0).alias("part"), *[F.lit(None).cast(points.schema[c].dataType).alias(f"k{i}") for i, c in enumerate(order)]).alias("k"), "value", "i")
-    lines.withColumn("i", F.lit(0)).unionByName(top).orderBy("k.part", "i", *[f"k.k{i}" for i in range(len(order))]).select("value").coalesce(1).write.mode("overwrite").text(path)
+    lines.withColumn("i", F.lit(0)).unionByName(top).orderBy("k.part", "i", *[f"k.k{i}" for i in range(len(order))]).select("value").write.mode("overwrite").text(path)
 
 
 def config(path: str) -> dict:

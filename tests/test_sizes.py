@@ -28,3 +28,21 @@ def test_cells_about_points_are_not_broadcast(spark):
     j = J.within(p("a"), p("b"), ["ax", "ay", "az"], ["bx", "by", "bz"], 0.18)
     assert "Broadcast" not in joins_by(j)
     assert j.count() == 30 + 2 * 29
+
+
+def test_ply_of_many_splits_and_files(spark, tmp_path):
+    from sceneloom.sources import files as S
+
+    p = spark.range(20_000).select("id", (F.col("id") % 1000).cast("double").alias("x"), (F.col("id") * 0.5).alias("y"), F.lit(0.25).alias("z"), *[(F.col("id") % 200).cast("int").alias(c) for c in "rgb"])
+    S.write_ply(p.repartition(7), str(tmp_path / "ply"), ["id"])
+    whole = "".join(f.read_text() for f in sorted((tmp_path / "ply").glob("part-*.txt")))
+    (tmp_path / "one.ply").write_text(whole + "3 0 1 2\n")
+    assert [x.split()[1] for x in whole.splitlines()[whole.splitlines().index("end_header") + 1 :]] == [str(i * 0.5) for i in range(20_000)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        for name in ("ply", "one.ply"):
+            got = S.ply(spark, str(tmp_path / name)).agg(F.count("*"), F.sum("y"), F.sum("r")).first()
+            assert tuple(got) == (20_000, 20_000 * 19_999 / 4, 100 * sum(range(200)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
