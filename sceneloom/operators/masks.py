@@ -1,5 +1,6 @@
 """Masks as runs of pixels: (frame_idx, det_id, row, start, length). Coverage is an overlap of runs, in the JVM; shapes that
-depend on neighbours (components, erosion, filling) are grouped by detection, whose mask one image bounds."""
+depend on neighbours (components, closing, filling, hulls) are grouped by detection, whose mask one image bounds, and worked
+on many masks at once."""
 
 from __future__ import annotations
 
@@ -7,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .assign import in_whole_groups
 
@@ -84,14 +84,15 @@ def filled(m: np.ndarray) -> np.ndarray:
         seen = new
 
 
-def run_parts(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The first run of each run's 8-connected part, over many masks at once; runs in the order of mask, row, start."""
+def run_parts(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, near: int = 8) -> np.ndarray:
+    """The first run of each run's 8- or 4-connected part, over many masks at once; runs in the order of mask, row, start."""
     n = len(row)
     place = np.arange(n)
     wide, high = int(end.max()) + 3 if n else 1, int(row.max()) + 3 if n else 1
     line = (mask * high + row) * wide
-    low = np.searchsorted(line + end, line + wide + start)  # in the row below, from the first run that ends at its start or later
-    top = np.searchsorted(line + start, line + wide + end, side="right")
+    corner = int(near == 4)  # runs that touch at a corner only are one part of 8, two of 4
+    low = np.searchsorted(line + end, line + wide + start + corner)  # in the row below, from the first run that ends at its start or later
+    top = np.searchsorted(line + start, line + wide + end - corner, side="right")
     low = np.maximum(low, np.searchsorted(line, line + wide))
     count = np.maximum(top - low, 0)
     a = np.repeat(place, count)
@@ -111,30 +112,33 @@ def run_parts(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndar
     return lead
 
 
+def main_runs(runs: tuple[np.ndarray, ...], at_center: bool) -> tuple[np.ndarray, ...]:
+    mask, row, start, end = runs
+    if not len(mask):
+        return runs
+    heads = np.flatnonzero(np.append(True, mask[1:] != mask[:-1]))
+    size = np.diff(np.append(heads, len(mask)))
+    part = run_parts(mask, row, start, end)
+    each = lambda f, v: np.repeat(f.reduceat(v, heads), size)
+    top, bottom, left, right = each(np.minimum, row), each(np.maximum, row), each(np.minimum, start), each(np.maximum, end)
+    cy, cx = top + (bottom - top + 1) // 2, left + (right - left) // 2
+    center = each(np.maximum, np.where((row == cy) & (start <= cx) & (cx < end), part, -1))
+    area = np.bincount(part, end - start, minlength=len(row))[part].astype(np.int64)
+    most = area == each(np.maximum, area)
+    if at_center:
+        keep = part == np.where(center >= 0, center, each(np.maximum, np.where(most, part, -1)))
+    else:
+        keep = part == each(np.minimum, np.where(most, part, len(part)))
+    return mask[keep], row[keep], start[keep], end[keep]
+
+
 def main_parts(runs: DataFrame, at_center: bool = True) -> DataFrame:
     """Runs of each mask's part at the center of its bounds, else of its largest part (of equals the last; where the center
     does not count the first)."""
-
-    def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        row, start = g["row"].to_numpy(np.int64), g["start"].to_numpy(np.int64)
-        end, size = start + g["length"].to_numpy(np.int64), np.diff(bounds)
-        mask = np.repeat(np.arange(len(size)), size)
-        part = run_parts(mask, row, start, end)
-        each = lambda f, v: np.repeat(f.reduceat(v, bounds[:-1]), size)
-        top, bottom, left, right = each(np.minimum, row), each(np.maximum, row), each(np.minimum, start), each(np.maximum, end)
-        cy, cx = top + (bottom - top + 1) // 2, left + (right - left) // 2
-        center = each(np.maximum, np.where((row == cy) & (start <= cx) & (cx < end), part, -1))
-        area = np.bincount(part, end - start, minlength=len(row))[part].astype(np.int64)
-        most = area == each(np.maximum, area)
-        if not at_center:
-            return g[part == each(np.minimum, np.where(most, part, len(part)))]
-        return g[part == np.where(center >= 0, center, each(np.maximum, np.where(most, part, -1)))]
-
-    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], work, "frame_idx long, det_id long, row int, start int, length int")
+    return over_masks(runs, lambda r: main_runs(r, at_center))
 
 
 RUN = "frame_idx long, det_id long, row int, start int, length int"
-FAR = 1 << 28  # beyond any image
 
 
 def ellipse(radius: int) -> list[tuple[int, int]]:
@@ -142,42 +146,115 @@ def ellipse(radius: int) -> list[tuple[int, int]]:
     return [(dy, int(np.rint(np.sqrt(radius * radius - dy * dy)))) for dy in range(-radius, radius + 1)]
 
 
-def swept(spans: DataFrame, depth: int) -> DataFrame:
-    """Runs of pixels that ``depth`` spans or more cover. spans: frame_idx, det_id, row, s, e (one past the end)."""
-    ends = spans.where("s < e").select(*KEY, "row", F.explode(F.array(F.struct(F.col("s").alias("x"), F.lit(1).alias("d")), F.struct(F.col("e").alias("x"), F.lit(-1).alias("d")))).alias("v"))
-    ends = ends.groupBy(*KEY, "row", F.col("v.x").alias("x")).agg(F.sum("v.d").alias("d"))
-    w = Window.partitionBy(*KEY, "row").orderBy("x")
-    level = ends.withColumns({"in": F.sum("d").over(w) >= depth, "to": F.lead("x").over(w)})
-    new = level.withColumn("new", (F.col("in") & ~F.coalesce(F.lag("in").over(w), F.lit(False))).cast("int")).withColumn("k", F.sum("new").over(w))
-    out = new.where("in").groupBy(*KEY, "row", "k").agg(F.min("x").alias("s"), F.max("to").alias("e"))
-    return out.select(*KEY, F.col("row").cast("int").alias("row"), F.col("s").cast("int").alias("start"), (F.col("e") - F.col("s")).cast("int").alias("length"))
+def swept(mask: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, depth: int = 1) -> tuple[np.ndarray, ...]:
+    """Runs (mask, row, start, end) of pixels that ``depth`` spans or more cover, in this order; over many masks at once."""
+    some = start < end
+    mask, row, start, end = mask[some], row[some], start[some], end[some]
+    if not len(mask):
+        return mask, row, start, end
+    low, left = row.min(), start.min()
+    high, wide = int(row.max() - low) + 1, int(end.max() - left) + 2
+    line = (mask * high + (row - low)) * wide - left
+    at = np.concatenate([line + start, line + end])
+    order = np.argsort(at, kind="stable")
+    level, at = np.cumsum(np.where(order < len(mask), 1, -1)), at[order]
+    last = np.append(at[1:] != at[:-1], True)  # the level after all ends at a place
+    level, at = level[last] >= depth, at[last]
+    step = np.diff(level.astype(np.int8), prepend=0)  # a row's spans all end in it, so that each row begins at level 0
+    s, e = at[step == 1], at[step == -1]
+    line, x = np.divmod(s, wide)
+    return line // high, line % high + low, x + left, x + left + (e - s)
+
+
+def grown_runs(runs: tuple[np.ndarray, ...], around: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    mask, row, start, end = runs
+    dy, dx = (np.repeat(np.array(v, np.int64), len(mask)) for v in zip(*around))
+    each = lambda v: np.tile(v, len(around))
+    return swept(each(mask), each(row) + dy, each(start) - dx, each(end) + dx)
+
+
+def shrunk_runs(runs: tuple[np.ndarray, ...], around: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    mask, row, start, end = runs
+    dy, dx = (np.repeat(np.array(v, np.int64), len(mask)) for v in zip(*around))
+    each = lambda v: np.tile(v, len(around))
+    return swept(each(mask), each(row) - dy, each(start) + dx, each(end) - dx, len(around))
+
+
+def cut_runs(runs: tuple[np.ndarray, ...], width: int, height: int) -> tuple[np.ndarray, ...]:
+    mask, row, start, end = runs
+    start, end = np.maximum(start, 0), np.minimum(end, width)
+    some = (row >= 0) & (row < height) & (start < end)
+    return mask[some], row[some], start[some], end[some]
+
+
+def closed_runs(runs: tuple[np.ndarray, ...], radius: int, width: int, height: int) -> tuple[np.ndarray, ...]:
+    around, far = ellipse(radius), 2 * radius + 2
+    mask, row, start, end = cut_runs(grown_runs(runs, around), width, height)
+    start, end = np.where(start == 0, -far, start), np.where(end == width, width + far, end)
+    edge = np.unique(mask[(row < radius) | (row >= height - radius)])
+    outside = np.array([*range(-radius, 0), *range(height, height + radius)], np.int64)
+    full = lambda v: np.full(len(edge) * len(outside), v)
+    spans = [(mask, np.repeat(edge, len(outside))), (row, np.tile(outside, len(edge))), (start, full(-far)), (end, full(width + far))]
+    return cut_runs(shrunk_runs(tuple(np.concatenate(v) for v in spans), around), width, height)
+
+
+def filled_runs(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The masks without holes: rows are filled but for the gaps that the outside reaches. Runs in order, apart in a row."""
+    mask, row, start, end = runs
+    if not len(mask):
+        return runs
+    first = np.append(True, (mask[1:] != mask[:-1]) | (row[1:] != row[:-1]))
+    gap = ~first
+    if not gap.any():
+        return runs
+    new = np.append(True, mask[1:] != mask[:-1])
+    heads = np.flatnonzero(new)
+    which = np.cumsum(new) - 1
+    left, right = np.minimum.reduceat(start, heads) - 1, np.maximum.reduceat(end, heads) + 1
+    top, bottom = row[heads], row[np.append(heads[1:], len(row)) - 1]
+    # a frame about each mask's bounds: beside the runs, it is background
+    rows = bottom - top + 3
+    frame = np.repeat(np.arange(len(heads)), rows)
+    line = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows) + np.repeat(top - 1, rows)
+    m, r = np.concatenate([frame, which]), np.concatenate([line, row])
+    s, e = np.concatenate([left[frame], end]), np.concatenate([right[frame], start])
+    order, ends = np.lexsort((s, r, m)), np.lexsort((e, r, m))
+    m, r, s, e = m[order], r[order], s[order], e[ends]
+    some = s < e
+    m, r, s, e = m[some], r[some], s[some], e[some]
+    lead = run_parts(m, r - r.min(), s - s.min(), e - s.min(), 4)
+    outer = np.zeros(len(m), bool)
+    outer[lead[np.append(True, m[1:] != m[:-1])]] = True  # a mask's first background run is its frame's upper edge
+    hole = ~outer[lead]
+    back = mask[heads][m[hole]]
+    return swept(np.concatenate([mask, back]), np.concatenate([row, r[hole]]), np.concatenate([start, s[hole]]), np.concatenate([end, e[hole]]))
+
+
+def over_masks(runs: DataFrame, work) -> DataFrame:
+    """``work`` on the runs (mask, row, start, end) of many whole masks at once."""
+
+    def each(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
+        row, start, length = (g[c].to_numpy(np.int64) for c in ("row", "start", "length"))
+        mask, row, start, end = work((np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), row, start, start + length))
+        own = [g[c].to_numpy()[bounds[:-1]][mask] for c in KEY]
+        return pd.DataFrame({KEY[0]: own[0], KEY[1]: own[1], "row": row, "start": start, "length": end - start})
+
+    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], each, RUN)
 
 
 def grown(runs: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
     """Each mask and all pixels that ``around`` reaches from it: spans of the rows about each run, joined."""
-    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around]))
-    each = runs.withColumn("a", steps)
-    return swept(each.select(*KEY, (F.col("row") + F.col("a.dy")).alias("row"), (F.col("start") - F.col("a.dx")).alias("s"), (F.col("start") + F.col("length") + F.col("a.dx")).alias("e")), 1)
+    return over_masks(runs, lambda r: grown_runs(r, around))
 
 
 def shrunk(runs: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
     """The pixels of each mask all of whose ``around`` lies in it: covered by the shortened runs of every row about them."""
-    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in around]))
-    each = runs.withColumn("a", steps)
-    return swept(each.select(*KEY, (F.col("row") - F.col("a.dy")).alias("row"), (F.col("start") + F.col("a.dx")).alias("s"), (F.col("start") + F.col("length") - F.col("a.dx")).alias("e")), len(around))
+    return over_masks(runs, lambda r: shrunk_runs(r, around))
 
 
 def closed(runs: DataFrame, radius: int, width: int, height: int) -> DataFrame:
     """Each mask without gaps that a round neighbourhood does not fit into; beyond the image all counts as mask."""
-    around = ellipse(radius)
-    big = clipped(grown(runs, around), F.lit(0), F.lit(0), F.lit(width), F.lit(height))
-    start = F.when(F.col("start") == 0, -FAR).otherwise(F.col("start"))
-    end = F.when(F.col("start") + F.col("length") == width, FAR).otherwise(F.col("start") + F.col("length"))
-    wide = big.select(*KEY, "row", start.alias("start"), (end - start).alias("length"))
-    edge = big.where((F.col("row") < radius) | (F.col("row") >= height - radius)).select(*KEY).distinct()
-    outside = F.explode(F.array(*[F.lit(r) for r in [*range(-radius, 0), *range(height, height + radius)]]))
-    full = edge.select(*KEY, outside.alias("row"), F.lit(-FAR).alias("start"), F.lit(2 * FAR).alias("length"))
-    return clipped(shrunk(wide.unionByName(full), around), F.lit(0), F.lit(0), F.lit(width), F.lit(height))
+    return over_masks(runs, lambda r: closed_runs(r, radius, width, height))
 
 
 def clipped(runs: DataFrame, left, top, right, bottom) -> DataFrame:
@@ -185,59 +262,54 @@ def clipped(runs: DataFrame, left, top, right, bottom) -> DataFrame:
     return runs.where((F.col("row") >= top) & (F.col("row") < bottom) & (s < e)).select(*KEY, "row", s.cast("int").alias("start"), (e - s).cast("int").alias("length"))
 
 
-def hull_rows(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    """(row, first, last) of the pixels whose centers lie in the convex hull of these centers."""
-    points = sorted(set(zip(y.tolist(), x.tolist())))
-
-    def chain(side: int) -> list[tuple[int, int]]:
-        """The hull's left (-1) or right (1) side from the top row to the bottom row."""
-        out: list[tuple[int, int]] = []
-        ends: dict[int, int] = {}
-        for r, c in points:
-            ends[r] = c if r not in ends else side * max(side * ends[r], side * c)
-        for p in ends.items():
-            while len(out) > 1 and side * ((out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) - (p[1] - out[-2][1]) * (out[-1][0] - out[-2][0])) <= 0:
-                out.pop()
-            out.append(p)
-        return out
-
-    def places(side: int) -> dict[int, int]:
-        line = chain(side)
-        got = {line[0][0]: line[0][1]}
-        for (r0, c0), (r1, c1) in zip(line, line[1:]):
-            for r in range(r0 + 1, r1 + 1):
-                up = (c1 - c0) * (r - r0)
-                got[r] = c0 + (up // (r1 - r0) if side > 0 else -(-up // (r1 - r0)))
-        return got
-
-    first, last = places(-1), places(1)
-    return [(r, first[r], last[r]) for r in sorted(first) if first[r] <= last[r]]
+def envelope(mask: np.ndarray, row: np.ndarray, x: np.ndarray, side: int) -> tuple[np.ndarray, ...]:
+    """mask, row, x of the hull's left (-1) or right (1) side in every row from a mask's first to its last. Comes: the
+    outermost pixel of each row with some, in order. A point that lies within the line of its neighbours is no corner."""
+    m, r, c = mask, row, side * x
+    while len(m) > 2:
+        turn = (c[1:-1] - c[:-2]) * (r[2:] - r[1:-1]) - (c[2:] - c[1:-1]) * (r[1:-1] - r[:-2])
+        keep = np.ones(len(m), bool)
+        keep[1:-1] = (turn > 0) | (m[:-2] != m[1:-1]) | (m[2:] != m[1:-1])
+        if keep.all():
+            break
+        m, r, c = m[keep], r[keep], c[keep]
+    last = np.append(m[1:] != m[:-1], True)
+    rows = np.where(last, 1, np.append(r[1:] - r[:-1], 1))  # to the next corner
+    step = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+    rise = np.repeat(np.where(last, 0, np.append(c[1:] - c[:-1], 0)), rows)
+    return np.repeat(m, rows), np.repeat(r, rows) + step, side * (np.repeat(c, rows) + rise * step // np.repeat(rows, rows))
+
+
+def hull_runs(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    mask, row, start, end = runs
+    if not len(mask):
+        return runs
+    few = np.bincount(mask, end - start)[mask] < 3
+    m, r, s, e = (v[~few] for v in runs)
+    if not len(m):
+        return runs
+    heads = np.flatnonzero(np.append(True, (m[1:] != m[:-1]) | (r[1:] != r[:-1])))
+    hm, hr, left = envelope(m[heads], r[heads], np.minimum.reduceat(s, heads), -1)
+    _, _, right = envelope(m[heads], r[heads], np.maximum.reduceat(e, heads) - 1, 1)
+    some = left <= right
+    return tuple(np.concatenate(v) for v in ((mask[few], hm[some]), (row[few], hr[some]), (start[few], left[some]), (end[few], right[some] + 1)))
 
 
 def hulls(runs: DataFrame) -> DataFrame:
     """Each mask's convex hull, from its runs' ends; a mask of fewer than three pixels stays as it is."""
-
-    def work(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
-        rows, start, length = (g[c].to_numpy(np.int64) for c in ("row", "start", "length"))
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            f, d = g["frame_idx"].iloc[a], g["det_id"].iloc[a]
-            if length[a:b].sum() < 3:
-                out += [(f, d, *v) for v in zip(rows[a:b], start[a:b], length[a:b])]
-                continue
-            x, y = np.concatenate([start[a:b], start[a:b] + length[a:b] - 1]), np.concatenate([rows[a:b], rows[a:b]])
-            out += [(f, d, r, s, e - s + 1) for r, s, e in hull_rows(x, y)]
-        return pd.DataFrame(out, columns=[*KEY, "row", "start", "length"])
-
-    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], work, RUN)
+    return over_masks(runs, hull_runs)
 
 
 def support(runs: DataFrame, boxes: DataFrame, radius: int, width: int, height: int) -> DataFrame:
     """Where a parent may hold children: its mask within its box, the largest part, without holes, closed, its hull, within
     the box again. boxes: frame_idx, det_id, x1, y1, x2, y2 (pixels; the ends are outside)."""
-    within = lambda r: clipped(r.join(boxes.select(*KEY, "x1", "y1", "x2", "y2"), KEY), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
-    whole = shaped(main_parts(within(runs), at_center=False), "fill")
-    return within(hulls(closed(whole, radius, width, height) if radius else whole))
+    within = lambda r: clipped(r.hint("merge").join(boxes.select(*KEY, "x1", "y1", "x2", "y2"), KEY), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+
+    def area(r: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        whole = filled_runs(main_runs(r, False))
+        return hull_runs(closed_runs(whole, radius, width, height) if radius else whole)
+
+    return within(over_masks(within(runs), area))
 
 
 def shaped(runs: DataFrame, how: str) -> DataFrame:

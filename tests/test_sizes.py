@@ -46,3 +46,24 @@ def test_ply_of_many_splits_and_files(spark, tmp_path):
             assert tuple(got) == (20_000, 20_000 * 19_999 / 4, 100 * sum(range(200)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_support_is_one_pass_over_many_masks(spark):
+    import numpy as np
+
+    from sceneloom.operators import masks as K
+
+    rng = np.random.default_rng(5)
+    shapes = [m for m in (rng.random((9, 11)) < share for share in np.linspace(0.3, 0.95, 60)) if m.any()]
+    runs = [K.to_runs(m, 2, 3) for m in shapes]
+    column = lambda c: np.concatenate([r[c].to_numpy(np.int64) for r in runs])
+    mask, row, start, end = K.filled_runs((np.repeat(np.arange(len(runs)), [len(r) for r in runs]), column("row"), column("start"), column("start") + column("length")))
+    for i, m in enumerate(shapes):
+        got = np.zeros_like(m)
+        for r, s, e in zip(row[mask == i], start[mask == i], end[mask == i]):
+            got[r - 2, s - 3 : e - 3] = True
+        assert (got == K.filled(m)).all()
+    table = spark.createDataFrame([(0, 0, 1, 1, 4)], K.RUN)
+    boxes = spark.createDataFrame([(0, 0, 0, 0, 9, 9)], "frame_idx long, det_id long, x1 int, y1 int, x2 int, y2 int")
+    plan = joins_by(K.support(table, boxes, 2, 20, 20))
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
