@@ -82,9 +82,10 @@ def _area(b: np.ndarray, pixel: float = 0.0) -> np.ndarray:
     return np.maximum(b[..., 2] - b[..., 0] + pixel, 0) * np.maximum(b[..., 3] - b[..., 1] + pixel, 0)
 
 
-def in_whole_groups(df: DataFrame, by: list[str], order: list, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+def in_whole_groups(df: DataFrame, by: list[str], order: list, work: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema, parts: int = 0) -> DataFrame:
     """``work`` on whole groups, many at a time, whose rows stand together in ``order``; it gets where they begin, and the
-    end. A group that a batch cuts is carried on. For many small groups."""
+    end. A group that a batch cuts is carried on. For many small groups. ``parts``: how many tasks share them, if Spark's own
+    number does not suit."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -103,7 +104,7 @@ def in_whole_groups(df: DataFrame, by: list[str], order: list, work: Callable[[p
         if held is not None:
             yield work(held, np.array([0, len(held)]))
 
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return (df.repartition(parts, *by) if parts else df.repartition(*by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 def assigned(pairs: DataFrame, by: list[str], left: str, right: str, score: str, most: bool = False) -> DataFrame:

@@ -230,8 +230,14 @@ def filled_runs(runs: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return swept(np.concatenate([mask, back]), np.concatenate([row, r[hole]]), np.concatenate([start, s[hole]]), np.concatenate([end, e[hole]]))
 
 
-def over_masks(runs: DataFrame, work) -> DataFrame:
-    """``work`` on the runs (mask, row, start, end) of many whole masks at once."""
+TASK_ROWS = 500_000
+
+
+def over_masks(runs: DataFrame, work, rows: int | None = None) -> DataFrame:
+    """``work`` on the runs (mask, row, start, end) of many whole masks at once. Tasks grow in number with the runs, which are
+    counted or at most ``rows``, so that what one of them sorts does not grow."""
+    parts = (runs.count() if rows is None else rows) // TASK_ROWS
+    parts = parts + 1 if parts else 0
 
     def each(g: pd.DataFrame, bounds: np.ndarray) -> pd.DataFrame:
         row, start, length = (g[c].to_numpy(np.int64) for c in ("row", "start", "length"))
@@ -239,7 +245,7 @@ def over_masks(runs: DataFrame, work) -> DataFrame:
         own = [g[c].to_numpy()[bounds[:-1]][mask] for c in KEY]
         return pd.DataFrame({KEY[0]: own[0], KEY[1]: own[1], "row": row, "start": start, "length": end - start})
 
-    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], each, RUN)
+    return in_whole_groups(runs.select(*KEY, "row", "start", "length"), KEY, ["row", "start"], each, RUN, parts)
 
 
 def grown(runs: DataFrame, around: list[tuple[int, int]]) -> DataFrame:
@@ -309,7 +315,7 @@ def support(runs: DataFrame, boxes: DataFrame, radius: int, width: int, height:
         whole = filled_runs(main_runs(r, False))
         return hull_runs(closed_runs(whole, radius, width, height) if radius else whole)
 
-    return within(over_masks(within(runs), area))
+    return within(over_masks(within(runs), area, runs.count()))
 
 
 def shaped(runs: DataFrame, how: str) -> DataFrame:

@@ -67,3 +67,12 @@ def test_support_is_one_pass_over_many_masks(spark):
     boxes = spark.createDataFrame([(0, 0, 0, 0, 9, 9)], "frame_idx long, det_id long, x1 int, y1 int, x2 int, y2 int")
     plan = joins_by(K.support(table, boxes, 2, 20, 20))
     assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
+
+
+def test_tasks_grow_with_masks(spark, monkeypatch):
+    from sceneloom.operators import masks as K
+
+    runs = spark.range(90).select(F.col("id").alias("frame_idx"), F.lit(0).cast("long").alias("det_id"), F.lit(1).alias("row"), F.lit(2).alias("start"), F.lit(3).alias("length"))
+    monkeypatch.setattr(K, "TASK_ROWS", 10)
+    parts = K.shaped(runs, "main")
+    assert parts.rdd.getNumPartitions() == 10 and parts.count() == 90
