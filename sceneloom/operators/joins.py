@@ -145,7 +145,8 @@ def box_columns(prefix: str) -> list[Column]:
 
 def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on: list[str] = ()) -> DataFrame:
     """Pairs of 3D boxes (columns x1..z2 under a prefix) with equal ``on`` that may be at most ``gap`` apart: each box stands
-    in all cells that it reaches, and a pair is met once, in the first cell that both do."""
+    in all cells that it reaches, and a pair is met once, in the first cell that both do. Both sides are then larger than
+    Spark estimates, and are not broadcast."""
     low = lambda p, c, room: F.floor((F.col(f"{p}{c}1") - room) / CELL).cast("long")
     high = lambda p, c, room: F.floor((F.col(f"{p}{c}2") + room) / CELL).cast("long")
 
@@ -154,7 +155,7 @@ def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on:
             df = df.withColumn(f"_c{c}", F.explode(F.sequence(low(p, c, room), high(p, c, room))))
         return df
 
-    j = placed(a, of_a, gap).join(placed(b, of_b, 0.0), [*on, "_cx", "_cy", "_cz"])
+    j = placed(a, of_a, gap).hint("merge").join(placed(b, of_b, 0.0), [*on, "_cx", "_cy", "_cz"])
     once = [F.col(f"_c{c}") == F.greatest(low(of_a, c, gap), low(of_b, c, 0.0)) for c in "xyz"]
     return j.where(once[0] & once[1] & once[2]).drop("_cx", "_cy", "_cz")
 

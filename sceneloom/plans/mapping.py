@@ -162,14 +162,20 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
     """
     now = saved(boxes.select("node_id", "role", L.track_label(F.col("label")).alias("key"), *[F.col(f"b{c}").alias(c) for c in BOX]))
     seen = saved(sightings.select("frame", "node_id").distinct())
-    steps = None
-    side = lambda p: now.select("role", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node_id", *BOX)])
+    steps, links, new = None, None, now
     while True:
-        both = seen.join(seen.withColumnRenamed("node_id", "other"), "frame").where("node_id < other").select(F.col("node_id").alias("a_node_id"), F.col("other").alias("b_node_id")).distinct()
-        j = near_boxes(side("a"), side("b"), "a_", "b_", 0.01, ["role", "key"]).where("a_node_id < b_node_id").join(both, ["a_node_id", "b_node_id"], "left_anti")
+        # pairs of tracks that the last round left as they were stay as they are; only pairs with a new one are met
+        side = lambda d, p: d.select("role", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node_id", *BOX)])
+        j = near_boxes(side(new, "a"), side(now, "b"), "a_", "b_", 0.01, ["role", "key"]).where("a_node_id <> b_node_id")
         j = j.withColumn("iou", F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX], 0.005), 9)).where(F.col("iou") >= iou)
-        ends = j.select(F.col("a_node_id").alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p")).unionByName(j.select(F.col("b_node_id").alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p")))
-        best = ends.groupBy("n").agg(F.min("p").alias("p"))
+        j = saved(j.select(F.least("a_node_id", "b_node_id").alias("a_node_id"), F.greatest("a_node_id", "b_node_id").alias("b_node_id"), "iou").distinct())
+        # only pairs that overlap are looked up in the frames, not all that a frame shows
+        frames = lambda p: seen.select("frame", F.col("node_id").alias(f"{p}_node_id")).hint("merge")
+        both = j.drop("iou").join(frames("a"), "a_node_id").join(frames("b"), ["frame", "b_node_id"], "left_semi").select("a_node_id", "b_node_id").distinct()
+        apart = j.join(both, ["a_node_id", "b_node_id"], "left_anti")
+        links = saved(apart if links is None else links.unionByName(apart))
+        best_of = lambda own: links.select(F.col(own).alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p"))
+        best = best_of("a_node_id").unionByName(best_of("b_node_id")).groupBy("n").agg(F.min("p").alias("p"))
         mutual = saved(best.groupBy("p.a_node_id", "p.b_node_id").agg(F.count("*").alias("k")).where("k = 2").select(F.col("a_node_id").alias("target"), F.col("b_node_id").alias("source")))
         if not mutual.limit(1).count():
             break
@@ -177,6 +183,10 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
         to = lambda d: d.join(mutual, F.col("node_id") == F.col("source"), "left").withColumn("node_id", F.coalesce("target", "node_id")).drop("source", "target")
         now = saved(to(now).groupBy("node_id", "role", "key").agg(*[(F.min if c[1] == "1" else F.max)(c).alias(c) for c in BOX]))
         seen = saved(to(seen).distinct())
+        touched = mutual.select(F.col("target").alias("node_id")).unionByName(mutual.select(F.col("source").alias("node_id")))
+        new = now.join(touched, "node_id", "left_semi")
+        for end in ("a_node_id", "b_node_id"):
+            links = links.join(touched.withColumnRenamed("node_id", end), end, "left_anti")
     if steps is None:
         return boxes.sparkSession.createDataFrame([], "source string, target string")
     return canonical(steps).withColumnRenamed("canonical", "target")

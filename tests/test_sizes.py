@@ -76,3 +76,12 @@ def test_tasks_grow_with_masks(spark, monkeypatch):
     monkeypatch.setattr(K, "TASK_ROWS", 10)
     parts = K.shaped(runs, "main")
     assert parts.rdd.getNumPartitions() == 10 and parts.count() == 90
+
+
+def test_boxes_in_cells_are_not_broadcast(spark):
+    from sceneloom.operators import joins as J
+
+    b = lambda k: spark.range(20).select(F.col("id").alias(k), *[(F.col("id") * 0.4 + (0.0 if c[1] == "1" else 0.5)).alias(f"{k}{c}") for c in J.BOX3D])
+    j = J.near_boxes(b("a"), b("b"), "a", "b", 0.01)
+    assert "Broadcast" not in joins_by(j)
+    assert j.where("abs(a - b) <= 1").count() == 20 + 2 * 19
