@@ -114,12 +114,13 @@ def predicate_text(evidence: DataFrame, by: list[str], prior: Column) -> DataFra
 
 
 def shell(nodes: DataFrame, n: int = 24, radius: float = 0.02) -> DataFrame:
-    """Points of a ball about each node for a drawing: a Fibonacci lattice."""
+    """Points of a ball about each node for a drawing: a Fibonacci lattice. Nodes are dealt out first: their table is small and
+    read by few tasks, their points are many."""
     i = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
     z = 1 - 2 * (F.col("i") + 0.5) / n
     turn = F.col("i") * 2.399963229728653  # the golden angle
     r = F.sqrt(1 - z * z)
-    return nodes.select("node_id", "cx", "cy", "cz", i).select("node_id", "i", (F.col("cx") + radius * r * F.cos(turn)).alias("x"), (F.col("cy") + radius * r * F.sin(turn)).alias("y"), (F.col("cz") + radius * z).alias("z"))
+    return nodes.select("node_id", "cx", "cy", "cz").repartition("node_id").select("*", i).select("node_id", "i", (F.col("cx") + radius * r * F.cos(turn)).alias("x"), (F.col("cy") + radius * r * F.sin(turn)).alias("y"), (F.col("cz") + radius * z).alias("z"))
 
 
 def tube(edges: DataFrame, n: int = 16) -> DataFrame:

@@ -85,3 +85,12 @@ def test_boxes_in_cells_are_not_broadcast(spark):
     j = J.near_boxes(b("a"), b("b"), "a", "b", 0.01)
     assert "Broadcast" not in joins_by(j)
     assert j.where("abs(a - b) <= 1").count() == 20 + 2 * 19
+
+
+def test_points_of_balls_are_made_by_many_tasks(spark):
+    from sceneloom.operators import artifacts as A
+
+    nodes = spark.range(50).coalesce(1).select(F.col("id").cast("string").alias("node_id"), *[F.lit(0.5).alias(c) for c in ("cx", "cy", "cz")])
+    p = A.shell(nodes)
+    plan = joins_by(p)
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning") and p.count() == 50 * 24
