@@ -127,10 +127,23 @@ def with_sql(*names: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}, "
 
 
+DEALT = {"relations_2d": ("detections", "frame_idx")}  # pairs of a table's rows, which meet on a column
+TASK_ROWS = 100_000
+
+
 def scene(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived table. Where rows of one are paired, tasks grow in number with them, so that what a task sorts does not grow."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    base = sorted({b for n in _order((name,)) for b in TABLES[n][0] if b in BASE})
-    ctes = [f"{b} AS (SELECT * FROM {{{b}}})" for b in base] + [f"{n} AS ({TABLES[n][1]})" for n in _order((name,))]
+    order = _order((name,))
+    base = sorted({b for n in order for b in TABLES[n][0] if b in BASE})
+    tables = {b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in base}
+    texts = {n: TABLES[n][1] for n in order}
+    for of, by in (DEALT[n] for n in order if n in DEALT):
+        parts = tables[TABLES[of][0][0]].count() // TASK_ROWS
+        if parts:
+            parts = max(parts + 1, spark.sparkContext.defaultParallelism)
+            texts[of] = f"SELECT /*+ REPARTITION({parts}, {by}) */ * FROM ({texts[of]}) dealt"
+    ctes = [f"{b} AS (SELECT * FROM {{{b}}})" for b in base] + [f"{n} AS ({text})" for n, text in texts.items()]
     text = ("WITH " + ", ".join(ctes) + f" SELECT * FROM {name}").replace("EPOCH_US(ts)", "unix_micros(cast(ts AS timestamp))")
-    return spark.sql(text, **{b: spark.read.parquet(f"{sf_dir}/{b}.parquet") for b in base})
+    return spark.sql(text, **tables)

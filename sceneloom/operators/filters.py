@@ -101,9 +101,9 @@ def border_single_units(dets: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def linked_or_inside(dets: DataFrame, relations: DataFrame) -> DataFrame:
-    """Border detections stay only if a selected or passing relation of the frame has them."""
-    good = relations.where("selected or pass_threshold")
-    ends = good.select("frame_idx", F.col("parent_det_id").alias("det_id")).union(good.select("frame_idx", F.col("child_det_id"))).distinct()
+    """Border detections stay only if a selected or passing relation of the frame has them. Both ends of a relation are taken in
+    one pass, and leave as few rows as there are detections before they meet these."""
+    ends = relations.where("selected or pass_threshold").select("frame_idx", F.explode(F.array("parent_det_id", "child_det_id")).alias("det_id")).distinct()
     b = with_border(dets)
     return b.where("not border").unionByName(b.where("border").join(ends, ["frame_idx", "det_id"], "left_semi"))
 

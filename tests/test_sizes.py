@@ -94,3 +94,20 @@ def test_points_of_balls_are_made_by_many_tasks(spark):
     p = A.shell(nodes)
     plan = joins_by(p)
     assert plan.index("Generate") < plan.index("Exchange hashpartitioning") and p.count() == 50 * 24
+
+
+def test_tasks_grow_with_pairs_of_detections(spark, sf_dir, monkeypatch):
+    from sceneloom import fixtures
+    from sceneloom.operators import filters as P
+
+    def kept():
+        d, r = (fixtures.scene(spark, sf_dir, name) for name in ("detections", "relations_2d"))
+        return r, P.linked_or_inside(d, r).select("frame_idx", "det_id")
+
+    _, before = kept()
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 100)
+    r, after = kept()
+    parts = fixtures.scene(spark, sf_dir, "events").count() // 100 + 1
+    plan = joins_by(after)
+    assert parts > 4 and plan.count(", REPARTITION_BY_NUM") == 2 and r.rdd.getNumPartitions() == parts
+    assert sorted(before.collect()) == sorted(after.collect())
