@@ -18,6 +18,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
+from functools import cached_property
+from itertools import groupby
+from operator import attrgetter
 
 import numpy as np
 import pandas as pd
@@ -92,9 +95,35 @@ def unit(a: np.ndarray) -> np.ndarray:
     return a / n if n > 1e-12 else np.zeros_like(a)
 
 
-def bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low, high = np.percentile(points, [2, 98], axis=0)
-    return low, high
+def _places(n: int) -> tuple:
+    """Of n values in order, those about the 2nd and 98th percentile, and the shares between them."""
+    at = (n - 1) * np.true_divide([2.0, 98.0], 100.0)
+    low = np.floor(at).astype(np.int64)
+    share = (at - low)[:, None]
+    return low, np.minimum(low + 1, n - 1), share, 1 - share, share >= 0.5
+
+
+def in_order(points: np.ndarray) -> np.ndarray:
+    """Each coordinate in order; not numbers throughout where one is none, as of any statistic of them."""
+    ordered = np.sort(points, axis=0)
+    gone = np.isnan(ordered[-1])
+    return np.where(gone, np.nan, ordered) if gone.any() else ordered
+
+
+def bounds(points: np.ndarray, ordered: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The 2nd and 98th percentile of each coordinate: ``np.percentile``'s own steps, without its checks, which cost ten
+    times as much on some dozen points."""
+    ordered = in_order(points) if ordered is None else ordered
+    low, high, share, rest, upper = _places(len(ordered))
+    a, b = ordered[low], ordered[high]
+    wide = b - a
+    out = np.where(upper, b - wide * rest, a + wide * share)
+    return out[0], out[1]
+
+
+def middle(ordered: np.ndarray) -> np.ndarray:
+    n = len(ordered)
+    return ordered[n // 2].copy() if n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
 
 
 def diagonal(low: np.ndarray, high: np.ndarray) -> float:
@@ -102,8 +131,11 @@ def diagonal(low: np.ndarray, high: np.ndarray) -> float:
 
 
 def voxel_means(points: np.ndarray, size: float, most: int) -> np.ndarray:
-    _, at = np.unique(np.floor(points / size).astype(np.int64), axis=0, return_inverse=True)
-    at = at.ravel()
+    cell = np.floor(points / size).astype(np.int64)
+    order = np.lexsort(cell.T[::-1])
+    cell = cell[order]
+    at = np.empty(len(points), np.int64)
+    at[order] = np.cumsum(np.append(False, (cell[1:] != cell[:-1]).any(axis=1)))
     means = np.stack([np.bincount(at, points[:, k]) for k in range(3)], axis=1) / np.bincount(at)[:, None]
     return means if len(means) <= most else means[np.linspace(0, len(means) - 1, most).round().astype(int)]
 
@@ -124,7 +156,7 @@ def seen_box(points: np.ndarray, at: np.ndarray, camera: Camera, depth: np.ndarr
         clear = np.isfinite(there) & (there > 0) & (z <= there + s.depth_tolerance)
         if clear.sum() >= s.least_projected:
             uv = uv[clear]
-    return np.percentile(np.clip(uv, 0, size - 1), [2, 98], axis=0).ravel()
+    return np.concatenate(bounds(np.clip(uv, 0, size - 1)))
 
 
 @dataclass
@@ -183,22 +215,67 @@ EVENT = "sequence long, frame_idx long, det_id long, node_id string, kind string
 
 
 class Seen:
-    """An observation with its arrays as numpy."""
+    """An observation with its arrays as numpy, which are made when first asked for: most observations are refused unseen."""
 
     def __init__(self, row):
-        self.__dict__.update(row._asdict())
-        array = lambda name: None if getattr(row, name, None) is None else np.array([list(p) for p in getattr(row, name)], float)
-        self.points = array("points").reshape(-1, 3)
-        near = array("near")
-        self.near = self.points if near is None or not len(near) else near.reshape(-1, 3)
-        self.depth = array("depth")
-        self.hist, self.feature = np.asarray(row.hist, float), np.asarray(row.feature, float)
-        self.center, self.low, self.high = self.points.mean(axis=0), self.points.min(axis=0), self.points.max(axis=0)
-        self.reach = diagonal(*bounds(self.near))
-        self.box = np.array([row.x1, row.y1, row.x2, row.y2], float)
-        parents = getattr(row, "parents", None)
-        self.parents = [] if parents is None else [int(p) for p in parents]
-        self.witness = bool(getattr(row, "witness", False) or False)
+        self.row = row
+
+    def __getattr__(self, name: str):
+        return getattr(self.row, name)
+
+    def array(self, name: str) -> np.ndarray | None:
+        rows = getattr(self.row, name, None)
+        return None if rows is None else np.array(np.concatenate(rows), float).reshape(len(rows), -1) if len(rows) else np.empty((0, 0))
+
+    @cached_property
+    def points(self) -> np.ndarray:
+        return self.array("points").reshape(-1, 3)
+
+    @cached_property
+    def near(self) -> np.ndarray:
+        near = self.array("near")
+        return self.points if near is None or not len(near) else near.reshape(-1, 3)
+
+    @cached_property
+    def depth(self) -> np.ndarray | None:
+        return self.array("depth")
+
+    @cached_property
+    def hist(self) -> np.ndarray:
+        return np.asarray(self.row.hist, float)
+
+    @cached_property
+    def feature(self) -> np.ndarray:
+        return np.asarray(self.row.feature, float)
+
+    @cached_property
+    def center(self) -> np.ndarray:
+        return self.points.mean(axis=0)
+
+    @cached_property
+    def low(self) -> np.ndarray:
+        return self.points.min(axis=0)
+
+    @cached_property
+    def high(self) -> np.ndarray:
+        return self.points.max(axis=0)
+
+    @cached_property
+    def reach(self) -> float:
+        return diagonal(*bounds(self.near))
+
+    @cached_property
+    def box(self) -> np.ndarray:
+        return np.array([self.row.x1, self.row.y1, self.row.x2, self.row.y2], float)
+
+    @cached_property
+    def parents(self) -> list[int]:
+        parents = getattr(self.row, "parents", None)
+        return [] if parents is None else [int(p) for p in parents]
+
+    @cached_property
+    def witness(self) -> bool:
+        return bool(getattr(self.row, "witness", False) or False)
 
 
 class Sequence:
@@ -281,8 +358,9 @@ class Sequence:
             own = voxel_means(np.concatenate([own, o.points]), s.voxel[n.role], s.most_points)
             near = voxel_means(np.concatenate([near, o.near]), s.near_voxel, s.most_near)
             self.points[k][:2] = own, near
-            low, high = bounds(own)
-            n.center, n.low, n.high, n.reach = np.median(own, axis=0).tolist(), low.tolist(), high.tolist(), diagonal(*bounds(near))
+            ordered = in_order(own)
+            low, high = bounds(own, ordered)
+            n.center, n.low, n.high, n.reach = middle(ordered).tolist(), low.tolist(), high.tolist(), diagonal(*bounds(near))
             n.accepts, n.last_reject = n.accepts + 1, None
         else:
             n.rejects, n.last_reject = n.rejects + 1, how
@@ -399,8 +477,9 @@ class Tracker(StatefulProcessor):
         for k, v in self.points.iterator():
             m.points[k[0]] = [_points(b) for b in v]
         batch, out = pd.concat(list(rows), ignore_index=True), []
-        for f, frame in batch.groupby("frame_idx", sort=True):
-            seen = [Seen(r) for r in frame.itertuples(index=False) if r.points is not None and len(r.points)]
+        batch = batch[batch["frame_idx"].notna()].sort_values("frame_idx", kind="stable")
+        for f, frame in groupby(batch.itertuples(index=False), attrgetter("frame_idx")):  # one pass: a frame has few rows
+            seen = [Seen(r) for r in frame if r.points is not None and len(r.points)]
             if last is not None and f <= last:
                 out += [(key[0], int(f), o.det_id, None, "late", None, None) for o in seen]
                 continue
@@ -435,13 +514,22 @@ def _snapshot(n: Node, points: int) -> tuple:
     )
 
 
+def used(observations: DataFrame, settings: Settings) -> DataFrame:
+    """Observations without the arrays that no step reads: a refused one is an event and no more. A point without coordinates
+    stands for its points, so that it is told from those that have none."""
+    read = F.coalesce(F.col("status").isin(*SIGHT, *(["low_quality"] if settings.identity else [])), F.lit(False))
+    kinds = {f.name: f.dataType for f in observations.schema}
+    out = {c: F.when(read, F.col(c)) for c in ("near", "hist", "feature", "depth") if c in kinds}
+    return observations.withColumns(out | {"points": F.when(read | (F.coalesce(F.size("points"), F.lit(0)) < 1), F.col("points")).otherwise(F.array(F.array()).cast(kinds["points"]))})
+
+
 def track(stream: DataFrame, camera: Camera = Camera(), settings: Settings = Settings()) -> DataFrame:
     """A stream of observations as one of events (``node`` null) and of nodes that a batch changed (kind ``node``)."""
     # Spark asks for the state's schema in a process of the driver that does not see shipped packages, so this one is sent whole
     package = sys.modules[__package__.split(".")[0]]
     cloudpickle.register_pickle_by_value(package)
     try:
-        return stream.groupBy("sequence").transformWithStateInPandas(Tracker(camera, settings), f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>", "Append", "None")
+        return used(stream, settings).groupBy("sequence").transformWithStateInPandas(Tracker(camera, settings), f"{EVENT}, node struct<{SNAPSHOT.replace(' ', ':').replace(',:', ',')}>", "Append", "None")
     finally:
         cloudpickle.unregister_pickle_by_value(package)
 

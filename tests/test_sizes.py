@@ -111,3 +111,68 @@ def test_tasks_grow_with_pairs_of_detections(spark, sf_dir, monkeypatch):
     plan = joins_by(after)
     assert parts > 4 and plan.count(", REPARTITION_BY_NUM") == 2 and r.rdd.getNumPartitions() == parts
     assert sorted(before.collect()) == sorted(after.collect())
+
+
+def test_tracker_statistics_are_those_of_numpy():
+    import numpy as np
+
+    from sceneloom.plans import tracker as K
+
+    rng = np.random.default_rng(3)
+    for n in [*range(1, 60), 500, 4096]:
+        p = rng.normal(size=(n, 3)) * 0.02
+        if n % 7 == 3:
+            p[rng.integers(n), rng.integers(3)] = np.nan
+        assert np.array_equal(np.percentile(p, [2, 98], axis=0), np.array(K.bounds(p)), equal_nan=True)
+        assert np.array_equal(np.median(p, axis=0), K.middle(K.in_order(p)), equal_nan=True)
+        p = np.nan_to_num(p)
+        cells, at = np.unique(np.floor(p / 0.005).astype(np.int64), axis=0, return_inverse=True)
+        means = np.stack([np.bincount(at.ravel(), p[:, k]) for k in range(3)], axis=1) / np.bincount(at.ravel())[:, None]
+        assert np.array_equal(means, K.voxel_means(p, 0.005, 10_000)) and len(K.voxel_means(p, 0.005, 5)) == min(5, len(cells))
+
+
+def test_refused_observations_bring_no_arrays(spark, sf_dir):
+    from sceneloom.plans import queries_state as Q
+    from sceneloom.plans import tracker as K
+
+    o = Q._observed(spark, sf_dir)
+    o = o.withColumn("points", F.when(F.col("det_id") % 5 == 0, F.lit(None)).when(F.col("det_id") % 5 == 1, F.array().cast(o.schema["points"].dataType)).otherwise(F.col("points")))
+    for identity in (False, True):
+        u = K.used(o, K.Settings(identity=identity))
+        assert {f.name: f.dataType for f in u.schema} == {f.name: f.dataType for f in o.schema}
+        read = ["reliable", "provisional", *(["low_quality"] if identity else [])]
+        assert u.where(F.col("status").isin(read)).exceptAll(o).isEmpty() and u.count() == o.count()
+        refused = u.where(~F.col("status").isin(read))
+        assert not refused.isEmpty() and refused.where("feature is not null or hist is not null or size(flatten(points)) > 0").isEmpty()
+        has = lambda d: {r[0] for r in d.where("size(points) > 0").select("det_id").collect()}
+        assert has(u) == has(o)
+
+
+def test_refused_observations_are_not_computed():
+    from collections import namedtuple
+
+    from sceneloom.plans import tracker as K
+
+    row = namedtuple("row", ["det_id", "role", "status", "points", "parents"])(1, "U", "rejected", [[0.0, 0.0, 1.0]], None)
+    seen = K.Seen(row)
+    assert K.Sequence(K.Camera(), K.Settings()).frame([seen]) == [(1, None, "rejected", None, None)]
+    assert not {"points", "center", "reach", "hist"} & set(vars(seen))
+
+
+def test_tracker_goes_whole_to_processes_without_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    import sceneloom
+    from sceneloom.plans import tracker as K
+
+    cloudpickle.register_pickle_by_value(sceneloom)
+    try:
+        data = cloudpickle.dumps((K.Tracker(K.Camera(), K.Settings()), K.bounds, K.Seen))
+    finally:
+        cloudpickle.unregister_pickle_by_value(sceneloom)
+    (tmp_path / "tracker").write_bytes(data)
+    code = "import pickle; _, bounds, _ = pickle.load(open('tracker', 'rb')); import numpy as np; assert bounds(np.eye(3))[0].shape == (3,)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": ""}, check=True)
