@@ -176,3 +176,16 @@ def test_tracker_goes_whole_to_processes_without_the_package(tmp_path):
     (tmp_path / "tracker").write_bytes(data)
     code = "import pickle; _, bounds, _ = pickle.load(open('tracker', 'rb')); import numpy as np; assert bounds(np.eye(3))[0].shape == (3,)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin", "PYTHONPATH": ""}, check=True)
+
+
+def test_remote_sources_are_lists_not_pairs(spark, sf_dir, monkeypatch):
+    from sceneloom.fixtures import scene
+    from sceneloom.plans import graph
+
+    n = scene(spark, sf_dir, "nodes").withColumns({"observed": F.col("n") % 3, "confidence": F.when(F.col("n") % 9 > 0, F.col("confidence"))})
+    links = lambda: graph.remote_links(n, scene(spark, sf_dir, "templates"), lambda s, t: (s["n"] + t["n"]) % 4, ["scene"])
+    plan = joins_by(links())
+    assert plan.count("explode(slice(") == 1 and "NOT (s_node_id" not in plan
+    whole = sorted(links().collect(), key=str)
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    assert whole and sorted(links().collect(), key=str) == whole
