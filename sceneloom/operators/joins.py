@@ -6,6 +6,8 @@ sort-merge join and the exact condition is a filter; nothing is a cross join of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -160,6 +162,30 @@ def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on:
     return j.where(once[0] & once[1] & once[2]).drop("_cx", "_cy", "_cz")
 
 
+def alike_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, share: float, pad: float, on: list[str] = ()) -> DataFrame:
+    """Pairs of 3D boxes (columns x1..z2 under a prefix) with equal ``on`` that, grown by the greater of ``pad`` and a hundredth
+    of their extent on every side, may share at least ``share`` (above 0) of their union; each pair is met once.
+
+    Such boxes have extents within 1 / share of each other on every axis, and centers that are near for their extents: a box
+    of b stands in the cell of its center, in a grid of its class of size, and one of a in the cells near it of three classes.
+    """
+    least = share - 1e-6
+    step = max(2.0, 1 / least)
+    near = 0.5 - least / (1 + least)
+    center = lambda p, c: (F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2
+    plain = lambda p, c: F.col(f"{p}{c}2") - F.col(f"{p}{c}1")
+    extent = lambda p, c: plain(p, c) + 2 * F.greatest(F.lit(pad), plain(p, c) * 0.01)
+    kind = lambda p: F.floor(F.log(F.greatest(*[extent(p, c) for c in "xyz"])) / math.log(step)).cast("int")
+    size = F.pow(F.lit(step), F.col("_k") + 1)
+    cell = lambda x: F.floor(x / size).cast("long")
+    one = b.withColumn("_k", kind(of_b)).withColumns({f"_c{c}": cell(center(of_b, c)) for c in "xyz"})
+    some = a.withColumn("_k", kind(of_a)).withColumn("_k", F.explode(F.array(*[F.col("_k") + d for d in (-1, 0, 1)])))
+    for c in "xyz":
+        reach = (extent(of_a, c) + size) * near
+        some = some.withColumn(f"_c{c}", F.explode(F.sequence(cell(center(of_a, c) - reach), cell(center(of_a, c) + reach))))
+    return some.hint("merge").join(one, [*on, "_k", "_cx", "_cy", "_cz"]).drop("_k", "_cx", "_cy", "_cz")
+
+
 def nearest_points(left: DataFrame, right: DataFrame, on: list[str], of_left: str, of_right: str, key: list[str], cell: float, grow: int = 2) -> DataFrame:
     """on, key and ``distance`` to the nearest of right's points with equal ``on``, for each of left's points, without a radius.
 

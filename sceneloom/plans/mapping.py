@@ -13,7 +13,7 @@ from ..functions import labels as L
 from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
 from ..operators.fixpoint import canonical, saved
-from ..operators.joins import near_boxes, within
+from ..operators.joins import alike_boxes, within
 from ..operators.windows import evenly, top_with_margin
 
 BOX = ("x1", "y1", "z1", "x2", "y2", "z2")
@@ -166,7 +166,7 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
     while True:
         # pairs of tracks that the last round left as they were stay as they are; only pairs with a new one are met
         side = lambda d, p: d.select("role", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node_id", *BOX)])
-        j = near_boxes(side(new, "a"), side(now, "b"), "a_", "b_", 0.01, ["role", "key"]).where("a_node_id <> b_node_id")
+        j = alike_boxes(side(new, "a"), side(now, "b"), "a_", "b_", iou, 0.005, ["role", "key"]).where("a_node_id <> b_node_id")
         j = j.withColumn("iou", F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX], 0.005), 9)).where(F.col("iou") >= iou)
         j = saved(j.select(F.least("a_node_id", "b_node_id").alias("a_node_id"), F.greatest("a_node_id", "b_node_id").alias("b_node_id"), "iou").distinct())
         # only pairs that overlap are looked up in the frames, not all that a frame shows

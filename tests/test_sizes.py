@@ -87,6 +87,28 @@ def test_boxes_in_cells_are_not_broadcast(spark):
     assert j.where("abs(a - b) <= 1").count() == 20 + 2 * 19
 
 
+def test_alike_boxes_are_met_once_whatever_their_size(spark):
+    """Boxes of 0.02 to 3000 metres; near_boxes would place the large ones in billions of cells."""
+    import random
+
+    from sceneloom.functions import geometry as G
+    from sceneloom.operators import joins as J
+
+    r, rows = random.Random(3), []
+    for k in range(240):
+        scale = r.choice([0.02, 1.0, 1000.0])
+        low, extent = [scale * r.uniform(-1, 1) for _ in "xyz"], [scale * r.uniform(0.2, 3) for _ in "xyz"]
+        rows.append((k, *low, *[v + e for v, e in zip(low, extent, strict=True)]))
+    box = spark.createDataFrame(rows, ["a", *[f"a{c}" for c in J.BOX3D]])
+    other = box.toDF("b", *[f"b{c}" for c in J.BOX3D])
+    iou = G.iou3d(J.box_columns("a"), J.box_columns("b"), 0.005)
+    met = J.alike_boxes(box, other, "a", "b", 0.3, 0.005)
+    pairs = [tuple(x) for x in met.where(iou >= 0.3).select("a", "b").collect()]
+    assert len(pairs) == len(set(pairs)) > 300
+    assert set(pairs) == {tuple(x) for x in box.crossJoin(other).where(iou >= 0.3).select("a", "b").collect()}
+    assert "Broadcast" not in joins_by(met)
+
+
 def test_points_of_balls_are_made_by_many_tasks(spark):
     from sceneloom.operators import artifacts as A
 
