@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import shared_dir
+from ..shared import scratch, shared_dir
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -14,6 +14,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as an intermediate table, for what many rounds read in part; deleted when the driver ends."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def canonical(steps: DataFrame) -> DataFrame:
     """steps (source, target): the end of each chain, by doubling; a source on a cycle gets its least member."""
     now = saved(steps.select("source", F.col("target").alias("canonical")))

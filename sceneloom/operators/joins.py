@@ -162,28 +162,54 @@ def near_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, gap: float, on:
     return j.where(once[0] & once[1] & once[2]).drop("_cx", "_cy", "_cz")
 
 
-def alike_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, share: float, pad: float, on: list[str] = ()) -> DataFrame:
-    """Pairs of 3D boxes (columns x1..z2 under a prefix) with equal ``on`` that, grown by the greater of ``pad`` and a hundredth
-    of their extent on every side, may share at least ``share`` (above 0) of their union; each pair is met once.
+def sized_boxes(df: DataFrame, of: str, p: str, share: float, pad: float | None, on: list[str]) -> DataFrame:
+    """For ``alike_boxes``: the grown box under a prefix, its volume, its class of size and the cell of its center, in which
+    it stands as a partner."""
+    step = max(2.0, 1 / (share - 1e-6))
+    for c in "xyz":
+        low, high = F.col(f"{of}{c}1"), F.col(f"{of}{c}2")
+        grow = F.lit(0.0) if pad is None else F.greatest(F.lit(pad), (high - low) * 0.01)
+        df = df.withColumns({f"{p}{c}1": low - grow, f"{p}{c}2": high + grow})
+    extent = [F.col(f"{p}{c}2") - F.col(f"{p}{c}1") for c in "xyz"]
+    df = df.withColumns({"_k": F.floor(F.log(F.greatest(*extent)) / math.log(step)).cast("int"), f"{p}v": extent[0] * extent[1] * extent[2]})
+    size = F.pow(F.lit(step), F.col("_k") + 1)
+    df = df.withColumns({f"_c{c}": F.floor((F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2 / size).cast("long") for c in "xyz"})
+    return df.withColumn("_at", F.xxhash64(*on, "_k", "_cx", "_cy", "_cz"))
+
+
+def alike_sized(a: DataFrame, b: DataFrame, p: str, q: str, share: float, on: list[str], once: tuple[str, str] | None = None, few: bool = False) -> DataFrame:
+    """Pairs of ``sized_boxes`` of one share under two prefixes with equal ``on`` that share at least ``share`` of their union,
+    but for rounding; each pair is met once. With ``once`` (the ids of a and b) both are one table, and a pair is met in one of
+    its two orders. ``few``: a has at most some thousand boxes, whose cells, at most 125 each in a class, may be broadcast.
 
     Such boxes have extents within 1 / share of each other on every axis, and centers that are near for their extents: a box
-    of b stands in the cell of its center, in a grid of its class of size, and one of a in the cells near it of three classes.
-    """
+    of b stands in its own cell, and one of a in the cells near it of three classes (two with ``once``). Cells are sorted by
+    one number. A pair in a cell is held against the share by a few products, so that what a pair takes stays small."""
     least = share - 1e-6
     step = max(2.0, 1 / least)
     near = 0.5 - least / (1 + least)
-    center = lambda p, c: (F.col(f"{p}{c}1") + F.col(f"{p}{c}2")) / 2
-    plain = lambda p, c: F.col(f"{p}{c}2") - F.col(f"{p}{c}1")
-    extent = lambda p, c: plain(p, c) + 2 * F.greatest(F.lit(pad), plain(p, c) * 0.01)
-    kind = lambda p: F.floor(F.log(F.greatest(*[extent(p, c) for c in "xyz"])) / math.log(step)).cast("int")
+    keys = [*on, "_k", "_cx", "_cy", "_cz"]
     size = F.pow(F.lit(step), F.col("_k") + 1)
-    cell = lambda x: F.floor(x / size).cast("long")
-    one = b.withColumn("_k", kind(of_b)).withColumns({f"_c{c}": cell(center(of_b, c)) for c in "xyz"})
-    some = a.withColumn("_k", kind(of_a)).withColumn("_k", F.explode(F.array(*[F.col("_k") + d for d in (-1, 0, 1)])))
+    some = a.drop("_at", "_cx", "_cy", "_cz").withColumn("_own", F.col("_k")).withColumn("_k", F.explode(F.array(*[F.col("_k") + d for d in ((0, 1) if once else (-1, 0, 1))])))
     for c in "xyz":
-        reach = (extent(of_a, c) + size) * near
-        some = some.withColumn(f"_c{c}", F.explode(F.sequence(cell(center(of_a, c) - reach), cell(center(of_a, c) + reach))))
-    return some.hint("merge").join(one, [*on, "_k", "_cx", "_cy", "_cz"]).drop("_k", "_cx", "_cy", "_cz")
+        low, high = F.col(f"{p}{c}1"), F.col(f"{p}{c}2")
+        reach = (high - low + size) * near
+        cell = lambda x: F.floor(x / size).cast("long")
+        some = some.withColumn(f"_c{c}", F.explode(F.sequence(cell((low + high) / 2 - reach), cell((low + high) / 2 + reach))))
+    j = some.withColumn("_at", F.xxhash64(*keys)).hint("broadcast" if few else "merge").join(b, ["_at", *keys])
+    both = [F.least(f"{p}{c}2", f"{q}{c}2") - F.greatest(f"{p}{c}1", f"{q}{c}1") for c in "xyz"]
+    enough = (both[0] > 0) & (both[1] > 0) & (both[2] > 0) & (both[0] * both[1] * both[2] >= (F.col(f"{p}v") + F.col(f"{q}v")) * (least / (1 + least)))
+    if once:
+        enough = ((F.col("_own") < F.col("_k")) | (F.col(once[0]) < F.col(once[1]))) & enough
+    return j.where(enough).drop("_at", "_own", "_k", "_cx", "_cy", "_cz")
+
+
+def alike_boxes(a: DataFrame, b: DataFrame, of_a: str, of_b: str, share: float, pad: float | None, on: list[str] = ()) -> DataFrame:
+    """Pairs of 3D boxes (columns x1..z2 under a prefix) with equal ``on`` that, grown by the greater of ``pad`` and a hundredth
+    of their extent on every side (None: as they are), share at least ``share`` (above 0) of their union, but for rounding;
+    each pair is met once."""
+    sides = [sized_boxes(d, of, p, share, pad, on) for d, of, p in ((a, of_a, "_a"), (b, of_b, "_b"))]
+    return alike_sized(*sides, "_a", "_b", share, on).drop("_av", "_bv", *[f"_{q}{c}{i}" for q in "ab" for c in "xyz" for i in (1, 2)])
 
 
 def nearest_points(left: DataFrame, right: DataFrame, on: list[str], of_left: str, of_right: str, key: list[str], cell: float, grow: int = 2) -> DataFrame:

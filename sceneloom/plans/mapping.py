@@ -12,8 +12,8 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
-from ..operators.fixpoint import canonical, saved
-from ..operators.joins import alike_boxes, within
+from ..operators.fixpoint import saved, stored
+from ..operators.joins import alike_sized, sized_boxes, within
 from ..operators.windows import evenly, top_with_margin
 
 BOX = ("x1", "y1", "z1", "x2", "y2", "z2")
@@ -154,42 +154,75 @@ def in_main_cluster(points: DataFrame, by: str, eps: float, least: int, ratio: f
     return stays.select(*points.columns)
 
 
+FEW = 1000
+
+
 def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> DataFrame:
     """source, target: tracks merged while two of one role and label, never seen together, have boxes of enough padded
     overlap. Each round merges pairs that are best for both; the merged box, sightings and ids make the next round.
 
-    boxes: node_id, role, label, bx1..bz2; sightings: frame, node_id.
+    boxes: node_id, role, label, bx1..bz2; sightings: frame, node_id. Both stay as they are: what merges makes of them is kept
+    beside them, ``members`` (source, target) of all merged tracks and ``grown`` with their boxes, and a round meets only
+    pairs with a track that the last one made.
     """
-    now = saved(boxes.select("node_id", "role", L.track_label(F.col("label")).alias("key"), *[F.col(f"b{c}").alias(c) for c in BOX]))
-    seen = saved(sightings.select("frame", "node_id").distinct())
-    steps, links, new = None, None, now
+    spark = boxes.sparkSession
+    rows = boxes.select("node_id", "role", L.track_label(F.col("label")).alias("key"), *[F.col(f"b{c}").alias(c) for c in BOX])
+    on, ends = ["role", "key"], ("a_node_id", "b_node_id")
+    sized = lambda d: sized_boxes(d, "", "b_", iou, 0.005, on)
+    # a small table is read by few tasks, and each of its boxes stands in many cells
+    base = stored(sized(rows.repartition("node_id")), "boxes")
+    seen = stored(sightings.select("frame", "node_id").distinct(), "sightings")
+    members = grown = new = links = None
+    count = 0
+
+    def side(d: DataFrame, p: str) -> DataFrame:
+        d = d.select(*on, "_at", "_k", "_cx", "_cy", "_cz", "node_id", *[f"b_{c}" for c in (*BOX, "v")])
+        return d.withColumnsRenamed({"node_id": f"{p}_node_id", **{f"b_{c}": f"{p}_{c}" for c in (*BOX, "v")}})
+
     while True:
-        # pairs of tracks that the last round left as they were stay as they are; only pairs with a new one are met
-        side = lambda d, p: d.select("role", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("node_id", *BOX)])
-        j = alike_boxes(side(new, "a"), side(now, "b"), "a_", "b_", iou, 0.005, ["role", "key"]).where("a_node_id <> b_node_id")
-        j = j.withColumn("iou", F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX], 0.005), 9)).where(F.col("iou") >= iou)
-        j = saved(j.select(F.least("a_node_id", "b_node_id").alias("a_node_id"), F.greatest("a_node_id", "b_node_id").alias("b_node_id"), "iou").distinct())
-        # only pairs that overlap are looked up in the frames, not all that a frame shows
-        frames = lambda p: seen.select("frame", F.col("node_id").alias(f"{p}_node_id")).hint("merge")
-        both = j.drop("iou").join(frames("a"), "a_node_id").join(frames("b"), ["frame", "b_node_id"], "left_semi").select("a_node_id", "b_node_id").distinct()
-        apart = j.join(both, ["a_node_id", "b_node_id"], "left_anti")
+        if new is None:
+            met = saved(alike_sized(side(base, "a"), side(base, "b"), "a_", "b_", iou, on, ends))
+        else:
+            partners = side(base, "b").withColumn("old", F.lit(True)).unionByName(side(grown, "b").withColumn("old", F.lit(False)))
+            met = saved(alike_sized(side(new, "a"), partners, "a_", "b_", iou, on, few=count <= FEW))
+            changed = members.select(F.col("source").alias("b_node_id")).union(members.select("target")).distinct()
+            met = met.where("not old").unionByName(met.where("old").join(changed, "b_node_id", "left_anti")).where("a_node_id <> b_node_id")
+        # the exact share is computed after the join, whose condition stays small
+        shared = F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX]), 9)
+        j = saved(met.select(F.least(*ends).alias("a_node_id"), F.greatest(*ends).alias("b_node_id"), shared.alias("iou")).where(F.col("iou") >= iou).distinct())
+        # only tracks that overlap some other are looked up in the frames, and only pairs that overlap, not all that a frame shows
+        ids = j.select(F.col("a_node_id").alias("node_id")).union(j.select("b_node_id")).distinct()
+        own = ids.withColumn("track", F.col("node_id"))
+        if members is not None:
+            own = own.unionByName(members.join(ids, F.col("target") == F.col("node_id"), "left_semi").select(F.col("source").alias("node_id"), F.col("target").alias("track")))
+        frames = saved(seen.hint("merge").join(own, "node_id").select("track", "frame").distinct())
+        of = lambda p: frames.select("frame", F.col("track").alias(f"{p}_node_id")).hint("merge")
+        both = j.drop("iou").join(of("a"), "a_node_id").join(of("b"), ["frame", "b_node_id"], "left_semi").select(*ends).distinct()
+        apart = j.join(both, list(ends), "left_anti")
         links = saved(apart if links is None else links.unionByName(apart))
-        best_of = lambda own: links.select(F.col(own).alias("n"), F.struct((-F.col("iou")).alias("i"), "a_node_id", "b_node_id").alias("p"))
+        best_of = lambda own: links.select(F.col(own).alias("n"), F.struct((-F.col("iou")).alias("i"), *ends).alias("p"))
         best = best_of("a_node_id").unionByName(best_of("b_node_id")).groupBy("n").agg(F.min("p").alias("p"))
         mutual = saved(best.groupBy("p.a_node_id", "p.b_node_id").agg(F.count("*").alias("k")).where("k = 2").select(F.col("a_node_id").alias("target"), F.col("b_node_id").alias("source")))
-        if not mutual.limit(1).count():
+        count = mutual.count()
+        if not count:
             break
-        steps = mutual if steps is None else saved(steps.unionByName(mutual))
-        to = lambda d: d.join(mutual, F.col("node_id") == F.col("source"), "left").withColumn("node_id", F.coalesce("target", "node_id")).drop("source", "target")
-        now = saved(to(now).groupBy("node_id", "role", "key").agg(*[(F.min if c[1] == "1" else F.max)(c).alias(c) for c in BOX]))
-        seen = saved(to(seen).distinct())
-        touched = mutual.select(F.col("target").alias("node_id")).unionByName(mutual.select(F.col("source").alias("node_id")))
-        new = now.join(touched, "node_id", "left_semi")
-        for end in ("a_node_id", "b_node_id"):
-            links = links.join(touched.withColumnRenamed("node_id", end), end, "left_anti")
-    if steps is None:
-        return boxes.sparkSession.createDataFrame([], "source string, target string")
-    return canonical(steps).withColumnRenamed("canonical", "target")
+        touched = saved(mutual.select("target", F.col("target").alias("node_id")).unionByName(mutual.select("target", F.col("source").alias("node_id"))))
+        if members is None:
+            parts = base.join(touched, "node_id")
+            members = mutual.select("source", "target")
+        else:
+            kept = touched.join(changed.withColumnRenamed("b_node_id", "node_id"), "node_id", "left_anti")
+            parts = base.join(kept, "node_id").unionByName(grown.join(touched, "node_id"))
+            moved = members.withColumnRenamed("target", "was").join(mutual.withColumnRenamed("source", "was"), "was", "left").select("source", F.coalesce("target", "was").alias("target"))
+            members = saved(moved.unionByName(mutual.select("source", "target")))
+        new = saved(sized(parts.groupBy(F.col("target").alias("node_id"), *on).agg(*[(F.min if c[1] == "1" else F.max)(c).alias(c) for c in BOX])))
+        gone = touched.select("node_id")
+        grown = new if grown is None else saved(grown.join(gone, "node_id", "left_anti").unionByName(new))
+        for end in ends:
+            links = links.join(gone.withColumnRenamed("node_id", end), end, "left_anti")
+    if members is None:
+        return spark.createDataFrame([], "source string, target string")
+    return members.select("source", "target")
 
 
 def carriers(candidates: DataFrame, boxes: DataFrame, reach: float = 0.08, least: float = 0.80, margin: float = 0.05) -> DataFrame:

@@ -211,3 +211,73 @@ def test_remote_sources_are_lists_not_pairs(spark, sf_dir, monkeypatch):
     whole = sorted(links().collect(), key=str)
     monkeypatch.setattr(graph, "BLOCK", 3)
     assert whole and sorted(links().collect(), key=str) == whole
+
+
+def test_alike_boxes_are_sifted_by_a_small_condition(spark):
+    """A pair that only stands in one cell is dropped in the join, by a condition small enough for the JVM to compile."""
+    import random
+
+    from sceneloom.functions import geometry as G
+    from sceneloom.operators import joins as J
+
+    r, rows = random.Random(5), []
+    for k in range(400):
+        low, extent = [r.uniform(0, 4) for _ in "xyz"], [r.uniform(0.5, 2) for _ in "xyz"]
+        rows.append((k, "x", *low, *[v + e for v, e in zip(low, extent, strict=True)]))
+    box = spark.createDataFrame(rows, ["a", "key", *[f"a{c}" for c in J.BOX3D]])
+    other = box.toDF("b", "key", *[f"b{c}" for c in J.BOX3D])
+    met = J.alike_boxes(box, other, "a", "b", 0.3, 0.005, ["key"])
+    iou = G.iou3d(J.box_columns("a"), J.box_columns("b"), 0.005)
+    assert met.where(iou >= 0.3).count() > 800 and met.where(iou < 0.3 - 1e-5).isEmpty()
+    side = lambda d, of, p: J.sized_boxes(d, of, p, 0.3, 0.005, ["key"])
+    one = J.alike_sized(side(box, "a", "p"), side(other, "b", "q"), "p", "q", 0.3, ["key"], ("a", "b"))
+    pairs = lambda d: sorted(tuple(sorted(x)) for x in d.where("a <> b").select("a", "b").collect())
+    assert pairs(one) == sorted(set(pairs(met))) and 2 * len(pairs(one)) == len(pairs(met))
+
+
+def test_consolidation_keeps_its_tables_and_equals_a_replay(spark, monkeypatch):
+    """Tracks merged by rounds in plain Python; boxes and sightings are stored once, whatever the rounds."""
+    import random
+
+    from sceneloom.plans import mapping as M
+
+    r, rows, seen = random.Random(11), [], []
+    for k in range(160):
+        low = [r.uniform(0, 2.5), r.uniform(0, 2.5), r.uniform(0, 0.3)]
+        rows.append((f"{'OC'[k % 2]}{k:03d}", "OC"[k % 2], r.choice(["door", "desk"]), *low, *[v + r.uniform(0.7, 1.1) for v in low]))
+        seen += [(r.randrange(60), rows[-1][0]) for _ in range(r.randint(1, 3))]
+
+    def share(a, b):
+        grown = [[x for k in range(3) for x in (v[k] - max(0.005, (v[k + 3] - v[k]) * 0.01), v[k + 3] + max(0.005, (v[k + 3] - v[k]) * 0.01))] for v in (a, b)]
+        both, volume = 1.0, [1.0, 1.0]
+        for k in (0, 2, 4):
+            both *= max(0.0, min(g[k + 1] for g in grown) - max(g[k] for g in grown))
+            volume = [v * (g[k + 1] - g[k]) for v, g in zip(volume, grown, strict=True)]
+        return round(both / (sum(volume) - both), 9)
+
+    now, frames, want, rounds = {x[0]: x[1:] for x in rows}, {x[0]: {f for f, n in seen if n == x[0]} for x in rows}, {}, 0
+    while True:
+        best = {}
+        for a in now:
+            for b in now:
+                if a < b and now[a][:2] == now[b][:2] and not frames[a] & frames[b] and share(now[a][2:], now[b][2:]) >= 0.3:
+                    p = (-share(now[a][2:], now[b][2:]), a, b)
+                    best = {**best, **{n: min(p, best.get(n, p)) for n in (a, b)}}
+        mutual = [p for n, p in best.items() if n == p[1] and best[p[2]] == p]
+        if not mutual:
+            break
+        rounds += 1
+        for _, a, b in mutual:
+            x, y = now[a], now.pop(b)
+            now[a] = (*x[:2], *[min(p, q) for p, q in zip(x[2:5], y[2:5], strict=True)], *[max(p, q) for p, q in zip(x[5:], y[5:], strict=True)])
+            frames[a] |= frames.pop(b)
+            want = {s: a if t == b else t for s, t in want.items()} | {b: a}
+    assert rounds >= 3 and len(want) > 30
+    boxes = spark.createDataFrame(rows, "node_id string, role string, label string, bx1 double, by1 double, bz1 double, bx2 double, by2 double, bz2 double")
+    kept, stored = [], M.stored
+    monkeypatch.setattr(M, "stored", lambda df, name: kept.append(name) or stored(df, name))
+    for few in (1000, 0):
+        monkeypatch.setattr(M, "FEW", few)
+        got = M.consolidated(boxes, spark.createDataFrame(seen, "frame long, node_id string"))
+        assert {x["source"]: x["target"] for x in got.collect()} == want
+    assert kept == ["boxes", "sightings"] * 2
