@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import scores as S
+from .fixpoint import saved
 
 PAIR = ["parent_node_id", "child_node_id", "edge_type"]
 
@@ -50,6 +51,58 @@ def voxels(points: DataFrame, by: list[str], size: float, values: list[str]) ->
     return points.groupBy(*by, *cell).agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in ("x", "y", "z", *values)])
 
 
+BINS = 1024
+SORTED = 50_000  # a narrowed interval of at most so many rows is sorted
+FEW_GROUPS = 100_000
+NARROWED = 8
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """Rows joined to a saved table of their groups, which is broadcast only if it has few rows; else rows and groups are sorted."""
+    return rows.join(groups.hint("broadcast" if groups.count() <= FEW_GROUPS else "merge"), by)
+
+
+def quantiles(rows: DataFrame, by: list[str], value: Column, shares: dict[str, float]) -> DataFrame:
+    """by and a column a share: the exact percentiles that ``percentile`` gives, for groups that grow with the table, of which
+    no task holds the values. Rows are read several times, so they should be stored.
+
+    The ranks beside each share are searched in an interval of values, first the group's whole range. A pass counts an
+    interval's rows in bins, and goes on in the bin that holds the rank; few rows, or what bins do not part, are counted by
+    value and sorted."""
+    v = rows.select(*by, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    key = [*by, "_low", "_high"]
+    whole = v.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    at = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    ends = F.array(*[F.struct(F.lit(name).alias("_of"), F.lit(i).alias("_end"), f(at(q)).cast("long").alias("_rank"), (at(q) - F.floor(at(q))).alias("_share")) for name, q in shares.items() for i, f in enumerate((F.floor, F.ceil))])
+    todo, done = saved(whole.withColumn("_e", F.explode(ends)).select(*key, "_n", "_e.*")), None
+    for turn in range(NARROWED + 2):
+        met = todo.where(F.col("_low") == F.col("_high"))
+        done = met if done is None else done.unionByName(met)
+        todo = todo.where(F.col("_low") != F.col("_high"))
+        most = todo.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        last = most <= SORTED or turn >= NARROWED
+        near = with_groups(v, saved(todo.select(*key).distinct()), by).where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        if last:
+            parts = near.groupBy(*key, F.col("_v").alias("_bin")).agg(F.count("*").alias("_k"), F.first("_v").alias("_l"), F.first("_v").alias("_h"))
+        else:
+            # halves, so that no difference overflows; bins stand in the order of values, and the least and greatest are apart
+            span = F.col("_high") / 2 - F.col("_low") / 2
+            finite = (span > 0) & (span < float("inf"))
+            inside = F.least(F.lit(BINS - 1), F.floor((F.col("_v") / 2 - F.col("_low") / 2) / F.when(finite, span) * BINS))
+            bin_ = F.when(F.isnan("_v"), BINS + 2).when(F.col("_v") == float("inf"), BINS + 1).when(F.col("_v") == float("-inf"), -1).otherwise(F.coalesce(inside, F.lit(0)))
+            parts = near.groupBy(*key, bin_.alias("_bin")).agg(F.count("*").alias("_k"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        before = F.sum("_k").over(Window.partitionBy(*key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+        own = with_groups(parts, todo, key).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_k")))
+        todo = saved(own.select(*by, F.col("_l").alias("_low"), F.col("_h").alias("_high"), F.col("_k").alias("_n"), "_of", "_end", (F.col("_rank") - F.col("_before")).alias("_rank"), "_share"))
+    pick = lambda name, i: F.max(F.when((F.col("_of") == name) & (F.col("_end") == i), F.col("_low")))
+    got = done.groupBy(*by).agg(*[c.alias(f"{name}{i}") for name in shares for i, c in ((0, pick(name, 0)), (1, pick(name, 1)), (2, F.max(F.when(F.col("_of") == name, F.col("_share")))))])
+    between = lambda a, b, t: F.when(F.col(a) == F.col(b), F.col(a)).otherwise((1 - F.col(t)) * F.col(a) + F.col(t) * F.col(b))
+    return saved(got.select(*by, *[between(f"{n}0", f"{n}1", f"{n}2").alias(n) for n in shares]))
+
+
 def robust_bounds(points: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     return points.groupBy(*by).agg(*[F.percentile(c, q).alias(f"{c}{n}") for c in "xyz" for n, q in ((1, low), (2, high))], *[F.median(c).alias(f"{c}m") for c in "xyz"])
 

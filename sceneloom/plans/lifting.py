@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..operators.aggregates import quantiles, with_groups
+from ..operators.fixpoint import saved, stored
 
 
 def banded(pixels: DataFrame, by: str, prior: DataFrame | None = None, floor: float = 0.025, least_mad: float = 0.002, scale: float = 3.0) -> DataFrame:
-    """Pixels whose depth lies in the band about their detection's median; with a prior (by, depth) its band is united."""
-    m = pixels.groupBy(by).agg(F.median("z").alias("_mid"))
-    p = pixels.join(m, by)
-    mad = p.groupBy(by).agg(F.median(F.abs(F.col("z") - F.col("_mid"))).alias("_mad"))
+    """Pixels whose depth lies in the band about their detection's median; with a prior (by, depth) its band is united. Pixels
+    are read several times, so they should be stored."""
+    m = quantiles(pixels, [by], F.col("z"), {"_mid": 0.5})
+    p = with_groups(pixels, m, [by])
+    mad = quantiles(p, [by], F.abs(F.col("z") - F.col("_mid")), {"_mad": 0.5})
     band = F.greatest(F.lit(floor), scale * F.greatest("_mad", F.lit(least_mad)))
-    p = p.join(mad, by)
+    p = with_groups(pixels, saved(m.join(mad, by)), [by])
     near = F.abs(F.col("z") - F.col("_mid")) <= band
     if prior is not None:
         p = p.join(prior.select(by, F.col("depth").alias("_prior")), by, "left")
@@ -25,16 +28,19 @@ def banded(pixels: DataFrame, by: str, prior: DataFrame | None = None, floor: fl
     return p.where(near).select(*pixels.columns)
 
 
-def lifted(pixels: DataFrame, by: str, camera: tuple[float, float, float, float], least: int, pose: tuple | None = None, prior: DataFrame | None = None) -> DataFrame:
-    """pixels (by, u, v, z): one observation a detection: n, centroid (mean), 2-98 percentile bounds, of at least ``least``
-    points. pose is (rotation of 9, translation of 3) as Columns."""
-    valid = pixels.where(~F.isnan("z") & F.col("z").between(0.1, 10.0))
+def lifted(pixels: DataFrame, by: str, camera: tuple[float, float, float, float], least: int, pose: tuple | None = None, prior: DataFrame | None = None, axes: str = "xyz") -> DataFrame:
+    """pixels (by, u, v, z): one observation a detection: n, centroid (mean), 2-98 percentile bounds on ``axes``, of at least
+    ``least`` points. pose is (rotation of 9, translation of 3) as Columns. A detection's pixels may be any number: they are
+    stored once and counted, never held."""
+    valid = stored(pixels.where(~F.isnan("z") & F.col("z").between(0.1, 10.0)), "pixels")
     xyz = G.back_projected(F.col("u"), F.col("v"), F.col("z"), *[F.lit(float(k)) for k in camera])
     if pose is not None:
         xyz = [a + b for a, b in zip(G.turned(pose[0], xyz), pose[1], strict=True)]
     pts = banded(valid, by, prior).select(by, *[c.alias(n) for c, n in zip(xyz, ("wx", "wy", "wz"), strict=True)])
-    bounds = [F.percentile(f"w{c}", q).alias(f"{c}{i}") for c in "xyz" for i, q in ((1, 0.02), (2, 0.98))]
-    return pts.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(f"w{c}").alias(f"c{c}") for c in "xyz"], *bounds).where(F.col("n") >= least)
+    out = pts.groupBy(by).agg(F.count("*").alias("n"), *[F.avg(f"w{c}").alias(f"c{c}") for c in "xyz"]).where(F.col("n") >= least)
+    for c in axes:
+        out = out.join(quantiles(pts, [by], F.col(f"w{c}"), {f"{c}1": 0.02, f"{c}2": 0.98}), by)
+    return out
 
 
 def decided(relations: DataFrame, carrier: float = 0.7, unit: float = 0.2, lead: float = 0.1) -> DataFrame:

@@ -81,7 +81,7 @@ def relation_decision(spark, sf_dir):
 def lifted_observations(spark, sf_dir):
     """Pixels with depth lifted to points: depth band about the median, back-projection, centroid and robust bounds."""
     px = scene(spark, sf_dir, "points").join(scene(spark, sf_dir, "depth_samples").select("pid", "depth"), "pid").select("node", "pid", (F.col("x") * 1000).alias("u"), (F.col("y") * 1000).alias("v"), F.col("depth").alias("z"))
-    o = I.lifted(px, "node", (500.0, 500.0, 100.0, 80.0), 8)
+    o = I.lifted(px, "node", (500.0, 500.0, 100.0, 80.0), 8, axes="x")
     return o.select("node", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz", "x1", "x2")])
 
 

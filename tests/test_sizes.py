@@ -281,3 +281,49 @@ def test_consolidation_keeps_its_tables_and_equals_a_replay(spark, monkeypatch):
         got = M.consolidated(boxes, spark.createDataFrame(seen, "frame long, node_id string"))
         assert {x["source"]: x["target"] for x in got.collect()} == want
     assert kept == ["boxes", "sightings"] * 2
+
+
+def test_quantiles_are_counted_in_bins_and_equal_percentile(spark, monkeypatch):
+    """Whatever the values: ties, far outliers, infinities, NaN, nulls, groups of one row."""
+    import random
+
+    from sceneloom.operators import aggregates as A
+
+    r, inf, nan = random.Random(2), float("inf"), float("nan")
+    groups = {
+        0: [r.gauss(0, 1) for _ in range(900)],
+        1: [r.choice([0.5, 0.25, -3.0]) for _ in range(400)],
+        2: [10.0 ** r.uniform(-300, 300) * r.choice([1, -1]) for _ in range(300)],
+        3: [r.random() for _ in range(200)] + [inf, inf, -inf, nan],
+        4: [7.0],
+        5: [1.0, 2.0],
+        6: [5e-324, 1e-323, 0.0, -0.0, 5e-324],
+        7: [1.7e308, -1.7e308, 0.0, 1.0],
+        8: [nan, nan, inf],
+        9: [None, 3.0, None, 4.0, 9.0],
+    }
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k long, v double")
+    shares = {"a": 0.0, "b": 0.02, "c": 0.5, "d": 0.98, "e": 1.0}
+    want = {x["k"]: x for x in rows.groupBy("k").agg(*[F.percentile("v", q).alias(n) for n, q in shares.items()]).collect()}
+    same = lambda x, y: x == y or (x != x and y != y) or abs(x - y) <= 1e-12 * max(abs(x), abs(y))
+    for most, groups_ in ((50_000, 100_000), (3, 100_000), (3, 0)):
+        monkeypatch.setattr(A, "SORTED", most)
+        monkeypatch.setattr(A, "FEW_GROUPS", groups_)
+        got = {x["k"]: x for x in A.quantiles(rows, ["k"], F.col("v"), shares).collect()}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert all(same(got[k][n], want[k][n]) for n in shares), (k, got[k], want[k])
+
+
+def test_lifting_holds_no_detections_values(spark, sf_dir, monkeypatch):
+    """No percentile's map of a detection's depths stands in a plan, and narrowing by bins leaves the result as it was."""
+    from sceneloom.operators import aggregates as A
+    from sceneloom.plans import queries_artifacts as Q
+
+    plans, saved = [], A.saved
+    monkeypatch.setattr(A, "saved", lambda df: plans.append(joins_by(df)) or saved(df))
+    whole = sorted(map(tuple, Q.lifted_observations(spark, sf_dir).collect()))
+    few = len(plans)
+    monkeypatch.setattr(A, "SORTED", 5)
+    assert sorted(map(tuple, Q.lifted_observations(spark, sf_dir).collect())) == whole and len(whole) > 50
+    assert few > 0 and len(plans) > 2 * few and not any("percentile" in p or "median" in p for p in plans)
