@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +14,7 @@ from ..functions import geometry as G
 from ..functions import labels as L
 from ..functions import scores as S
 from ..operators.aggregates import gap as box_gap
+from ..operators.aggregates import with_groups
 from ..operators.fixpoint import saved, stored
 from ..operators.joins import alike_sized, sized_boxes, within
 from ..operators.windows import evenly, top_with_margin
@@ -162,8 +165,8 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
     overlap. Each round merges pairs that are best for both; the merged box, sightings and ids make the next round.
 
     boxes: node_id, role, label, bx1..bz2; sightings: frame, node_id. Both stay as they are: what merges makes of them is kept
-    beside them, ``members`` (source, target) of all merged tracks and ``grown`` with their boxes, and a round meets only
-    pairs with a track that the last one made.
+    beside them, ``members`` (source, target) of all merged tracks, and their boxes: ``new`` of the last round's, ``rest`` of
+    those before. A round meets only pairs with a new one.
     """
     spark = boxes.sparkSession
     rows = boxes.select("node_id", "role", L.track_label(F.col("label")).alias("key"), *[F.col(f"b{c}").alias(c) for c in BOX])
@@ -172,7 +175,7 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
     # a small table is read by few tasks, and each of its boxes stands in many cells
     base = stored(sized(rows.repartition("node_id")), "boxes")
     seen = stored(sightings.select("frame", "node_id").distinct(), "sightings")
-    members = grown = new = links = None
+    members = rest = new = links = None
     count = 0
 
     def side(d: DataFrame, p: str) -> DataFrame:
@@ -183,19 +186,20 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
         if new is None:
             met = saved(alike_sized(side(base, "a"), side(base, "b"), "a_", "b_", iou, on, ends))
         else:
-            partners = side(base, "b").withColumn("old", F.lit(True)).unionByName(side(grown, "b").withColumn("old", F.lit(False)))
-            met = saved(alike_sized(side(new, "a"), partners, "a_", "b_", iou, on, few=count <= FEW))
+            tables = [(base, 0), (new, 2), *([(rest, 1)] if rest is not None else [])]
+            partners = functools.reduce(DataFrame.unionByName, [side(d, "b").withColumn("kind", F.lit(k)) for d, k in tables])
+            met = saved(alike_sized(side(new, "a"), partners, "a_", "b_", iou, on, few=count <= FEW).where("kind < 2 or a_node_id < b_node_id"))
             changed = members.select(F.col("source").alias("b_node_id")).union(members.select("target")).distinct()
-            met = met.where("not old").unionByName(met.where("old").join(changed, "b_node_id", "left_anti")).where("a_node_id <> b_node_id")
+            met = met.where("kind > 0").unionByName(met.where("kind = 0").join(changed, "b_node_id", "left_anti"))
         # the exact share is computed after the join, whose condition stays small
         shared = F.round(G.iou3d([F.col(f"a_{c}") for c in BOX], [F.col(f"b_{c}") for c in BOX]), 9)
-        j = saved(met.select(F.least(*ends).alias("a_node_id"), F.greatest(*ends).alias("b_node_id"), shared.alias("iou")).where(F.col("iou") >= iou).distinct())
+        j = saved(met.select(F.least(*ends).alias("a_node_id"), F.greatest(*ends).alias("b_node_id"), shared.alias("iou")).where(F.col("iou") >= iou))
         # only tracks that overlap some other are looked up in the frames, and only pairs that overlap, not all that a frame shows
         ids = j.select(F.col("a_node_id").alias("node_id")).union(j.select("b_node_id")).distinct()
         own = ids.withColumn("track", F.col("node_id"))
         if members is not None:
             own = own.unionByName(members.join(ids, F.col("target") == F.col("node_id"), "left_semi").select(F.col("source").alias("node_id"), F.col("target").alias("track")))
-        frames = saved(seen.hint("merge").join(own, "node_id").select("track", "frame").distinct())
+        frames = saved(with_groups(seen, saved(own), ["node_id"]).select("track", "frame").distinct())
         of = lambda p: frames.select("frame", F.col("track").alias(f"{p}_node_id")).hint("merge")
         both = j.drop("iou").join(of("a"), "a_node_id").join(of("b"), ["frame", "b_node_id"], "left_semi").select(*ends).distinct()
         apart = j.join(both, list(ends), "left_anti")
@@ -207,17 +211,18 @@ def consolidated(boxes: DataFrame, sightings: DataFrame, iou: float = 0.30) -> D
         if not count:
             break
         touched = saved(mutual.select("target", F.col("target").alias("node_id")).unionByName(mutual.select("target", F.col("source").alias("node_id"))))
+        gone = touched.select("node_id")
         if members is None:
-            parts = base.join(touched, "node_id")
+            parts = with_groups(base, touched, ["node_id"])
             members = mutual.select("source", "target")
         else:
-            kept = touched.join(changed.withColumnRenamed("b_node_id", "node_id"), "node_id", "left_anti")
-            parts = base.join(kept, "node_id").unionByName(grown.join(touched, "node_id"))
+            standing = new if rest is None else rest.unionByName(new)
+            kept = saved(touched.join(changed.withColumnRenamed("b_node_id", "node_id"), "node_id", "left_anti"))
+            parts = with_groups(base, kept, ["node_id"]).unionByName(standing.join(touched, "node_id").select(*base.columns, "target"))
             moved = members.withColumnRenamed("target", "was").join(mutual.withColumnRenamed("source", "was"), "was", "left").select("source", F.coalesce("target", "was").alias("target"))
             members = saved(moved.unionByName(mutual.select("source", "target")))
+            rest = saved(standing.join(gone, "node_id", "left_anti"))
         new = saved(sized(parts.groupBy(F.col("target").alias("node_id"), *on).agg(*[(F.min if c[1] == "1" else F.max)(c).alias(c) for c in BOX])))
-        gone = touched.select("node_id")
-        grown = new if grown is None else saved(grown.join(gone, "node_id", "left_anti").unionByName(new))
         for end in ends:
             links = links.join(gone.withColumnRenamed("node_id", end), end, "left_anti")
     if members is None:
